@@ -18,7 +18,8 @@ def fill_missing(df: DataFrame, fields: dict[str, str], levels: list[tuple[list[
     has all columns of ``df`` and, for each field f, ``f_filled`` (true where a value was filled
     in) and ``f_level`` (0 for the finest; null where nothing was filled).  A value that no
     level can fill stays null with ``f_filled`` false.  A null in a group column means the
-    record has no group at that level.  NaN must be turned into null by the caller.
+    record has no group at that level.  NaN must be turned into null by the caller.  Columns of
+    ``df`` that bear the name of a mark are replaced by it.
 
     The lower median comes from a mergeable sketch of bounded size, and the mode from value
     counts (most frequent, then smallest), so a group of any size is combined on the map side.
@@ -46,7 +47,8 @@ def fill_missing(df: DataFrame, fields: dict[str, str], levels: list[tuple[list[
             on = term if on is None else on & term
         out = out.join(stats, on, "left").drop(*[f"_g{n}_{i}" for i in range(len(group))])
     done = []
-    for c in df.columns:
+    marks = {f"{f}_{m}" for f in fields for m in ("filled", "level")}
+    for c in (c for c in df.columns if c not in marks):
         done.append(F.coalesce(F.col(c), *[F.col(f"{names[c]}_{n}") for n in range(len(levels))]).alias(c) if c in fields else F.col(c))
     for f in fields:
         level = F.lit(None).cast("int")
