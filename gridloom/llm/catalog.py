@@ -100,7 +100,9 @@ def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _packed(spark, sf_dir).where("pieces > 1").select("doc_id").distinct()
+    """Documents whose pieces came into more than one container."""
+    spread = _packed(spark, sf_dir).groupBy("doc_id").agg(F.min("container_id").alias("a"), F.max("container_id").alias("b"))
+    return spread.where("a <> b").select("doc_id")
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:

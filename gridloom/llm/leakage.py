@@ -97,11 +97,14 @@ def longest_run(equal: np.ndarray) -> int:
 
 
 def longest_overlap(equal: np.ndarray, tenths: int) -> tuple[int, int]:
-    """(length, matches) of the longest stretch with at least tenths / 10 of its positions True."""
+    """(length, matches) of the longest stretch that begins and ends True and has at least tenths / 10 True."""
+    if not equal.any():
+        return 0, 0
     total = np.r_[0, np.cumsum(equal)]
     t = 10 * total - tenths * np.arange(len(total))
-    first = np.searchsorted(-np.minimum.accumulate(t), -t, side="left")  # the leftmost prefix not above
-    length = np.arange(len(t)) - first
+    starts = np.where(np.r_[equal, False], t, np.iinfo(np.int64).max)
+    first = np.searchsorted(-np.minimum.accumulate(starts), -t, side="left")  # the leftmost start not above
+    length = np.where(np.r_[False, equal], np.arange(len(t)) - first, 0)
     j = int(length.argmax())
     return int(length[j]), int(total[j] - total[first[j]])
 
@@ -155,8 +158,8 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = 30, tenths: int =
     ``documents``: doc_id, text.  ``items``: item_id, passage.  One row for each (doc_id,
     item_id) that share an overlap of at least ``least`` words on one diagonal, of which
     ``tenths`` / 10 or more are equal (the others are substituted): ``exact_words`` is the longest
-    run without substitution, ``overlap_words`` the longest tolerant overlap, of which
-    ``matching_words`` are equal, out of ``passage_words``.
+    run without substitution, ``overlap_words`` the longest tolerant overlap (it begins and ends
+    with equal words), of which ``matching_words`` are equal, out of ``passage_words``.
 
     Every exact run of 30 words or more is found.  Passages with fewer than ``least`` words match
     nothing; null and empty texts match nothing.  Repeated documents or items give one row.  The

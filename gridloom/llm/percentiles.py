@@ -26,7 +26,10 @@ def summarise(df: DataFrame, groups: list[str], value: str, resolution: float |
     """The mergeable summary: groups, ``value``, ``cnt``.
 
     Nulls, NaN and infinities in the value are left out; a null group is a group of its own.
+    Group columns named value, cnt, pct, n or result are refused.
     """
+    if {"value", "cnt", "pct", "n", "result"} & set(groups):
+        raise ValueError("a group column bears the name of a result column")
     v = F.col(value).cast("double")
     kept = df.where(is_finite(v)).withColumn("value", (v if resolution is None else F.round(v / resolution) * resolution) + F.lit(0.0))
     return kept.groupBy(*groups, "value").agg(F.count(F.lit(1)).alias("cnt"))
