@@ -6,7 +6,6 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -78,5 +77,16 @@ def ranked(df: DataFrame, keys: list[str], order: Column, ties: list[str], rank:
     )
 
 
-def array_of(kind: T.DataType) -> T.ArrayType:
-    return T.ArrayType(kind, True)
+def numbered(df: DataFrame, order: list[str], name: str = "id", start: int = 0) -> DataFrame:
+    """Adds consecutive numbers in the order of some columns (a total order for a defined result).
+
+    Rows are sorted by ranges, counted by partition and shifted, so no task sorts them all; the
+    sorted rows are checkpointed, which fixes the ranges.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = checkpoint(df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()))
+    sizes = placed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # over one row a partition
+    offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_pid").orderBy(*order)
+    return placed.withColumn("_r", F.row_number().over(inside)).join(offsets, "_pid").withColumn(name, F.col("_before") + F.col("_r") - 1 + start).drop("_pid", "_r", "_before")

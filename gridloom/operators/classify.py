@@ -182,3 +182,15 @@ def shapley_values(df: DataFrame, key: str, features: list[str], predict_fn: Cal
             yield pd.DataFrame({key: np.repeat(batch[key].to_numpy(), c * k), "class_no": np.tile(np.repeat(np.arange(c), k), n), "feature": np.tile(np.array(features), n * c), "value": total.ravel()})
 
     return df.select(key, *features).mapInPandas(run, f"{key} long, class_no int, feature string, value double")
+
+
+def class_names(df: DataFrame, names: dict[int, str], column: str, out: str = "class_name") -> DataFrame:
+    """Class codes as text; codes without a name become null."""
+    pairs = [x for k, v in names.items() for x in (F.lit(k), F.lit(v))]
+    return df.withColumn(out, F.element_at(F.create_map(*pairs), F.col(column)))
+
+
+def classified_raster(labels: DataFrame, classified: DataFrame) -> DataFrame:
+    """raster_id, band, row, col, v: the predicted class of each pixel's segment, ready to be written; null without one."""
+    c = classified.select("segment_id", F.col("predicted_class").cast("double").alias("v"))
+    return labels.select("segment_id", "raster_id", "row", "col").join(c, "segment_id", "left").select("raster_id", F.lit(0).alias("band"), "row", "col", "v")

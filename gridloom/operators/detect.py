@@ -69,6 +69,21 @@ def annotations_json(boxes: DataFrame) -> DataFrame:
     return g.select("tile_no", name.alias("image"), F.to_json(body).alias("json"))
 
 
+def transforms_json(tiles: DataFrame, gt: tuple[float, ...], crs: str) -> DataFrame:
+    """tile_no, tile_name, json: {"transform": [a..f], "crs"} of each tile window (tile_no, row0, col0)."""
+    a, b, c, d, e, f = map(float, gt)
+    t = F.array(F.lit(a), F.lit(b), a * F.col("col0") + b * F.col("row0") + c, F.lit(d), F.lit(e), d * F.col("col0") + e * F.col("row0") + f)
+    return tiles.select("tile_no", F.format_string("img_%03d.jpg", F.col("tile_no")).alias("tile_name"), F.to_json(F.struct(t.alias("transform"), F.lit(crs).alias("crs"))).alias("json"))
+
+
+def detection_samples(images: DataFrame, boxes: DataFrame) -> DataFrame:
+    """image_id, pixels scaled to 0..255, target: images with the list of their boxes; images without a box are left out."""
+    low, high = F.array_min("pixels"), F.array_max("pixels")
+    scaled = F.transform("pixels", lambda v: ((v - low) / (high - low + 1e-8) * 255).cast("int"))
+    target = boxes.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("box_id", "x0", "y0", "x1", "y1"))).alias("target"))
+    return images.select("image_id", scaled.alias("pixels")).join(target, "image_id")
+
+
 def explode_annotations(df: DataFrame, column: str) -> DataFrame:
     """image, file_name, box_no, x0, y0, x1, y1, label of a JSON map image -> annotation; entries without boxes vanish."""
     kind = "map<string, struct<file_name string, boxes array<array<double>>, labels array<int>>>"

@@ -180,3 +180,18 @@ def blend(tile: Column, background: Column, inside: Column, alpha: Column | None
 def mosaic(df: DataFrame, group: list[str], order: str, value: str = "v") -> DataFrame:
     """One raster of all tiles of a group; where they overlap the later (greater ``order``) wins, nulls never do."""
     return df.where(F.col(value).isNotNull()).groupBy(*group, "row", "col").agg(F.max_by(value, order).alias(value))
+
+
+def stack_layers(features: DataFrame, px: DataFrame, layers: str = "layers") -> DataFrame:
+    """fid, band, row, col, v: for each feature (fid, box row0..col1, JSON map of layers) a stack in map order.
+
+    A key "n,name" is a clip of the raster ``name`` (``px.layer``) to the feature's window, a key
+    "n,constant" the constant value of the entry.  Bands follow the order of the map, not the numbers.
+    """
+    e = features.select("fid", "row0", "row1", "col0", "col1", F.posexplode(F.from_json(layers, "map<string,string>")).alias("band", "key", "value"))
+    e = e.withColumn("layer", F.trim(F.element_at(F.split("key", ",", 2), 2)))
+    grid = e.where("layer = 'constant'").withColumn("row", F.explode(F.sequence("row0", F.col("row1") - 1))).withColumn("col", F.explode(F.sequence("col0", F.col("col1") - 1)))
+    constant = grid.select("fid", "band", "row", "col", F.col("value").try_cast("double").alias("v"))
+    p = px.select(F.col("layer").alias("_l"), "row", "col", "v")
+    clip = e.where("layer <> 'constant'").join(p, (F.col("layer") == F.col("_l")) & (F.col("row") >= F.col("row0")) & (F.col("row") < F.col("row1")) & (F.col("col") >= F.col("col0")) & (F.col("col") < F.col("col1")))
+    return clip.select("fid", "band", "row", "col", "v").unionByName(constant)

@@ -6,9 +6,15 @@ and joined on them; the exact predicate follows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.wkt import contains, edges_of
+
 
 def cells(low: Column, high: Column, size: float) -> Column:
     """Numbers of the cells that [low, high] touches."""
@@ -80,6 +86,31 @@ def rasterize_boxes(boxes: DataFrame, height: int, width: int, id_column: str =
     return d.groupBy("row", "col").agg(F.max(id_column).alias("label"))
 
 
+def pixels_of_outlines(shapes: DataFrame, size: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
+    """id, row, col: cells of a square grid whose centre lies in or on an outline (id, outline; see ``near.outlines``).
+
+    Row 0 begins at ``y0`` and rows go up.  Each outline is worked off by itself, in bands of rows
+    of bounded size.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i, raw in zip(batch.id, batch.outline):
+                o = np.frombuffer(raw).reshape(-1, 2)
+                edges, first = edges_of([o])
+                (ax, ay), (bx, by) = np.nanmin(o, axis=0), np.nanmax(o, axis=0)
+                cols = np.arange(int(np.ceil((ax - x0) / size - 0.5)), int(np.floor((bx - x0) / size - 0.5)) + 1)
+                rows = np.arange(int(np.ceil((ay - y0) / size - 0.5)), int(np.floor((by - y0) / size - 0.5)) + 1)
+                if not len(cols):
+                    continue
+                for a in range(0, len(rows), step := max(1, 500_000 // len(cols))):
+                    r, c = (v.ravel() for v in np.meshgrid(rows[a : a + step], cols, indexing="ij"))
+                    ok = contains(np.zeros(len(r), int), x0 + (c + 0.5) * size, y0 + (r + 0.5) * size, edges, first)
+                    yield pd.DataFrame({"id": np.full(ok.sum(), i), "row": r[ok].astype("int32"), "col": c[ok].astype("int32")})
+
+    return shapes.select("id", "outline").mapInPandas(run, "id long, row int, col int")
+
+
 def sample_raster(points: DataFrame, px: DataFrame, value: str = "v", out: str = "sampled") -> DataFrame:
     """Points with the value of the cell that holds them; points off the raster or on missing cells are dropped."""
     p = points.withColumn("row", F.floor("y").cast("int")).withColumn("col", F.floor("x").cast("int"))

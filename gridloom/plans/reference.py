@@ -9,7 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.common import table
+from gridloom.common import numbered, table
+from gridloom.functions import crs
 from gridloom.operators import classify, cost, detect, graph, neighbours, raster, seeds, segment, spatial, zonal
 from gridloom.operators.near import outlines, points_in_outlines
 from gridloom.plans import fixtures as X
@@ -332,9 +333,91 @@ def class_list_concat(spark: SparkSession, d: str) -> DataFrame:
     return spatial.overlay_union(c)
 
 
+_RINGS = f"""rings AS (SELECT segment_id, row_number() OVER () AS ring_id, ring FROM (SELECT segment_id, unnest(regexp_extract_all(geometry, '[(]([^()]+)[)]', 1)) AS ring FROM (SELECT DISTINCT segment_id, geometry FROM segments WHERE geometry IS NOT NULL))),
+vx AS (SELECT segment_id, ring_id, i, CAST(string_split_regex(trim(c), ' +')[1] AS DOUBLE) AS x, CAST(string_split_regex(trim(c), ' +')[2] AS DOUBLE) AS y FROM (SELECT segment_id, ring_id, unnest(range(1, len(cs) + 1)) AS i, unnest(cs) AS c FROM (SELECT segment_id, ring_id, string_split(ring, ',') AS cs FROM rings))),
+eg AS (SELECT * FROM (SELECT segment_id, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM vx WINDOW w AS (PARTITION BY ring_id ORDER BY i)) WHERE x1 IS NOT NULL),
+bb AS (SELECT segment_id, min(x) AS xa, max(x) AS xb, min(y) AS ya, max(y) AS yb FROM vx GROUP BY 1)"""
+
+
+@query(f"""WITH {_RINGS}, g AS (SELECT segment_id, c, unnest(range(CAST(ceil((ya - 1000000) / 6.2 - 0.5) AS BIGINT), CAST(floor((yb - 1000000) / 6.2 - 0.5) AS BIGINT) + 1)) AS r FROM (SELECT *, unnest(range(CAST(ceil((xa - 200000) / 6.2 - 0.5) AS BIGINT), CAST(floor((xb - 200000) / 6.2 - 0.5) AS BIGINT) + 1)) AS c FROM bb)),
+p AS (SELECT segment_id, r, c, 200000 + (c + 0.5) * 6.2::DOUBLE AS x, 1000000 + (r + 0.5) * 6.2::DOUBLE AS y FROM g),
+h AS (SELECT p.segment_id, r, c, sum(CASE WHEN (y0 > y) <> (y1 > y) AND ((x1 - x0) * (y - y0) - (y1 - y0) * (x - x0) > 0) = (y1 > y0) THEN 1 ELSE 0 END) AS n,
+ max(CASE WHEN (x1 - x0) * (y - y0) = (y1 - y0) * (x - x0) AND x BETWEEN least(x0, x1) AND greatest(x0, x1) AND y BETWEEN least(y0, y1) AND greatest(y0, y1) THEN 1 ELSE 0 END) AS e FROM p JOIN eg USING (segment_id) GROUP BY 1, 2, 3)
+SELECT segment_id, count(*) AS pixels, min(r) AS first_row, max(c) AS last_col FROM h WHERE n % 2 = 1 OR e = 1 GROUP BY 1""")
+def polygon_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Segments' outlines burned into a grid."""
+    px = spatial.pixels_of_outlines(outlines(table(spark, d, "segments"), "segment_id", "geometry"), 6.2, 200000, 1000000)
+    return px.groupBy(F.col("id").alias("segment_id")).agg(F.count(F.lit(1)).alias("pixels"), F.min("row").alias("first_row"), F.max("col").alias("last_col"))
+
+
+_CRS_B = " - ".join(["xi", *[f"{b!r} * sin({2 * (j + 1)} * xi) * cosh({2 * (j + 1)} * eta)" for j, b in enumerate(crs.BETA)]])
+_CRS_E = " - ".join(["eta", *[f"{b!r} * cos({2 * (j + 1)} * xi) * sinh({2 * (j + 1)} * eta)" for j, b in enumerate(crs.BETA)]])
+_CRS_L = " + ".join(["chi", *[f"{b!r} * sin({2 * (j + 1)} * chi)" for j, b in enumerate(crs.DELTA)]])
+
+
+@query(f"""WITH a AS (SELECT raster_id, miny / {crs.SCALE * crs.RADIUS!r} AS xi, (minx - 500000) / {crs.SCALE * crs.RADIUS!r} AS eta FROM rasters), b AS (SELECT raster_id, {_CRS_B} AS x1, {_CRS_E} AS e1 FROM a),
+c AS (SELECT *, asin(sin(x1) / cosh(e1)) AS chi FROM b) SELECT raster_id, round(degrees(atan(sinh(e1) / cos(x1))) - 159, 7) AS lon, round(degrees({_CRS_L}), 7) AS lat FROM c""")
+def reproject(spark: SparkSession, d: str) -> DataFrame:
+    """Lower left corners of the rasters, read as UTM zone 4 north, in degrees."""
+    p = crs.to_crs(table(spark, d, "rasters").select("raster_id", F.col("minx").alias("x"), F.col("miny").alias("y")), "EPSG:32604", "EPSG:4326")
+    return p.select("raster_id", F.round("x", 7).alias("lon"), F.round("y", 7).alias("lat"))
+
+
+@query(f"WITH {X.SEEDS}, {{near}} SELECT count(*) AS pairs, round(min(d), 6) AS least, round(quantile_cont(d, 0.5), 6) AS median, round(max(d), 6) AS most FROM nb WHERE d <= 1.05".replace("{near}", "nb AS (SELECT sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM s a JOIN s b ON a.id < b.id AND abs(a.x - b.x) <= 1.05 AND abs(a.y - b.y) <= 1.05)"))
+def pair_distances(spark: SparkSession, d: str) -> DataFrame:
+    p = spatial.neighbours(X.seeds(spark, d), 1.05)
+    return p.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.min("d"), 6).alias("least"), F.round(F.percentile("d", 0.5), 6).alias("median"), F.round(F.max("d"), 6).alias("most"))
+
+
+@query(f"WITH {X.SEEDS} SELECT id AS seed, row_number() OVER (ORDER BY height DESC, id) AS number FROM s")
+def sequential_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers from 1 in the order of height, without a global sort."""
+    s = X.seeds(spark, d).select(F.col("id").alias("seed"), (-F.col("height")).alias("order"))
+    return numbered(s, ["order", "seed"], "number", 1).select("seed", "number")
+
+
+@query("""SELECT regexp_extract(file_name, '^(st[0-9]+)_', 1) AS grp, count(*) AS n, string_agg(file_name, ',' ORDER BY file_name) AS files FROM rasters WHERE ends_with(file_name, '_ms9.tif') GROUP BY 1""")
+def file_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Files grouped by a pattern in their names."""
+    r = table(spark, d, "rasters").where(F.col("file_name").endswith("_ms9.tif")).withColumn("grp", F.regexp_extract("file_name", "^(st[0-9]+)_", 1))
+    return r.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("file_name")), ",").alias("files"))
+
+
+@query("SELECT t.segment_id, c.class_name FROM (SELECT DISTINCT segment_id, feature_class FROM training) t LEFT JOIN (SELECT DISTINCT feature_class, class_name FROM class_ranges) c USING (feature_class)")
+def label_names(spark: SparkSession, d: str) -> DataFrame:
+    """Class codes as text; the names are the fixed class list, one for each class."""
+    names = {r.feature_class: r.class_name for r in table(spark, d, "class_ranges").select("feature_class", "class_name").distinct().collect()}
+    return classify.class_names(table(spark, d, "training").select("segment_id", "feature_class").distinct(), names, "feature_class").select("segment_id", "class_name")
+
+
+@query(f"""WITH {X.PX}, {X.ZONES}, f AS (SELECT fid, CAST(x0 AS BIGINT) % 40 AS c0, CAST(y0 AS BIGINT) AS r0 FROM z)
+SELECT fid, 0 AS band, row, col, v FROM f JOIN px ON row >= r0 AND row < r0 + 6 AND col >= c0 AND col < c0 + 5
+UNION ALL SELECT fid, 1, CAST(row AS INTEGER), CAST(unnest(range(c0, c0 + 5)) AS INTEGER), 7.5 FROM (SELECT *, unnest(range(r0, r0 + 6)) AS row FROM f)""")
+def layer_stack(spark: SparkSession, d: str) -> DataFrame:
+    f = X.zones(spark, d).select("fid", (F.col("x0") % 40).cast("int").alias("col0"), F.col("y0").cast("int").alias("row0"), F.lit('{"2,dem":"x","1,constant":"7.5"}').alias("layers"))
+    f = f.withColumn("col1", F.col("col0") + 5).withColumn("row1", F.col("row0") + 6)
+    return raster.stack_layers(f, X.px1(spark, d).withColumn("layer", F.lit("dem")))
+
+
 # Detection data
 
 
+@query("""WITH t AS (SELECT CAST(i AS INTEGER) AS tile_no, i % 5 * 200 AS c, i // 5 * 200 AS r FROM range(20) g(i))
+SELECT tile_no, printf('img_%03d.jpg', tile_no) AS tile_name, CAST(json_object('transform', [0.5::DOUBLE, 0.0::DOUBLE, 0.5 * c::DOUBLE + 2000, 0.0::DOUBLE, -0.5::DOUBLE, -0.5 * r::DOUBLE + 1000], 'crs', 'EPSG:32604') AS VARCHAR) AS json FROM t""")
+def transforms_json(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("id")
+    tiles = spark.range(20).select(i.cast("int").alias("tile_no"), (F.floor(i / 5) * 200).alias("row0"), (i % 5 * 200).alias("col0"))
+    return detect.transforms_json(tiles, (0.5, 0, 2000, 0, -0.5, 1000), "EPSG:32604")
+
+
+@query(f"""WITH {X.PX}, {X.DET}, m AS (SELECT row, min(v) AS a, max(v) AS b FROM px GROUP BY 1), u AS (SELECT row, sum(CAST(floor((v - a) / (b - a + 1e-8) * 255) AS INTEGER)) AS total FROM px JOIN m USING (row) GROUP BY 1)
+SELECT CAST(row AS BIGINT) AS image_id, CAST(total AS BIGINT) AS total, count(*) AS boxes FROM u JOIN b ON b.image_id = u.row GROUP BY 1, 2""")
+def detection_samples(spark: SparkSession, d: str) -> DataFrame:
+    images = table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("image_id"), F.transform("embedding", lambda x: x.cast("double")).alias("pixels"))
+    s = detect.detection_samples(images, X.boxes(spark, d))
+    return s.select("image_id", F.aggregate("pixels", F.lit(0).cast("long"), lambda a, b: a + b).alias("total"), F.size("target").cast("long").alias("boxes"))
+
+
 @query(f"WITH {X.DET}, c AS (SELECT box_id, least(greatest(x0 - 120, 0), 255) AS x0, least(greatest(y0 - 100, 0), 199) AS y0, least(greatest(x1 - 120, 0), 255) AS x1, least(greatest(y1 - 100, 0), 199) AS y1 FROM b) SELECT * FROM c WHERE x0 < x1 AND y0 < y1")
 def box_clamp(spark: SparkSession, d: str) -> DataFrame:
     return detect.clamp_boxes(X.boxes(spark, d).select("box_id", "x0", "y0", "x1", "y1"), F.lit(100.0), F.lit(120.0), F.lit(200.0), F.lit(256.0))
@@ -595,6 +678,12 @@ def shapley_values(spark: SparkSession, d: str) -> DataFrame:
     return classify.shapley_values(f, "segment_id", cols, classify.forest_votes(model), list(mean), permutations=4)
 
 
+@query(f"WITH {X.PX}, {X.SEG} SELECT row, col, CAST(embeddings.label AS DOUBLE) AS v FROM seg LEFT JOIN embeddings ON vec_id = segment_id AND vec_id < 150")
+def classified_raster(spark: SparkSession, d: str) -> DataFrame:
+    c = X.features(spark, d).where("segment_id < 150").select("segment_id", F.col("feature_class").alias("predicted_class"))
+    return classify.classified_raster(X.segments(spark, d), c).select("row", "col", "v")
+
+
 # Sources and sinks
 
 
