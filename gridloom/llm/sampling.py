@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.common import ranked
+#: Parts of a category's permutation; a power of two.
+BUCKETS = 64
 
 #: Ancestors of each class from the root's children down: broadleaf or other, then genus group.
 CLASS_TREE = {1: ("a", "a1"), 2: ("a", "a1"), 3: ("a", "a2"), 4: ("a", "a2"), 5: ("b", "b1"), 6: ("b", "b1"), 7: ("b", "b2"), 8: ("b", "b2")}
@@ -93,16 +94,26 @@ def draw(population: DataFrame, allocation: DataFrame, seed: int = 17) -> DataFr
 
     Within each (site, category) rows get a dense rank in a seeded random permutation; a plan
     takes the ranks from its own starting point on, wrapping around, so that plans of one site
-    differ, no row is drawn twice by one plan, and exactly ``take`` rows come out.  The rank is
-    spread over many tasks, whatever the size of a category.
+    differ, no row is drawn twice by one plan, and exactly ``take`` rows come out.  Rows without
+    site or category are never drawn; repeated rows count as rows of their own.
+
+    The permutation is cut into ``BUCKETS`` by its leading bits.  Bucket sizes tell which buckets a
+    plan reaches, and only those are ranked and joined, each by itself: a category of any size is
+    spread over many tasks, and a small sample leaves most of it unsorted.
     """
-    ranks = ranked(population.select("site_id", "feature_class", "segment_id").where("site_id is not null and feature_class is not null"), ["site_id", "feature_class"], F.xxhash64("segment_id", F.lit(seed)), ["segment_id"], rank="_rank")
-    wanted = allocation.where("take > 0").select("plan_id", "site_id", "feature_class", "take", "available", F.pmod(F.xxhash64("plan_id", "feature_class", F.lit(seed)), F.col("available")).alias("_start"))
-    return (
-        ranks.join(wanted, ["site_id", "feature_class"])
-        .where(F.pmod(F.col("_rank") - 1 + F.col("_start"), F.col("available")) < F.col("take"))
-        .select("plan_id", "site_id", "feature_class", "segment_id")
-    )
+    keys = ["site_id", "feature_class", "_b"]
+    rows = population.select("site_id", "feature_class", "segment_id", F.xxhash64("segment_id", F.lit(seed)).alias("_h")).where("site_id is not null and feature_class is not null")
+    rows = rows.withColumn("_b", F.shiftright("_h", 64 - (BUCKETS - 1).bit_length()))
+    before = Window.partitionBy("site_id", "feature_class").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    wanted = allocation.where("take > 0").select("plan_id", "site_id", "feature_class", "take", "available", F.pmod(F.xxhash64("plan_id", "feature_class", F.lit(seed)), F.col("available")).alias("_from"))
+    last = F.col("_from") + F.col("take")
+    reached = ((F.col("_before") < last) & (F.col("_before") + F.col("_n") > F.col("_from"))) | (F.col("_before") < last - F.col("available"))
+    needed = wanted.join(sizes, ["site_id", "feature_class"]).where(reached)
+    inside = Window.partitionBy(*keys).orderBy("_h", "segment_id")
+    ranks = rows.join(needed.select(*keys).distinct(), keys, "left_semi").withColumn("_rank", F.row_number().over(inside))
+    position = F.col("_before") + F.col("_rank") - 1
+    return needed.join(ranks, keys).where(F.pmod(position - F.col("_from"), F.col("available")) < F.col("take")).select("plan_id", "site_id", "feature_class", "segment_id")
 
 
 def population_counts(population: DataFrame) -> DataFrame:
