@@ -74,10 +74,64 @@ def contains(pair_outline: np.ndarray, px: np.ndarray, py: np.ndarray, edges: np
 
 def edges_of(outlines: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(edges, first) for ``contains``."""
-    parts, first = [], [0]
-    for o in outlines:
-        e = np.hstack([o[:-1], o[1:]])
-        e = e[~np.isnan(e).any(axis=1)]
-        parts.append(e)
-        first.append(first[-1] + len(e))
-    return (np.vstack(parts) if parts else np.zeros((0, 4))), np.array(first)
+    if not outlines:
+        return np.zeros((0, 4)), np.zeros(1, int)
+    points = np.concatenate(outlines)
+    ends = np.cumsum([len(o) for o in outlines])
+    edges = np.hstack([points[:-1], points[1:]])
+    real = ~np.isnan(edges).any(axis=1)
+    real[ends[:-1] - 1] = False  # from one outline to the next
+    before = np.r_[0, np.cumsum(real)]
+    return edges[real], np.r_[0, before[np.minimum(ends, len(before) - 1)]]
+
+
+_HEAD = re.compile(r"\s*(?:SRID\s*=\s*[0-9]+\s*;)?\s*(?:MULTI)?POLYGON\s*", re.IGNORECASE)
+
+
+def parse_outlines(texts: list[str | None]) -> list[np.ndarray | None]:
+    """``outline`` of many texts: the plain ones are read in one go, the others one by one."""
+    plain, bodies = [], []
+    for k, text in enumerate(texts):
+        head, _, body = text.partition("(") if text else ("", "", "")
+        if (head == "POLYGON " or _HEAD.fullmatch(head)) and len(body[: body.find(",")].strip(" (").split()) == 2:
+            plain.append(k)
+            bodies.append(body.rstrip())
+    out: list[np.ndarray | None] = [None] * len(texts)
+    odd = set(range(len(texts))) - set(plain)
+    if plain:
+        spread = " inf inf ".join(bodies).replace(",", " ").replace("(", " ").replace(")", " nan nan ")
+        try:
+            values = np.array(list(map(float, spread.split())))
+        except ValueError:
+            return [outline(t) for t in texts]
+        if len(values) % 2:
+            return [outline(t) for t in texts]
+        points = values.reshape(-1, 2)
+        if (np.isinf(points[:, 0]) != np.isinf(points[:, 1])).any() or (np.isnan(points[:, 0]) != np.isnan(points[:, 1])).any():
+            return [outline(t) for t in texts]
+        # a row of NaN ends a ring; more of them close polygons and outlines
+        cut = np.flatnonzero(np.isinf(points[:, 0]))
+        if len(cut) != len(plain) - 1:
+            return [outline(t) for t in texts]
+        gap = np.isnan(points[:, 0])
+        keep = ~(gap & np.r_[True, (gap | np.isinf(points[:, 0]))[:-1]])
+        new_cut = np.cumsum(keep)[cut] - 1
+        points = points[keep]
+        starts, ends = np.r_[0, new_cut + 1], np.r_[new_cut, len(points)]
+        gap = np.isnan(points[:, 0])
+        ring_end = np.flatnonzero(gap) - 1
+        ring_start = np.r_[0, np.flatnonzero(gap | np.isinf(points[:, 0])) + 1]
+        ring_start = ring_start[ring_start < len(points)]
+        ring_start = ring_start[~gap[ring_start] & ~np.isinf(points[ring_start, 0])]
+        if len(ring_start) != len(ring_end):
+            return [outline(t) for t in texts]
+        open_rings = ring_start[(points[ring_start] != points[ring_end]).any(axis=1)]
+        unclosed = set(np.searchsorted(starts, open_rings, side="right") - 1)
+        for n, (k, a, b) in enumerate(zip(plain, starts.tolist(), ends.tolist())):
+            if n in unclosed or b - a < 2:
+                odd.add(k)
+            else:
+                out[k] = points[a : b - 1]
+    for k in odd:
+        out[k] = outline(texts[k])
+    return out

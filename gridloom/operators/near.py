@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.common import checkpoint
-from gridloom.functions.wkt import contains, edges_of, outline
+from gridloom.functions.wkt import contains, edges_of, parse_outlines
 
 #: Points wanted in a cell, the most pivots (all that is sent to tasks), and the most rows of either side in one task.
 CELL_POINTS, MAX_PIVOTS, BLOCK_ROWS = 4_000, 2_048, 20_000
@@ -123,21 +123,30 @@ def _assigner(pivots: np.ndarray, metric: Callable, copies: bool) -> Callable[[I
     return run
 
 
-def radius_join(queries: DataFrame, points: DataFrame, metric: str = "euclidean", refine: bool = False, ordered: bool = False) -> DataFrame:
+_OK = "x is not null and y is not null and not isnan(x) and not isnan(y) and id is not null"
+
+
+def radius_join(queries: DataFrame, points: DataFrame, metric: str = "euclidean") -> DataFrame:
     """left_id, right_id, distance of all pairs of a query and a point at most the query's ``r`` apart.
 
-    ``queries``: id, x, y, r, and with ``refine`` a binary outline (see ``outlines``), in which
-    case only points inside it are kept.  ``points``: id, x, y.  ``ordered`` keeps pairs with
-    left_id < right_id, for a join of a set with itself.  Rows with null or NaN in x, y or r
-    match nothing; repeated rows give one pair.  Pairs come out once, since a point has one cell.
+    ``queries``: id, x, y, r; ``points``: id, x, y.  Rows with null or NaN in x, y or r, or a
+    negative r, match nothing; repeated rows give one pair.
+    """
+    q = queries.select("id", "x", "y", "r").where(_OK + " and r >= 0 and not isnan(r)").distinct()
+    return _join(q, _distinct(points), metric)
+
+
+def _distinct(points: DataFrame) -> DataFrame:
+    return checkpoint(points.select("id", "x", "y").where(_OK).distinct())
 
-    A cell with many rows (dense area, or many copies of one place) is cut into blocks of both
-    sides; each pair of blocks is a task of its own, so no task holds more than 2 BLOCK_ROWS.
+
+def _join(queries: DataFrame, points: DataFrame, metric: str, refine: bool = False, ordered: bool = False) -> DataFrame:
+    """The join of distinct rows.  With ``refine`` queries have an ``outline`` that must hold the point; ``ordered`` keeps left_id < right_id.
+
+    Pairs come out once, since a point has one cell.  A cell with many rows (dense area, or many
+    copies of one place) is cut into blocks of both sides; each pair of blocks is a task of its
+    own, so no task holds more than 2 BLOCK_ROWS.
     """
-    extra = ["outline"] if refine else []
-    ok = "x is not null and y is not null and not isnan(x) and not isnan(y) and id is not null"
-    points = points.select("id", "x", "y").where(ok).distinct()
-    queries = queries.select("id", "x", "y", "r", *extra).where(ok + " and r >= 0 and not isnan(r)").dropDuplicates(["id", "x", "y", "r"])
     pivots, d = _pivots(points), METRICS[metric]
     fields = "id long, x double, y double"
     right = checkpoint(points.mapInPandas(_assigner(pivots, d, False), f"{fields}, cell int"))
@@ -149,15 +158,17 @@ def radius_join(queries: DataFrame, points: DataFrame, metric: str = "euclidean"
     right = right.join(sizes, "cell").withColumn("b", F.pmod(F.xxhash64("id"), F.col("rb")).cast("int")).withColumn("l", F.explode(F.sequence(F.lit(0), F.col("lb") - 1))).drop("lb", "rb")
 
     def local(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        tree = VantageTree(p.x.to_numpy(), p.y.to_numpy(), d)
-        i, j, dist = tree.within(q.x.to_numpy(), q.y.to_numpy(), q.r.to_numpy() + SLACK)
+        px, py = p.x.to_numpy(), p.y.to_numpy()
+        i, j, dist = VantageTree(px, py, d).within(q.x.to_numpy(), q.y.to_numpy(), q.r.to_numpy() + SLACK)
         lid, rid = q.id.to_numpy(), p.id.to_numpy()
         if ordered:
             keep = lid[i] < rid[j]
             i, j, dist = i[keep], j[keep], dist[keep]
         if refine and len(i):
-            edges, first = edges_of([np.frombuffer(o).reshape(-1, 2) for o in q.outline])
-            keep = contains(i, p.x.to_numpy()[j], p.y.to_numpy()[j], edges, first)
+            used, own = np.unique(i, return_inverse=True)
+            raw = q.outline.to_numpy()
+            edges, first = edges_of([np.frombuffer(raw[k]).reshape(-1, 2) for k in used])
+            keep = contains(own, px[j], py[j], edges, first)
             i, j, dist = i[keep], j[keep], dist[keep]
         return pd.DataFrame({"left_id": lid[i], "right_id": rid[j], "distance": dist})
 
@@ -173,22 +184,31 @@ def outlines(df: DataFrame, id_column: str, geometry: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for i, text in zip(batch.id, batch.geometry):
-                if (o := outline(text)) is not None:
-                    (x0, y0), (x1, y1) = np.nanmin(o, axis=0), np.nanmax(o, axis=0)
-                    rows.append((i, (x0 + x1) / 2, (y0 + y1) / 2, float(np.hypot(x1 - x0, y1 - y0)) / 2 + 1e-6, o.tobytes()))
-            yield pd.DataFrame(rows, columns=["id", "x", "y", "r", "outline"])
+            shapes = parse_outlines(batch.geometry.tolist())
+            kept = [k for k, o in enumerate(shapes) if o is not None]
+            if not kept:
+                continue
+            own = [shapes[k] for k in kept]
+            points = np.concatenate(own)
+            starts = np.r_[0, np.cumsum([len(o) for o in own])[:-1]]
+            low, high = np.fmin.reduceat(points, starts, axis=0), np.fmax.reduceat(points, starts, axis=0)
+            mid, half = (low + high) / 2, np.hypot(*(high - low).T) / 2 + 1e-6
+            yield pd.DataFrame({"id": batch.id.to_numpy()[kept], "x": mid[:, 0], "y": mid[:, 1], "r": half, "outline": [o.tobytes() for o in own]})
 
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(geometry).alias("geometry")).where("id is not null and geometry is not null").distinct()
     return rows.mapInPandas(run, "id long, x double, y double, r double, outline binary")
 
 
 def points_in_outlines(points: DataFrame, segments: DataFrame) -> DataFrame:
-    """point_id, segment_id: points (id, x, y) inside or on the outline of a segment (see ``outlines``)."""
-    return radius_join(segments, points, refine=True).select(F.col("right_id").alias("point_id"), F.col("left_id").alias("segment_id")).distinct()
+    """point_id, segment_id: points (id, x, y) inside or on the outline of a segment (see ``outlines``), each pair once.
+
+    Points without coordinates match nothing.
+    """
+    pairs = _join(segments.select("id", "x", "y", "r", "outline"), _distinct(points), "euclidean", refine=True)
+    return pairs.select(F.col("right_id").alias("point_id"), F.col("left_id").alias("segment_id")).distinct()
 
 
 def pairs_within(points: DataFrame, radius: float, metric: str = "euclidean") -> DataFrame:
-    """left_id < right_id, distance: pairs of points (id, x, y) at most ``radius`` apart."""
-    return radius_join(points.withColumn("r", F.lit(float(radius))), points, metric, ordered=True)
+    """left_id < right_id, distance: pairs of points (id, x, y) at most ``radius`` apart, each once."""
+    own = _distinct(points)
+    return _join(own.withColumn("r", F.lit(float(radius))), own, metric, ordered=True)

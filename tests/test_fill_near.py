@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from gridloom.functions.wkt import contains, edges_of, outline, point_x, point_y
+from gridloom.functions.wkt import contains, edges_of, outline, parse_outlines, point_x, point_y
 from gridloom.operators.fill import fill_missing, filled_values
 from gridloom.operators.near import METRICS, VantageTree, outlines, pairs_within, points_in_outlines, radius_join
 
@@ -83,3 +83,13 @@ def test_points_in_outlines(spark):
     pts = spark.createDataFrame([(10, 4.0, 2.0), (11, 1.0, 1.0), (12, 9.0, 9.0), (12, 9.0, 9.0), (13, None, None)], "id long, x double, y double")
     got = points_in_outlines(pts, outlines(segs, "segment_id", "geometry")).collect()
     assert sorted((r.point_id, r.segment_id) for r in got) == [(10, 1), (10, 2), (11, 1)]
+
+
+def test_batch_reading_equals_one_by_one():
+    texts = [
+        "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))", "POLYGON((0 0,4 0,4 4,0 0),(1 1,2 1,2 2,1 1))", "SRID=3;MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 6 5, 6 6, 5 5), (5.1 5.1, 5.2 5.1, 5.2 5.2, 5.1 5.1)))",
+        "polygon ( ( 1.50 2e3 , 4 4 , 0 4 , 1.50 2e3 ) )", "POLYGON ((0 0, 4 0, 4 4))", "POLYGON Z ((0 0 1, 4 0 1, 4 4 1, 0 0 1))", "POLYGON ((0 0 1, 4 0 1, 4 4 1, 0 0 1))", "POLYGON EMPTY", None, "", "POINT (1 2)", "POLYGON ()", "POLYGON (())", "POLYGON ((x y))",
+    ]
+    for chosen in (texts, texts[:4], texts[4:], texts[:1], [], [*texts, "POLYGON ((1 2, 3 4 5, 1 2))"], ["POLYGON ((1 2, 3-4 5, 1 2))", texts[0]]):
+        for a, b in zip(parse_outlines(chosen), map(outline, chosen), strict=True):
+            assert (a is None) == (b is None) and (a is None or np.array_equal(a, b, equal_nan=True))
