@@ -39,12 +39,18 @@ def cuts(lo: float, hi: float, limit: float, overlap: float, bounds: np.ndarray)
     yield begin, hi, False
 
 
-def _cut_group(key, items: pd.DataFrame, bounds: pd.DataFrame) -> pd.DataFrame:
+def _cut_bucket(items: pd.DataFrame, bounds: pd.DataFrame) -> pd.DataFrame:
+    """Pieces of a bucket of items, whose boundaries come in the same bucket."""
     out = []
-    marks = np.sort(bounds["pos"].to_numpy(float))
-    for r in items.itertuples(index=False):
-        inner = marks[np.searchsorted(marks, r.lo, side="right") : np.searchsorted(marks, r.hi, side="left")]
-        out += [(r.item_id, n, *p) for n, p in enumerate(cuts(r.lo, r.hi, r.limit, r.overlap, inner))]
+    order = np.lexsort((bounds.pos.to_numpy(), bounds["copy"].to_numpy(), bounds.source.to_numpy()))
+    source, copy, pos = (bounds[c].to_numpy()[order] for c in ("source", "copy", "pos"))
+    new = np.flatnonzero(np.r_[True, (source[1:] != source[:-1]) | (copy[1:] != copy[:-1])]) if len(pos) else np.zeros(0, int)
+    marks = {(source[a], copy[a]): pos[a:b] for a, b in zip(new, np.r_[new[1:], len(pos)])}
+    none = np.zeros(0)
+    for item, src, cp, lo, hi, limit, overlap in zip(*(items[c].to_numpy() for c in ("item_id", "source", "copy", "lo", "hi", "limit", "overlap"))):
+        own = marks.get((src, cp), none)
+        inner = own[np.searchsorted(own, lo, side="right") : np.searchsorted(own, hi, side="left")]
+        out += [(item, n, *p) for n, p in enumerate(cuts(float(lo), float(hi), float(limit), float(overlap), inner))]
     return pd.DataFrame(out, columns=["item_id", "piece", "begin", "end", "hard_cut"])
 
 
@@ -56,17 +62,19 @@ def split(items: DataFrame, bounds: DataFrame) -> DataFrame:
     boundaries strictly inside an item count.  Items that fit, and items whose parameters make
     no sense (null, not finite, overlap outside [0, limit)), yield no rows.
 
-    Boundaries are made distinct before they are gathered by source, so one array holds at
-    most one entry for each offset of its source.  A source with many items gets one copy of
-    its boundaries for every ``ITEMS_PER_COPY`` items, each in its own task.
+    Boundaries are made distinct before they are gathered, so a source has at most one entry for
+    each offset.  A source with many items gets one copy of its boundaries for every
+    ``ITEMS_PER_COPY`` items; copies and sources are spread over buckets by hash, a few for each
+    shuffle partition, and a bucket is one task's work.
     """
     inf = float("inf")
     good = items.where((F.col("overlap") >= 0) & (F.col("overlap") < F.col("limit")) & (F.col("limit") < inf) & (F.col("hi") - F.col("lo") > F.col("limit")) & (F.abs("hi") < inf) & (F.abs("lo") < inf)).select("item_id", "source", "lo", "hi", "limit", "overlap")
     copies = good.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / ITEMS_PER_COPY).cast("int").alias("_copies"), F.min("lo").alias("_lo"), F.max("hi").alias("_hi"))
-    left = good.join(copies.select("source", "_copies"), "source").withColumn("_copy", F.pmod(F.xxhash64("item_id"), F.col("_copies")).cast("int"))
+    bucket = F.pmod(F.xxhash64("source", "copy"), F.lit(2 * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    left = good.join(copies.select("source", "_copies"), "source").withColumn("copy", F.pmod(F.xxhash64("item_id"), F.col("_copies")).cast("int")).withColumn("_bucket", bucket).drop("_copies")
     right = (
-        bounds.select("source", F.col("pos").cast("double").alias("pos")).where("pos is not null and not isnan(pos)").distinct()
+        bounds.select("source", F.col("pos").cast("double").alias("pos")).where("source is not null and pos is not null and not isnan(pos)").distinct()
         .join(copies, "source").where("pos > _lo and pos < _hi")
-        .select("source", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy"), "pos")
+        .select("source", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("copy"), "pos").withColumn("_bucket", bucket)
     )
-    return left.groupBy("source", "_copy").cogroup(right.groupBy("source", "_copy")).applyInPandas(_cut_group, PIECES)
+    return left.groupBy("_bucket").cogroup(right.groupBy("_bucket")).applyInPandas(_cut_bucket, PIECES)
