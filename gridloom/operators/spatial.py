@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from gridloom.functions.wkt import contains, edges_of
 
 
+#: Cells of an outline that are tested, or of several that are returned, at once.
+CELLS_AT_ONCE = 500_000
+
+
 def cells(low: Column, high: Column, size: float) -> Column:
     """Numbers of the cells that [low, high] touches."""
     return F.sequence(F.floor(low / size), F.floor(high / size))
@@ -86,7 +90,7 @@ def rasterize_boxes(boxes: DataFrame, height: int, width: int, id_column: str =
     return d.groupBy("row", "col").agg(F.max(id_column).alias("label"))
 
 
-def pixels_of_outlines(shapes: DataFrame, size: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
+def pixels_of_outlines(shapes: DataFrame, cell: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
     """id, row, col: cells of a square grid whose centre lies in or on an outline (id, outline; see ``near.outlines``).
 
     Row 0 begins at ``y0`` and rows go up.  Each outline is worked off by itself, in bands of rows
@@ -94,19 +98,29 @@ def pixels_of_outlines(shapes: DataFrame, size: float, x0: float = 0.0, y0: floa
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for batch in batches:
             for i, raw in zip(batch.id, batch.outline):
                 o = np.frombuffer(raw).reshape(-1, 2)
                 edges, first = edges_of([o])
                 (ax, ay), (bx, by) = np.nanmin(o, axis=0), np.nanmax(o, axis=0)
-                cols = np.arange(int(np.ceil((ax - x0) / size - 0.5)), int(np.floor((bx - x0) / size - 0.5)) + 1)
-                rows = np.arange(int(np.ceil((ay - y0) / size - 0.5)), int(np.floor((by - y0) / size - 0.5)) + 1)
-                if not len(cols):
-                    continue
-                for a in range(0, len(rows), step := max(1, 500_000 // len(cols))):
+                cols = np.arange(int(np.ceil((ax - x0) / cell - 0.5)), int(np.floor((bx - x0) / cell - 0.5)) + 1)
+                rows = np.arange(int(np.ceil((ay - y0) / cell - 0.5)), int(np.floor((by - y0) / cell - 0.5)) + 1)
+                step = max(1, CELLS_AT_ONCE // max(1, len(cols)))
+                for a in range(0, len(rows) if len(cols) else 0, step):
                     r, c = (v.ravel() for v in np.meshgrid(rows[a : a + step], cols, indexing="ij"))
-                    ok = contains(np.zeros(len(r), int), x0 + (c + 0.5) * size, y0 + (r + 0.5) * size, edges, first)
-                    yield pd.DataFrame({"id": np.full(ok.sum(), i), "row": r[ok].astype("int32"), "col": c[ok].astype("int32")})
+                    ok = contains(np.zeros(len(r), int), x0 + (c + 0.5) * cell, y0 + (r + 0.5) * cell, edges, first)
+                    held.append((np.full(ok.sum(), i), r[ok], c[ok]))
+                    size += int(ok.sum())
+                    if size > CELLS_AT_ONCE:
+                        yield frame(held)
+                        held, size = [], 0
+        if held:
+            yield frame(held)
+
+    def frame(held: list[tuple]) -> pd.DataFrame:
+        i, r, c = (np.concatenate(v) for v in zip(*held))
+        return pd.DataFrame({"id": i, "row": r.astype("int32"), "col": c.astype("int32")})
 
     return shapes.select("id", "outline").mapInPandas(run, "id long, row int, col int")
 
