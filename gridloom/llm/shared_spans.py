@@ -26,10 +26,10 @@ from pyspark.sql.window import Window
 
 from gridloom.common import checkpoint
 
-LEAST, ANCHOR = 400, 200
+LEAST, ANCHOR = 400, 100
 #: Characters hashed at once; windows in one stretch (long runs of one character are cut there).
 SLICE, STRETCH = 400_000, 2_000
-HOT_VARIANTS = 1_000
+HOT_VARIANTS = 400
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INVERSE = np.uint64(pow(int(_B), -1, 1 << 64))
@@ -241,7 +241,7 @@ def shared_spans(documents: DataFrame, least: int = LEAST, anchor: int | None =
     that length is missed.  Null texts and texts shorter than ``least`` share nothing; a row
     delivered twice under one doc_id does not share with itself.
     """
-    anchor = anchor or min(ANCHOR, max(1, least // 2))
+    anchor = anchor or min(ANCHOR, max(1, least // 4))
     texts = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.length("text") >= least))
     found = checkpoint(texts.mapInPandas(_anchors(least, anchor), "name long, doc_id long, first long, last long"))
     repeated = found.groupBy("name").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a <> _b").select("name")
