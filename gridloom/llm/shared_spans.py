@@ -256,8 +256,10 @@ def shared_spans(documents: DataFrame, least: int = LEAST, anchor: int | None =
     # One text for a name: whole copies.  The region is shared if two records deliver it.
     whole = sized.where("variants = 1 and low <> high").select("name", "key", F.lit(0).cast("long").alias("begin"), F.length("region").cast("long").alias("end"))
     shards = sized.where((F.col("variants") > 1) & (F.col("variants") <= hot))
+    # A fixed number of partitions: the work is far larger than the bytes, by which they would be joined up.
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
-    matched = shards.select("name", "key", "region", "low", "high", F.pmod(F.xxhash64("name"), F.lit(n)).alias("shard")).groupBy("shard").applyInPandas(_shard(least), "name long, key string, begin long, end long")
+    shards = shards.select("name", "key", "region", "low", "high", F.pmod(F.xxhash64("name"), F.lit(n)).alias("shard")).repartition(n // 2, "shard")
+    matched = shards.groupBy("shard").applyInPandas(_shard(least), "name long, key string, begin long, end long")
     # Hot names: each window is a group of its own, by its text.
     window = F.explode(F.expr(f"transform(sequence(0, length(region) - {least}), i -> struct(i as i, md5(substring(region, i + 1, {least})) as w))"))
     windows = sized.where(F.col("variants") > hot).select("name", "key", "low", "high", window.alias("_w")).select("name", "key", "low", "high", "_w.*")
