@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.common import checkpoint
+from gridloom.operators.graph import components
 from gridloom.operators.spatial import box_join
 
 
@@ -25,8 +27,14 @@ def iou_pairs(boxes: DataFrame, size: float, least: float = 0.0) -> DataFrame:
     return box_join(boxes, boxes, size, keys=["image_id"], how="overlap").where("box_id < r_box_id").withColumn("iou", iou()).where(F.col("iou") > least)
 
 
-def box_nms(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Greedy suppression in each image and tile-independent: best score first, then least box_id."""
+def box_nms(boxes: DataFrame, size: float, threshold: float = 0.5) -> DataFrame:
+    """Greedy suppression in each image: best score first, then least box_id; ``size`` is about that of a large box.
+
+    A box only depends on boxes it overlaps by more than the threshold, so each connected group
+    of such boxes is worked off by itself, however many boxes an image has.
+    """
+    close = iou_pairs(boxes.select("box_id", "image_id", "x0", "y0", "x1", "y1"), size, threshold)
+    groups = components(boxes.select(F.col("box_id").alias("id")), close.select(F.col("box_id").alias("a"), F.col("r_box_id").alias("b")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf.sort_values(["score", "box_id"], ascending=[False, True])
@@ -40,9 +48,13 @@ def box_nms(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
             w = np.maximum(0, np.minimum(b[i, 2], b[i:, 2]) - np.maximum(b[i, 0], b[i:, 0]))
             h = np.maximum(0, np.minimum(b[i, 3], b[i:, 3]) - np.maximum(b[i, 1], b[i:, 1]))
             alive[i:] &= w * h / (area[i] + area[i:] - w * h + 1e-6) <= threshold
-        return p.iloc[keep]
+        return p.iloc[keep][["box_id"]]
 
-    return boxes.groupBy("image_id").applyInPandas(run, boxes.schema)
+    grouped = boxes.select("box_id", "score", "x0", "y0", "x1", "y1").join(groups, F.col("box_id") == F.col("id"))
+    alone = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).where("_n = 1")
+    single = grouped.join(alone, "component", "left_semi").select("box_id")
+    crowd = grouped.join(alone, "component", "left_anti").groupBy("component").applyInPandas(run, "box_id long")
+    return boxes.join(single.unionByName(crowd), "box_id", "left_semi")
 
 
 def clamp_boxes(boxes: DataFrame, row0: Column, col0: Column, height: Column, width: Column) -> DataFrame:
@@ -148,3 +160,34 @@ def predict(images: DataFrame, model: Callable[[np.ndarray], tuple[np.ndarray, n
             yield pd.DataFrame(out, columns=["image_id", "x0", "y0", "x1", "y1", "score", "label"])
 
     return images.mapInPandas(run, "image_id long, x0 double, y0 double, x1 double, y1 double, score double, label int")
+
+
+def patch_arrays(px: DataFrame, size: int, overlap: int = 0) -> DataFrame:
+    """image_id, raster_id, row0, col0, height, width, bands, pixels: overlapping square patches of a long relation with ``band``.
+
+    Patches step by ``size - overlap`` from the upper left; pixels are row by row, bands last, and
+    cells without a value are 0.  A patch is bounded by its size.
+    """
+    step = size - overlap
+    if step < 1 or overlap < 0:
+        raise ValueError("the overlap must be at least 0 and less than the size")
+    reach = lambda c: F.sequence(F.expr(f"int(greatest({c} - {size} + {step}, 0) div {step})"), F.expr(f"int({c} div {step})"))
+    whole = px.groupBy("raster_id").agg((F.max("row") + 1).alias("_h"), (F.max("col") + 1).alias("_w"), (F.max("band") + 1).alias("bands"))
+    d = px.select("raster_id", "row", "col", "band", F.col("v").cast("double").alias("v")).withColumn("_pr", F.explode(reach("row"))).withColumn("_pc", F.explode(reach("col")))
+    d = d.where(f"row < _pr * {step} + {size} and col < _pc * {step} + {size}").join(whole, "raster_id").withColumn("row0", F.col("_pr") * step).withColumn("col0", F.col("_pc") * step)
+    d = d.withColumn("height", F.least(F.lit(size), F.col("_h") - F.col("row0"))).withColumn("width", F.least(F.lit(size), F.col("_w") - F.col("col0")))
+    at = ((F.col("row") - F.col("row0")) * F.col("width") + F.col("col") - F.col("col0")) * F.col("bands") + F.col("band")
+    keys = ["raster_id", "row0", "col0", "height", "width", "bands"]
+    g = d.where("v is not null").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(at.alias("k"), "v"))).alias("_m"))
+    filled = F.transform(F.sequence(F.lit(0), F.col("height") * F.col("width") * F.col("bands") - 1), lambda k: F.coalesce(F.element_at("_m", k), F.lit(0.0)))
+    return g.select(F.xxhash64("raster_id", "row0", "col0").alias("image_id"), *keys, filled.alias("pixels"))
+
+
+def predict_patches(px: DataFrame, model: Callable, size: int, overlap: int, threshold: float = 0.5, nms: float = 0.15) -> DataFrame:
+    """raster_id, x0, y0, x1, y1, score, label in raster pixels: a model run over overlapping patches, doubles suppressed across them."""
+    patches = patch_arrays(px, size, overlap)
+    found = predict(patches.select("image_id", "height", "width", "bands", "pixels"), model, threshold)
+    moved = found.join(patches.select("image_id", "raster_id", "row0", "col0"), "image_id")
+    boxes = moved.select(F.col("raster_id").alias("image_id"), *[(F.col(c) + F.col("col0" if c[0] == "x" else "row0")).alias(c) for c in ("x0", "y0", "x1", "y1")], "score", "label").distinct()
+    boxes = checkpoint(boxes.withColumn("box_id", F.xxhash64("image_id", "x0", "y0", "x1", "y1", "score", "label")))
+    return box_nms(boxes, float(size), nms).withColumnRenamed("image_id", "raster_id").drop("box_id")

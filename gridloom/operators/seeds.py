@@ -79,8 +79,16 @@ def nms_coded(seeds: DataFrame, base: float, scale: float, keys: list[str], max_
     return seeds.join(lost.distinct(), "id", "left_anti")
 
 
-def nms_greedy(seeds: DataFrame, base: float, scale: float, key: str) -> DataFrame:
-    """The tallest seed of a cluster removes those within its radius, then the next tallest that is left, and so on."""
+def nms_greedy(seeds: DataFrame, base: float, scale: float, key: str, max_radius: float) -> DataFrame:
+    """The tallest seed of a cluster removes those within its radius, then the next tallest that is left, and so on.
+
+    ``max_radius`` bounds all radii.  Seeds farther apart than that don't matter to each other, so
+    each connected group within it is worked off by itself, whatever the size of the cluster.
+    """
+    if base <= 0 and scale <= 0:
+        return seeds
+    close = neighbours(seeds, max_radius, [key]).where(F.col(key) == F.col(f"o_{key}"))
+    groups = components(seeds, close.select(F.col("id").alias("a"), F.col("other").alias("b")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf.sort_values(["height", "id"], ascending=[False, True])
@@ -90,9 +98,10 @@ def nms_greedy(seeds: DataFrame, base: float, scale: float, key: str) -> DataFra
             if alive[i]:
                 keep.append(i)
                 alive &= np.hypot(x - x[i], y - y[i]) > max(base, scale * h[i])
-        return p.iloc[keep]
+        return p.iloc[keep][["id"]]
 
-    return seeds if base <= 0 and scale <= 0 else seeds.groupBy(key).applyInPandas(run, seeds.schema)
+    kept = seeds.select("id", "x", "y", "height").join(groups, "id").groupBy("component").applyInPandas(run, "id long")
+    return seeds.join(kept, "id", "left_semi")
 
 
 def ball_clusters(seeds: DataFrame, eps_scale: float = 0.4, min_eps: float = 2, max_eps: float = 8, z_thresh: float = -1, min_samples: int = 2) -> DataFrame:

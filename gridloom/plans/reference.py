@@ -14,7 +14,7 @@ from gridloom.functions import crs
 from gridloom.operators import classify, cost, detect, graph, neighbours, raster, seeds, segment, spatial, zonal
 from gridloom.operators.near import outlines, points_in_outlines
 from gridloom.plans import fixtures as X
-from gridloom.plans.problems import points as wkt_points
+from gridloom.plans.problems import _POINT, points as wkt_points
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -262,6 +262,11 @@ def hist_count(spark: SparkSession, d: str) -> DataFrame:
 
 # Spatial joins
 
+_RINGS = f"""rings AS (SELECT segment_id, row_number() OVER () AS ring_id, ring FROM (SELECT segment_id, unnest(regexp_extract_all(geometry, '[(]([^()]+)[)]', 1)) AS ring FROM (SELECT DISTINCT segment_id, geometry FROM segments WHERE geometry IS NOT NULL))),
+vx AS (SELECT segment_id, ring_id, i, CAST(string_split_regex(trim(c), ' +')[1] AS DOUBLE) AS x, CAST(string_split_regex(trim(c), ' +')[2] AS DOUBLE) AS y FROM (SELECT segment_id, ring_id, unnest(range(1, len(cs) + 1)) AS i, unnest(cs) AS c FROM (SELECT segment_id, ring_id, string_split(ring, ',') AS cs FROM rings))),
+eg AS (SELECT * FROM (SELECT segment_id, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM vx WINDOW w AS (PARTITION BY ring_id ORDER BY i)) WHERE x1 IS NOT NULL),
+bb AS (SELECT segment_id, min(x) AS xa, max(x) AS xb, min(y) AS ya, max(y) AS yb FROM vx GROUP BY 1)"""
+
 _HITS = "hits AS (SELECT segment_id, class FROM pts JOIN bx ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1)"
 
 
@@ -275,7 +280,11 @@ def mixed_segments(spark: SparkSession, d: str) -> DataFrame:
     return spatial.label_segments(spatial.points_in_boxes(X.points(spark, d), X.segment_boxes(spark, d), 20))[1]
 
 
-@query()
+@query(f"""WITH RINGS, pt AS (SELECT DISTINCT point_id, class, CAST(nullif(regexp_extract(geometry, '{_POINT}', 1), '') AS DOUBLE) AS x, CAST(nullif(regexp_extract(geometry, '{_POINT}', 2), '') AS DOUBLE) AS y FROM labelled_points),
+h AS (SELECT pt.point_id, pt.class, eg.segment_id, sum(CASE WHEN (y0 > y) <> (y1 > y) AND ((x1 - x0) * (y - y0) - (y1 - y0) * (x - x0) > 0) = (y1 > y0) THEN 1 ELSE 0 END) AS n,
+ max(CASE WHEN (x1 - x0) * (y - y0) = (y1 - y0) * (x - x0) AND x BETWEEN least(x0, x1) AND greatest(x0, x1) AND y BETWEEN least(y0, y1) AND greatest(y0, y1) THEN 1 ELSE 0 END) AS e
+ FROM pt JOIN bb ON x BETWEEN xa AND xb AND y BETWEEN ya AND yb JOIN eg ON eg.segment_id = bb.segment_id GROUP BY 1, 2, 3)
+SELECT segment_id, min(class) AS feature_class FROM h WHERE n % 2 = 1 OR e = 1 GROUP BY 1 HAVING count(DISTINCT class) = 1""".replace("RINGS", _RINGS))
 def label_outlines(spark: SparkSession, d: str) -> DataFrame:
     """Labelled points against the segments' outlines: the class of each segment that has one."""
     pts = table(spark, d, "labelled_points")
@@ -333,12 +342,6 @@ def class_list_concat(spark: SparkSession, d: str) -> DataFrame:
     return spatial.overlay_union(c)
 
 
-_RINGS = f"""rings AS (SELECT segment_id, row_number() OVER () AS ring_id, ring FROM (SELECT segment_id, unnest(regexp_extract_all(geometry, '[(]([^()]+)[)]', 1)) AS ring FROM (SELECT DISTINCT segment_id, geometry FROM segments WHERE geometry IS NOT NULL))),
-vx AS (SELECT segment_id, ring_id, i, CAST(string_split_regex(trim(c), ' +')[1] AS DOUBLE) AS x, CAST(string_split_regex(trim(c), ' +')[2] AS DOUBLE) AS y FROM (SELECT segment_id, ring_id, unnest(range(1, len(cs) + 1)) AS i, unnest(cs) AS c FROM (SELECT segment_id, ring_id, string_split(ring, ',') AS cs FROM rings))),
-eg AS (SELECT * FROM (SELECT segment_id, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM vx WINDOW w AS (PARTITION BY ring_id ORDER BY i)) WHERE x1 IS NOT NULL),
-bb AS (SELECT segment_id, min(x) AS xa, max(x) AS xb, min(y) AS ya, max(y) AS yb FROM vx GROUP BY 1)"""
-
-
 @query(f"""WITH {_RINGS}, g AS (SELECT segment_id, c, unnest(range(CAST(ceil((ya - 1000000) / 6.2 - 0.5) AS BIGINT), CAST(floor((yb - 1000000) / 6.2 - 0.5) AS BIGINT) + 1)) AS r FROM (SELECT *, unnest(range(CAST(ceil((xa - 200000) / 6.2 - 0.5) AS BIGINT), CAST(floor((xb - 200000) / 6.2 - 0.5) AS BIGINT) + 1)) AS c FROM bb)),
 p AS (SELECT segment_id, r, c, 200000 + (c + 0.5) * 6.2::DOUBLE AS x, 1000000 + (r + 0.5) * 6.2::DOUBLE AS y FROM g),
 h AS (SELECT p.segment_id, r, c, sum(CASE WHEN (y0 > y) <> (y1 > y) AND ((x1 - x0) * (y - y0) - (y1 - y0) * (x - x0) > 0) = (y1 > y0) THEN 1 ELSE 0 END) AS n,
@@ -431,7 +434,7 @@ def iou_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def greedy_nms(spark: SparkSession, d: str) -> DataFrame:
-    return detect.box_nms(X.boxes(spark, d), 0.2)
+    return detect.box_nms(X.boxes(spark, d), 30, 0.2)
 
 
 _TILES = "t AS (SELECT CAST(j * 5 + i AS INTEGER) AS tile_no, i * 100.0::DOUBLE AS x0, j * 100.0::DOUBLE AS y0, i * 100.0::DOUBLE + 150 AS x1, j * 100.0::DOUBLE + 150 AS y1 FROM range(5) a(i), range(4) b(j))"
@@ -500,6 +503,15 @@ def detection_predict_stub(spark: SparkSession, d: str) -> DataFrame:
     return detect.predict(images, model)
 
 
+@query(f"""WITH {X.PX}, {X.PX8}, k AS (SELECT (row // 24) * 24 AS row0, row, col, band, v FROM p8 UNION ALL SELECT (row // 24 - 1) * 24, row, col, band, v FROM p8 WHERE row >= 24 AND row % 24 < 8)
+SELECT CAST(row0 AS INTEGER) AS row0, count(*) AS n, round(sum(v * ((row - row0) * 64 + col * 8 + band)), 4) AS weighted FROM k GROUP BY 1""")
+def patch_store(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping patches as arrays: size and position-weighted sum of each."""
+    p = detect.patch_arrays(X.px8(spark, d), 32, 8).where("col0 = 0")
+    total = F.aggregate(F.transform("pixels", lambda v, i: v * i), F.lit(0.0), lambda a, b: a + b)
+    return p.select(F.col("row0").cast("int").alias("row0"), F.size("pixels").cast("long").alias("n"), F.round(total, 4).alias("weighted"))
+
+
 # Seeds
 
 _NEAR = "nb AS (SELECT a.id, b.id AS other, a.x, a.y, b.x AS ox, b.y AS oy, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM s a JOIN s b ON a.id < b.id AND abs(a.x - b.x) <= 1.05 AND abs(a.y - b.y) <= 1.05)"
@@ -542,7 +554,7 @@ def nms_coded(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def nms_greedy(spark: SparkSession, d: str) -> DataFrame:
-    return seeds.nms_greedy(_clustered(spark, d), 0.5, 0.05, "root")
+    return seeds.nms_greedy(_clustered(spark, d), 0.5, 0.05, "root", 1.2)
 
 
 @query(f"WITH {X.SEEDS}, {_CL}, g AS (SELECT root, max(height) - min(height) AS span, quantile_cont(height, 0.5) AS mid FROM c GROUP BY 1) SELECT id, root, CASE WHEN span > 15 AND height > mid THEN 1 ELSE 0 END AS part FROM c JOIN g USING (root)")

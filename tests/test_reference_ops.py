@@ -183,6 +183,29 @@ def test_iou_is_symmetric(v):
     assert 0 <= iou <= 1
 
 
+def _iou(a, b):
+    w, h = max(0, min(a[2], b[2]) - max(a[0], b[0])), max(0, min(a[3], b[3]) - max(a[1], b[1]))
+    return w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h + 1e-6)
+
+
+def test_patches_and_prediction(spark):
+    a = np.zeros((20, 26))
+    a[3:6, 4:9] = a[12:15, 10:16] = 1
+    px = pixels(spark, a).withColumn("band", F.lit(0))
+    patches = {(r.row0, r.col0): r for r in detect.patch_arrays(px, 12, 4).collect()}
+    assert set(patches) == {(r, c) for r in (0, 8, 16) for c in (0, 8, 16, 24)}
+    for (r0, c0), r in patches.items():
+        assert np.array_equal(np.array(r.pixels).reshape(r.height, r.width), a[r0 : r0 + 12, c0 : c0 + 12])
+
+    def model(x):
+        rows, cols = np.nonzero(x[0] > 0.5)
+        full = len(rows) and rows.min() > 0 and cols.min() > 0 and rows.max() + 1 < x.shape[1] and cols.max() + 1 < x.shape[2]
+        return (np.array([[cols.min(), rows.min(), cols.max() + 1, rows.max() + 1]]), np.array([0.9]), np.array([1])) if full else (np.zeros((0, 4)), np.zeros(0), np.zeros(0))
+
+    got = {(r.x0, r.y0, r.x1, r.y1) for r in detect.predict_patches(px, model, 12, 8).collect()}
+    assert got == {(4, 3, 9, 6), (10, 12, 16, 15)}
+
+
 def test_box_join_matches_brute_force(spark):
     rng = np.random.default_rng(4)
     xy = rng.integers(-20, 60, (120, 2)).astype(float)
@@ -193,7 +216,12 @@ def test_box_join_matches_brute_force(spark):
         got = [(r.box_id, r.r_box_id) for r in spatial.box_join(df, df, 7, how=how).collect()]
         want = {(a[0], b[0]) for a in rows for b in rows if op(a[2], b[4]) and op(b[2], a[4]) and op(a[3], b[5]) and op(b[3], a[5])}
         assert len(got) == len(set(got)) and set(got) == want
-    kept = detect.box_nms(df, 0.3).collect()
+    kept = detect.box_nms(df, 7, 0.3).collect()
+    order, want = sorted(rows, key=lambda r: (-r[6], r[0])), []
+    for a in order:
+        if all(_iou(a[2:6], b[2:6]) <= 0.3 for b in want):
+            want.append(a)
+    assert {r.box_id for r in kept} == {a[0] for a in want}
     for a in kept:
         for b in kept:
             if a.box_id < b.box_id:
@@ -221,7 +249,7 @@ def test_nms_variants(spark):
     for p in order:
         if all(math.hypot(p[1] - q[1], p[2] - q[2]) > r(q) for q in greedy):
             greedy.append(p)
-    assert {x.id for x in seeds.nms_greedy(df, 0.5, 0.1, "root").collect()} == {p[0] for p in greedy}
+    assert {x.id for x in seeds.nms_greedy(df, 0.5, 0.1, "root", 2.0).collect()} == {p[0] for p in greedy}
     assert seeds.nms_coded(df, 0, 0, ["root"], 1.0).count() == 80
 
 
