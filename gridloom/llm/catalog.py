@@ -139,7 +139,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document is found elsewhere."""
     docs = table(spark, sf_dir, "documents")
-    return shared_spans.shared_shares(docs, shared_spans.shared_spans(docs))
+    return shared_spans.shared_shares(docs, shared_spans.shared_spans(docs)).withColumn("share", F.round("share", 9))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_site_class, p2_by_day, p2_all_sites, p3_found, p3_pieces, p6_found, p6_containers, p6_bpe_containers, p7_found, p7_leaks, p8_found, p8_shares)}
@@ -175,6 +175,14 @@ w AS (SELECT job_id, axis, raster_id, s, o, lo, hi, lo AS b, FALSE AS stuck FROM
  SELECT w.job_id, w.axis, w.raster_id, w.s, w.o, w.lo, w.hi, coalesce(n.pos - w.o, w.b), n.pos IS NULL FROM w, LATERAL (SELECT max(r.pos) AS pos FROM raster_seams r WHERE r.raster_id = w.raster_id AND r.axis = w.axis AND r.pos > w.lo AND r.pos < w.hi AND r.pos > w.b + w.o AND r.pos <= w.b + w.s) n
  WHERE NOT w.stuck AND w.hi - w.b > w.s)
 SELECT DISTINCT job_id, axis FROM w WHERE stuck""",
+    "p3_pieces": """WITH RECURSIVE j AS (SELECT DISTINCT t.job_id, t.raster_id, coalesce(t.tile_size, 150.0) AS s, coalesce(t.overlap, 50.0) AS o FROM tile_and_process t WHERE t.job_id IS NOT NULL),
+i AS (SELECT job_id, 'x' AS axis, raster_id, s, o, minx AS lo, maxx AS hi FROM j JOIN rasters USING (raster_id) UNION ALL SELECT job_id, 'y', raster_id, s, o, miny, maxy FROM j JOIN rasters USING (raster_id)),
+k AS (SELECT * FROM i WHERE o >= 0 AND o < s AND hi - lo > s),
+w AS (SELECT job_id, axis, raster_id, s, o, lo, hi, -1 AS piece, CAST(NULL AS DOUBLE) AS b, lo + o AS e, FALSE AS hard FROM k
+ UNION ALL
+ SELECT w.job_id, w.axis, w.raster_id, w.s, w.o, w.lo, w.hi, w.piece + 1, w.e - w.o, CASE WHEN w.hi - (w.e - w.o) <= w.s THEN w.hi ELSE coalesce(n.pos, w.e - w.o + w.s) END, w.hi - (w.e - w.o) > w.s AND n.pos IS NULL
+ FROM w, LATERAL (SELECT max(r.pos) AS pos FROM raster_seams r WHERE r.raster_id = w.raster_id AND r.axis = w.axis AND r.pos > w.lo AND r.pos < w.hi AND r.pos > w.e AND r.pos <= w.e - w.o + w.s) n WHERE w.e < w.hi)
+SELECT job_id, axis, CAST(piece AS INTEGER) AS piece, b AS begin, e AS end, hard AS hard_cut FROM w WHERE piece >= 0""",
     "p6_found": f"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '{_GRAM}')) > {CAPACITY}",
     "p7_found": f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents), e AS (SELECT item_id, regexp_extract_all(lower(passage), '{_WORD}') AS w FROM eval_items),
 dg AS (SELECT doc_id, array_to_string(w[i : i + 29], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 28)) AS i FROM d WHERE len(w) >= 30)),
@@ -183,4 +191,8 @@ SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)""",
     "p8_found": """WITH g AS (SELECT doc_id, md5(substring(text, CAST(i AS BIGINT), 400)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS i FROM documents WHERE length(text) >= 400)),
 r AS (SELECT h FROM g GROUP BY h HAVING min(doc_id) <> max(doc_id))
 SELECT DISTINCT doc_id FROM g JOIN r USING (h)""",
+    "p8_shares": """WITH g AS (SELECT doc_id, i, md5(substring(text, CAST(i AS BIGINT), 400)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS i FROM documents WHERE length(text) >= 400)),
+r AS (SELECT h FROM g GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+c AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n FROM (SELECT doc_id, least(400, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 400)) AS n FROM g JOIN r USING (h)) GROUP BY 1)
+SELECT doc_id, CAST(coalesce(length(text), 0) AS INTEGER) AS n_chars, coalesce(c.n, 0) AS shared_chars, CASE WHEN coalesce(length(text), 0) > 0 THEN round(coalesce(c.n, 0) / length(text)::DOUBLE, 9) ELSE 0.0 END AS share FROM documents LEFT JOIN c USING (doc_id)""",
 }
