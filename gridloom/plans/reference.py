@@ -62,13 +62,14 @@ def radiometric_stats(spark: SparkSession, d: str) -> DataFrame:
     return r6(zonal.radiometric_stats(pts), "mean_intensity", "variance_intensity")
 
 
-_GLCM = f"""WITH {X.PX}, {X.SEG}, mm AS (SELECT segment_id, min(v) AS a, max(v) AS b FROM seg GROUP BY 1),
+_GLCM_OF = """mm AS (SELECT segment_id, min(v) AS a, max(v) AS b FROM seg GROUP BY 1),
 c AS (SELECT segment_id, row, col, CASE WHEN a = b THEN 0 ELSE CAST(floor((v - a) / (b - a) * 255) AS INTEGER) END AS q FROM seg JOIN mm USING (segment_id)),
 o(angle, dr, dc) AS (VALUES (0, 0, 2), (1, 1, 1), (2, 2, 0), (3, 1, -1)),
 h AS (SELECT a.segment_id, o.angle, a.q AS i, b.q AS j FROM c a, o, c b WHERE b.segment_id = a.segment_id AND b.row = a.row + o.dr AND b.col = a.col + o.dc),
 n AS (SELECT segment_id, angle, i, j, count(*) AS n FROM (SELECT * FROM h UNION ALL SELECT segment_id, angle, j, i FROM h) GROUP BY ALL),
 p AS (SELECT *, n * 1.0 / sum(n) OVER (PARTITION BY segment_id, angle) AS p FROM n),
 f AS (SELECT segment_id, angle, sum(p * (i - j) * (i - j)) AS contrast, sum(p * abs(i - j)) AS dissimilarity, sum(p / (1 + (i - j) * (i - j))) AS homogeneity, sum(p * p) AS asm, sqrt(sum(p * p)) AS energy, sum(p * i) AS mi, sum(p * i * i) AS sq, sum(p * i * j) AS ij FROM p GROUP BY 1, 2)"""
+_GLCM = f"WITH {X.PX}, {X.SEG}, {_GLCM_OF}"
 
 
 @query(_GLCM + """ SELECT segment_id, round(avg(contrast), 4) AS contrast, round(avg(dissimilarity), 6) AS dissimilarity, round(avg(homogeneity), 6) AS homogeneity, round(avg(asm), 6) AS "ASM", round(avg(energy), 6) AS energy, round(avg(CASE WHEN sq - mi * mi < 1e-15 THEN 1 ELSE (ij - mi * mi) / (sq - mi * mi) END), 6) AS correlation FROM f GROUP BY 1""")
@@ -77,10 +78,20 @@ def glcm_props(spark: SparkSession, d: str) -> DataFrame:
     return r6(out, *[c for c in zonal.TEXTURAL if c != "contrast"]).withColumn("contrast", F.round("contrast", 4))
 
 
-@query()
+def _sql_moments(b: str) -> str:
+    return f"avg({b}) AS {b}_mean, var_pop({b}) AS {b}_variance, min({b}) AS {b}_min, max({b}) AS {b}_max, avg(power({b} - m_{b}, 3)) / power(var_pop({b}), 1.5) AS {b}_skewness, kurtosis_pop({b}) AS {b}_kurtosis"
+
+
+_TEXTURE = "avg(contrast) AS b0_contrast, avg(dissimilarity) AS b0_dissimilarity, avg(homogeneity) AS b0_homogeneity, avg(asm) AS b0_ASM, avg(energy) AS b0_energy, avg(CASE WHEN sq - mi * mi < 1e-15 THEN 1 ELSE (ij - mi * mi) / (sq - mi * mi) END) AS b0_correlation"
+_FEATURES = zonal.feature_columns([0, 1], textural_bands=[0], textural=zonal.TEXTURAL)
+
+
+@query(f"""WITH {X.W8}, w AS (SELECT *, row // 20 AS segment_id, avg(b0) OVER (PARTITION BY row // 20) AS m_b0, avg(b1) OVER (PARTITION BY row // 20) AS m_b1 FROM w8), seg AS (SELECT segment_id, row, col, b0 AS v FROM w), {_GLCM_OF},
+a AS (SELECT segment_id, {_sql_moments("b0")}, {_sql_moments("b1")} FROM w GROUP BY 1), t AS (SELECT segment_id, {_TEXTURE} FROM f GROUP BY 1)
+SELECT segment_id, {", ".join(f'round({c}, 4) + 0.0 AS "{c}"' for c in _FEATURES[1:])} FROM a JOIN t USING (segment_id)""")
 def feature_table(spark: SparkSession, d: str) -> DataFrame:
     wide = X.wide8(spark, d).withColumn("segment_id", F.expr("int(row div 20)"))
-    return zonal.create_objects(wide, [0, 1], [0])
+    return r6(zonal.create_objects(wide, [0, 1], [0]).select(*_FEATURES), *_FEATURES[1:], places=4)
 
 
 # Band arithmetic and stretches
@@ -125,9 +136,13 @@ def equalize_hist(spark: SparkSession, d: str) -> DataFrame:
     return raster.equalize(raster.rescale_to_8bit(X.px1(spark, d)), "v8").select("row", "col", "equalized")
 
 
-@query()
+@query(f"""WITH {X.PX}, {X.PX8}, c3 AS (SELECT * FROM p8 WHERE band IN (1, 2, 4)), pq AS (SELECT quantile_cont(v, 0.02) AS p, quantile_cont(v, 0.98) AS q FROM c3),
+e AS (SELECT row, col, band, floor(least(greatest(255 * (v - p) / (q - p), 0), 255)) AS v8 FROM c3, pq),
+g AS (SELECT row, col, CAST(round(sum(v8 * CASE band WHEN 1 THEN 0.299::DOUBLE WHEN 2 THEN 0.587::DOUBLE ELSE 0.114::DOUBLE END)) AS INTEGER) AS g FROM e GROUP BY 1, 2),
+h AS (SELECT g, count(*) AS c FROM g GROUP BY 1), k AS (SELECT g, sum(c) OVER (ORDER BY g) AS cdf FROM h), t AS (SELECT min(cdf) AS lo, max(cdf) AS n FROM k)
+SELECT row, col, g, CAST(CASE WHEN n = lo THEN g ELSE round_even((cdf - lo) / (n - lo)::DOUBLE * 255, 0) END AS INTEGER) AS equalized FROM g JOIN k USING (g), t""")
 def to_image_hist(spark: SparkSession, d: str) -> DataFrame:
-    return raster.to_image(raster.select_bands(X.px8(spark, d), [1, 2, 4], 8), "hist")
+    return raster.to_image(raster.select_bands(X.px8(spark, d), [1, 2, 4], 8), "hist").select("row", "col", "g", "equalized")
 
 
 @query()
@@ -170,9 +185,12 @@ def laplacian_sharpness(spark: SparkSession, d: str) -> DataFrame:
     return r6(neighbours.sharpness(X.px1(spark, d), 5), "sharpness").select("row", "col", "sharpness")
 
 
-@query(f"""WITH {X.PX}, {_DIMS}, k AS (SELECT i, exp(-0.5 * i * i) / (SELECT sum(exp(-0.5 * j * j)) FROM range(-4, 5) t(j)) AS w FROM range(-4, 5) r(i)),
-t AS (SELECT p.row, p.col, a.w * b.w AS wt, {X.sql_reflect("p.row + a.i", "h", True)} AS r2, {X.sql_reflect("p.col + b.i", "w", True).replace("w -", "dim.w -").replace(">= w", ">= dim.w").replace("2 * w", "2 * dim.w")} AS c2 FROM px p, k a, k b, dim)
-SELECT t.row, t.col, round(sum(wt * p.v), 6) + 0.0 AS v FROM t JOIN px p ON p.row = r2 AND p.col = c2 GROUP BY 1, 2""")
+_GAUSS = f"""kw AS (SELECT i, exp(-0.5 * i * i) / (SELECT sum(exp(-0.5 * j * j)) FROM range(-4, 5) t(j)) AS g FROM range(-4, 5) r(i)),
+gt AS (SELECT p.row, p.col, a.g * b.g AS wt, {X.sql_reflect("p.row + a.i", "h", True)} AS r2, {X.sql_reflect("p.col + b.i", "w", True)} AS c2 FROM px p, kw a, kw b, dim),
+gs AS (SELECT t.row, t.col, sum(wt * p.v) AS v FROM gt t JOIN px p ON p.row = r2 AND p.col = c2 GROUP BY 1, 2)"""
+
+
+@query(f"WITH {X.PX}, {_DIMS}, {_GAUSS} SELECT row, col, round(v, 6) + 0.0 AS v FROM gs")
 def gaussian_smooth(spark: SparkSession, d: str) -> DataFrame:
     return r6(neighbours.gaussian(X.px1(spark, d), 1.0), "v").select("row", "col", "v")
 
@@ -567,9 +585,12 @@ def ball_clusters(spark: SparkSession, d: str) -> DataFrame:
     return seeds.ball_clusters(X.seeds(spark, d), 0.1, 0.3, 0.6).select("id", "cluster1")
 
 
-@query()
+@query(f"""WITH {X.PX}, {_DIMS}, {_GAUSS}, a AS (SELECT *, max(v) OVER {_MAX_W.format(a="row", b="col")} AS m FROM gs), b AS (SELECT *, max(m) OVER {_MAX_W.format(a="col", b="row")} AS m2 FROM a)
+SELECT row, col, CAST(0.5 * (col + 0.5) + 200000 AS DOUBLE) AS x, CAST(-0.5 * (row + 0.5) + 1000000 AS DOUBLE) AS y, round(v, 6) AS height FROM b WHERE v = m2 AND v >= 0.1""")
 def seed_peaks(spark: SparkSession, d: str) -> DataFrame:
-    return seeds.peaks(X.px1(spark, d), 0.1, 2, sigma=1.0, gt=(0.5, 0, 200000, 0, -0.5, 1000000))
+    """Peaks of the smoothed raster at cell centres."""
+    out = seeds.peaks(X.px1(spark, d), 0.1, 2, sigma=1.0, gt=(0.5, 0, 200000, 0, -0.5, 1000000))
+    return r6(out, "height").drop("raster_id")
 
 
 @query()
