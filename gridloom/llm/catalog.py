@@ -153,7 +153,38 @@ p AS (SELECT CAST(unnest([10, 50, 90]) AS INTEGER) AS pct)"""
 _GRAM = "[^ \\t\\n\\x0B\\f\\r]+"
 _WORD = "[\\p{L}\\p{N}]+"
 
+
+
+def _allocation_sql() -> str:
+    """The allocation level by level, as windows over one row for each class of a plan."""
+    leaf = "feature_class, site_id, min_rows, sample_size, target_pct"
+    tree = sampling.CLASS_TREE
+    paths = [f"CASE feature_class {' '.join(f'WHEN {k} THEN {chr(39)}{p[i]}{chr(39)}' for k, p in tree.items())} END AS t{i}" for i in range(2)]
+    steps, before = [], "l0"
+    for level in range(3):
+        parent = ", ".join(["plan_id", *[f"t{i}" for i in range(level)]])
+        own = ", ".join(["plan_id", *[f"t{i}" for i in range(min(level + 1, 2))], *([leaf] if level == 2 else [])])
+        n = f"s{level}"
+        steps += [
+            f"{n}a AS (SELECT *, row_number() OVER (PARTITION BY {own} ORDER BY {leaf}) = 1 AS f, sum(available) OVER (PARTITION BY {own}) AS cap, least(sum(quota) OVER (PARTITION BY {own}), sum(available) OVER (PARTITION BY {own})) AS base FROM {before})",
+            f"{n}b AS (SELECT *, CASE WHEN f THEN cap - base ELSE 0 END AS spare, g - sum(CASE WHEN f THEN base ELSE 0 END) OVER (PARTITION BY {parent}) AS extra FROM {n}a)",
+            f"{n}c AS (SELECT *, sum(spare) OVER (PARTITION BY {parent}) AS spares FROM {n}b)",
+            f"{n}d AS (SELECT *, CASE WHEN spares > 0 THEN extra * spare // spares ELSE 0 END AS part, CASE WHEN spares > 0 THEN extra * spare % spares ELSE 0 END AS rem FROM {n}c)",
+            f"{n}e AS (SELECT *, row_number() OVER (PARTITION BY {parent} ORDER BY rem DESC, {leaf}) AS rk, extra - sum(part) OVER (PARTITION BY {parent}) AS odd FROM {n}d)",
+            f"l{level + 1} AS (SELECT plan_id, {leaf}, available, quota, short, t0, t1, base + sum(part + CASE WHEN rk <= odd AND rem > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY {own}) AS g FROM {n}e)",
+        ]
+        before = f"l{level + 1}"
+    return f"""WITH {_TRAINING}, n AS (SELECT site_id, feature_class, count(*) AS c FROM ct GROUP BY 1, 2),
+t AS (SELECT DISTINCT s.plan_id, s.site_id, s.sample_size, s.feature_class, s.target_pct, s.min_rows, coalesce(n.c, 0) AS available, CAST(s.sample_size AS BIGINT) * s.target_pct AS share FROM sampling_targets s LEFT JOIN n USING (site_id, feature_class)),
+u AS (SELECT *, sum(share % 100) OVER (PARTITION BY plan_id) // 100 AS spread, row_number() OVER (PARTITION BY plan_id ORDER BY share % 100 DESC, feature_class, site_id, min_rows) AS rr FROM t),
+q AS (SELECT *, greatest(share // 100 + CASE WHEN rr <= spread AND share % 100 > 0 THEN 1 ELSE 0 END, min_rows) AS quota, available * 100 < share OR available < min_rows AS short FROM u),
+l0 AS (SELECT *, {", ".join(paths)}, least(sum(quota) OVER (PARTITION BY plan_id), sum(available) OVER (PARTITION BY plan_id)) AS g FROM q),
+{", ".join(steps)}
+SELECT plan_id, site_id, sample_size, feature_class, target_pct, min_rows, available, CAST(quota AS BIGINT) AS quota, CAST(g AS BIGINT) AS take, short FROM {before}"""
+
+
 SQL = {
+    "p1_report": _allocation_sql(),
     "p1_found": f"""WITH {_TRAINING}, n AS (SELECT site_id, feature_class, count(*) AS c FROM ct GROUP BY 1, 2)
 SELECT DISTINCT t.plan_id, t.feature_class FROM sampling_targets t LEFT JOIN n ON n.site_id = t.site_id AND n.feature_class = t.feature_class
 WHERE coalesce(n.c, 0) * 100 < t.sample_size * t.target_pct OR coalesce(n.c, 0) < t.min_rows""",
