@@ -32,6 +32,12 @@ def test_minima_repeats_nulls_and_missing_classes(spark):
     assert len(got) == 4
 
 
+def test_empty_plans_and_populations(spark):
+    assert _alloc(spark, [], [("s", 1, 4)]) == {}
+    got = _alloc(spark, [(1, "s", 5, 1, 100, 0), (1, "s", 5, 99, 0, 2)], [])
+    assert {(k[1], r.take, r.short) for k, r in got.items()} == {(1, 0, True), (99, 0, True)}
+
+
 def test_random_allocations_are_whole(spark):
     rng = np.random.default_rng(3)
     targets, available = [], []
@@ -194,6 +200,19 @@ def test_leaks_exact_and_substituted(spark, monkeypatch):
     assert leakage.leaks(df.limit(0), items).count() == 0 and leakage.leaks(df, items.limit(0)).count() == 0
 
 
+def test_substitutions_are_tolerated():
+    rng = np.random.default_rng(12)
+    items = [(k, _words(int(rng.integers(30, 60)), 500 + k)) for k in range(300)]
+    index, found = leakage.SeedIndex(items), 0
+    for _, ws in items:
+        changed = ws[:]
+        for i in 1 + rng.choice(len(ws) - 2, len(ws) // 10, replace=False):
+            changed[i] = "other"
+        seq = np.array(index.encode(["x"] * 40 + changed + ["y"] * 40))
+        found += any(start == 40 for _, start, _ in index.hits(seq, np.array([0])))
+    assert found >= 0.97 * len(items)
+
+
 def test_longest_overlap_against_brute_force():
     rng = np.random.default_rng(8)
     for _ in range(200):
@@ -246,6 +265,16 @@ def test_shared_spans_match_brute_force(spark, hot):
     assert shared_spans.shared_spans(df.limit(0), least).count() == 0
 
 
+def test_spans_in_very_long_texts(spark):
+    rng = np.random.default_rng(13)
+    text = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    common, edge = text(400), text(399)
+    long = text(399_800) + common + text(500_000) + edge + text(10)
+    docs = [(1, long), (2, "A" + common + "B"), (3, "A" + edge + "B"), (4, text(100_000))]
+    got = {(r.doc_id, r.begin, r.end) for r in shared_spans.shared_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {(1, 399_800, 400_200), (2, 1, 401)}
+
+
 def test_anchor_slices_join_up(spark, monkeypatch):
     monkeypatch.setattr(shared_spans, "SLICE", 64)
     rng = np.random.default_rng(10)
