@@ -14,17 +14,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable shared checkpoint folder and cut its lineage.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``; unset, a temporary one on a single machine only."""
+    context = spark.sparkContext
+    if folder := context.getConf().get("spark.checkpoint.dir"):
+        return folder
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="gridloom-")
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that
-    is unset (tests on one machine) a temporary folder is made.
-    """
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the reliable shared checkpoint folder and cut its lineage."""
     context = df.sparkSession.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir")
-    jsc = context._jsc.sc()
-    if not jsc.getCheckpointDir().isDefined():
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gridloom-checkpoint-"))
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.common import numbered, table
+from gridloom.common import numbered, shared_root, table
 from gridloom.functions import crs
 from gridloom.operators import classify, cost, detect, graph, neighbours, raster, seeds, segment, spatial, zonal
 from gridloom.operators.near import outlines, points_in_outlines
@@ -206,14 +205,20 @@ def feather_alpha(spark: SparkSession, d: str) -> DataFrame:
     return r6(neighbours.feather_alpha(X.px1(spark, d).where("v > 0.25"), 3), "alpha").select("row", "col", "alpha")
 
 
-@query()
+@query(f"""WITH {X.PX}, {_DIMS}, {_V8}, kw AS (SELECT i, exp(-0.5 * (i / 1.1) * (i / 1.1)) / (SELECT sum(exp(-0.5 * (j / 1.1) * (j / 1.1))) FROM range(-2, 3) t(j)) AS g FROM range(-2, 3) r(i)),
+gt AS (SELECT p.row, p.col, a.g * b.g AS wt, {X.sql_reflect("p.row + a.i", "h", False)} AS r2, {X.sql_reflect("p.col + b.i", "w", False)} AS c2 FROM px p, kw a, kw b, dim),
+bl AS (SELECT t.row, t.col, floor(round(sum(wt * p.v8), 6)) AS blurred FROM gt t JOIN v8 p ON p.row = r2 AND p.col = c2 GROUP BY 1, 2),
+m AS (SELECT row, col FROM px WHERE v > 0.25), o AS (SELECT a.i AS dr, b.i AS dc FROM range(-3, 4) a(i), range(-3, 4) b(i) WHERE a.i * a.i + b.i * b.i < 9),
+al AS (SELECT row, col, 1 - sqrt(min(q)) / 3 AS alpha FROM (SELECT row + dr AS row, col + dc AS col, CAST(dr * dr + dc * dc AS DOUBLE) AS q FROM m, o) GROUP BY 1, 2),
+z AS (SELECT v8.row, v8.col, v8, floor(blurred * 0.2::DOUBLE) AS dark, coalesce(alpha, 0.0) AS alpha FROM v8 JOIN bl USING (row, col) LEFT JOIN al USING (row, col))
+SELECT row, col, CAST(floor(least(greatest(alpha * v8 + (1 - alpha) * dark, 0), 255)) AS INTEGER) AS blended FROM z""")
 def feather_blend(spark: SparkSession, d: str) -> DataFrame:
     px = raster.rescale_to_8bit(X.px1(spark, d))
     alpha = neighbours.feather_alpha(px.where("v > 0.25"), 3)
     blurred = neighbours.blur(px, 5, value="v8", out="blurred")
     at = ["raster_id", "row", "col"]
     j = px.join(blurred, at).join(alpha, at, "left")
-    return j.select("row", "col", raster.blend(F.col("v8"), F.floor("blurred"), F.col("v") > 0.25, F.coalesce("alpha", F.lit(0.0)), 0.2).alias("blended"))
+    return j.select("row", "col", raster.blend(F.col("v8"), F.floor(F.round("blurred", 6)), F.col("v") > 0.25, F.coalesce("alpha", F.lit(0.0)), 0.2).alias("blended"))
 
 
 _COST_PARTS = f"""{X.W8}, chm AS (SELECT row, col, b7 AS v FROM w8), {X.sql_sobel('g', 'chm', 'v')}, {X.sql_normalise('gn', 'g', 'gradient', 'grad')},
@@ -721,9 +726,8 @@ def classified_raster(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared folder; in tests a temporary one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gridloom-")
-    return f"{root.removeprefix('file://')}/gridloom-{uuid.uuid4().hex}"
+    """A new folder below the shared one."""
+    return f"{shared_root(spark).removeprefix('file://')}/gridloom-{uuid.uuid4().hex}"
 
 
 @query(f"WITH {X.PX}, {X.PX8} SELECT band, row, col, CAST(CAST(v AS FLOAT) AS DOUBLE) AS v FROM p8")
