@@ -23,7 +23,8 @@ def _allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _allocation(spark, sf_dir).where("short").select("plan_id", "feature_class").distinct()
+    """Classes that a plan takes whole and that still fall short of their target."""
+    return _allocation(spark, sf_dir).where("short and take = available").select("plan_id", "feature_class").distinct()
 
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
