@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from gridloom.common import table
 
 WIDTH = 64
+#: Rows of one raster; a plain constant as raster_id would be folded away and turn joins on it into products.
+ROWS_PER_RASTER = 1_000_000_000
+RASTER_ID = f"cast(vec_id div {ROWS_PER_RASTER} + 1 as bigint)"
 
 
 def px1(spark: SparkSession, d: str) -> DataFrame:
     """One band: raster_id, row, col, v."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("row"), F.posexplode("embedding").alias("col", "v"))
-    return e.select(F.lit(1).cast("long").alias("raster_id"), "row", "col", F.col("v").cast("double").alias("v"))
+    e = table(spark, d, "embeddings").select(F.expr(RASTER_ID).alias("raster_id"), F.col("vec_id").cast("int").alias("row"), F.posexplode("embedding").alias("col", "v"))
+    return e.select("raster_id", "row", "col", F.col("v").cast("double").alias("v"))
 
 
 def px8(spark: SparkSession, d: str) -> DataFrame:
@@ -23,7 +26,7 @@ def px8(spark: SparkSession, d: str) -> DataFrame:
 
 def wide8(spark: SparkSession, d: str) -> DataFrame:
     """Eight bands, wide: raster_id, row, col, b0..b7; straight from the arrays, without a shuffle."""
-    e = table(spark, d, "embeddings").select(F.lit(1).cast("long").alias("raster_id"), F.col("vec_id").cast("int").alias("row"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("col"))
+    e = table(spark, d, "embeddings").select(F.expr(RASTER_ID).alias("raster_id"), F.col("vec_id").cast("int").alias("row"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("col"))
     return e.select("raster_id", "row", "col", *[F.get("embedding", F.col("col") * 8 + b).cast("double").alias(f"b{b}") for b in range(8)])
 
 

@@ -422,7 +422,7 @@ UNION ALL SELECT fid, 1, CAST(row AS INTEGER), CAST(unnest(range(c0, c0 + 5)) AS
 def layer_stack(spark: SparkSession, d: str) -> DataFrame:
     f = X.zones(spark, d).select("fid", (F.col("x0") % 40).cast("int").alias("col0"), F.col("y0").cast("int").alias("row0"), F.lit('{"2,dem":"x","1,constant":"7.5"}').alias("layers"))
     f = f.withColumn("col1", F.col("col0") + 5).withColumn("row1", F.col("row0") + 6)
-    return raster.stack_layers(f, X.px1(spark, d).withColumn("layer", F.lit("dem")))
+    return raster.stack_layers(f, X.px1(spark, d).withColumn("layer", F.when(F.col("raster_id") > 0, "dem")))
 
 
 # Detection data
