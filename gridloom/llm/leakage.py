@@ -4,7 +4,8 @@ Texts become words: maximal runs of Unicode letters and digits in lower case.  F
 select some of the words of a window and ignore the others, so a substituted word at an
 ignored position leaves the hash alone.  Hashes of the test passages are looked up for every
 window of every document; around each hit the passage is laid along the document and all
-overlaps on that diagonal are measured word by word.
+overlaps on that diagonal are measured word by word.  Passages too short for the masks are
+looked up whole, by one hash for each passage length.
 """
 
 from __future__ import annotations
@@ -90,6 +91,54 @@ class SeedIndex:
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
 
+class WholeIndex:
+    """Hashes of whole passages by their number of words; words are numbered by ``vocabulary``."""
+
+    #: Any odd number: window hashes are polynomials in it modulo 2^64.
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, items: list[tuple[int, list[str]]], vocabulary: dict[str, int]) -> None:
+        self.item_ids = [i for i, _ in items]
+        self.items = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws], dtype=np.int64) for _, ws in items]
+        self.values = np.random.default_rng(12).integers(1, 2**63, len(vocabulary), dtype=np.uint64)
+        by_length: dict[int, list[int]] = {}
+        for k, item in enumerate(self.items):
+            by_length.setdefault(len(item), []).append(k)
+        self.tables = []
+        for length, ks in by_length.items():
+            first = np.zeros(len(vocabulary), bool)
+            first[[self.items[k][0] for k in ks]] = True
+            powers = self._powers(self.BASE, length)
+            hs = np.array([(self.values[self.items[k]] * powers).sum(dtype=np.uint64) for k in ks], dtype=np.uint64)
+            order = np.argsort(hs, kind="stable")
+            self.tables.append((length, first, hs[order], np.array(ks)[order]))
+
+    @staticmethod
+    def _powers(base: np.uint64, n: int) -> np.ndarray:
+        return np.cumprod(np.r_[np.uint64(1), np.full(n - 1, base)], dtype=np.uint64) if n else np.zeros(0, np.uint64)
+
+    def hits(self, seq: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(item number, word of ``seq``) wherever all words of a passage stand in a row."""
+        if not self.tables:
+            return
+        known, n = seq >= 0, len(seq)
+        unknown = np.r_[0, np.cumsum(~known)]
+        value = np.where(known, self.values[seq], np.uint64(0))
+        total = np.r_[np.uint64(0), np.cumsum(value * self._powers(self.BASE, n), dtype=np.uint64)]
+        back = self._powers(np.uint64(pow(int(self.BASE), -1, 2**64)), n)
+        for length, first, hs, ks in self.tables:
+            if n < length:
+                continue
+            at = np.flatnonzero((unknown[length:] == unknown[:-length]) & first[seq[: n - length + 1]])
+            h = (total[at + length] - total[at]) * back[at]
+            low = np.searchsorted(hs, h, "left")
+            some = np.flatnonzero(hs[np.minimum(low, len(hs) - 1)] == h)
+            for i, j, end in zip(at[some], low[some], np.searchsorted(hs, h[some], "right")):
+                for k in ks[j:end]:
+                    if (seq[i : i + length] == self.items[k]).all():
+                        yield int(k), int(i)
+
+
 def longest_run(equal: np.ndarray) -> int:
     """Length of the longest run of True."""
     edges = np.flatnonzero(np.diff(np.r_[0, equal.astype(np.int8), 0]))
@@ -109,8 +158,9 @@ def longest_overlap(equal: np.ndarray, tenths: int) -> tuple[int, int]:
     return int(length[j]), int(total[j] - total[first[j]])
 
 
-def _scan(index: SeedIndex, least: int, tenths: int):
+def _scan(index: SeedIndex, whole: WholeIndex, least: int, tenths: int):
     gap = [-1] * (max(m[-1] for m in index.masks) + 1)
+    shortest = min([min(m[-1] for m in index.masks), *map(len, whole.items)])
 
     def measure(seq: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: list[int]) -> list[tuple]:
         best: dict[tuple[int, int], list[int]] = {}
@@ -125,7 +175,8 @@ def _scan(index: SeedIndex, least: int, tenths: int):
                 own[0] = max(own[0], exact)
                 if (overlap, matches) > (own[1], own[2]):
                     own[1:] = overlap, matches
-        return [(d, index.item_ids[k], *v, len(index.items[k])) for (d, k), v in best.items()]
+        short = {(ids[np.searchsorted(starts, at, side="right") - 1], k) for k, at in whole.hits(seq)}
+        return [(d, index.item_ids[k], *v, len(index.items[k])) for (d, k), v in best.items()] + [(d, whole.item_ids[k], *[len(whole.items[k])] * 4) for d, k in short]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -138,7 +189,7 @@ def _scan(index: SeedIndex, least: int, tenths: int):
                     x.clear()
 
             for doc_id, text in zip(batch.doc_id, batch.text):
-                if len(own := index.encode(words(text))) >= min(m[-1] for m in index.masks):
+                if len(own := index.encode(words(text))) >= shortest:
                     starts.append(len(codes))
                     codes += own
                     ends.append(len(codes))
@@ -161,8 +212,9 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = 30, tenths: int =
     run without substitution, ``overlap_words`` the longest tolerant overlap (it begins and ends
     with equal words), of which ``matching_words`` are equal, out of ``passage_words``.
 
-    Every exact run of 30 words or more is found.  Passages with fewer than ``least`` words match
-    nothing; null and empty texts match nothing.  Repeated documents or items give one row.  The
+    Every exact run of 30 words or more is found.  A passage with fewer than ``least`` words is
+    found where all its words stand in a row, without substitution; then all four counts are its
+    length.  Null and empty texts, and passages without a word, match nothing.  Repeated documents or items give one row.  The
     passages are query data of their own: they go to the tasks in passes of bounded size, each
     of which reads all documents.
     """
@@ -174,7 +226,9 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = 30, tenths: int =
     results = []
     for p in range(passes):
         part = good.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(passes)) == p).orderBy("item_id", "passage").collect()
-        kept = [(r.item_id, ws) for r in part if len(ws := words(r.passage)) >= least]
-        results.append(documents.select("doc_id", "text").mapInPandas(_scan(SeedIndex(kept), least, tenths), RESULT))
+        kept = [(r.item_id, ws) for r in part if (ws := words(r.passage))]
+        index = SeedIndex([x for x in kept if len(x[1]) >= least])
+        whole = WholeIndex([x for x in kept if len(x[1]) < least], index.vocabulary)
+        results.append(documents.select("doc_id", "text").mapInPandas(_scan(index, whole, least, tenths), RESULT))
     best = F.max(F.struct("overlap_words", "matching_words", "passage_words"))
     return reduce(DataFrame.unionByName, results).groupBy("doc_id", "item_id").agg(F.max("exact_words").alias("exact_words"), best.alias("_b")).select("doc_id", "item_id", "exact_words", "_b.*")

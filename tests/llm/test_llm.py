@@ -200,6 +200,19 @@ def test_leaks_exact_and_substituted(spark, monkeypatch):
     assert leakage.leaks(df.limit(0), items).count() == 0 and leakage.leaks(df, items.limit(0)).count() == 0
 
 
+def test_short_passages_are_found_whole(spark):
+    p, q, r, other = _words(29, 21), _words(11, 22), _words(1, 23), _words(300, 24)
+    items = spark.createDataFrame([(1, " ".join(p)), (2, " ".join(q)), (3, r[0]), (4, "§ !"), (5, " ".join(_words(40, 25)))], "item_id long, passage string")
+    docs = [
+        (1, " ".join(other[:9] + p + other[9:20])),
+        (2, "§ ".join(w.upper() for w in q)),
+        (3, " ".join(other[:50] + q[:10] + ["changed"] + other[50:])),
+        (4, " ".join(p[:28])), (5, p[28] + " " + " ".join(q + r + q)), (6, " ".join(q[:6])), (7, " ".join(q[6:])), (8, None),
+    ]
+    got = {(x.doc_id, x.item_id): tuple(x)[2:] for x in leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), items).collect()}
+    assert got == {(1, 1): (29,) * 4, (2, 2): (11,) * 4, (5, 2): (11,) * 4, (5, 3): (1,) * 4}
+
+
 def test_substitutions_are_tolerated():
     rng = np.random.default_rng(12)
     items = [(k, _words(int(rng.integers(30, 60)), 500 + k)) for k in range(300)]
