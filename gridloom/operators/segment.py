@@ -19,9 +19,10 @@ def slic(px: DataFrame, bands: list[str], n_segments: int, compactness: float =
     """raster_id, row, col, label: superpixels by k-means in value and place (Achanta et al., 2012).
 
     Centres start on a grid of step S.  In each round every centre is copied to the 3 x 3 grid
-    cells around its own, pixels meet the centres of their cell, and the nearest wins; new
-    centres are map-side means.  Pixels outside a mask are simply absent, and pixels with a null
-    band get no label.  Labels are centre numbers, to be cut into connected regions.
+    cells around its own, pixels meet the centres of their cell, and the nearest wins; a pixel
+    that meets none keeps its label, at first that of its own cell.  New centres are map-side
+    means.  Pixels outside a mask are simply absent, and pixels with a null band get no label.
+    Labels are centre numbers, to be cut into connected regions.
     """
     if n_segments < 1:
         raise ValueError("n_segments must be at least 1")
@@ -30,19 +31,19 @@ def slic(px: DataFrame, bands: list[str], n_segments: int, compactness: float =
         ok = ok.where(F.col(b).isNotNull())
     step = ok.groupBy("raster_id").agg(F.greatest(F.sqrt(F.count(F.lit(1)) / n_segments), F.lit(1.0)).alias("_s"))
     grid = lambda c: F.floor(F.col(c) / F.col("_s")).cast("int")
-    ok = checkpoint(ok.join(step, "raster_id").withColumn("_gr", grid("row")).withColumn("_gc", grid("col")))
+    ok = ok.join(step, "raster_id").withColumn("_gr", grid("row")).withColumn("_gc", grid("col"))
+    labelled = checkpoint(ok.withColumn("label", F.col("_gr").cast("long") * 1_000_003 + F.col("_gc")))
     mean = [F.avg("row").alias("_r"), F.avg("col").alias("_c"), F.max("_s").alias("_s"), *[F.avg(b).alias(f"_m_{b}") for b in bands]]
-    centres = ok.groupBy("raster_id", "_gr", "_gc").agg(*mean).withColumn("label", F.col("_gr").cast("long") * 1_000_003 + F.col("_gc")).drop("_gr", "_gc")
     near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    for turn in range(iterations):
-        around = centres.withColumn("_n", near).select("raster_id", "label", "_r", "_c", *[f"_m_{b}" for b in bands], (F.floor(F.col("_r") / F.col("_s")) + F.col("_n.i")).cast("int").alias("_gr"), (F.floor(F.col("_c") / F.col("_s")) + F.col("_n.j")).cast("int").alias("_gc"))
+    for _ in range(iterations):
+        centres = labelled.groupBy("raster_id", "label").agg(*mean)
+        around = centres.withColumn("_n", near).select("raster_id", F.col("label").alias("_l"), "_r", "_c", *[f"_m_{b}" for b in bands], (F.floor(F.col("_r") / F.col("_s")) + F.col("_n.i")).cast("int").alias("_gr"), (F.floor(F.col("_c") / F.col("_s")) + F.col("_n.j")).cast("int").alias("_gc"))
         place = (F.pow(F.col("row") - F.col("_r"), 2) + F.pow(F.col("col") - F.col("_c"), 2)) * (compactness * compactness) / (F.col("_s") * F.col("_s"))
         colour = sum((F.pow(F.col(b) - F.col(f"_m_{b}"), 2) for b in bands), F.lit(0.0))
-        best = ok.join(around, ["raster_id", "_gr", "_gc"]).groupBy("raster_id", "row", "col", "_s", *bands).agg(F.min(F.struct((colour + place).alias("d"), "label")).alias("_b"))
-        labelled = best.select("raster_id", "row", "col", "_s", *bands, F.col("_b.label").alias("label"))
-        if turn % 3 == 2 or turn == iterations - 1:
-            labelled = checkpoint(labelled)
-        centres = labelled.groupBy("raster_id", "label").agg(*mean)
+        met = F.when(F.col("_l").isNotNull(), F.struct((colour + place).alias("d"), F.col("_l").alias("label")))
+        best = labelled.join(around, ["raster_id", "_gr", "_gc"], "left").groupBy("raster_id", "row", "col", "_s", "_gr", "_gc", *bands).agg(F.min(met).alias("_b"), F.max("label").alias("_l"))
+        # each round is read twice, for its centres and for the labels to keep
+        labelled = checkpoint(best.withColumn("label", F.coalesce("_b.label", "_l")).drop("_b", "_l"))
     return labelled.select("raster_id", "row", "col", "label")
 
 

@@ -157,6 +157,20 @@ def test_slic_finds_flat_rectangles(spark):
     assert segment.slic(masked, ["v"], 9, iterations=2).count() == 22 * 20
 
 
+def test_slic_labels_pixels_that_no_centre_reaches(spark):
+    # step 10: the two pixels between join one side each, whose centres then move two cells away
+    a = np.full((10, 70), np.nan)
+    a[5, 35], a[5, 45], a[1:9, 54:57], a[1:9, 51:54] = 0, 0, 0, 1000
+    a[5, 34], a[5, 25], a[1:9, 14:17], a[1:9, 17:20] = 100, 100, 100, 1000
+    px = pixels(spark, a).where("v is not null")
+    assert px.count() == 100
+    out = segment.slic(px, ["v"], 1, compactness=0.1, iterations=3)
+    assert out.count() == 100
+    lab = dense(out, a.shape, "label")
+    assert lab[5, 35] == lab[5, 45] == lab[1, 54] and lab[5, 34] == lab[5, 25] == lab[1, 14]
+    assert len(np.unique(lab[~np.isnan(lab)])) == 4
+
+
 def test_quickshift_and_tiled_cover_all_pixels(spark):
     rng = np.random.default_rng(3)
     a = np.kron([[0.0, 50], [100, 150]], np.ones((20, 20))) + rng.random((40, 40))
