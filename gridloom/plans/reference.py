@@ -722,6 +722,13 @@ def classified_raster(spark: SparkSession, d: str) -> DataFrame:
     return classify.classified_raster(X.segments(spark, d), c).select("row", "col", "v")
 
 
+@query(f"WITH {X.PX}, {X.SEG} SELECT row, col, CAST(embeddings.label AS DOUBLE) AS v FROM seg LEFT JOIN embeddings ON vec_id = segment_id")
+def classified_raster_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the predictions of all segments."""
+    c = X.features(spark, d).select("segment_id", F.col("feature_class").alias("predicted_class"))
+    return classify.classified_raster(X.segments(spark, d), c).select("row", "col", "v")
+
+
 # Sources and sinks
 
 

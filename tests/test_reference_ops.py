@@ -157,6 +157,18 @@ def test_slic_finds_flat_rectangles(spark):
     assert segment.slic(masked, ["v"], 9, iterations=2).count() == 22 * 20
 
 
+def test_classified_raster_has_all_segments(spark, tmp_path):
+    from gridloom.plans.reference import QUERIES
+
+    labels = spark.createDataFrame([(7, 1, 0, 0), (7, 1, 0, 1), (8, 1, 1, 0)], "segment_id long, raster_id long, row int, col int")
+    got = classify.classified_raster(labels, spark.createDataFrame([(7, 3), (9, 4)], "segment_id long, predicted_class int")).collect()
+    assert {(r.row, r.col, r.v) for r in got} == {(0, 0, 3.0), (0, 1, 3.0), (1, 0, None)}
+    rows = spark.range(400).select(F.col("id").alias("vec_id"), F.array_repeat(F.lit(0.5).cast("float"), 64).alias("embedding"), (F.col("id") % 5).cast("int").alias("label"))
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    out = QUERIES["classified_raster_whole"](spark, str(tmp_path)).collect()
+    assert len(out) == 400 * 64 and all(r.v == (r.row // 20 * 8 + r.col // 8) % 5 for r in out)
+
+
 def test_slic_labels_pixels_that_no_centre_reaches(spark):
     # step 10: the two pixels between join one side each, whose centres then move two cells away
     a = np.full((10, 70), np.nan)
