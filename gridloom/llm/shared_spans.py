@@ -280,3 +280,19 @@ def shared_shares(documents: DataFrame, spans: DataFrame) -> DataFrame:
     lengths = documents.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"))
     shared = F.coalesce(F.col("shared_chars"), F.lit(0))
     return lengths.join(covered, "doc_id", "left").select("doc_id", "n_chars", shared.alias("shared_chars"), F.when(F.col("n_chars") > 0, shared / F.col("n_chars")).otherwise(0.0).alias("share"))
+
+
+def without_spans(documents: DataFrame, spans: DataFrame) -> DataFrame:
+    """The documents, each text without its spans; all copies of a shared stretch go.
+
+    Overlapping spans are merged first.  Texts without a span, null texts included, stay as they are.
+    """
+    order = Window.partitionBy("doc_id").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.max("end").over(order), F.lit(0))
+    gaps = spans.distinct().withColumn("_from", before).groupBy("doc_id").agg(
+        F.sort_array(F.collect_list(F.when(F.col("begin") > F.col("_from"), F.struct(F.col("_from").cast("int").alias("a"), F.col("begin").cast("int").alias("b"))))).alias("_gaps"),
+        F.max("end").cast("int").alias("_last"),
+    )
+    kept = F.expr("concat(array_join(transform(_gaps, g -> substring(text, g.a + 1, g.b - g.a)), ''), substring(text, _last + 1))")
+    out = documents.join(gaps, "doc_id", "left").withColumn("text", F.when(F.col("_last").isNull(), F.col("text")).otherwise(kept))
+    return out.select(documents.columns)

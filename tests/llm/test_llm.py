@@ -278,6 +278,19 @@ def test_shared_spans_match_brute_force(spark, hot):
     assert shared_spans.shared_spans(df.limit(0), least).count() == 0
 
 
+def test_shared_spans_are_taken_out(spark):
+    texts = {1: "0123456789é\U0001f600bcdef", 2: "unique", 3: None, 4: "", 5: "whole", 6: "abcdef"}
+    df = spark.createDataFrame([(d, t, "x") for d, t in [*texts.items(), (2, "unique")]] + [(None, "no id", "x")], "doc_id long, text string, tag string")
+    spans = [(1, 0, 2), (1, 4, 7), (1, 5, 9), (1, 5, 6), (1, 5, 6), (1, 9, 10), (1, 11, 12), (5, 0, 5), (6, 3, 6)]
+    out = shared_spans.without_spans(df, spark.createDataFrame(spans, "doc_id long, begin long, end long"))
+    assert out.columns == df.columns
+    want = [(1, "23ébcdef", "x"), (2, "unique", "x"), (2, "unique", "x"), (3, None, "x"), (4, "", "x"), (5, "", "x"), (6, "abc", "x"), (None, "no id", "x")]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    a = "".join(map(chr, np.random.default_rng(14).integers(97, 123, 500)))
+    docs = spark.createDataFrame([(1, "A" + a + "B"), (2, "C" + a), (3, a[:399])], "doc_id long, text string")
+    assert {tuple(r) for r in shared_spans.without_spans(docs, shared_spans.shared_spans(docs)).collect()} == {(1, "AB"), (2, "C"), (3, a[:399])}
+
+
 def test_spans_in_very_long_texts(spark):
     rng = np.random.default_rng(13)
     text = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
