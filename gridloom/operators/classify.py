@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from gridloom.common import ranked
 
+#: Features up to which Shapley values go over all subsets (2^8 predictions of a row).
+EXACT_FEATURES = 8
+
 
 def split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """``is_test``: exactly ceil(test_size * n) rows, the first in a seeded hash order of the key."""
@@ -154,20 +157,33 @@ def forest_votes(model) -> Callable[[np.ndarray], np.ndarray]:
 
 
 def shapley_values(df: DataFrame, key: str, features: list[str], predict_fn: Callable[[np.ndarray], np.ndarray], background: list[float], permutations: int = 16, seed: int = 42) -> DataFrame:
-    """key, class_no, feature, value: sampled Shapley attributions against a background row.
+    """key, class_no, feature, value: Shapley attributions against a background row.
 
-    Over each permutation the attributions of a row add up exactly to f(row) - f(background).
+    Exact, over all subsets, for up to ``EXACT_FEATURES`` features; sampled over ``permutations``
+    random orders above.  In either case the attributions of a row add up to f(row) - f(background).
     """
     k = len(features)
 
+    def exact(x: np.ndarray) -> np.ndarray:
+        ground, total = np.asarray(background, float), None
+        for subset in range(2**k):
+            inside = [bool(subset >> f & 1) for f in range(k)]
+            value = predict_fn(np.where(inside, x, ground))
+            total = np.zeros((len(x), value.shape[1], k)) if total is None else total
+            size = sum(inside)
+            for f in range(k):
+                others = size - inside[f]
+                total[:, :, f] += (1 if inside[f] else -1) * value / (k * math.comb(k - 1, others))
+        return total
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rng = np.random.default_rng(seed)
-        orders = [rng.permutation(k) for _ in range(permutations)]
+        orders = [] if k <= EXACT_FEATURES else [rng.permutation(k) for _ in range(permutations)]
         for batch in batches:
             x = batch[features].to_numpy(float)
             if not len(x):
                 continue
-            total = None
+            total = exact(x) if k <= EXACT_FEATURES else None
             for order in orders:
                 at = np.tile(np.asarray(background, float), (len(x), 1))
                 before = predict_fn(at)
@@ -177,7 +193,7 @@ def shapley_values(df: DataFrame, key: str, features: list[str], predict_fn: Cal
                     after = predict_fn(at)
                     total[:, :, f] += after - before
                     before = after
-            total /= permutations
+            total /= len(orders) or 1
             n, c, _ = total.shape
             yield pd.DataFrame({key: np.repeat(batch[key].to_numpy(), c * k), "class_no": np.tile(np.repeat(np.arange(c), k), n), "feature": np.tile(np.array(features), n * c), "value": total.ravel()})
 

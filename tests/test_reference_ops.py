@@ -157,6 +157,15 @@ def test_slic_finds_flat_rectangles(spark):
     assert segment.slic(masked, ["v"], 9, iterations=2).count() == 22 * 20
 
 
+def test_shapley_values_of_few_features_are_exact(spark):
+    df = spark.createDataFrame([(1, 2.0, 3.0, 5.0, 7.0)], "segment_id long, f0 double, f1 double, f2 double, f3 double")
+    product = lambda x: np.stack([x[:, 0] * x[:, 1] * x[:, 2], x[:, 3] - x[:, 0]], axis=1)
+    for seed in (1, 2):
+        got = {(r.class_no, r.feature): r.value for r in classify.shapley_values(df, "segment_id", ["f0", "f1", "f2", "f3"], product, [0.0] * 4, 4, seed).collect()}
+        want = {(0, "f0"): 10, (0, "f1"): 10, (0, "f2"): 10, (0, "f3"): 0, (1, "f0"): -2, (1, "f1"): 0, (1, "f2"): 0, (1, "f3"): 7}
+        assert got == pytest.approx(want)
+
+
 def test_classified_raster_has_all_segments(spark, tmp_path):
     from gridloom.plans.reference import QUERIES
 
