@@ -184,7 +184,25 @@ l0 AS (SELECT *, {", ".join(paths)}, least(sum(quota) OVER (PARTITION BY plan_id
 SELECT plan_id, site_id, sample_size, feature_class, target_pct, min_rows, available, CAST(quota AS BIGINT) AS quota, CAST(g AS BIGINT) AS take, short FROM {before}"""
 
 
+#: An overlap of 30 words with nine tenths of them equal has 7 equal words in a row, which gives its diagonal.
+_LEAKS = f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents WHERE text IS NOT NULL),
+e AS (SELECT DISTINCT item_id, w, len(w) AS n FROM (SELECT item_id, regexp_extract_all(lower(passage), '{_WORD}') AS w FROM eval_items WHERE passage IS NOT NULL)),
+dg AS (SELECT doc_id, i, array_to_string(w[i : i + 6], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 5)) AS i FROM d WHERE len(w) >= 30)),
+eg AS (SELECT item_id, w, i, array_to_string(w[i : i + 6], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 5)) AS i FROM e WHERE n >= 30)),
+dd AS (SELECT DISTINCT doc_id, item_id, eg.w, dg.i - eg.i AS s FROM dg JOIN eg USING (g)),
+ew AS (SELECT doc_id, item_id, s, w, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x, len(w) AS n FROM dd),
+dw AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS q, unnest(w) AS x FROM d),
+eq AS (SELECT ew.doc_id, item_id, s, n, ew.w, p, row_number() OVER (PARTITION BY ew.doc_id, item_id, s, ew.w ORDER BY p) AS r FROM ew JOIN dw ON dw.doc_id = ew.doc_id AND dw.q = ew.p + ew.s AND dw.x = ew.x),
+ov AS (SELECT a.doc_id, a.item_id, a.s, a.w, max(struct_pack(overlap := b.p - a.p + 1, matching := b.r - a.r + 1, n := a.n)) AS best FROM eq a JOIN eq b USING (doc_id, item_id, s, w) WHERE b.p - a.p >= 29 AND 10 * (b.r - a.r + 1) >= 9 * (b.p - a.p + 1) GROUP BY ALL),
+rn AS (SELECT doc_id, item_id, s, w, max(c) AS run FROM (SELECT doc_id, item_id, s, w, p - r AS island, count(*) AS c FROM eq GROUP BY ALL) GROUP BY ALL),
+al AS (SELECT doc_id, item_id, run, best FROM ov JOIN rn USING (doc_id, item_id, s, w)
+ UNION ALL SELECT d.doc_id, e.item_id, n, struct_pack(overlap := n, matching := n, n := n) FROM d JOIN e ON n BETWEEN 1 AND 29 AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(e.w, ' ') || ' ')),
+mx AS (SELECT doc_id, item_id, max(run) AS run, max(best) AS best FROM al GROUP BY 1, 2)
+SELECT doc_id, item_id, CAST(run AS INTEGER) AS exact_words, CAST(best.overlap AS INTEGER) AS overlap_words, CAST(best.matching AS INTEGER) AS matching_words, CAST(best.n AS INTEGER) AS passage_words FROM mx"""
+
+
 SQL = {
+    "p7_leaks": _LEAKS,
     "p1_report": _allocation_sql(),
     "p1_found": f"""WITH {_TRAINING}, n AS (SELECT site_id, feature_class, count(*) AS c FROM ct GROUP BY 1, 2)
 SELECT DISTINCT t.plan_id, t.feature_class FROM sampling_targets t LEFT JOIN n ON n.site_id = t.site_id AND n.feature_class = t.feature_class

@@ -1,144 +1,131 @@
 """Evaluation texts that leak into training text, by spaced-seed hashing (problem 7).
 
-Texts become words: maximal runs of Unicode letters and digits in lower case.  Fixed masks
-select some of the words of a window and ignore the others, so a substituted word at an
-ignored position leaves the hash alone.  Hashes of the test passages are looked up for every
-window of every document; around each hit the passage is laid along the document and all
-overlaps on that diagonal are measured word by word.  Passages too short for the masks are
-looked up whole, by one hash for each passage length.
+Texts become words: maximal runs of Unicode letters and digits in lower case, each a 64-bit
+hash.  Fixed masks select some of the words of a window and ignore the others, so a substituted
+word at an ignored position leaves the window's hash alone.  Hashes of test passages and of all
+windows of the documents are joined; on the diagonal of each hit the passage is laid along the
+document and compared word by word, with substitutions.
+
+The two masks find every overlap of 30 words or more of which nine tenths are equal: no choice of
+up to 3 substituted words in 30, 4 in 40 or 5 in 50 leaves no window of either mask untouched
+(gone through completely in the tests), and a longer overlap can be cut into parts of 30 to 59
+words, one of which has no more than its tenth.  Passages too short for the masks are hashed by
+their first 1, 2, 4, 8 or 16 words and must stand whole.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Selected word positions of a window.  All spans are below the shortest reported overlap (30
-#: words), so an exact overlap has at least six windows of each mask.
-MASKS = ((0, 1, 2, 4, 7, 9, 12, 13, 15, 16, 18, 19), (0, 1, 3, 5, 8, 9, 11, 14, 17, 18, 20, 21), (0, 2, 3, 6, 7, 10, 11, 13, 17, 19, 20, 23))
+#: Selected word positions of a window.
+MASKS = ((0, 1, 2, 3, 7, 11, 13, 14, 15, 16), (0, 1, 2, 4, 5, 7, 9, 12, 14, 18))
+#: Numbers of leading words by which short passages are hashed.
+PREFIXES = (1, 2, 4, 8, 16)
 WORD = re.compile(r"[^\W_]+")
-#: Test passages sent to the tasks at once, and the most characters in them; further ones go in further passes.
-ITEMS_PER_PASS, CHARS_PER_PASS = 5_000, 16_000_000
-#: Words handled at once in a task.
-WORDS_AT_ONCE = 400_000
+#: Characters of test passages up to which their hashes are broadcast; beyond, both sides are shuffled by hash.
+BROADCAST_CHARS = 4_000_000
+#: Words handled at once in a task, words compared at once, word hashes remembered, diagonals verified at once.
+WORDS_AT_ONCE, COMPARED_AT_ONCE, REMEMBERED, DIAGONALS_AT_ONCE = 400_000, 4_000_000, 1_000_000, 500
 
 RESULT = "doc_id long, item_id long, exact_words int, overlap_words int, matching_words int, passage_words int"
+_COLUMNS = [c.split()[0] for c in RESULT.split(", ")]
+_FACTORS = np.random.default_rng(11).integers(1, 2**63, (len(MASKS) + len(PREFIXES), 20), dtype=np.uint64) | np.uint64(1)
+_ALL = (*MASKS, *(tuple(range(n)) for n in PREFIXES))
+
+
+class _WordHashes(dict):
+    """Word -> 64-bit hash, never 0; a bounded number is remembered."""
+
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh64_intdigest(word) or 1
+        if len(self) < REMEMBERED:
+            self[word] = h
+        return h
+
+
+_hashes = _WordHashes()
 
 
 def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-class SeedIndex:
-    """Spaced-seed hashes of some passages, with the words behind them."""
-
-    def __init__(self, items: list[tuple[int, list[str]]], masks: tuple[tuple[int, ...], ...] = MASKS) -> None:
-        self.masks, self.vocabulary = masks, {}
-        self.item_ids = [i for i, _ in items]
-        self.items = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in ws], dtype=np.int64) for _, ws in items]
-        rng = np.random.default_rng(11)
-        self.factors = [rng.integers(1, 2**63, len(m), dtype=np.uint64) | np.uint64(1) for m in masks]
-        self.tables = []
-        for m, mask in enumerate(masks):
-            h, where = [], []
-            for k, seq in enumerate(self.items):
-                at = np.arange(len(seq) - mask[-1])
-                if len(at):
-                    h.append(self._hash(seq, at, m))
-                    where.append(np.stack([np.full(len(at), k), at], axis=1))
-            hs = np.concatenate(h) if h else np.zeros(0, np.uint64)
-            ws = np.concatenate(where) if where else np.zeros((0, 2), np.int64)
-            order = np.argsort(hs, kind="stable")
-            self.tables.append((hs[order], ws[order]))
-
-    def _hash(self, seq: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
-        h = np.zeros(len(at), np.uint64)
-        for offset, factor in zip(self.masks[m], self.factors[m]):
-            h = (h ^ seq[at + offset].astype(np.uint64)) * factor
-            h ^= h >> np.uint64(29)
-        return h
+def word_hashes(text: str | None) -> np.ndarray:
+    found = words(text)
+    return np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
+
+
+def window_hashes(seq: np.ndarray, m: int) -> np.ndarray:
+    """Hash of the window at each place for mask or prefix number ``m``."""
+    mask = _ALL[m]
+    n = max(0, len(seq) - mask[-1])
+    h = np.zeros(n, np.uint64)
+    for offset, factor in zip(mask, _FACTORS[m]):
+        h += seq[offset : n + offset] * factor
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+class Passages:
+    """Test passages as word hashes one after another; ``least`` parts long ones from short ones."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], least: int) -> None:
+        self.ids, self.least = [i for i, _ in items], least
+        self.size = np.array([len(s) for _, s in items], dtype=np.int64)
+        self.first = np.r_[0, np.cumsum(self.size)][:-1].astype(np.int64)
+        self.flat = np.concatenate([s for _, s in items]) if items else np.zeros(0, np.uint64)
+
+    def seeds(self) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(mask number, hashes, passage numbers, places in the passage) of each mask in use."""
+        out: dict[int, list] = {}
+        for k, (a, n) in enumerate(zip(self.first, self.size)):
+            seq = self.flat[a : a + n]
+            if n >= self.least:
+                for m in range(len(MASKS)):
+                    h = window_hashes(seq, m)
+                    out.setdefault(m, []).append((h, np.full(len(h), k), np.arange(len(h))))
+            elif n:
+                m = len(MASKS) + max(i for i, p in enumerate(PREFIXES) if p <= n)
+                out.setdefault(m, []).append((window_hashes(seq, m)[:1], np.array([k]), np.array([0])))
+        return [(m, *(np.concatenate(c) for c in zip(*parts))) for m, parts in sorted(out.items())]
+
 
-    def encode(self, ws: list[str]) -> list[int]:
-        return list(map(self.vocabulary.get, ws, repeat(-1)))
-
-    def hits(self, seq: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Distinct (item number, word of ``seq`` where the passage's first word would be, document number)."""
-        known, out = seq >= 0, []
-        for m, mask in enumerate(self.masks):
-            hs, where = self.tables[m]
-            n = len(seq) - mask[-1]
-            if n <= 0 or not len(hs):
-                continue
-            live = known[:n].copy()
-            for offset in mask[1:]:
-                live &= known[offset : n + offset]
-            at = np.flatnonzero(live)
-            h = self._hash(seq, at, m)
-            low = np.searchsorted(hs, h, "left")
-            some = np.flatnonzero(hs[np.minimum(low, len(hs) - 1)] == h)
-            low, at, h = low[some], at[some], h[some]
-            count = np.searchsorted(hs, h, "right") - low
+class SeedIndex:
+    """The seeds of passages sorted by hash, behind a bit table that keeps most windows out."""
+
+    BITS = 22
+
+    def __init__(self, passages: Passages) -> None:
+        self.passages, self.tables = passages, []
+        for m, h, k, at in passages.seeds():
+            order = np.argsort(h, kind="stable")
+            some = np.zeros(1 << self.BITS, bool)
+            some[(h & np.uint64((1 << self.BITS) - 1)).astype(np.int64)] = True
+            self.tables.append((m, h[order], k[order], at[order], some))
+
+    def hits(self, seq: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Distinct rows (passage number, place in ``seq`` of the passage's first word, text number)."""
+        out = []
+        for m, hs, ks, places, some in self.tables:
+            h = window_hashes(seq, m)
+            at = np.flatnonzero(some[(h & np.uint64((1 << self.BITS) - 1)).astype(np.int64)])
+            low = np.searchsorted(hs, h[at], "left")
+            count = np.searchsorted(hs, h[at], "right") - low
             entry = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            at = np.repeat(at, count)
-            out.append(np.stack([where[entry, 0], at - where[entry, 1], np.searchsorted(starts, at, side="right") - 1], axis=1))
+            own = np.minimum(np.searchsorted(ends, at, side="right"), len(ends) - 1)
+            out.append(np.stack([ks[entry], np.repeat(at, count) - places[entry], np.repeat(own, count)], axis=1))
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
 
-class WholeIndex:
-    """Hashes of whole passages by their number of words; words are numbered by ``vocabulary``."""
-
-    #: Any odd number: window hashes are polynomials in it modulo 2^64.
-    BASE = np.uint64(0x9E3779B97F4A7C15)
-
-    def __init__(self, items: list[tuple[int, list[str]]], vocabulary: dict[str, int]) -> None:
-        self.item_ids = [i for i, _ in items]
-        self.items = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws], dtype=np.int64) for _, ws in items]
-        self.values = np.random.default_rng(12).integers(1, 2**63, len(vocabulary), dtype=np.uint64)
-        by_length: dict[int, list[int]] = {}
-        for k, item in enumerate(self.items):
-            by_length.setdefault(len(item), []).append(k)
-        self.tables = []
-        for length, ks in by_length.items():
-            first = np.zeros(len(vocabulary), bool)
-            first[[self.items[k][0] for k in ks]] = True
-            powers = self._powers(self.BASE, length)
-            hs = np.array([(self.values[self.items[k]] * powers).sum(dtype=np.uint64) for k in ks], dtype=np.uint64)
-            order = np.argsort(hs, kind="stable")
-            self.tables.append((length, first, hs[order], np.array(ks)[order]))
-
-    @staticmethod
-    def _powers(base: np.uint64, n: int) -> np.ndarray:
-        return np.cumprod(np.r_[np.uint64(1), np.full(n - 1, base)], dtype=np.uint64) if n else np.zeros(0, np.uint64)
-
-    def hits(self, seq: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(item number, word of ``seq``) wherever all words of a passage stand in a row."""
-        if not self.tables:
-            return
-        known, n = seq >= 0, len(seq)
-        unknown = np.r_[0, np.cumsum(~known)]
-        value = np.where(known, self.values[seq], np.uint64(0))
-        total = np.r_[np.uint64(0), np.cumsum(value * self._powers(self.BASE, n), dtype=np.uint64)]
-        back = self._powers(np.uint64(pow(int(self.BASE), -1, 2**64)), n)
-        for length, first, hs, ks in self.tables:
-            if n < length:
-                continue
-            at = np.flatnonzero((unknown[length:] == unknown[:-length]) & first[seq[: n - length + 1]])
-            h = (total[at + length] - total[at]) * back[at]
-            low = np.searchsorted(hs, h, "left")
-            some = np.flatnonzero(hs[np.minimum(low, len(hs) - 1)] == h)
-            for i, j, end in zip(at[some], low[some], np.searchsorted(hs, h[some], "right")):
-                for k in ks[j:end]:
-                    if (seq[i : i + length] == self.items[k]).all():
-                        yield int(k), int(i)
-
-
 def longest_run(equal: np.ndarray) -> int:
     """Length of the longest run of True."""
     edges = np.flatnonzero(np.diff(np.r_[0, equal.astype(np.int8), 0]))
@@ -146,7 +133,7 @@ def longest_run(equal: np.ndarray) -> int:
 
 
 def longest_overlap(equal: np.ndarray, tenths: int) -> tuple[int, int]:
-    """(length, matches) of the longest stretch that begins and ends True and has at least tenths / 10 True."""
+    """(length, matches) of the longest stretch that begins and ends True and has at least tenths / 10 True; most matches of several."""
     if not equal.any():
         return 0, 0
     total = np.r_[0, np.cumsum(equal)]
@@ -154,53 +141,125 @@ def longest_overlap(equal: np.ndarray, tenths: int) -> tuple[int, int]:
     starts = np.where(np.r_[equal, False], t, np.iinfo(np.int64).max)
     first = np.searchsorted(-np.minimum.accumulate(starts), -t, side="left")  # the leftmost start not above
     length = np.where(np.r_[False, equal], np.arange(len(t)) - first, 0)
-    j = int(length.argmax())
-    return int(length[j]), int(total[j] - total[first[j]])
-
-
-def _scan(index: SeedIndex, whole: WholeIndex, least: int, tenths: int):
-    gap = [-1] * (max(m[-1] for m in index.masks) + 1)
-    shortest = min([min(m[-1] for m in index.masks), *map(len, whole.items)])
-
-    def measure(seq: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: list[int]) -> list[tuple]:
-        best: dict[tuple[int, int], list[int]] = {}
-        for k, start, doc in index.hits(seq, starts):
-            item = index.items[k]
-            low, high = max(start, starts[doc]), min(start + len(item), ends[doc])
-            equal = np.zeros(len(item), bool)
-            equal[low - start : high - start] = seq[low:high] == item[low - start : high - start]
-            exact, (overlap, matches) = longest_run(equal), longest_overlap(equal, tenths)
-            if max(exact, overlap) >= least:
-                own = best.setdefault((ids[doc], k), [0, 0, 0])
-                own[0] = max(own[0], exact)
-                if (overlap, matches) > (own[1], own[2]):
-                    own[1:] = overlap, matches
-        short = {(ids[np.searchsorted(starts, at, side="right") - 1], k) for k, at in whole.hits(seq)}
-        return [(d, index.item_ids[k], *v, len(index.items[k])) for (d, k), v in best.items()] + [(d, whole.item_ids[k], *[len(whole.items[k])] * 4) for d, k in short]
+    best = length.max()
+    ends = np.flatnonzero(length == best)
+    return int(best), int((total[ends] - total[first[ends]]).max())
+
+
+def measure(seq: np.ndarray, starts: np.ndarray, ends: np.ndarray, passages: Passages, hits: np.ndarray, tenths: int) -> Iterator[tuple]:
+    """(text number, passage number, exact, overlap, matches) of the hits that hold.
+
+    ``seq`` holds texts at [starts, ends).  All diagonals are compared in one go; only those with
+    enough equal words, hardly more than there are results, are looked at singly.
+    """
+    needed = np.where(passages.size >= passages.least, -(-passages.least * tenths // 10), passages.size)
+    own = hits[:, 2]
+    sizes = passages.size[hits[:, 0]]
+    cut = np.r_[0, np.cumsum(sizes)]
+    a = 0
+    while a < len(hits):
+        b = max(a + 1, int(np.searchsorted(cut, cut[a] + COMPARED_AT_ONCE, side="right")) - 1)
+        n = sizes[a:b]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        place = np.repeat(hits[a:b, 1], n) + inside
+        low, high = np.repeat(starts[own[a:b]], n), np.repeat(ends[own[a:b]], n)
+        equal = (place >= low) & (place < high)
+        equal &= seq[np.clip(place, 0, len(seq) - 1)] == passages.flat[np.repeat(passages.first[hits[a:b, 0]], n) + inside]
+        ahead = np.r_[0, np.cumsum(n)]
+        same = np.r_[0, np.cumsum(equal)]
+        for i in np.flatnonzero(same[ahead[1:]] - same[ahead[:-1]] >= needed[hits[a:b, 0]]):
+            part, k = equal[ahead[i] : ahead[i + 1]], int(hits[a + i, 0])
+            if passages.size[k] < passages.least:
+                yield int(own[a + i]), k, len(part), len(part), len(part)
+            else:
+                exact, (overlap, matches) = longest_run(part), longest_overlap(part, tenths)
+                if overlap >= passages.least:
+                    yield int(own[a + i]), k, exact, overlap, matches
+        a = b
+
+
+def _joined_texts(batch: pd.DataFrame) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, word hashes of texts parted by a 0, starts, ends), many texts at a time."""
+    ids, parts, size = [], [], 0
+    gap = np.zeros(1, np.uint64)
+
+    def flush() -> tuple:
+        lengths = np.array([len(p) for p in parts[::2]], dtype=np.int64)
+        starts = np.r_[0, np.cumsum(lengths + 1)[:-1]].astype(np.int64)
+        return ids, np.concatenate(parts), starts, starts + lengths
+
+    for doc_id, text in zip(batch.doc_id, batch.text):
+        own = word_hashes(text)
+        if len(own):
+            ids.append(doc_id)
+            parts += [own, gap]
+            size += len(own)
+        if size > WORDS_AT_ONCE:
+            yield flush()
+            ids, parts, size = [], [], 0
+    if parts:
+        yield flush()
+
+
+def _frame(found: list[tuple], ids: list, passages: Passages) -> pd.DataFrame:
+    return pd.DataFrame([(ids[d], passages.ids[k], exact, overlap, matches, int(passages.size[k])) for d, k, exact, overlap, matches in found], columns=_COLUMNS)
+
+
+def _by_broadcast(documents: DataFrame, items: DataFrame, least: int, tenths: int) -> DataFrame:
+    passages = Passages([(r.item_id, word_hashes(r.passage)) for r in items.orderBy("item_id", "passage").collect()], least)
+    shared = documents.sparkSession.sparkContext.broadcast(SeedIndex(passages))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = shared.value
+        for batch in batches:
+            for ids, seq, starts, ends in _joined_texts(batch):
+                found = list(measure(seq, starts, ends, index.passages, index.hits(seq, ends), tenths))
+                if found:
+                    yield _frame(found, ids, index.passages)
+
+    return documents.mapInPandas(run, RESULT)
+
+
+def _by_shuffle(documents: DataFrame, items: DataFrame, least: int, tenths: int) -> DataFrame:
+    items = items.withColumn("digest", F.md5("passage"))
+
+    def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out, codes, starts, ends, ids = [], [], [], [], []
+            for item_id, passage, digest in zip(batch.item_id, batch.passage, batch.digest):
+                for m, h, _, at in Passages([(item_id, word_hashes(passage))], least).seeds():
+                    yield pd.DataFrame({"m": m, "h": h.view(np.int64), "item_id": item_id, "digest": digest, "at": at})
 
-            def flush() -> None:
-                if codes:
-                    out.extend(measure(np.array(codes, dtype=np.int64), np.array(starts), np.array(ends), ids))
-                for x in (codes, starts, ends, ids):
-                    x.clear()
+    seeded = items.mapInPandas(seeds, "m int, h long, item_id long, digest string, at long")
+    used = sorted(r.m for r in seeded.select("m").distinct().collect())  # at most one row for each mask
 
-            for doc_id, text in zip(batch.doc_id, batch.text):
-                if len(own := index.encode(words(text))) >= shortest:
-                    starts.append(len(codes))
-                    codes += own
-                    ends.append(len(codes))
-                    codes += gap
-                    ids.append(doc_id)
-                if len(codes) > WORDS_AT_ONCE:
-                    flush()
-            flush()
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "exact_words", "overlap_words", "matching_words", "passage_words"])
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for ids, seq, starts, ends in _joined_texts(batch):
+                ids = np.array(ids)
+                for m in used:
+                    h = window_hashes(seq, m)
+                    own = np.minimum(np.searchsorted(ends, np.arange(len(h)), side="right"), len(ends) - 1)
+                    yield pd.DataFrame({"m": m, "h": h.view(np.int64), "doc_id": ids[own], "place": np.arange(len(h)) - starts[own]})
+
+    hits = documents.mapInPandas(windows, "m int, h long, doc_id long, place long").join(seeded, ["m", "h"])
+    diagonals = hits.select("doc_id", "item_id", "digest", (F.col("place") - F.col("at")).alias("start")).distinct()
+    parts = diagonals.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / DIAGONALS_AT_ONCE).alias("_n"))
+    part = F.pmod(F.xxhash64("item_id", "digest", "start"), F.col("_n"))
+    work = diagonals.join(parts, "doc_id").withColumn("_part", part).join(items, ["item_id", "digest"]).groupBy("doc_id", "_part").agg(F.collect_list(F.struct("item_id", "passage", "start")).alias("hits"))
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc_id, text, own in zip(batch.doc_id, batch.text, batch.hits):
+                seq, numbers, kept = word_hashes(text), {}, []
+                for h in own:
+                    numbers.setdefault((h["item_id"], h["passage"]), len(numbers))
+                    kept.append((numbers[h["item_id"], h["passage"]], h["start"], 0))
+                passages = Passages([(i, word_hashes(p)) for i, p in numbers], least)
+                found = list(measure(seq, np.zeros(1, np.int64), np.array([len(seq)]), passages, np.array(kept, dtype=np.int64), tenths)) if len(seq) else []
+                if found:
+                    yield _frame(found, [doc_id], passages)
 
-    return run
+    return documents.join(work, "doc_id").select("doc_id", "text", "hits").mapInPandas(verify, RESULT)
 
 
 def leaks(documents: DataFrame, items: DataFrame, least: int = 30, tenths: int = 9) -> DataFrame:
@@ -212,23 +271,21 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = 30, tenths: int =
     run without substitution, ``overlap_words`` the longest tolerant overlap (it begins and ends
     with equal words), of which ``matching_words`` are equal, out of ``passage_words``.
 
-    Every exact run of 30 words or more is found.  A passage with fewer than ``least`` words is
-    found where all its words stand in a row, without substitution; then all four counts are its
-    length.  Null and empty texts, and passages without a word, match nothing.  Repeated documents or items give one row.  The
-    passages are query data of their own: they go to the tasks in passes of bounded size, each
-    of which reads all documents.
+    No such overlap is missed for ``least`` of 30 or more and ``tenths`` of 9 or more; other
+    values are refused.  A passage with fewer than ``least`` words is found where all its words
+    stand in a row, without substitution; then all four counts are its length.  Rows without an
+    id, null and empty texts, and passages without a word match nothing.  Repeated documents or
+    items give one row.
+
+    Passages of up to ``BROADCAST_CHARS`` characters together are broadcast with their hashes, and
+    one scan of the documents does all.  More of them are joined with the documents' windows by
+    hash, and the hits with the texts by document; the results are the same.
     """
-    if least <= max(m[-1] for m in MASKS):
-        raise ValueError("overlaps must be longer than the masks")
-    good = items.where("item_id is not null and passage is not null").select("item_id", "passage").distinct()
-    n, chars = good.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("passage")), F.lit(0))).first()
-    passes = max(1, -(-n // ITEMS_PER_PASS), -(-chars // CHARS_PER_PASS))
-    results = []
-    for p in range(passes):
-        part = good.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(passes)) == p).orderBy("item_id", "passage").collect()
-        kept = [(r.item_id, ws) for r in part if (ws := words(r.passage))]
-        index = SeedIndex([x for x in kept if len(x[1]) >= least])
-        whole = WholeIndex([x for x in kept if len(x[1]) < least], index.vocabulary)
-        results.append(documents.select("doc_id", "text").mapInPandas(_scan(index, whole, least, tenths), RESULT))
+    if least < 30 or not 9 <= tenths <= 10:
+        raise ValueError("overlaps must have at least 30 words, nine tenths of them equal")
+    good = items.where("item_id is not null and passage is not null").select(F.col("item_id").cast("long").alias("item_id"), "passage").distinct()
+    chars = good.agg(F.coalesce(F.sum(F.length("passage")), F.lit(0))).first()[0]
+    texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = (_by_broadcast if chars <= BROADCAST_CHARS else _by_shuffle)(texts, good, least, tenths)
     best = F.max(F.struct("overlap_words", "matching_words", "passage_words"))
-    return reduce(DataFrame.unionByName, results).groupBy("doc_id", "item_id").agg(F.max("exact_words").alias("exact_words"), best.alias("_b")).select("doc_id", "item_id", "exact_words", "_b.*")
+    return found.groupBy("doc_id", "item_id").agg(F.max("exact_words").alias("exact_words"), best.alias("_b")).select("doc_id", "item_id", "exact_words", "_b.*")
