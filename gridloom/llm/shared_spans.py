@@ -1,26 +1,27 @@
 """Long spans that occur verbatim in more than one record (problem 8).
 
-1. Anchors.  Every window of ``least`` characters is named by the smallest hash of the
+1. Anchors, a filter.  Every window of ``least`` characters is named by the smallest hash of the
    ``ANCHOR``-grams inside it; windows in a row with one name form a stretch.  Equal windows have
    equal names, so only stretches whose name occurs in two records can hold a shared span.
-2. Shards.  The text under such stretches, copies collapsed, is grouped by name.  Each group is a
-   reference shard of its own: all windows that could be equal are in one shard.
-3. Suffix automata.  A shard's automaton takes all its texts; every state knows the smallest and
+2. Reference shards.  The text under such stretches, copies collapsed, is grouped by name: all
+   windows that could be equal are in one group, and some groups make a shard of bounded size.
+3. Suffix automata.  A group's automaton takes all its texts; every state knows the smallest and
    the largest record that reach it.  Streaming a text through it gives, at each position, the
    longest ending that another record has too: the matching statistics, whose entries of
    ``least`` or more are the maximal shared spans.
 
-A name with more than ``HOT_VARIANTS`` different texts is not gathered: each of its windows
-becomes a group of its own, in which all texts are equal, and so needs no automaton.
+A group of more than ``GROUP_CHARS`` is named anew by longer grams, at last by whole windows,
+which makes many small groups of it; all of them go through automata in the same way.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,7 +30,12 @@ from gridloom.common import checkpoint
 LEAST, ANCHOR = 400, 100
 #: Characters hashed at once; windows in one stretch (long runs of one character are cut there).
 SLICE, STRETCH = 400_000, 2_000
-HOT_VARIANTS = 400
+#: Grams that name the windows of groups that are too large, by their share of a window; the last is the window itself.
+FINER = (5 / 8, 1)
+#: Most characters of a group (an automaton takes about 600 bytes for each), and characters wanted in a shard.
+GROUP_CHARS, SHARD_CHARS = 200_000, 1_000_000
+#: States after which the automata of a task are worked off.
+STATES_AT_ONCE = 300_000
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INVERSE = np.uint64(pow(int(_B), -1, 1 << 64))
@@ -129,52 +135,55 @@ def _anchors(least: int, anchor: int):
 def _cut_texts(least: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(s["name"], doc_id, s["first"], text[s["first"] : s["last"] + least]) for doc_id, text, own in zip(batch.doc_id, batch.text, batch.own) for s in own]
-            yield pd.DataFrame(out, columns=["name", "doc_id", "first", "region"])
+            out = [(s["name"], doc_id, s["first"], text[s["first"] : s["last"] + least], s["large"]) for doc_id, text, own in zip(batch.doc_id, batch.text, batch.own) for s in own]
+            yield pd.DataFrame(out, columns=["name", "doc_id", "first", "region", "large"])
 
     return run
 
 
-class SuffixAutomaton:
-    """Suffix automaton of several texts; each state knows the smallest and largest record that reach it."""
+class SuffixAutomata:
+    """Suffix automata of several groups of texts in one table of states, each group from a root of its own."""
 
     def __init__(self) -> None:
-        self.next: list[dict[str, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        self.low: list[int] = [1 << 63]
-        self.high: list[int] = [-(1 << 63)]
-
-    def add(self, text: str, low: int, high: int) -> list[int]:
-        """Adds a text that records low to high deliver; the state of each of its prefixes."""
-        nxt, link, length, lows, highs = self.next, self.link, self.length, self.low, self.high
-        last, path = 0, []
+        self.next: list[dict[str, int]] = []
+        self.link: list[int] = []
+        self.length: list[int] = []
+        self.added: list[tuple[np.ndarray, int, int]] = []
+
+    def root(self) -> int:
+        """A new, empty automaton."""
+        self.next.append({})
+        self.link.append(-1)
+        self.length.append(0)
+        return len(self.next) - 1
+
+    def add(self, text: str, root: int, low: int, high: int) -> None:
+        """Adds a text that records low to high deliver, and remembers the state of each of its prefixes."""
+        nxt, link, length = self.next, self.link, self.length
+        last, n, path = root, 0, []
         for c in text:
-            q = nxt[last].get(c)
-            if q is None:
-                cur = len(nxt)
+            n += 1
+            here = nxt[last]
+            if c in here:
+                last, p = here[c], last
+                if length[last] != n:
+                    last = self._clone(p, last, c)
+            else:
+                p, last = link[last], len(nxt)
+                here[c] = last
                 nxt.append({})
-                length.append(length[last] + 1)
-                link.append(0)
-                lows.append(low)
-                highs.append(high)
-                p = last
-                while p != -1 and c not in nxt[p]:
-                    nxt[p][c] = cur
+                length.append(n)
+                link.append(root)
+                while p != -1:
+                    there = nxt[p]
+                    if c in there:
+                        q = there[c]
+                        link[last] = q if length[p] + 1 == length[q] else self._clone(p, q, c)
+                        break
+                    there[c] = last
                     p = link[p]
-                if p != -1:
-                    q = nxt[p][c]
-                    link[cur] = q if length[p] + 1 == length[q] else self._clone(p, q, c)
-                last = cur
-            else:
-                if length[last] + 1 != length[q]:
-                    q = self._clone(last, q, c)
-                if low < lows[q]:
-                    lows[q] = low
-                if high > highs[q]:
-                    highs[q] = high
-                last = q
             path.append(last)
-        return path
+        self.added.append((np.array(path, dtype=np.int64), low, high))
 
     def _clone(self, p: int, q: int, c: str) -> int:
         nxt, link = self.next, self.link
@@ -182,30 +191,31 @@ class SuffixAutomaton:
         nxt.append(nxt[q].copy())
         self.length.append(self.length[p] + 1)
         link.append(link[q])
-        self.low.append(self.low[q])
-        self.high.append(self.high[q])
         link[q] = new
         while p != -1 and nxt[p].get(c) == q:
             nxt[p][c] = new
             p = link[p]
         return new
 
-    def shared_lengths(self) -> np.ndarray:
-        """Of each state: the length of its longest suffix that two different records reach."""
-        length = np.array(self.length)
-        order = np.argsort(length, kind="stable").tolist()
-        link, low, high = self.link, self.low, self.high
-        for s in reversed(order[1:]):
-            p = link[s]
-            if low[s] < low[p]:
-                low[p] = low[s]
-            if high[s] > high[p]:
-                high[p] = high[s]
-        best = [0] * len(link)
-        lengths = self.length
-        for s in order[1:]:
-            best[s] = lengths[s] if low[s] != high[s] else best[link[s]]
-        return np.array(best)
+    def matching(self) -> list[np.ndarray]:
+        """Matching statistics of each text added: at each place the longest ending that a second record has.
+
+        The least and greatest record that reach a state go from longer to shorter states along
+        the suffix links, all states of one length at a time.
+        """
+        length, link = np.array(self.length), np.array(self.link)
+        low, high = np.full(len(length), np.iinfo(np.int64).max), np.full(len(length), np.iinfo(np.int64).min)
+        for path, a, b in self.added:
+            low[path], high[path] = np.minimum(low[path], a), np.maximum(high[path], b)
+        order = np.argsort(length, kind="stable")
+        by_length = np.split(order, np.flatnonzero(np.diff(length[order])) + 1)[1:]
+        for s in reversed(by_length):
+            np.minimum.at(low, link[s], low[s])
+            np.maximum.at(high, link[s], high[s])
+        best, shared = np.zeros(len(length), np.int64), low != high
+        for s in by_length:
+            best[s] = np.where(shared[s], length[s], best[link[s]])
+        return [best[path] for path, _, _ in self.added]
 
 
 def maximal_spans(matching: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -220,19 +230,74 @@ def maximal_spans(matching: np.ndarray, least: int) -> list[tuple[int, int]]:
 
 def _shard(least: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for name, group in pdf.groupby("name", sort=False):
-            automaton = SuffixAutomaton()
-            paths = [automaton.add(t, a, b) for t, a, b in zip(group.region, group.low, group.high)]
-            best = automaton.shared_lengths()
-            for key, path in zip(group.key, paths):
-                out += [(name, key, a, b) for a, b in maximal_spans(best[np.array(path)], least)]
+        out, automata, held = [], SuffixAutomata(), []
+
+        def flush() -> None:
+            for (name, key), matching in zip(held, automata.matching()):
+                out.extend((name, key, a, b) for a, b in maximal_spans(matching, least))
+
+        gc.disable()  # the states are many and have no cycles
+        try:
+            for name, group in pdf.groupby("name", sort=False):
+                root = automata.root()
+                for key, text, low, high in zip(group.key, group.region, group.low, group.high):
+                    automata.add(text, root, low, high)
+                    held.append((name, key))
+                if len(automata.length) > STATES_AT_ONCE:
+                    flush()
+                    automata, held = SuffixAutomata(), []
+            flush()
+        finally:
+            gc.enable()
         return pd.DataFrame(out, columns=["name", "key", "begin", "end"])
 
     return run
 
 
-def shared_spans(documents: DataFrame, least: int = LEAST, anchor: int | None = None, hot: int = HOT_VARIANTS) -> DataFrame:
+def _finer(least: int, anchor: int):
+    """Stretches of texts by another gram: outer name and key, place in the text, and the text under each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for outer, key, text, low, high in zip(batch["name"], batch.key, batch.region, batch.low, batch.high):
+                codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                out += [(n, text[a : b + least], low, high, outer, key, a) for n, a, b in zip(*stretches(codes, np.array([len(text)]), least, anchor))]
+            yield pd.DataFrame(out, columns=["name", "region", "low", "high", "outer_name", "outer_key", "place"])
+
+    return run
+
+
+def _groups(found: DataFrame, size: Column, low: str, high: str) -> DataFrame:
+    """name, large: the names that two records have, and whether the texts under one are too many characters."""
+    g = found.groupBy("name").agg(F.min(low).alias("_a"), F.max(high).alias("_b"), (F.sum(size) > GROUP_CHARS).alias("large"))
+    return g.where("_a <> _b").select("name", "large")
+
+
+def _matched(regions: DataFrame, least: int, finer: tuple[int, ...]) -> DataFrame:
+    """name, key, begin, end: shared spans of the texts of a checkpointed table name, key, region, low, high, large.
+
+    Groups marked ``large`` are parted by the first of the ``finer`` grams; when none is left, a
+    group holds one text, collapsed.
+    """
+    if not finer:
+        regions = regions.withColumn("large", F.lit(False))
+    chars, large = regions.agg(F.coalesce(F.sum(F.length("region")), F.lit(0)), F.coalesce(F.max("large"), F.lit(False))).first()
+    collapsed = lambda kept: regions.where(kept).groupBy("name", "key").agg(F.first("region").alias("region"), F.min("low").alias("low"), F.max("high").alias("high"))
+    # A number of partitions of its own: the work is far larger than the bytes, by which they would be joined up.
+    shards = max(4 * int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // SHARD_CHARS))
+    small = collapsed(~F.col("large")).withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(shards)))
+    spans = small.repartition(-(-shards // 2), "shard").groupBy("shard").applyInPandas(_shard(least), "name long, key binary, begin long, end long")
+    if not large:
+        return spans
+    fields = "name long, region string, low long, high long, outer_name long, outer_key binary, place long"
+    parts = checkpoint(collapsed(F.col("large")).mapInPandas(_finer(least, finer[0]), fields).withColumn("key", F.unhex(F.md5("region"))))
+    inner = _matched(checkpoint(parts.join(_groups(parts, F.length("region"), "low", "high"), "name").select("name", "key", "region", "low", "high", "large")), least, finer[1:])
+    back = parts.select("outer_name", "outer_key", "place", "name", "key").join(inner, ["name", "key"])
+    return spans.unionByName(back.select(F.col("outer_name").alias("name"), F.col("outer_key").alias("key"), (F.col("place") + F.col("begin")).alias("begin"), (F.col("place") + F.col("end")).alias("end")))
+
+
+def shared_spans(documents: DataFrame, least: int = LEAST, anchor: int | None = None) -> DataFrame:
     """doc_id, begin, end: stretches of each text that occur verbatim in another record.
 
     ``documents``: doc_id, text.  Offsets count characters from 0, ``end`` is exclusive.  Each row
@@ -244,28 +309,14 @@ def shared_spans(documents: DataFrame, least: int = LEAST, anchor: int | None =
     anchor = anchor or min(ANCHOR, max(1, least // 4))
     texts = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.length("text") >= least))
     found = checkpoint(texts.mapInPandas(_anchors(least, anchor), "name long, doc_id long, first long, last long"))
-    repeated = found.groupBy("name").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a <> _b").select("name")
-    own = found.join(repeated, "name").groupBy("doc_id").agg(F.collect_list(F.struct("name", "first", "last")).alias("own"))
+    groups = _groups(found, F.col("last") - F.col("first") + least, "doc_id", "doc_id")
+    own = found.join(groups, "name").groupBy("doc_id").agg(F.collect_list(F.struct("name", "first", "last", "large")).alias("own"))
     regions = checkpoint(
         texts.join(own.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "own")
-        .mapInPandas(_cut_texts(least), "name long, doc_id long, first long, region string")
-        .withColumn("key", F.md5("region"))
+        .mapInPandas(_cut_texts(least), "name long, doc_id long, first long, region string, large boolean")
+        .withColumn("key", F.unhex(F.md5("region")))
     )
-    variants = regions.groupBy("name", "key").agg(F.first("region").alias("region"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    sized = checkpoint(variants.join(variants.groupBy("name").agg(F.count(F.lit(1)).alias("variants")), "name"))
-    # One text for a name: whole copies.  The region is shared if two records deliver it.
-    whole = sized.where("variants = 1 and low <> high").select("name", "key", F.lit(0).cast("long").alias("begin"), F.length("region").cast("long").alias("end"))
-    shards = sized.where((F.col("variants") > 1) & (F.col("variants") <= hot))
-    # A fixed number of partitions: the work is far larger than the bytes, by which they would be joined up.
-    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
-    shards = shards.select("name", "key", "region", "low", "high", F.pmod(F.xxhash64("name"), F.lit(n)).alias("shard")).repartition(n // 2, "shard")
-    matched = shards.groupBy("shard").applyInPandas(_shard(least), "name long, key string, begin long, end long")
-    # Hot names: each window is a group of its own, by its text.
-    window = F.explode(F.expr(f"transform(sequence(0, length(region) - {least}), i -> struct(i as i, md5(substring(region, i + 1, {least})) as w))"))
-    windows = sized.where(F.col("variants") > hot).select("name", "key", "low", "high", window.alias("_w")).select("name", "key", "low", "high", "_w.*")
-    common = windows.groupBy("w").agg(F.min("low").alias("_a"), F.max("high").alias("_b")).where("_a <> _b").select("w")
-    hits = windows.join(common, "w").select("name", "key", F.col("i").cast("long").alias("begin"), (F.col("i") + least).cast("long").alias("end"))
-    spans = whole.unionByName(matched).unionByName(hits)
+    spans = _matched(regions.select("name", "key", "region", F.col("doc_id").alias("low"), F.col("doc_id").alias("high"), "large"), least, tuple(max(anchor, round(least * f)) for f in FINER))
     return regions.select("name", "key", "doc_id", "first").join(spans, ["name", "key"]).select("doc_id", (F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("end")).alias("end"))
 
 

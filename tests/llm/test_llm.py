@@ -267,8 +267,9 @@ def _brute_spans(docs, least):
     return found
 
 
-@pytest.mark.parametrize("hot", [1000, 1])
-def test_shared_spans_match_brute_force(spark, hot):
+@pytest.mark.parametrize("group_chars", [200_000, 60])
+def test_shared_spans_match_brute_force(spark, monkeypatch, group_chars):
+    monkeypatch.setattr(shared_spans, "GROUP_CHARS", group_chars)
     rng = np.random.default_rng(9)
     text = lambda n: "".join("abcd "[c] for c in rng.integers(0, 5, n))
     least, common = 24, [text(n) for n in (24, 30, 60, 23, 90)]
@@ -284,13 +285,13 @@ def test_shared_spans_match_brute_force(spark, hot):
     want = _brute_spans(docs, least)
     got = {}
     texts = dict(docs)
-    for r in shared_spans.shared_spans(df, least, hot=hot).collect():
+    for r in shared_spans.shared_spans(df, least).collect():
         assert r.end - r.begin >= least
         got.setdefault(r.doc_id, np.zeros(len(texts[r.doc_id]), bool))[r.begin : r.end] = True
     assert set(got) == set(want)
     for d in want:
         assert (got[d] == want[d]).all(), d
-    shares = {r.doc_id: r for r in shared_spans.shared_shares(df, shared_spans.shared_spans(df, least, hot=hot)).collect()}
+    shares = {r.doc_id: r for r in shared_spans.shared_shares(df, shared_spans.shared_spans(df, least)).collect()}
     assert all(shares[d].shared_chars == w.sum() for d, w in want.items())
     assert shares[51].share == 0 and shares[52].share == 0 and len(shares) == 47
     assert shared_spans.shared_spans(df.limit(0), least).count() == 0
