@@ -1,13 +1,14 @@
 """Cutting oversized items at natural boundaries (problem 3).
 
-An item is a stretch ``[lo, hi]`` of offsets: token offsets of a text (prefix sums of token
-lengths) or map coordinates of a raster axis.  Boundaries are sorted; each piece ends at the
+An item is a stretch ``[lo, hi]`` of offsets: token offsets of a text (prefix sums, see
+``split_texts``) or map coordinates of a raster axis (``split``).  Boundaries are sorted; each piece ends at the
 last boundary within ``limit`` of its start, found by binary search, and the next piece starts
 ``overlap`` before that end.  Where no boundary advances, a hard cut is made at the limit.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,11 @@ from pyspark.sql import functions as F
 #: Items sent with one copy of a boundary array.
 ITEMS_PER_COPY = 4000
 
+#: Tokens of a text: runs of characters other than white space, with the white space that follows.
+TOKEN = re.compile(r"([^ \t\n\x0b\f\r]+)[ \t\n\x0b\f\r]*")
+#: A token that ends a sentence, or a paragraph (an empty line follows).
+NATURAL_END = re.compile(r"""[.!?]['")\]]*[ \t\n\x0b\f\r]*\Z|\n[ \t\x0b\f\r]*\n""")
+
 PIECES = "item_id long, piece int, begin double, end double, hard_cut boolean"
 
 
@@ -78,3 +84,31 @@ def split(items: DataFrame, bounds: DataFrame) -> DataFrame:
         .select("source", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("copy"), "pos").withColumn("_bucket", bucket)
     )
     return left.groupBy("_bucket").cogroup(right.groupBy("_bucket")).applyInPandas(_cut_bucket, PIECES)
+
+
+def split_texts(documents: DataFrame, limit: int, overlap: int) -> DataFrame:
+    """doc_id, piece, token_from, token_to, char_from, char_to, hard_cut, text: texts in pieces of at most ``limit`` tokens.
+
+    ``documents``: doc_id, text.  Tokens are white-space tokens, and offsets are prefix sums of
+    their number and of their characters.  A piece ends at the last end of a sentence or paragraph
+    within the limit, else at the limit (``hard_cut``), and the next begins ``overlap`` tokens before.
+    A text that fits is one piece.  Null texts and texts without a token have none; repeated rows
+    are cut each.  A text is cut by itself in one pass, so nothing is gathered or shuffled.
+    """
+    if not 0 <= overlap < limit:
+        raise ValueError("the overlap must be at least 0 and less than the limit")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc_id, text in zip(batch.doc_id, batch.text):
+                found = list(TOKEN.finditer(text or ""))
+                if not found:
+                    continue
+                ends = np.flatnonzero([NATURAL_END.search(m[0]) is not None for m in found]) + 1.0
+                for n, (begin, end, hard) in enumerate(cuts(0.0, float(len(found)), float(limit), float(overlap), ends)):
+                    a, b = found[int(begin)].start(), found[int(end) - 1].end(1)
+                    out.append((doc_id, n, int(begin), int(end), a, b, hard, text[a:b]))
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "token_from", "token_to", "char_from", "char_to", "hard_cut", "text"])
+
+    return documents.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, piece int, token_from int, token_to int, char_from int, char_to int, hard_cut boolean, text string")

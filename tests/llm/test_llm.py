@@ -28,7 +28,7 @@ def test_minima_repeats_nulls_and_missing_classes(spark):
     targets = [(1, "s", 10, 1, 90, 0), (1, "s", 10, 8, 10, 5), (1, "s", 10, 8, 10, 5), (2, "none", 10, 1, 100, 1), (3, None, None, 1, None, None)]
     got = _alloc(spark, targets, [("s", 1, 100), ("s", 8, 7), (None, 1, 5)])
     assert (got[1, 8].take, got[1, 8].short) == (5, False)
-    assert got[1, 1].take == 9
+    assert got[1, 1].take == 5  # the minimum of class 8 is taken from its quota of 9
     assert (got[2, 1].take, got[2, 1].short) == (0, True)
     assert got[3, 1].take == 0 and not got[3, 1].short
     assert len(got) == 4
@@ -52,17 +52,22 @@ def test_random_allocations_are_whole(spark):
         rows = [r for (p, _), r in got.items() if p == plan]
         assert sum(r.take for r in rows) == min(sum(r.quota for r in rows), sum(r.available for r in rows))
         assert all(min(r.quota, r.available) <= r.take <= r.available for r in rows)
-        if not any(r.min_rows * 100 > r.sample_size * r.target_pct for r in rows):
-            assert sum(r.quota for r in rows) == rows[0].sample_size
+        assert sum(r.quota for r in rows) == max(rows[0].sample_size, sum(min(r.min_rows, r.available) for r in rows))
+        assert all(r.take >= min(r.min_rows, r.available) for r in rows)
+        for nodes in ((1, 2), (3, 4), (5, 6), (7, 8), (1, 2, 3, 4), (5, 6, 7, 8)):
+            held = [r for r in rows if r.feature_class in nodes]
+            assert sum(r.take for r in held) >= min(sum(r.quota for r in held), sum(r.available for r in held))
         for r in rows:
             assert r.short == (r.available < max(r.sample_size * r.target_pct / 100, r.min_rows))
 
 
-def test_draw_is_exact_and_without_repeats(spark):
+def test_draw_is_exact_and_without_repeats(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "BUCKET_ROWS", 100)
     pop = spark.range(3000).select(F.col("id").alias("segment_id"), F.lit("s").alias("site_id"), F.when(F.col("id") < 2500, 1).otherwise(2).alias("feature_class"), F.lit("x").alias("rank"))
     t = spark.createDataFrame([(p, "s", 300, c, s, 1) for p in (1, 2) for c, s in ((1, 70), (2, 30))], TARGETS)
     alloc = sampling.allocate(t, sampling.population_counts(pop))
     rows = sampling.draw(pop, alloc).collect()
+    assert not any(r.reserve for r in rows) and sorted(r.rank for r in rows if (r.plan_id, r.feature_class) == (1, 1)) == list(range(1, 211))
     for p in (1, 2):
         mine = [r.segment_id for r in rows if r.plan_id == p]
         assert len(mine) == len(set(mine)) == 300
@@ -71,6 +76,16 @@ def test_draw_is_exact_and_without_repeats(spark):
     assert sampling.draw(pop.limit(0), alloc).count() == 0
 
 
+def test_reserve_shows_classes_that_run_out(spark):
+    pop = spark.createDataFrame([(i, "s", 1 if i < 85 else 2) for i in range(115)] + [(200, None, 1), (201, "s", None)], "segment_id long, site_id string, feature_class int")
+    t = spark.createDataFrame([(1, "s", 100, 1, 90, 0), (1, "s", 100, 2, 10, 30), (2, "s", 100, 1, 80, 0), (2, "s", 100, 2, 20, 30)], TARGETS)
+    got: dict = {}
+    for r in sampling.draw(pop, sampling.allocate(t, sampling.population_counts(pop))).collect():
+        got.setdefault((r.plan_id, r.feature_class, r.reserve), set()).add(r.segment_id)
+    # plan 1: class 1 gives 20 of its 90 to the minimum of class 2 and has 85 rows only; plan 2: 10 of 80
+    assert {k: len(v) for k, v in got.items()} == {(1, 1, False): 70, (1, 1, True): 15, (1, 2, False): 30, (2, 1, False): 70, (2, 1, True): 10, (2, 2, False): 30}
+
+
 def test_percentiles_match_numpy(spark):
     rng = np.random.default_rng(4)
     rows = [("hot", float(v)) for v in np.round(rng.normal(100, 30, 4000))] + [("few", 1.0), ("few", 2.0)] + [("one", 5.0)] + [(None, 3.0), ("hot", None), ("hot", float("nan")), ("hot", float("inf")), ("none", None)]
