@@ -1,14 +1,17 @@
 """Complete radius joins by Voronoi partition and vantage-point trees (problem 5).
 
-Pivots drawn from the indexed points split the plane (or sphere) into Voronoi cells.  An
-indexed point lives in the cell of its nearest pivot.  By the triangle inequality a query with
-radius r can only meet points of cells whose pivot is at most ``d(nearest pivot) + 2 r`` away,
-so it is copied to just those.  In a cell the points form a vantage-point tree under the exact
-metric, walked by all queries of the cell at once.
+Pivots drawn from the indexed points, in proportion to their number, split the plane (or sphere)
+into Voronoi cells in two levels: about the square root of them are heads, and every other pivot
+belongs to its nearest head.  An indexed point lives with its nearest head, in the cell of the
+nearest of that head's pivots.  By the triangle inequality a query with radius r can only meet
+points of heads, and below a head of pivots, that are at most ``d(nearest) + 2 r`` away, so it is
+copied to just those.  In a cell the points form a vantage-point tree under the exact metric,
+walked by all queries of the cell at once.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,8 +22,10 @@ from pyspark.sql import functions as F
 from gridloom.common import checkpoint
 from gridloom.functions.wkt import contains, edges_of, parse_outlines
 
-#: Points wanted in a cell, the most pivots (all that is sent to tasks), and the most rows of either side in one task.
-CELL_POINTS, MAX_PIVOTS, BLOCK_ROWS = 4_000, 2_048, 20_000
+#: Points wanted in a cell, and the most rows of either side in one task.
+CELL_POINTS, BLOCK_ROWS = 4_000, 20_000
+#: Most pivots, for four billion points; they are 16 bytes each on the driver and in the tasks.  Beyond, cells grow.
+MAX_PIVOTS = 1 << 20
 #: Limits include equality; decimal coordinates are doubles, so distances this much over it (metres) count as equal.
 SLACK = 1e-9
 EARTH_RADIUS_M = 6_371_008.8
@@ -96,29 +101,65 @@ class VantageTree:
         return tuple(np.concatenate(part) for part in zip(*found))
 
 
-def _pivots(points: DataFrame) -> np.ndarray:
-    """At most MAX_PIVOTS points in hash order, in proportion to the density of the data."""
+class Pivots:
+    """Heads and the pivots below them; cells are numbered head by head."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, metric: Callable) -> None:
+        self.metric = metric
+        n = max(1, round(math.sqrt(len(x))))
+        self.head_x, self.head_y = x[:n], y[:n]
+        own = np.concatenate([self._distances(x[a : a + 4096], y[a : a + 4096]).argmin(axis=1) for a in range(0, len(x), 4096)])
+        order = np.argsort(own, kind="stable")
+        self.x, self.y = x[order], y[order]
+        self.first = np.searchsorted(own[order], np.arange(n + 1))
+
+    def _distances(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return self.metric(x[:, None], y[:, None], self.head_x[None], self.head_y[None])
+
+    def cells(self, x: np.ndarray, y: np.ndarray, r: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of points, one for each, or with ``r`` of queries, one for each cell they may meet."""
+        # 1e-6 keeps the bound safe against rounding of the distances
+        reach = lambda d, radius: d <= d.min(axis=1, keepdims=True) + 2 * radius[:, None] + 1e-6
+        d = self._distances(x, y)
+        if r is None:
+            row, head = np.arange(len(x)), d.argmin(axis=1)
+        else:
+            row, head = np.nonzero(reach(d, r))
+        order = np.argsort(head, kind="stable")
+        row, head = row[order], head[order]
+        rows, cells = [], []
+        cuts = np.flatnonzero(np.r_[True, head[1:] != head[:-1], True]) if len(head) else np.zeros(1, int)
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            low, high = self.first[head[a]], self.first[head[a] + 1]
+            step = max(1, 1_000_000 // (high - low))
+            for c in range(a, b, step):
+                part = row[c : min(b, c + step)]
+                below = self.metric(x[part, None], y[part, None], self.x[None, low:high], self.y[None, low:high])
+                i, j = (np.arange(len(part)), below.argmin(axis=1)) if r is None else np.nonzero(reach(below, r[part]))
+                rows.append(part[i])
+                cells.append(low + j)
+        return (np.concatenate(rows), np.concatenate(cells)) if rows else (np.zeros(0, int), np.zeros(0, int))
+
+
+def _pivots(points: DataFrame, metric: Callable) -> Pivots:
+    """One pivot for ``CELL_POINTS`` points: the places whose hash is below a bound, so copies of a place are one."""
     count = points.count()
-    n = int(min(MAX_PIVOTS, max(1, count // CELL_POINTS)))
-    drawn = points.select("x", "y").orderBy(F.xxhash64("x", "y"), "x", "y").limit(4 * n).collect()
-    distinct = np.array(sorted({(r.x, r.y) for r in drawn}, key=hash), dtype=float).reshape(-1, 2)[:n]
-    return distinct if len(distinct) else np.zeros((1, 2))
+    n = int(min(MAX_PIVOTS, count // CELL_POINTS))
+    share = int(2.0**63 * min(1.0, n / max(1, count)))
+    place = F.xxhash64("x", "y").bitwiseAND(F.lit((1 << 63) - 1))
+    drawn = points.select("x", "y", place.alias("h")).where(F.col("h") < F.lit(share)).distinct().toPandas().sort_values(["h", "x", "y"])
+    return Pivots(drawn.x.to_numpy(float), drawn.y.to_numpy(float), metric) if len(drawn) else Pivots(np.zeros(1), np.zeros(1), metric)
 
 
-def _assigner(pivots: np.ndarray, metric: Callable, copies: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    step = max(1, 2_000_000 // len(pivots))
-
+def _assigner(shared, copies: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pivots = shared.value
+        step = max(1, 1_000_000 // len(pivots.head_x))
         for batch in batches:
             for a in range(0, len(batch), step):
                 part = batch.iloc[a : a + step]
-                d = metric(part.x.to_numpy()[:, None], part.y.to_numpy()[:, None], pivots[None, :, 0], pivots[None, :, 1])
-                if copies:
-                    # 1e-6 keeps the bound safe against rounding of the distances
-                    i, cell = np.nonzero(d <= d.min(axis=1, keepdims=True) + 2 * part.r.to_numpy()[:, None] + 1e-6)
-                    yield part.iloc[i].assign(cell=cell.astype("int32"))
-                else:
-                    yield part.assign(cell=d.argmin(axis=1).astype("int32"))
+                row, cell = pivots.cells(part.x.to_numpy(), part.y.to_numpy(), part.r.to_numpy() if copies else None)
+                yield part.iloc[row].assign(cell=cell.astype("int32"))
 
     return run
 
@@ -147,13 +188,14 @@ def _join(queries: DataFrame, points: DataFrame, metric: str, refine: bool = Fal
     copies of one place) is cut into blocks of both sides; each pair of blocks is a task of its
     own, so no task holds more than 2 BLOCK_ROWS.
     """
-    pivots, d = _pivots(points), METRICS[metric]
+    d = METRICS[metric]
+    pivots = points.sparkSession.sparkContext.broadcast(_pivots(points, d))
     fields = "id long, x double, y double"
-    right = checkpoint(points.mapInPandas(_assigner(pivots, d, False), f"{fields}, cell int"))
-    left = checkpoint(queries.mapInPandas(_assigner(pivots, d, True), f"{fields}, r double{', outline binary' * refine}, cell int"))
-    # Blocks of each cell: at most MAX_PIVOTS rows, joined back as a table.
+    right = checkpoint(points.mapInPandas(_assigner(pivots, False), f"{fields}, cell int"))
+    left = checkpoint(queries.mapInPandas(_assigner(pivots, True), f"{fields}, r double{', outline binary' * refine}, cell int"))
+    # Blocks of each cell, joined back as a table; a cell of many blocks is one place with many copies, or a rare dense one.
     blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
-    sizes = F.broadcast(blocks(left, "lb").join(blocks(right, "rb"), "cell"))
+    sizes = blocks(left, "lb").join(blocks(right, "rb"), "cell")
     left = left.join(sizes, "cell").withColumn("l", F.pmod(F.xxhash64("id"), F.col("lb")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("rb") - 1))).drop("lb", "rb")
     right = right.join(sizes, "cell").withColumn("b", F.pmod(F.xxhash64("id"), F.col("rb")).cast("int")).withColumn("l", F.explode(F.sequence(F.lit(0), F.col("lb") - 1))).drop("lb", "rb")
 

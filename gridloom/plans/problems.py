@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.common import table
+from gridloom.common import is_finite, table
+from gridloom.functions.crs import BETA, DELTA, RADIUS, SCALE, to_crs
 from gridloom.functions.current import current_statistics
 from gridloom.functions.wkt import point_x, point_y
 from gridloom.operators.fill import fill_missing, filled_values
-from gridloom.operators.near import outlines, pairs_within, points_in_outlines
+from gridloom.operators.near import EARTH_RADIUS_M, outlines, pairs_within, points_in_outlines, radius_join
+from gridloom.operators.seeds import eps_of
 
 FILL_FIELDS = ["b0_mean", "b0_contrast", "b0_correlation"]
 #: Same raster and day of the run with five known values, else the raster.
@@ -36,6 +38,13 @@ def p4_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled_values(_filled(spark, sf_dir), "segment_id", FILL_FIELDS, "left").select("segment_id", "field_name")
 
 
+def p4_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The categorical case: missing languages of documents filled by the mode of the same docket (two known ones), else of the court."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "docket", "court", "lang")
+    filled = fill_missing(rows, {"lang": "mode"}, [(["court", "docket"], 2), (["court"], 1)])
+    return filled.where("lang_filled or lang is null").select("doc_id", "lang", "lang_filled", "lang_level")
+
+
 def points(df: DataFrame, id_column: str) -> DataFrame:
     """id, x, y of a table with a WKT point in ``geometry``."""
     return df.select(F.col(id_column).cast("long").alias("id"), point_x(F.col("geometry")).alias("x"), point_y(F.col("geometry")).alias("y"))
@@ -62,7 +71,23 @@ def p5_seed_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(table(spark, sf_dir, "seeds"), "id").select("id").distinct().join(ends, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("neighbours"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_filled, p4_left, p5_found, p5_seed_neighbours)}
+def p5_crowns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each tree seed with the seeds inside its crown, of a radius of its own: a tenth of its height, 0.5 to 3 m."""
+    t = table(spark, sf_dir, "seeds")
+    place = points(t, "id").distinct()
+    heights = t.groupBy("id").agg(F.max("ch_max").alias("ch_max"))
+    tall = place.join(heights, "id").where(is_finite(F.col("ch_max"))).withColumn("r", eps_of(F.col("ch_max"), 0.1, 0.5, 3.0))
+    inside = radius_join(tall, place).where("left_id <> right_id")
+    return inside.groupBy(F.col("left_id").alias("id")).agg(F.count_distinct("right_id").alias("inside"))
+
+
+def p5_sphere_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of seeds at most 2.6 m apart on the great circle: map coordinates read as UTM zone 4 north, in degrees."""
+    degrees = to_crs(points(table(spark, sf_dir, "seeds"), "id"), "EPSG:32604", "EPSG:4326")
+    return pairs_within(degrees, 2.6, "great_circle").select("left_id", "right_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_filled, p4_left, p4_category, p5_found, p5_seed_neighbours, p5_crowns, p5_sphere_pairs)}
 
 _CURRENT = """WITH cs AS (SELECT DISTINCT s.segment_id, s.raster_id, s.computed_at, s.b0_mean, s.b0_contrast, s.b0_correlation FROM segment_statistics s JOIN (SELECT segment_id, max(computed_at) AS m FROM segment_statistics GROUP BY 1) l ON s.segment_id = l.segment_id AND s.computed_at = l.m),
 u AS (SELECT cs.segment_id, cs.raster_id, CAST(cs.computed_at AT TIME ZONE 'UTC' AS DATE) AS day, f.field_name, CASE WHEN isfinite(f.v) AND (r.nodata IS NULL OR isnan(r.nodata) OR f.v <> r.nodata) THEN f.v END AS v
@@ -74,7 +99,21 @@ _POINT = f"(?i)POINT[ ZM]*[(][ ]*({_NUM}) +({_NUM})"
 _SEEDS = f"s AS (SELECT DISTINCT id, CAST(nullif(regexp_extract(geometry, '{_POINT}', 1), '') AS DOUBLE) AS x, CAST(nullif(regexp_extract(geometry, '{_POINT}', 2), '') AS DOUBLE) AS y FROM seeds)"
 _PAIRS = "sp AS (SELECT a.id AS left_id, b.id AS right_id FROM s a JOIN s b ON a.id < b.id AND b.x BETWEEN a.x - 2.6 AND a.x + 2.6 AND b.y BETWEEN a.y - 2.6 AND a.y + 2.6 WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 2.5 + 1e-9)"
 
+_ETA_XI = " - ".join(["xi", *[f"{b!r} * sin({2 * (j + 1)} * xi) * cosh({2 * (j + 1)} * eta)" for j, b in enumerate(BETA)]]), " - ".join(["eta", *[f"{b!r} * cos({2 * (j + 1)} * xi) * sinh({2 * (j + 1)} * eta)" for j, b in enumerate(BETA)]])
+_LAT = " + ".join(["chi", *[f"{d!r} * sin({2 * (j + 1)} * chi)" for j, d in enumerate(DELTA)]])
+
 SQL = {
+    "p4_category": """WITH k AS (SELECT court, docket, lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY ALL),
+d AS (SELECT court, docket, arg_min(lang, (-n, lang)) AS lang FROM k WHERE court IS NOT NULL AND docket IS NOT NULL GROUP BY 1, 2 HAVING sum(n) >= 2),
+c AS (SELECT court, arg_min(lang, (-n, lang)) AS lang FROM (SELECT court, lang, sum(n) AS n FROM k WHERE court IS NOT NULL GROUP BY 1, 2) GROUP BY 1)
+SELECT x.doc_id, coalesce(d.lang, c.lang) AS lang, coalesce(d.lang, c.lang) IS NOT NULL AS lang_filled, CASE WHEN d.lang IS NOT NULL THEN 0 WHEN c.lang IS NOT NULL THEN 1 END AS lang_level
+FROM documents x LEFT JOIN d ON d.court = x.court AND d.docket = x.docket LEFT JOIN c ON c.court = x.court WHERE x.lang IS NULL""",
+    "p5_crowns": f"""WITH {_SEEDS}, h AS (SELECT id, max(CASE WHEN isnan(ch_max) THEN 'inf'::DOUBLE ELSE ch_max END) AS m FROM seeds GROUP BY 1), q AS (SELECT s.id, x, y, least(greatest(m * 0.1::DOUBLE, 0.5), 3.0) AS r FROM s JOIN h USING (id) WHERE isfinite(m))
+SELECT q.id, count(DISTINCT s.id) AS inside FROM q JOIN s ON s.id <> q.id AND s.x BETWEEN q.x - 3.1 AND q.x + 3.1 AND s.y BETWEEN q.y - 3.1 AND q.y + 3.1 WHERE sqrt((s.x - q.x) * (s.x - q.x) + (s.y - q.y) * (s.y - q.y)) <= q.r + 1e-9 GROUP BY 1""",
+    "p5_sphere_pairs": f"""WITH {_SEEDS}, a AS (SELECT id, x, y, y / {SCALE * RADIUS!r} AS xi, (x - 500000) / {SCALE * RADIUS!r} AS eta FROM s WHERE x IS NOT NULL), b AS (SELECT id, x, y, {_ETA_XI[0]} AS x1, {_ETA_XI[1]} AS e1 FROM a), c AS (SELECT *, asin(sin(x1) / cosh(e1)) AS chi FROM b),
+g AS (SELECT id, x, y, atan(sinh(e1) / cos(x1)) AS lon, {_LAT} AS lat FROM c)
+SELECT DISTINCT p.id AS left_id, q.id AS right_id FROM g p JOIN g q ON p.id < q.id AND q.x BETWEEN p.x - 2.7 AND p.x + 2.7 AND q.y BETWEEN p.y - 2.7 AND p.y + 2.7
+WHERE 2 * {EARTH_RADIUS_M} * asin(sqrt(power(sin((q.lat - p.lat) / 2), 2) + cos(p.lat) * cos(q.lat) * power(sin((q.lon - p.lon) / 2), 2))) <= 2.6 + 1e-9""",
     "p4_found": f"{_CURRENT} SELECT u.segment_id, u.field_name FROM u JOIN k USING (raster_id, field_name) WHERE u.v IS NULL",
     "p4_left": f"{_CURRENT} SELECT u.segment_id, u.field_name FROM u LEFT JOIN k USING (raster_id, field_name) WHERE u.v IS NULL AND k.m IS NULL",
     "p4_filled": f"""{_CURRENT}, z AS (SELECT u.segment_id, u.raster_id, u.field_name, coalesce(u.v, kd.m, k.m) AS v, u.v IS NULL AND k.m IS NOT NULL AS filled, CASE WHEN u.v IS NULL THEN CASE WHEN kd.m IS NOT NULL THEN 0 WHEN k.m IS NOT NULL THEN 1 END END AS level

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.wkt import contains, edges_of, outline, parse_outlines, point_x, point_y
 from gridloom.operators.fill import fill_missing, filled_values
-from gridloom.operators.near import METRICS, VantageTree, outlines, pairs_within, points_in_outlines, radius_join
+from gridloom.operators.near import METRICS, Pivots, VantageTree, outlines, pairs_within, points_in_outlines, radius_join
 
 
 def test_fill_backs_off_and_marks(spark):
@@ -55,6 +55,34 @@ def test_vantage_tree_is_complete():
         assert set(zip(i.tolist(), j.tolist())) == set(zip(*(v.tolist() for v in np.nonzero(d <= r))))
 
 
+def test_two_levels_of_pivots_lose_no_cell():
+    rng = np.random.default_rng(7)
+    for metric, size, most in (("euclidean", 100, 9.0), ("great_circle", 2, 30_000.0)):
+        x, y = rng.random(3000) * size, rng.random(3000) * size
+        pivots = Pivots(rng.random(170) * size, rng.random(170) * size, METRICS[metric])
+        assert len(pivots.head_x) == 13 and pivots.first[-1] == 170
+        row, cell = pivots.cells(x, y)
+        home = dict(zip(row.tolist(), cell.tolist()))
+        assert len(row) == 3000 and len(home) == 3000
+        qx, qy, r = rng.random(60) * size, rng.random(60) * size, rng.random(60) * most
+        visits = set(zip(*(v.tolist() for v in pivots.cells(qx, qy, r))))
+        d = METRICS[metric](qx[:, None], qy[:, None], x[None], y[None])
+        assert all((int(i), home[int(j)]) in visits for i, j in zip(*np.nonzero(d <= r[:, None])))
+        assert len(visits) < 60 * 170 / 3
+
+
+def test_radius_of_each_row(spark, monkeypatch):
+    import gridloom.operators.near as near
+
+    monkeypatch.setattr(near, "CELL_POINTS", 20)
+    rng = np.random.default_rng(8)
+    a, b = rng.random((80, 3)) * (40, 40, 6), rng.random((300, 2)) * 40
+    q = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(a)] + [(900, 1.0, 1.0, -1.0), (901, 1.0, 1.0, None), (902, 1.0, 1.0, float("nan"))], "id long, x double, y double, r double").withColumn("cell", F.lit("clash"))
+    p = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(b)], "id long, x double, y double")
+    d = np.hypot(a[:, None, 0] - b[None, :, 0], a[:, None, 1] - b[None, :, 1])
+    assert {(r.left_id, r.right_id) for r in radius_join(q, p).collect()} == set(zip(*(v.tolist() for v in np.nonzero(d <= a[:, 2:])))) 
+
+
 def test_pairs_within_matches_brute_force(spark, monkeypatch):
     import gridloom.operators.near as near
 
