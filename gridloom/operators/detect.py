@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.common import checkpoint
-from gridloom.operators.graph import components
+from gridloom.common import numbered
+from gridloom.operators.graph import survivors
 from gridloom.operators.spatial import box_join
 
 
@@ -28,33 +28,12 @@ def iou_pairs(boxes: DataFrame, size: float, least: float = 0.0) -> DataFrame:
 
 
 def box_nms(boxes: DataFrame, size: float, threshold: float = 0.5) -> DataFrame:
-    """Greedy suppression in each image: best score first, then least box_id; ``size`` is about that of a large box.
-
-    A box only depends on boxes it overlaps by more than the threshold, so each connected group
-    of such boxes is worked off by itself, however many boxes an image has.
-    """
-    close = iou_pairs(boxes.select("box_id", "image_id", "x0", "y0", "x1", "y1"), size, threshold)
-    groups = components(boxes.select(F.col("box_id").alias("id")), close.select(F.col("box_id").alias("a"), F.col("r_box_id").alias("b")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(["score", "box_id"], ascending=[False, True])
-        b = p[["x0", "y0", "x1", "y1"]].to_numpy(float)
-        area = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-        alive, keep = np.ones(len(b), bool), []
-        for i in range(len(b)):
-            if not alive[i]:
-                continue
-            keep.append(i)
-            w = np.maximum(0, np.minimum(b[i, 2], b[i:, 2]) - np.maximum(b[i, 0], b[i:, 0]))
-            h = np.maximum(0, np.minimum(b[i, 3], b[i:, 3]) - np.maximum(b[i, 1], b[i:, 1]))
-            alive[i:] &= w * h / (area[i] + area[i:] - w * h + 1e-6) <= threshold
-        return p.iloc[keep][["box_id"]]
-
-    grouped = boxes.select("box_id", "score", "x0", "y0", "x1", "y1").join(groups, F.col("box_id") == F.col("id"))
-    alone = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).where("_n = 1")
-    single = grouped.join(alone, "component", "left_semi").select("box_id")
-    crowd = grouped.join(alone, "component", "left_anti").groupBy("component").applyInPandas(run, "box_id long")
-    return boxes.join(single.unionByName(crowd), "box_id", "left_semi")
+    """Greedy suppression in each image: best score first, then least box_id; ``size`` is about that of a large box."""
+    close = iou_pairs(boxes.select("box_id", "image_id", "x0", "y0", "x1", "y1", "score"), size, threshold)
+    first = F.col("score") >= F.col("r_score")  # pairs have box_id < r_box_id
+    edges = close.select(F.when(first, F.col("box_id")).otherwise(F.col("r_box_id")).alias("winner"), F.when(first, F.col("r_box_id")).otherwise(F.col("box_id")).alias("loser"))
+    kept = survivors(boxes.select(F.col("box_id").alias("id")), edges)
+    return boxes.join(kept.select(F.col("id").alias("box_id")), "box_id", "left_semi")
 
 
 def clamp_boxes(boxes: DataFrame, row0: Column, col0: Column, height: Column, width: Column) -> DataFrame:
@@ -142,10 +121,10 @@ def collate(samples: DataFrame, batch: int) -> DataFrame:
     return numbered.withColumn("_n", F.floor(rank / batch)).groupBy("_b", "_n").agg(F.sort_array(F.collect_list(F.struct("image_id", "target"))).alias("_s")).select(F.col("_s.image_id").alias("images"), F.col("_s.target").alias("targets"))
 
 
-def predict(images: DataFrame, model: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], threshold: float = 0.5) -> DataFrame:
-    """image_id, x0, y0, x1, y1, score, label from a user's model.
+def predict(images: DataFrame, model: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], threshold: float = 0.5, keys: list[str] = ["image_id"]) -> DataFrame:
+    """keys, x0, y0, x1, y1, score, label from a user's model.
 
-    ``images``: image_id, height, width, bands, pixels (array<double>, row by row, bands last).
+    ``images``: keys, height, width, bands, pixels (array<double>, row by row, bands last).
     Values are scaled by the image's minimum and maximum to 0..1 before the model sees (bands, h, w).
     """
 
@@ -156,14 +135,15 @@ def predict(images: DataFrame, model: Callable[[np.ndarray], tuple[np.ndarray, n
                 a = np.asarray(r.pixels, float).reshape(r.height, r.width, r.bands)
                 a = (a - a.min()) / (a.max() - a.min() + 1e-8) if a.size else a
                 boxes, scores, labels = model(np.moveaxis(a, -1, 0))
-                out += [(r.image_id, *map(float, b), float(s), int(k)) for b, s, k in zip(boxes, scores, labels) if s >= threshold]
-            yield pd.DataFrame(out, columns=["image_id", "x0", "y0", "x1", "y1", "score", "label"])
+                out += [(*(getattr(r, c) for c in keys), *map(float, b), float(s), int(k)) for b, s, k in zip(boxes, scores, labels) if s >= threshold]
+            yield pd.DataFrame(out, columns=[*keys, "x0", "y0", "x1", "y1", "score", "label"])
 
-    return images.mapInPandas(run, "image_id long, x0 double, y0 double, x1 double, y1 double, score double, label int")
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in images.select(*keys).schema)
+    return images.mapInPandas(run, names + ", x0 double, y0 double, x1 double, y1 double, score double, label int")
 
 
 def patch_arrays(px: DataFrame, size: int, overlap: int = 0) -> DataFrame:
-    """image_id, raster_id, row0, col0, height, width, bands, pixels: overlapping square patches of a long relation with ``band``.
+    """raster_id, row0, col0, height, width, bands, pixels: overlapping square patches of a long relation with ``band``.
 
     Patches step by ``size - overlap`` from the upper left; pixels are row by row, bands last, and
     cells without a value are 0.  A patch is bounded by its size.
@@ -180,14 +160,13 @@ def patch_arrays(px: DataFrame, size: int, overlap: int = 0) -> DataFrame:
     keys = ["raster_id", "row0", "col0", "height", "width", "bands"]
     g = d.where("v is not null").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(at.alias("k"), "v"))).alias("_m"))
     filled = F.transform(F.sequence(F.lit(0), F.col("height") * F.col("width") * F.col("bands") - 1), lambda k: F.coalesce(F.element_at("_m", k), F.lit(0.0)))
-    return g.select(F.xxhash64("raster_id", "row0", "col0").alias("image_id"), *keys, filled.alias("pixels"))
+    return g.select(*keys, filled.alias("pixels"))
 
 
 def predict_patches(px: DataFrame, model: Callable, size: int, overlap: int, threshold: float = 0.5, nms: float = 0.15) -> DataFrame:
     """raster_id, x0, y0, x1, y1, score, label in raster pixels: a model run over overlapping patches, doubles suppressed across them."""
     patches = patch_arrays(px, size, overlap)
-    found = predict(patches.select("image_id", "height", "width", "bands", "pixels"), model, threshold)
-    moved = found.join(patches.select("image_id", "raster_id", "row0", "col0"), "image_id")
-    boxes = moved.select(F.col("raster_id").alias("image_id"), *[(F.col(c) + F.col("col0" if c[0] == "x" else "row0")).alias(c) for c in ("x0", "y0", "x1", "y1")], "score", "label").distinct()
-    boxes = checkpoint(boxes.withColumn("box_id", F.xxhash64("image_id", "x0", "y0", "x1", "y1", "score", "label")))
+    found = predict(patches.select("raster_id", "row0", "col0", "height", "width", "bands", "pixels"), model, threshold, ["raster_id", "row0", "col0"])
+    fields = [F.col("raster_id").alias("image_id"), *[(F.col(c) + F.col("col0" if c[0] == "x" else "row0")).alias(c) for c in ("x0", "y0", "x1", "y1")], "score", "label"]
+    boxes = numbered(found.select(*fields).distinct(), ["image_id", "x0", "y0", "x1", "y1", "score", "label"], "box_id")
     return box_nms(boxes, float(size), nms).withColumnRenamed("image_id", "raster_id").drop("box_id")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.operators.graph import components
+from gridloom.common import checkpoint
+from gridloom.operators.graph import components, survivors
 from gridloom.operators.neighbours import gaussian, local_maxima
 from gridloom.operators.spatial import neighbours
 
@@ -26,19 +25,20 @@ def eps_of(height: Column, scale: float, low: float, high: float) -> Column:
     return F.least(F.greatest(height * scale, F.lit(float(low))), F.lit(float(high)))
 
 
-def effective_distance(pairs: DataFrame, cost: DataFrame, height: int, width: int, weight: float = 0.5, xy_thresh: float = 0.8, samples: int = 12, nodata_cost: float = 1.0) -> DataFrame:
-    """id, other, d_eff: d (1 + weight * mean cost of ``samples`` inner points of the line).
+def effective_distance(pairs: DataFrame, cost: DataFrame, height: int, width: int, weight: float = 0.5, xy_thresh: float = 0.8, samples: int = 12, nodata_cost: float = 1.0, keys: list[str] = []) -> DataFrame:
+    """keys, id, other, d_eff: d (1 + weight * mean cost of ``samples`` inner points of the line).
 
     Pairs at most ``xy_thresh`` apart, or any with weight 0, keep d; coincident ones have 0.  A
     point takes the nearest cell, clamped to the raster; a missing cost counts ``nodata_cost``.
+    ``keys`` (as raster_id) tie pairs to the costs of their own raster.
     """
     far = pairs.where((F.col("d") > xy_thresh) & (F.lit(weight) != 0))
-    near = pairs.where(~((F.col("d") > xy_thresh) & (F.lit(weight) != 0))).select("id", "other", F.col("d").alias("d_eff"))
+    near = pairs.where(~((F.col("d") > xy_thresh) & (F.lit(weight) != 0))).select(*keys, "id", "other", F.col("d").alias("d_eff"))
     t = F.col("k") / F.lit(float(samples + 1))
     cell = lambda p, q, n: F.least(F.greatest(F.bround(F.col(p) + t * (F.col(q) - F.col(p))), F.lit(0)), F.lit(n - 1)).cast("int")
-    steps = far.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(samples)))).select("id", "other", "d", cell("y", "oy", height).alias("row"), cell("x", "ox", width).alias("col"))
-    mean = steps.join(cost.select("row", "col", "cost"), ["row", "col"], "left").groupBy("id", "other").agg(F.max("d").alias("d"), F.avg(F.coalesce("cost", F.lit(float(nodata_cost)))).alias("_c"))
-    return mean.select("id", "other", (F.col("d") * (1 + weight * F.col("_c"))).alias("d_eff")).unionByName(near)
+    steps = far.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(samples)))).select(*keys, "id", "other", "d", cell("y", "oy", height).alias("row"), cell("x", "ox", width).alias("col"))
+    mean = steps.join(cost.select(*keys, "row", "col", "cost"), [*keys, "row", "col"], "left").groupBy(*keys, "id", "other").agg(F.max("d").alias("d"), F.avg(F.coalesce("cost", F.lit(float(nodata_cost)))).alias("_c"))
+    return mean.select(*keys, "id", "other", (F.col("d") * (1 + weight * F.col("_c"))).alias("d_eff")).unionByName(near)
 
 
 def cluster(seeds: DataFrame, edges: DataFrame) -> DataFrame:
@@ -82,62 +82,49 @@ def nms_coded(seeds: DataFrame, base: float, scale: float, keys: list[str], max_
 def nms_greedy(seeds: DataFrame, base: float, scale: float, key: str, max_radius: float) -> DataFrame:
     """The tallest seed of a cluster removes those within its radius, then the next tallest that is left, and so on.
 
-    ``max_radius`` bounds all radii.  Seeds farther apart than that don't matter to each other, so
-    each connected group within it is worked off by itself, whatever the size of the cluster.
+    Ties go to the smaller id.  ``max_radius`` bounds all radii and sizes the cells of the join.
     """
     if base <= 0 and scale <= 0:
         return seeds
-    close = neighbours(seeds, max_radius, [key]).where(F.col(key) == F.col(f"o_{key}"))
-    groups = components(seeds, close.select(F.col("id").alias("a"), F.col("other").alias("b")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(["height", "id"], ascending=[False, True])
-        x, y, h = p.x.to_numpy(), p.y.to_numpy(), p.height.to_numpy()
-        alive, keep = np.ones(len(p), bool), []
-        for i in range(len(p)):
-            if alive[i]:
-                keep.append(i)
-                alive &= np.hypot(x - x[i], y - y[i]) > max(base, scale * h[i])
-        return p.iloc[keep][["id"]]
-
-    kept = seeds.select("id", "x", "y", "height").join(groups, "id").groupBy("component").applyInPandas(run, "id long")
-    return seeds.join(kept, "id", "left_semi")
+    close = neighbours(seeds, max_radius, ["height", key]).where(F.col(key) == F.col(f"o_{key}"))
+    first = F.col("height") >= F.col("o_height")  # pairs have id < other
+    winner, loser = F.when(first, F.col("id")).otherwise(F.col("other")), F.when(first, F.col("other")).otherwise(F.col("id"))
+    radius = F.greatest(F.lit(float(base)), F.greatest("height", "o_height") * scale)
+    return survivors(seeds, close.where(F.col("d") <= radius).select(winner.alias("winner"), loser.alias("loser")))
 
 
 def ball_clusters(seeds: DataFrame, eps_scale: float = 0.4, min_eps: float = 2, max_eps: float = 8, z_thresh: float = -1, min_samples: int = 2) -> DataFrame:
     """``cluster1``: greedy balls in id order; a ball of enough seeds takes them all, also those taken before; null without one.
 
-    The order matters only among seeds that reach each other, so each connected group at the
-    greatest radius is worked off by itself.  Numbers are the id of the seed whose ball it was.
+    A seed opens a ball unless an earlier ball took it.  Which balls are large and flat enough is
+    known beforehand, so the order is a greedy suppression by id, and a seed belongs to the last
+    ball that holds it.  Numbers are the id of the seed whose ball it was.
     """
-    groups = cluster(seeds, neighbours(seeds, max_eps))
-    schema = groups.schema.simpleString()[7:-1].replace(":", " ") + ", cluster1 bigint"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("id").reset_index(drop=True)
-        x, y, h, ids = p.x.to_numpy(), p.y.to_numpy(), p.height.to_numpy(), p.id.to_numpy()
-        taken = np.full(len(p), -1, dtype=np.int64)
-        for i in range(len(p)):
-            if taken[i] != -1:
-                continue
-            ball = np.hypot(x - x[i], y - y[i]) <= min(max(eps_scale * h[i], min_eps), max_eps)
-            if z_thresh >= 0 and np.ptp(h[ball]) > z_thresh:
-                continue
-            if ball.sum() >= min_samples:
-                taken[ball] = ids[i]
-        return p.assign(cluster1=pd.array(taken, dtype="Int64")).assign(cluster1=lambda d: d.cluster1.where(d.cluster1 != -1))
-
-    return groups.groupBy("root").applyInPandas(run, schema)
-
-
-def canonical_seeds(chm: DataFrame, density: DataFrame, cost: DataFrame, height: int, width: int, merge_radius: float = 1.5, cost_weight: float = 0.5, xy_thresh: float = 0.8, dz_merge: float = 0, max_per_cluster: int = 0, nms_base: float = 0, nms_scale: float = 0) -> DataFrame:
+    pairs = neighbours(seeds, max_eps, ["height"])
+    turned = pairs.select(F.col("other").alias("id"), F.col("id").alias("other"), "d", F.col("o_height").alias("height"), F.col("height").alias("o_height"))
+    own = seeds.select("id", F.col("id").alias("other"), F.lit(0.0).alias("d"), "height", F.col("height").alias("o_height"))
+    held = pairs.select("id", "other", "d", "height", "o_height").unionByName(turned).unionByName(own).where(F.col("d") <= eps_of(F.col("height"), eps_scale, min_eps, max_eps))
+    held = checkpoint(held.select("id", "other", "o_height"))
+    fits = held.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), (F.max("o_height") - F.min("o_height")).alias("_span")).where(F.col("_n") >= min_samples)
+    if z_thresh >= 0:
+        fits = fits.where(F.col("_span") <= z_thresh)
+    balls = held.join(fits.select("id"), "id")
+    centres = survivors(seeds.select("id"), balls.where("other > id").select(F.col("id").alias("winner"), F.col("other").alias("loser")))
+    last = balls.join(centres, "id").groupBy(F.col("other").alias("_o")).agg(F.max("id").alias("cluster1"))
+    return seeds.join(last, F.col("id") == F.col("_o"), "left").drop("_o")
+
+
+def canonical_seeds(chm: DataFrame, density: DataFrame, cost: DataFrame, height: int, width: int, merge_radius: float = 1.5, cost_weight: float = 0.5, xy_thresh: float = 0.8, dz_merge: float = 0, max_per_cluster: int = 0, nms_base: float = 0, nms_scale: float = 0, keys: list[str] = []) -> DataFrame:
     """Both detectors' seeds (id, x, y, height) merged: clusters of effective distance, split, trimmed, suppressed.
 
     Since the effective distance is never below the plain one, only pairs within
-    ``merge_radius`` are looked at.
+    ``merge_radius`` are looked at, and only those of the same ``keys`` (as raster_id).
     """
     seeds = chm.withColumn("origin", F.lit("chm")).unionByName(density.withColumn("origin", F.lit("density")))
-    d = effective_distance(neighbours(seeds, merge_radius), cost, height, width, cost_weight, xy_thresh)
+    close = neighbours(seeds, merge_radius, keys)
+    for k in keys:
+        close = close.where(F.col(k) == F.col(f"o_{k}"))
+    d = effective_distance(close, cost, height, width, cost_weight, xy_thresh, keys=keys)
     grouped = cluster(seeds, d.where(F.col("d_eff") <= merge_radius))
     grouped = median_split(grouped, dz_merge) if dz_merge > 0 else grouped.withColumn("part", F.lit(0))
     kept = top_k(grouped, max_per_cluster, ["root", "part"])

@@ -22,7 +22,7 @@ def slic(px: DataFrame, bands: list[str], n_segments: int, compactness: float =
     cells around its own, pixels meet the centres of their cell, and the nearest wins; a pixel
     that meets none keeps its label, at first that of its own cell.  New centres are map-side
     means.  Pixels outside a mask are simply absent, and pixels with a null band get no label.
-    Labels are centre numbers, to be cut into connected regions.
+    Labels are centre numbers; ``enforce_connectivity`` cuts them into connected regions.
     """
     if n_segments < 1:
         raise ValueError("n_segments must be at least 1")
@@ -82,7 +82,8 @@ def quickshift(px: DataFrame, bands: list[str], kernel_size: float = 5.0, max_di
     """raster_id, row, col, label: each pixel linked to the nearest one of higher density within max_dist (Vedaldi and Soatto, 2008).
 
     Density and links are dense kernels on tiles; trees of links become labels by connected
-    components.  Ties in density go to the pixel that comes first by row and column.
+    components: the least pixel number of the tree within its raster.  Ties in density go to the pixel
+    that comes first by row and column.
     """
     reach = int(math.ceil(3 * kernel_size))
 
@@ -117,10 +118,11 @@ def quickshift(px: DataFrame, bands: list[str], kernel_size: float = 5.0, max_di
     d = checkpoint(tile_kernel(px, reach, density, mode="nan", value=bands, out="density"))
     links = tile_kernel(d.join(px.select("raster_id", "row", "col", *bands), ["raster_id", "row", "col"]), link_reach, link, mode="nan", value=["density", *bands], out="to")
     code = F.col("to").cast("int")
-    parent = links.join(width, "raster_id").withColumn("id", F.struct("raster_id", (F.col("row").cast("long") * F.col("_w") + F.col("col")).alias("p"))).withColumn("up", F.when(F.col("to").isNotNull(), F.struct("raster_id", ((F.col("row") + (code / side).cast("int") - link_reach).cast("long") * F.col("_w") + F.col("col") + F.pmod(code, F.lit(side)) - link_reach).alias("p"))))
-    parent = checkpoint(parent.select("raster_id", "row", "col", F.xxhash64("id.raster_id", "id.p").alias("id"), F.xxhash64("up.raster_id", "up.p").alias("up_id"), F.col("up").isNotNull().alias("has_up")))
-    roots = components(parent.select("id"), parent.where("has_up").select(F.col("id").alias("a"), F.col("up_id").alias("b")))
-    return parent.join(roots, "id").select("raster_id", "row", "col", F.col("component").alias("label"))
+    own = F.col("row").cast("long") * F.col("_w") + F.col("col")
+    up = (F.col("row") + (code / side).cast("int") - link_reach).cast("long") * F.col("_w") + F.col("col") + F.pmod(code, F.lit(side)) - link_reach
+    parent = checkpoint(links.join(width, "raster_id").select("raster_id", "row", "col", own.alias("id"), F.when(F.col("to").isNotNull(), up).alias("up")))
+    roots = components(parent.select("raster_id", "id"), parent.select("raster_id", F.col("id").alias("a"), F.col("up").alias("b")), keys=["raster_id"])
+    return parent.join(roots, ["raster_id", "id"]).select("raster_id", "row", "col", F.col("component").alias("label"))
 
 
 def _local_regions(label: np.ndarray) -> np.ndarray:
@@ -165,15 +167,40 @@ def connected_regions(labels: DataFrame, label: str = "label", tile: int = TILE)
     tw = F.least(F.lit(tile), F.col("_w") - tc * tile)
     first = (tr * tile + F.floor(F.col("_o") / tw)).cast("long") * F.col("_w") + tc * tile + F.pmod(F.col("_o").cast("long"), tw.cast("long"))
     pieces = checkpoint(j.select("raster_id", "row", "col", "label", first.cast("long").alias("piece")))
-    key = lambda r, p: F.xxhash64(r, p)
-    down = pieces.where(F.pmod(F.col("row") + 1, F.lit(tile)) == 0).select("raster_id", (F.col("row") + 1).alias("row"), "col", "label", F.col("piece").alias("other"))
-    right = pieces.where(F.pmod(F.col("col") + 1, F.lit(tile)) == 0).select("raster_id", "row", (F.col("col") + 1).alias("col"), "label", F.col("piece").alias("other"))
-    seams = pieces.join(down.unionByName(right), ["raster_id", "row", "col", "label"]).select(key("raster_id", "piece").alias("a"), key("raster_id", "other").alias("b")).distinct()
-    ids = pieces.select("raster_id", "piece").distinct().withColumn("id", key("raster_id", "piece"))
-    merged = components(ids.select("id"), seams)
-    named = ids.join(merged, "id")
-    least = named.groupBy("component").agg(F.min("piece").alias("region"))
-    return pieces.join(named.join(least, "component").select("raster_id", "piece", "region"), ["raster_id", "piece"]).select("raster_id", "row", "col", "label", "region")
+    down = pieces.where(F.pmod(F.col("row") + 1, F.lit(tile)) == 0).select("raster_id", (F.col("row") + 1).alias("row"), "col", "label", F.col("piece").alias("b"))
+    right = pieces.where(F.pmod(F.col("col") + 1, F.lit(tile)) == 0).select("raster_id", "row", (F.col("col") + 1).alias("col"), "label", F.col("piece").alias("b"))
+    seams = pieces.join(down.unionByName(right), ["raster_id", "row", "col", "label"]).select("raster_id", F.col("piece").alias("a"), "b").distinct()
+    merged = components(pieces.select("raster_id", F.col("piece").alias("id")), seams, keys=["raster_id"])
+    return pieces.join(merged.select("raster_id", F.col("id").alias("piece"), F.col("component").alias("region")), ["raster_id", "piece"]).select("raster_id", "row", "col", "label", "region")
+
+
+def merge_small(regions: DataFrame, least: int) -> DataFrame:
+    """raster_id, row, col, region: regions of fewer than ``least`` pixels joined to a neighbour.
+
+    A small region goes to the neighbour with the most pixels (then the least number).  Small ones
+    that point at each other end in one region, and two large ones never do.  This is repeated
+    until no small region has a neighbour.
+    """
+    current = checkpoint(regions.select("raster_id", "row", "col", "region"))
+    while True:
+        sizes = checkpoint(current.groupBy("raster_id", "region").agg(F.count(F.lit(1)).alias("n")))
+        small = sizes.where(F.col("n") < least).select("raster_id", "region")
+        if small.limit(1).count() == 0:
+            return current
+        steps = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ((-1, 0), (1, 0), (0, -1), (0, 1))]))
+        around = current.join(small, ["raster_id", "region"]).withColumn("_s", steps).select("raster_id", "region", (F.col("row") + F.col("_s.r")).alias("row"), (F.col("col") + F.col("_s.c")).alias("col"))
+        met = around.join(current.select("raster_id", "row", "col", F.col("region").alias("b")), ["raster_id", "row", "col"]).where("b <> region").select("raster_id", "region", "b").distinct()
+        to = met.join(sizes.select("raster_id", F.col("region").alias("b"), "n"), ["raster_id", "b"]).groupBy("raster_id", F.col("region").alias("a")).agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
+        to = checkpoint(to)
+        if to.limit(1).count() == 0:
+            return current
+        merged = components(sizes.select("raster_id", F.col("region").alias("id")), to, keys=["raster_id"]).select("raster_id", F.col("id").alias("region"), "component")
+        current = checkpoint(current.join(merged, ["raster_id", "region"]).select("raster_id", "row", "col", F.col("component").alias("region")))
+
+
+def enforce_connectivity(labels: DataFrame, least: int) -> DataFrame:
+    """raster_id, row, col, region: labels cut into connected regions, those below ``least`` pixels merged into neighbours."""
+    return merge_small(connected_regions(labels), least)
 
 
 def outlines_wkt(regions: DataFrame, gt: tuple[float, ...] = (1, 0, 0, 0, 1, 0)) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.wkt import contains, edges_of
+from gridloom.operators.raster import map_to_pixel
 
 
 #: Cells of an outline that are tested, or of several that are returned, at once.
@@ -125,10 +126,14 @@ def pixels_of_outlines(shapes: DataFrame, cell: float, x0: float = 0.0, y0: floa
     return shapes.select("id", "outline").mapInPandas(run, "id long, row int, col int")
 
 
-def sample_raster(points: DataFrame, px: DataFrame, value: str = "v", out: str = "sampled") -> DataFrame:
-    """Points with the value of the cell that holds them; points off the raster or on missing cells are dropped."""
-    p = points.withColumn("row", F.floor("y").cast("int")).withColumn("col", F.floor("x").cast("int"))
-    return p.join(px.select("row", "col", F.col(value).alias(out)).where(F.col(out).isNotNull()), ["row", "col"])
+def sample_raster(points: DataFrame, px: DataFrame, gt: tuple[float, ...] = (1, 0, 0, 0, 1, 0), value: str = "v", out: str = "sampled", keys: list[str] = ["raster_id"]) -> DataFrame:
+    """Points (id, x, y, raster_id) with the value of the cell of their raster that holds them, by the affine ``gt``.
+
+    Points off the raster or on missing cells are dropped.
+    """
+    row, col = map_to_pixel(F.col("x"), F.col("y"), gt)
+    p = points.withColumn("row", row).withColumn("col", col)
+    return p.join(px.select(*keys, "row", "col", F.col(value).alias(out)).where(F.col(out).isNotNull()), [*keys, "row", "col"])
 
 
 def overlap_area(b: str = "r_") -> Column:

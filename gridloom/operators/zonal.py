@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ SPECTRAL = ("mean", "variance", "min", "max", "skewness", "kurtosis")
 TEXTURAL = ("contrast", "dissimilarity", "homogeneity", "ASM", "energy", "correlation")
 #: Offsets (row, col) of a distance of 2 pixels at 0, 45, 90 and 135 degrees.
 OFFSETS = ((0, 2), (1, 1), (2, 0), (1, -1))
+#: Side of a tile, and rows and box cells worked off at once in a task.
+TILE, ROWS_AT_ONCE, CELLS_AT_ONCE = 256, 200_000, 2_000_000
 
 
 def feature_columns(bands: list[int], spectral: tuple[str, ...] = SPECTRAL, textural_bands: list[int] | None = None, textural: tuple[str, ...] = ()) -> list[str]:
@@ -45,52 +50,124 @@ def structural_stats(*_args, **_kw):
     raise NotImplementedError("structural statistics of point clouds are not defined")
 
 
-def quantise(px: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
-    """keys, row, col, q: values of each segment's bounding box scaled to 0..255 and truncated.
-
-    Pixels of the box that belong to no row, or are null, take part as 0; a constant box is 0.
+def _levels(v: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Values scaled to 0..255 and truncated; 0 where low = high."""
+    span = high - low
+    return np.where(span == 0, 0, (v - low) / np.where(span == 0, 1, span) * 255).astype(np.int64)
+
+
+def _count_pairs(g: int, boxes: pd.DataFrame, px: pd.DataFrame, own: np.ndarray, tile: int) -> tuple[np.ndarray, ...]:
+    """(box number, angle, lower level, higher level, number) of the pairs that begin in each box's own tile."""
+    get = lambda c: boxes[c].to_numpy().astype(np.int64)
+    tr, tc, r1, c1 = get("_tr") * tile, get("_tc") * tile, get("_r1"), get("_c1")
+    top, left = np.maximum(get("_r0"), tr), np.maximum(get("_c0"), tc)
+    rows, cols = np.minimum(r1, tr + tile - 1) - top + 1, np.minimum(c1, tc + tile - 1) - left + 1
+    first = np.maximum(get("_c0"), left - 1)  # with the column before, for the last angle
+    height, width = np.minimum(r1, top + rows + 1) - top + 1, np.minimum(c1, left + cols + 1) - first + 1
+    base = np.r_[0, np.cumsum(height * width)]
+    low, high = boxes["_a"].to_numpy(float), boxes["_b"].to_numpy(float)
+    box = np.repeat(np.arange(g), height * width)
+    q = _levels(np.zeros(g), low, high)[box]
+    r, c = px.row.to_numpy().astype(np.int64) - top[own], px.col.to_numpy().astype(np.int64) - first[own]
+    inside = (r >= 0) & (r < height[own]) & (c >= 0) & (c < width[own])
+    q[(base[own] + r * width[own] + c)[inside]] = _levels(px._v.to_numpy(float), low[own], high[own])[inside]
+    at = np.arange(base[-1]) - base[box]
+    r, c = at // width[box], at % width[box]
+    lead = (left - first)[box]
+    begins = (r < rows[box]) & (c >= lead) & (c < lead + cols[box])
+    out = []
+    for angle, (dr, dc) in enumerate(OFFSETS):
+        ok = np.flatnonzero(begins & (r + dr < height[box]) & (c + dc >= 0) & (c + dc < width[box]))
+        i, j = q[ok], q[ok + dr * width[box[ok]] + dc]
+        out.append(((box[ok] * 4 + angle) * 256 + np.minimum(i, j)) * 256 + np.maximum(i, j))
+    code, n = np.unique(np.concatenate(out), return_counts=True)
+    return code >> 18, code >> 16 & 3, code >> 8 & 255, code & 255, n
+
+
+def cooccurrence(px: DataFrame, keys: list[str], value: str = "v", tile: int = TILE) -> DataFrame:
+    """keys, angle, i, j, n: pairs of levels i <= j at each angle in the bounding box of each segment.
+
+    Pixels of the box that belong to no row, or are null, take part as 0, and values of a box are
+    scaled to 0..255 and truncated; a constant box is 0.  Boxes are parted into tiles, to which
+    pixels go once (near a tile's border, up to four times); the pairs of many boxes are counted
+    together in arrays, so a task holds a bounded number of cells whatever a segment's size.
     """
-    box = px.groupBy(*keys).agg(F.min("row").alias("_r0"), F.max("row").alias("_r1"), F.min("col").alias("_c0"), F.max("col").alias("_c1"), F.count(value).alias("_known"), F.min(F.col(value).cast("double")).alias("_a"), F.max(F.col(value).cast("double")).alias("_b"))
-    area = (F.col("_r1") - F.col("_r0") + 1) * (F.col("_c1") - F.col("_c0") + 1)
-    box = box.where("_known > 0").withColumn("_full", area == F.col("_known"))
-    box = box.withColumn("_a", F.when(F.col("_full"), F.col("_a")).otherwise(F.least("_a", F.lit(0.0)))).withColumn("_b", F.when(F.col("_full"), F.col("_b")).otherwise(F.greatest("_b", F.lit(0.0))))
-    grid = box.withColumn("row", F.explode(F.sequence("_r0", "_r1"))).withColumn("col", F.explode(F.sequence("_c0", "_c1")))
-    cells = grid.join(px.select(*keys, "row", "col", F.col(value).cast("double").alias("_v")), [*keys, "row", "col"], "left")
-    q = F.when(F.col("_a") == F.col("_b"), 0).otherwise(((F.coalesce("_v", F.lit(0.0)) - F.col("_a")) / F.when(F.col("_a") != F.col("_b"), F.col("_b") - F.col("_a")) * 255).cast("int"))
-    return cells.select(*keys, "row", "col", q.cast("int").alias("q"))
-
-
-def cooccurrence(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, angle, i, j, p: the sparse symmetric co-occurrence matrix of each group and angle."""
-    offsets = F.explode(F.array(*[F.struct(F.lit(a).alias("angle"), F.lit(r).alias("dr"), F.lit(c).alias("dc")) for a, (r, c) in enumerate(OFFSETS)]))
-    left = cells.select(*keys, F.col("q").alias("i"), "row", "col", offsets.alias("_o")).select(*keys, "i", "_o.angle", (F.col("row") + F.col("_o.dr")).alias("row"), (F.col("col") + F.col("_o.dc")).alias("col"))
-    pairs = left.join(cells.select(*keys, "row", "col", F.col("q").alias("j")), [*keys, "row", "col"]).groupBy(*keys, "angle", "i", "j").agg(F.count(F.lit(1)).alias("n"))
-    both = F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
-    counts = pairs.select(*keys, "angle", "n", both.alias("_p")).groupBy(*keys, "angle", "_p.i", "_p.j").agg(F.sum("n").alias("n"))
-    totals = counts.groupBy(*keys, "angle").agg(F.sum("n").alias("_t"))
-    return counts.join(totals, [*keys, "angle"]).select(*keys, "angle", "i", "j", (F.col("n") / F.col("_t")).alias("p"))
-
-
-def textural_stats(px: DataFrame, keys: list[str] = ["segment_id"], value: str = "v") -> DataFrame:
+    v = F.col(value).cast("double")
+    box = px.groupBy(*keys).agg(F.min("row").alias("_r0"), F.max("row").alias("_r1"), F.min("col").alias("_c0"), F.max("col").alias("_c1"), F.count(value).alias("_known"), F.min(v).alias("_a"), F.max(v).alias("_b")).where("_known > 0")
+    full = (F.col("_r1") - F.col("_r0") + 1).cast("long") * (F.col("_c1") - F.col("_c0") + 1) == F.col("_known")
+    box = box.withColumn("_a", F.when(full, F.col("_a")).otherwise(F.least("_a", F.lit(0.0)))).withColumn("_b", F.when(full, F.col("_b")).otherwise(F.greatest("_b", F.lit(0.0)))).drop("_known")
+    span = lambda low, high: F.explode(F.sequence(F.expr(f"int({low} div {tile})"), F.expr(f"int({high} div {tile})")))
+    tiles = box.withColumn("_tr", span("_r0", "_r1")).withColumn("_tc", span("_c0", "_c1"))
+    # a pixel is wanted by its own tile, and by those whose pairs may end on it
+    cells = px.where(F.col(value).isNotNull()).select(*keys, "row", "col", v.alias("_v")).withColumn("_tr", span("greatest(row - 2, 0)", "row")).withColumn("_tc", span("greatest(col - 2, 0)", "(col + 1)"))
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    parts = [*keys, "_tr", "_tc"]
+    rows = tiles.select(*parts, none("row", "int"), none("col", "int"), none("_v", "double"), *[F.col(c).cast("int").alias(c) for c in ("_r0", "_r1", "_c0", "_c1")], "_a", "_b").unionByName(
+        cells.select(*parts, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "_v"), allowMissingColumns=True
+    )
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in px.select(*keys).schema) + ", angle int, i int, j int, n long"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def work(df: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            group = df.groupby(parts, sort=False, dropna=False).ngroup().to_numpy()
+            marks = df["_r0"].notna().to_numpy()
+            boxes, place = df[marks], np.full(group.max() + 1, -1)
+            place[group[marks]] = np.arange(len(boxes))
+            own = place[group]
+            cell = ~marks & (own >= 0)
+            px, own = df[cell], own[cell]
+            area = np.cumsum(((boxes._r1 - boxes._r0 + 1).clip(upper=tile + 2) * (boxes._c1 - boxes._c0 + 1).clip(upper=tile + 3)).to_numpy())
+            a = 0
+            while a < len(boxes):
+                b = max(a + 1, int(np.searchsorted(area, (area[a - 1] if a else 0) + CELLS_AT_ONCE)))
+                some = (own >= a) & (own < b)
+                box, angle, i, j, n = _count_pairs(b - a, boxes.iloc[a:b], px[some], own[some] - a, tile)
+                part = boxes[keys].iloc[a + box].reset_index(drop=True)
+                yield part.assign(angle=angle, i=i, j=j, n=n)
+                a = b
+
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= ROWS_AT_ONCE:
+                df = pd.concat(held, ignore_index=True)
+                last = df[parts].iloc[-1]
+                same = np.ones(len(df), bool)
+                for c in parts:
+                    same &= (df[c] == last[c]).to_numpy() | (df[c].isna() & pd.isna(last[c])).to_numpy()
+                cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+                if cut:
+                    yield from work(df.iloc[:cut].reset_index(drop=True))
+                held = [df.iloc[cut:]]
+        if held and sum(map(len, held)):
+            yield from work(pd.concat(held, ignore_index=True))
+
+    return rows.repartition(*parts).sortWithinPartitions(*parts).mapInPandas(run, schema)
+
+
+def textural_stats(px: DataFrame, keys: list[str] = ["segment_id"], value: str = "v", tile: int = TILE) -> DataFrame:
     """Six co-occurrence properties, averaged over the angles that have pairs.
 
-    A segment without any known value, or too small for a pair at any angle, has no row.  With
+    The matrix of an angle is symmetric and normalised: a pair of unequal levels is half a pair each
+    way.  A segment without any known value, or too small for a pair at any angle, has no row.  With
     zero spread the correlation is 1.
     """
-    m = cooccurrence(quantise(px, keys, value), keys)
-    d = F.col("i") - F.col("j")
-    sums = m.groupBy(*keys, "angle").agg(
-        F.sum(F.col("p") * d * d).alias("contrast"),
-        F.sum(F.col("p") * F.abs(d)).alias("dissimilarity"),
-        F.sum(F.col("p") / (1 + d * d)).alias("homogeneity"),
-        F.sum(F.col("p") * F.col("p")).alias("ASM"),
-        F.sum(F.col("p") * F.col("i")).alias("_mi"),
-        F.sum(F.col("p") * F.col("i") * F.col("i")).alias("_sq"),
-        F.sum(F.col("p") * F.col("i") * F.col("j")).alias("_ij"),
-    )
-    variance = F.col("_sq") - F.col("_mi") * F.col("_mi")
-    one = sums.withColumn("energy", F.sqrt("ASM")).withColumn("correlation", F.when(variance < 1e-15, 1.0).otherwise((F.col("_ij") - F.col("_mi") * F.col("_mi")) / F.when(variance >= 1e-15, variance)))
-    return one.groupBy(*keys).agg(*[F.avg(s).alias(s) for s in TEXTURAL])
+    # all that follows is by segment: one shuffle of counted pairs, at most 4 x 256 x 257 / 2 a segment and tile
+    m = cooccurrence(px, keys, value, tile).repartition(*keys).groupBy(*keys, "angle", "i", "j").agg(F.sum("n").cast("double").alias("n"))
+    i, j, n = F.col("i"), F.col("j"), F.col("n")
+    d = i - j
+    s = m.groupBy(*keys, "angle").agg(
+        F.sum(n).alias("_n"), F.sum(n * d * d).alias("_d2"), F.sum(n * F.abs(d)).alias("_d1"), F.sum(n / (1 + d * d)).alias("_h"),
+        F.sum(F.when(d == 0, n * n).otherwise(n * n / 2)).alias("_nn"), F.sum(n * (i + j)).alias("_i"), F.sum(n * (i * i + j * j)).alias("_ii"), F.sum(n * i * j).alias("_ij"),
+    )
+    total, mean = F.col("_n"), F.col("_i") / (2 * F.col("_n"))
+    variance = F.col("_ii") / (2 * total) - mean * mean
+    one = s.select(
+        *keys, (F.col("_d2") / total).alias("contrast"), (F.col("_d1") / total).alias("dissimilarity"), (F.col("_h") / total).alias("homogeneity"), (F.col("_nn") / (total * total)).alias("ASM"),
+        F.sqrt(F.col("_nn") / (total * total)).alias("energy"), F.when(variance < 1e-15, 1.0).otherwise((F.col("_ij") / total - mean * mean) / F.when(variance >= 1e-15, variance)).alias("correlation"),
+    )
+    return one.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in TEXTURAL])
 
 
 def create_objects(wide: DataFrame, bands: list[int], textural_bands: list[int] | None = None, spectral: bool = True, textural: bool = True) -> DataFrame:

@@ -43,15 +43,15 @@ def zonal_spectral(spark: SparkSession, d: str) -> DataFrame:
     return r6(zonal.spectral_stats(X.segments(spark, d)), *zonal.SPECTRAL)
 
 
-@query(f"""WITH {X.PX}, {X.PX8} SELECT row // 20 AS segment_id, band, round(avg(v), 6) AS mean, round(var_pop(v), 6) AS variance FROM p8 GROUP BY 1, 2""")
+@query(f"""WITH {X.PX}, {X.PX8} SELECT {X.SQL_STRIP} AS segment_id, band, round(avg(v), 6) AS mean, round(var_pop(v), 6) AS variance FROM p8 GROUP BY 1, 2""")
 def zonal_multiband(spark: SparkSession, d: str) -> DataFrame:
-    px = X.px8(spark, d).withColumn("segment_id", F.expr("int(row div 20)"))
+    px = X.px8(spark, d).withColumn("segment_id", F.expr(X.STRIP))
     return r6(zonal.spectral_stats(px, ["segment_id", "band"], stats=("mean", "variance")), "mean", "variance")
 
 
-@query(f"""WITH {X.W8} SELECT row // 20 AS segment_id, {", ".join(f"round(avg(b{b}), 6) AS b{b}_mean, round(max(b{b}), 6) AS b{b}_max" for b in (0, 3, 7))} FROM w8 GROUP BY 1""")
+@query(f"""WITH {X.W8} SELECT {X.SQL_STRIP} AS segment_id, {", ".join(f"round(avg(b{b}), 6) AS b{b}_mean, round(max(b{b}), 6) AS b{b}_max" for b in (0, 3, 7))} FROM w8 GROUP BY 1""")
 def zonal_wide(spark: SparkSession, d: str) -> DataFrame:
-    out = zonal.spectral_wide(X.wide8(spark, d).withColumn("segment_id", F.expr("int(row div 20)")), [0, 3, 7], ("mean", "max"))
+    out = zonal.spectral_wide(X.wide8(spark, d).withColumn("segment_id", F.expr(X.STRIP)), [0, 3, 7], ("mean", "max"))
     return r6(out, *[c for c in out.columns if c != "segment_id"])
 
 
@@ -85,163 +85,163 @@ _TEXTURE = "avg(contrast) AS b0_contrast, avg(dissimilarity) AS b0_dissimilarity
 _FEATURES = zonal.feature_columns([0, 1], textural_bands=[0], textural=zonal.TEXTURAL)
 
 
-@query(f"""WITH {X.W8}, w AS (SELECT *, row // 20 AS segment_id, avg(b0) OVER (PARTITION BY row // 20) AS m_b0, avg(b1) OVER (PARTITION BY row // 20) AS m_b1 FROM w8), seg AS (SELECT segment_id, row, col, b0 AS v FROM w), {_GLCM_OF},
+@query(f"""WITH {X.W8}, w AS (SELECT *, {X.SQL_STRIP} AS segment_id, avg(b0) OVER (PARTITION BY {X.SQL_STRIP}) AS m_b0, avg(b1) OVER (PARTITION BY {X.SQL_STRIP}) AS m_b1 FROM w8), seg AS (SELECT segment_id, row, col, b0 AS v FROM w), {_GLCM_OF},
 a AS (SELECT segment_id, {_sql_moments("b0")}, {_sql_moments("b1")} FROM w GROUP BY 1), t AS (SELECT segment_id, {_TEXTURE} FROM f GROUP BY 1)
 SELECT segment_id, {", ".join(f'round({c}, 4) + 0.0 AS "{c}"' for c in _FEATURES[1:])} FROM a JOIN t USING (segment_id)""")
 def feature_table(spark: SparkSession, d: str) -> DataFrame:
-    wide = X.wide8(spark, d).withColumn("segment_id", F.expr("int(row div 20)"))
+    wide = X.wide8(spark, d).withColumn("segment_id", F.expr(X.STRIP))
     return r6(zonal.create_objects(wide, [0, 1], [0]).select(*_FEATURES), *_FEATURES[1:], places=4)
 
 
 # Band arithmetic and stretches
 
 
-@query(f"WITH {X.PX}, m AS (SELECT min(v) AS a, max(v) AS b FROM px) SELECT row, col, round((v - a) / (b - a), 6) AS v FROM px, m")
+@query(f"WITH {X.PX}, m AS (SELECT raster_id, min(v) AS a, max(v) AS b FROM px GROUP BY 1) SELECT raster_id, row, col, round((v - a) / (b - a), 6) AS v FROM px JOIN m USING (raster_id)")
 def normalize_band(spark: SparkSession, d: str) -> DataFrame:
-    return r6(raster.normalize_band(X.px1(spark, d)), "v").select("row", "col", "v")
+    return r6(raster.normalize_band(X.px1(spark, d)), "v").select("raster_id", "row", "col", "v")
 
 
-_V8 = "pq AS (SELECT quantile_cont(v, 0.02) AS p, quantile_cont(v, 0.98) AS q FROM px), v8 AS (SELECT row, col, CAST(floor(least(greatest(255 * (v - p) / (q - p), 0), 255)) AS INTEGER) AS v8 FROM px, pq)"
+_V8 = "pq AS (SELECT raster_id, quantile_cont(v, 0.02) AS p, quantile_cont(v, 0.98) AS q FROM px GROUP BY 1), v8 AS (SELECT raster_id, row, col, CAST(floor(least(greatest(255 * (v - p) / (q - p), 0), 255)) AS INTEGER) AS v8 FROM px JOIN pq USING (raster_id))"
 
 
-@query(f"WITH {X.PX}, {_V8} SELECT row, col, v8 FROM v8")
+@query(f"WITH {X.PX}, {_V8} SELECT raster_id, row, col, v8 FROM v8")
 def stretch_8bit(spark: SparkSession, d: str) -> DataFrame:
-    return raster.rescale_to_8bit(X.px1(spark, d)).select("row", "col", "v8")
+    return raster.rescale_to_8bit(X.px1(spark, d)).select("raster_id", "row", "col", "v8")
 
 
-@query(f"WITH {X.W8} SELECT row, col, round(least(greatest((b6 - b4) / (b6 + b4 + 1e-9), -1), 1), 6) + 0.0 AS ndvi FROM w8")
+@query(f"WITH {X.W8} SELECT raster_id, row, col, round(least(greatest((b6 - b4) / (b6 + b4 + 1e-9), -1), 1), 6) + 0.0 AS ndvi FROM w8")
 def ndvi_wide(spark: SparkSession, d: str) -> DataFrame:
-    return r6(X.wide8(spark, d).select("row", "col", raster.ndvi(F.col("b4"), F.col("b6")).alias("ndvi")), "ndvi")
+    return r6(X.wide8(spark, d).select("raster_id", "row", "col", raster.ndvi(F.col("b4"), F.col("b6")).alias("ndvi")), "ndvi")
 
 
-@query(f"WITH {X.PX}, {X.sql_normalise('n', 'px', 'v', 'n')} SELECT row, col, round(n, 6) AS n FROM n")
+@query(f"WITH {X.PX}, {X.sql_normalise('n', 'px', 'v', 'n')} SELECT raster_id, row, col, round(n, 6) AS n FROM n")
 def percentile_normalise(spark: SparkSession, d: str) -> DataFrame:
-    return r6(raster.percentile_normalise(X.px1(spark, d)), "n").select("row", "col", "n")
+    return r6(raster.percentile_normalise(X.px1(spark, d)), "n").select("raster_id", "row", "col", "n")
 
 
-@query(f"WITH {X.W8} SELECT row, col, round(0.299 * b1 + 0.587 * b2 + 0.114 * b4, 6) + 0.0 AS gray FROM w8")
+@query(f"WITH {X.W8} SELECT raster_id, row, col, round(0.299 * b1 + 0.587 * b2 + 0.114 * b4, 6) + 0.0 AS gray FROM w8")
 def rgb_to_gray(spark: SparkSession, d: str) -> DataFrame:
-    return r6(X.wide8(spark, d).select("row", "col", raster.gray(F.col("b1"), F.col("b2"), F.col("b4")).alias("gray")), "gray")
+    return r6(X.wide8(spark, d).select("raster_id", "row", "col", raster.gray(F.col("b1"), F.col("b2"), F.col("b4")).alias("gray")), "gray")
 
 
-@query(f"WITH {X.PX}, {X.PX8}, m AS (SELECT min(v) AS a, max(v) AS b FROM p8) SELECT row, col, band, CAST(floor((v - a) / (b - a + 1e-8) * 255) AS INTEGER) AS u8 FROM p8, m")
+@query(f"WITH {X.PX}, {X.PX8}, m AS (SELECT raster_id, min(v) AS a, max(v) AS b FROM p8 GROUP BY 1) SELECT raster_id, row, col, band, CAST(floor((v - a) / (b - a + 1e-8) * 255) AS INTEGER) AS u8 FROM p8 JOIN m USING (raster_id)")
 def detection_minmax(spark: SparkSession, d: str) -> DataFrame:
-    return raster.minmax_8bit(X.px8(spark, d), ["raster_id"]).select("row", "col", "band", "u8")
+    return raster.minmax_8bit(X.px8(spark, d), ["raster_id"]).select("raster_id", "row", "col", "band", "u8")
 
 
-@query(f"""WITH {X.PX}, {_V8}, h AS (SELECT v8, count(*) AS c FROM v8 GROUP BY 1), k AS (SELECT v8, sum(c) OVER (ORDER BY v8) AS cdf FROM h), t AS (SELECT min(cdf) AS lo, max(cdf) AS n FROM k)
-SELECT row, col, CAST(CASE WHEN n = lo THEN v8 ELSE round_even((cdf - lo) / (n - lo)::DOUBLE * 255, 0) END AS INTEGER) AS equalized FROM v8 JOIN k USING (v8), t""")
+@query(f"""WITH {X.PX}, {_V8}, h AS (SELECT raster_id, v8, count(*) AS c FROM v8 GROUP BY 1, 2), k AS (SELECT raster_id, v8, sum(c) OVER (PARTITION BY raster_id ORDER BY v8) AS cdf FROM h), t AS (SELECT raster_id, min(cdf) AS lo, max(cdf) AS n FROM k GROUP BY 1)
+SELECT raster_id, row, col, CAST(CASE WHEN n = lo THEN v8 ELSE round_even((cdf - lo) / (n - lo)::DOUBLE * 255, 0) END AS INTEGER) AS equalized FROM v8 JOIN k USING (raster_id, v8) JOIN t USING (raster_id)""")
 def equalize_hist(spark: SparkSession, d: str) -> DataFrame:
-    return raster.equalize(raster.rescale_to_8bit(X.px1(spark, d)), "v8").select("row", "col", "equalized")
+    return raster.equalize(raster.rescale_to_8bit(X.px1(spark, d)), "v8").select("raster_id", "row", "col", "equalized")
 
 
-@query(f"""WITH {X.PX}, {X.PX8}, c3 AS (SELECT * FROM p8 WHERE band IN (1, 2, 4)), pq AS (SELECT quantile_cont(v, 0.02) AS p, quantile_cont(v, 0.98) AS q FROM c3),
-e AS (SELECT row, col, band, floor(least(greatest(255 * (v - p) / (q - p), 0), 255)) AS v8 FROM c3, pq),
-g AS (SELECT row, col, CAST(round(sum(v8 * CASE band WHEN 1 THEN 0.299::DOUBLE WHEN 2 THEN 0.587::DOUBLE ELSE 0.114::DOUBLE END)) AS INTEGER) AS g FROM e GROUP BY 1, 2),
-h AS (SELECT g, count(*) AS c FROM g GROUP BY 1), k AS (SELECT g, sum(c) OVER (ORDER BY g) AS cdf FROM h), t AS (SELECT min(cdf) AS lo, max(cdf) AS n FROM k)
-SELECT row, col, g, CAST(CASE WHEN n = lo THEN g ELSE round_even((cdf - lo) / (n - lo)::DOUBLE * 255, 0) END AS INTEGER) AS equalized FROM g JOIN k USING (g), t""")
+@query(f"""WITH {X.PX}, {X.PX8}, c3 AS (SELECT * FROM p8 WHERE band IN (1, 2, 4)), pq AS (SELECT raster_id, quantile_cont(v, 0.02) AS p, quantile_cont(v, 0.98) AS q FROM c3 GROUP BY 1),
+e AS (SELECT raster_id, row, col, band, floor(least(greatest(255 * (v - p) / (q - p), 0), 255)) AS v8 FROM c3 JOIN pq USING (raster_id)),
+g AS (SELECT raster_id, row, col, CAST(round(sum(v8 * CASE band WHEN 1 THEN 0.299::DOUBLE WHEN 2 THEN 0.587::DOUBLE ELSE 0.114::DOUBLE END)) AS INTEGER) AS g FROM e GROUP BY 1, 2, 3),
+h AS (SELECT raster_id, g, count(*) AS c FROM g GROUP BY 1, 2), k AS (SELECT raster_id, g, sum(c) OVER (PARTITION BY raster_id ORDER BY g) AS cdf FROM h), t AS (SELECT raster_id, min(cdf) AS lo, max(cdf) AS n FROM k GROUP BY 1)
+SELECT raster_id, row, col, g, CAST(CASE WHEN n = lo THEN g ELSE round_even((cdf - lo) / (n - lo)::DOUBLE * 255, 0) END AS INTEGER) AS equalized FROM g JOIN k USING (raster_id, g) JOIN t USING (raster_id)""")
 def to_image_hist(spark: SparkSession, d: str) -> DataFrame:
-    return raster.to_image(raster.select_bands(X.px8(spark, d), [1, 2, 4], 8), "hist").select("row", "col", "g", "equalized")
+    return raster.to_image(raster.select_bands(X.px8(spark, d), [1, 2, 4], 8), "hist").select("raster_id", "row", "col", "g", "equalized")
 
 
 @query()
 def clahe_tile(spark: SparkSession, d: str) -> DataFrame:
-    return neighbours.clahe(raster.rescale_to_8bit(X.px1(spark, d))).select("row", "col", "clahe")
+    return neighbours.clahe(raster.rescale_to_8bit(X.px1(spark, d))).select("raster_id", "row", "col", "clahe")
 
 
 # Neighbourhoods
 
-_MAX_W = "(PARTITION BY {a} ORDER BY {b} RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)"
+_MAX_W = "(PARTITION BY raster_id, {a} ORDER BY {b} RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)"
 
 
 @query(f"""WITH {X.PX}, a AS (SELECT *, max(v) OVER {_MAX_W.format(a="row", b="col")} AS m FROM px), b AS (SELECT *, max(m) OVER {_MAX_W.format(a="col", b="row")} AS m2 FROM a)
-SELECT row, col, round(v, 6) AS v FROM b WHERE v = m2 AND v >= 0.1""")
+SELECT raster_id, row, col, round(v, 6) AS v FROM b WHERE v = m2 AND v >= 0.1""")
 def local_maxima(spark: SparkSession, d: str) -> DataFrame:
-    return r6(neighbours.local_maxima(X.px1(spark, d), 2, 0.1), "v").select("row", "col", "v")
+    return r6(neighbours.local_maxima(X.px1(spark, d), 2, 0.1), "v").select("raster_id", "row", "col", "v")
 
 
-@query(f"WITH {X.PX}, {X.sql_sobel('g', 'px', 'v')}, {X.sql_normalise('n', 'g', 'gradient', 'n')} SELECT row, col, round(n, 6) AS gradient FROM n")
+@query(f"WITH {X.PX}, {X.sql_sobel('g', 'px', 'v')}, {X.sql_normalise('n', 'g', 'gradient', 'n')} SELECT raster_id, row, col, round(n, 6) AS gradient FROM n")
 def sobel_gradient(spark: SparkSession, d: str) -> DataFrame:
     out = raster.percentile_normalise(neighbours.sobel(X.px1(spark, d)), value="gradient", out="n")
-    return out.select("row", "col", F.round("n", 6).alias("gradient"))
+    return out.select("raster_id", "row", "col", F.round("n", 6).alias("gradient"))
 
 
-@query(f"WITH {X.PX}, {X.SEG}, {X.sql_edges('e', 'seg', 'segment_id')} SELECT row, col, edge FROM e")
+@query(f"WITH {X.PX}, {X.SEG}, {X.sql_edges('e', 'seg', 'segment_id')} SELECT raster_id, row, col, edge FROM e")
 def slic_edge(spark: SparkSession, d: str) -> DataFrame:
-    return neighbours.label_edges(X.segments(spark, d), "segment_id").select("row", "col", "edge")
+    return neighbours.label_edges(X.segments(spark, d), "segment_id").select("raster_id", "row", "col", "edge")
 
 
-_DIMS = "dim AS (SELECT max(row) + 1 AS h, max(col) + 1 AS w FROM px)"
+_DIMS = "dim AS (SELECT raster_id, max(row) + 1 AS h, max(col) + 1 AS w FROM px GROUP BY 1)"
 _LAP = f"""lo(dr, dc, k) AS (VALUES (-1, -1, 2), (-1, 1, 2), (1, -1, 2), (1, 1, 2), (0, 0, -8)),
-lt AS (SELECT p.row, p.col, k, {X.sql_reflect("p.row + dr", "h", False)} AS r2, {X.sql_reflect("p.col + dc", "w", False)} AS c2 FROM px p, lo, dim),
-lap AS (SELECT t.row, t.col, sum(k * p.v) AS lap FROM lt t JOIN px p ON p.row = r2 AND p.col = c2 GROUP BY 1, 2)"""
-_VAR = f"""vt AS (SELECT p.row, p.col, {X.sql_reflect("p.row + a.i", "h", True)} AS r2, {X.sql_reflect("p.col + b.i", "w", True)} AS c2 FROM lap p, range(-2, 3) a(i), range(-2, 3) b(i), dim),
-va AS (SELECT t.row, t.col, avg(l.lap * l.lap) - avg(l.lap) * avg(l.lap) AS variance FROM vt t JOIN lap l ON l.row = r2 AND l.col = c2 GROUP BY 1, 2)"""
+lt AS (SELECT raster_id, p.row, p.col, k, {X.sql_reflect("p.row + dr", "h", False)} AS r2, {X.sql_reflect("p.col + dc", "w", False)} AS c2 FROM px p JOIN dim USING (raster_id), lo),
+lap AS (SELECT t.raster_id, t.row, t.col, sum(k * p.v) AS lap FROM lt t JOIN px p ON p.raster_id = t.raster_id AND p.row = r2 AND p.col = c2 GROUP BY 1, 2, 3)"""
+_VAR = f"""vt AS (SELECT raster_id, p.row, p.col, {X.sql_reflect("p.row + a.i", "h", True)} AS r2, {X.sql_reflect("p.col + b.i", "w", True)} AS c2 FROM lap p JOIN dim USING (raster_id), range(-2, 3) a(i), range(-2, 3) b(i)),
+va AS (SELECT t.raster_id, t.row, t.col, avg(l.lap * l.lap) - avg(l.lap) * avg(l.lap) AS variance FROM vt t JOIN lap l ON l.raster_id = t.raster_id AND l.row = r2 AND l.col = c2 GROUP BY 1, 2, 3)"""
 
 
-@query(f"WITH {X.PX}, {_DIMS}, {_LAP}, {_VAR}, {X.sql_normalise('n', 'va', 'variance', 'sharpness')} SELECT row, col, round(sharpness, 6) AS sharpness FROM n")
+@query(f"WITH {X.PX}, {_DIMS}, {_LAP}, {_VAR}, {X.sql_normalise('n', 'va', 'variance', 'sharpness')} SELECT raster_id, row, col, round(sharpness, 6) AS sharpness FROM n")
 def laplacian_sharpness(spark: SparkSession, d: str) -> DataFrame:
-    return r6(neighbours.sharpness(X.px1(spark, d), 5), "sharpness").select("row", "col", "sharpness")
+    return r6(neighbours.sharpness(X.px1(spark, d), 5), "sharpness").select("raster_id", "row", "col", "sharpness")
 
 
 _GAUSS = f"""kw AS (SELECT i, exp(-0.5 * i * i) / (SELECT sum(exp(-0.5 * j * j)) FROM range(-4, 5) t(j)) AS g FROM range(-4, 5) r(i)),
-gt AS (SELECT p.row, p.col, a.g * b.g AS wt, {X.sql_reflect("p.row + a.i", "h", True)} AS r2, {X.sql_reflect("p.col + b.i", "w", True)} AS c2 FROM px p, kw a, kw b, dim),
-gs AS (SELECT t.row, t.col, sum(wt * p.v) AS v FROM gt t JOIN px p ON p.row = r2 AND p.col = c2 GROUP BY 1, 2)"""
+gt AS (SELECT raster_id, p.row, p.col, a.g * b.g AS wt, {X.sql_reflect("p.row + a.i", "h", True)} AS r2, {X.sql_reflect("p.col + b.i", "w", True)} AS c2 FROM px p JOIN dim USING (raster_id), kw a, kw b),
+gs AS (SELECT t.raster_id, t.row, t.col, sum(wt * p.v) AS v FROM gt t JOIN px p ON p.raster_id = t.raster_id AND p.row = r2 AND p.col = c2 GROUP BY 1, 2, 3)"""
 
 
-@query(f"WITH {X.PX}, {_DIMS}, {_GAUSS} SELECT row, col, round(v, 6) + 0.0 AS v FROM gs")
+@query(f"WITH {X.PX}, {_DIMS}, {_GAUSS} SELECT raster_id, row, col, round(v, 6) + 0.0 AS v FROM gs")
 def gaussian_smooth(spark: SparkSession, d: str) -> DataFrame:
-    return r6(neighbours.gaussian(X.px1(spark, d), 1.0), "v").select("row", "col", "v")
+    return r6(neighbours.gaussian(X.px1(spark, d), 1.0), "v").select("raster_id", "row", "col", "v")
 
 
-@query(f"WITH {X.PX}, {_V8}, {X.sql_entropy('e', 'v8', 'v8')} SELECT row, col, round(entropy, 6) + 0.0 AS entropy FROM e")
+@query(f"WITH {X.PX}, {_V8}, {X.sql_entropy('e', 'v8', 'v8')} SELECT raster_id, row, col, round(entropy, 6) + 0.0 AS entropy FROM e")
 def entropy_texture(spark: SparkSession, d: str) -> DataFrame:
-    return r6(neighbours.entropy(raster.rescale_to_8bit(X.px1(spark, d))), "entropy").select("row", "col", "entropy")
+    return r6(neighbours.entropy(raster.rescale_to_8bit(X.px1(spark, d))), "entropy").select("raster_id", "row", "col", "entropy")
 
 
-@query(f"""WITH {X.PX}, m AS (SELECT row, col FROM px WHERE v > 0.25), o AS (SELECT a.i AS dr, b.i AS dc FROM range(-3, 4) a(i), range(-3, 4) b(i) WHERE a.i * a.i + b.i * b.i < 9)
-SELECT row, col, round(1 - sqrt(min(q)) / 3, 6) AS alpha FROM (SELECT CAST(row + dr AS INTEGER) AS row, CAST(col + dc AS INTEGER) AS col, CAST(dr * dr + dc * dc AS DOUBLE) AS q FROM m, o) GROUP BY 1, 2""")
+@query(f"""WITH {X.PX}, m AS (SELECT raster_id, row, col FROM px WHERE v > 0.25), o AS (SELECT a.i AS dr, b.i AS dc FROM range(-3, 4) a(i), range(-3, 4) b(i) WHERE a.i * a.i + b.i * b.i < 9)
+SELECT raster_id, row, col, round(1 - sqrt(min(q)) / 3, 6) AS alpha FROM (SELECT raster_id, CAST(row + dr AS INTEGER) AS row, CAST(col + dc AS INTEGER) AS col, CAST(dr * dr + dc * dc AS DOUBLE) AS q FROM m, o) GROUP BY 1, 2, 3""")
 def feather_alpha(spark: SparkSession, d: str) -> DataFrame:
-    return r6(neighbours.feather_alpha(X.px1(spark, d).where("v > 0.25"), 3), "alpha").select("row", "col", "alpha")
+    return r6(neighbours.feather_alpha(X.px1(spark, d).where("v > 0.25"), 3), "alpha")
 
 
 @query(f"""WITH {X.PX}, {_DIMS}, {_V8}, kw AS (SELECT i, exp(-0.5 * (i / 1.1) * (i / 1.1)) / (SELECT sum(exp(-0.5 * (j / 1.1) * (j / 1.1))) FROM range(-2, 3) t(j)) AS g FROM range(-2, 3) r(i)),
-gt AS (SELECT p.row, p.col, a.g * b.g AS wt, {X.sql_reflect("p.row + a.i", "h", False)} AS r2, {X.sql_reflect("p.col + b.i", "w", False)} AS c2 FROM px p, kw a, kw b, dim),
-bl AS (SELECT t.row, t.col, floor(round(sum(wt * p.v8), 6)) AS blurred FROM gt t JOIN v8 p ON p.row = r2 AND p.col = c2 GROUP BY 1, 2),
-m AS (SELECT row, col FROM px WHERE v > 0.25), o AS (SELECT a.i AS dr, b.i AS dc FROM range(-3, 4) a(i), range(-3, 4) b(i) WHERE a.i * a.i + b.i * b.i < 9),
-al AS (SELECT row, col, 1 - sqrt(min(q)) / 3 AS alpha FROM (SELECT row + dr AS row, col + dc AS col, CAST(dr * dr + dc * dc AS DOUBLE) AS q FROM m, o) GROUP BY 1, 2),
-z AS (SELECT v8.row, v8.col, v8, floor(blurred * 0.2::DOUBLE) AS dark, coalesce(alpha, 0.0) AS alpha FROM v8 JOIN bl USING (row, col) LEFT JOIN al USING (row, col))
-SELECT row, col, CAST(floor(least(greatest(alpha * v8 + (1 - alpha) * dark, 0), 255)) AS INTEGER) AS blended FROM z""")
+gt AS (SELECT raster_id, p.row, p.col, a.g * b.g AS wt, {X.sql_reflect("p.row + a.i", "h", False)} AS r2, {X.sql_reflect("p.col + b.i", "w", False)} AS c2 FROM px p JOIN dim USING (raster_id), kw a, kw b),
+bl AS (SELECT t.raster_id, t.row, t.col, floor(round(sum(wt * p.v8), 6)) AS blurred FROM gt t JOIN v8 p ON p.raster_id = t.raster_id AND p.row = r2 AND p.col = c2 GROUP BY 1, 2, 3),
+m AS (SELECT raster_id, row, col FROM px WHERE v > 0.25), o AS (SELECT a.i AS dr, b.i AS dc FROM range(-3, 4) a(i), range(-3, 4) b(i) WHERE a.i * a.i + b.i * b.i < 9),
+al AS (SELECT raster_id, row, col, 1 - sqrt(min(q)) / 3 AS alpha FROM (SELECT raster_id, row + dr AS row, col + dc AS col, CAST(dr * dr + dc * dc AS DOUBLE) AS q FROM m, o) GROUP BY 1, 2, 3),
+z AS (SELECT raster_id, row, col, v8, floor(blurred * 0.2::DOUBLE) AS dark, coalesce(alpha, 0.0) AS alpha FROM v8 JOIN bl USING (raster_id, row, col) LEFT JOIN al USING (raster_id, row, col))
+SELECT raster_id, row, col, CAST(floor(least(greatest(alpha * v8 + (1 - alpha) * dark, 0), 255)) AS INTEGER) AS blended FROM z""")
 def feather_blend(spark: SparkSession, d: str) -> DataFrame:
     px = raster.rescale_to_8bit(X.px1(spark, d))
     alpha = neighbours.feather_alpha(px.where("v > 0.25"), 3)
     blurred = neighbours.blur(px, 5, value="v8", out="blurred")
     at = ["raster_id", "row", "col"]
     j = px.join(blurred, at).join(alpha, at, "left")
-    return j.select("row", "col", raster.blend(F.col("v8"), F.floor(F.round("blurred", 6)), F.col("v") > 0.25, F.coalesce("alpha", F.lit(0.0)), 0.2).alias("blended"))
+    return j.select("raster_id", "row", "col", raster.blend(F.col("v8"), F.floor(F.round("blurred", 6)), F.col("v") > 0.25, F.coalesce("alpha", F.lit(0.0)), 0.2).alias("blended"))
 
 
-_COST_PARTS = f"""{X.W8}, chm AS (SELECT row, col, b7 AS v FROM w8), {X.sql_sobel('g', 'chm', 'v')}, {X.sql_normalise('gn', 'g', 'gradient', 'grad')},
-gp AS (SELECT row, col, b0, 1 - least(greatest((b6 - b4) / (b6 + b4 + 1e-9), -1), 1) AS gg FROM w8), {X.sql_normalise('gq', 'gp', 'gg', 'gap')},
-{X.sql_normalise('pn', 'gp', 'b0', 'pan')}, p8 AS (SELECT row, col, CAST(floor(pan * 255) AS INTEGER) AS p FROM pn), {X.sql_entropy('en', 'p8', 'p')}, {X.sql_normalise('tx', 'en', 'entropy', 'tex')},
-lb AS (SELECT row, col, (row // 20) * 2 + col // 4 AS label FROM w8), {X.sql_edges('ed', 'lb', 'label')}, {X.sql_normalise('eb', 'ed', 'edge', 'border')}"""
+_COST_PARTS = f"""{X.W8}, chm AS (SELECT raster_id, row, col, b7 AS v FROM w8), {X.sql_sobel('g', 'chm', 'v')}, {X.sql_normalise('gn', 'g', 'gradient', 'grad')},
+gp AS (SELECT raster_id, row, col, b0, 1 - least(greatest((b6 - b4) / (b6 + b4 + 1e-9), -1), 1) AS gg FROM w8), {X.sql_normalise('gq', 'gp', 'gg', 'gap')},
+{X.sql_normalise('pn', 'gp', 'b0', 'pan')}, p8 AS (SELECT raster_id, row, col, CAST(floor(pan * 255) AS INTEGER) AS p FROM pn), {X.sql_entropy('en', 'p8', 'p')}, {X.sql_normalise('tx', 'en', 'entropy', 'tex')},
+lb AS (SELECT raster_id, row, col, (row // 20) * 2 + col // 4 AS label FROM w8), {X.sql_edges('ed', 'lb', 'label')}, {X.sql_normalise('eb', 'ed', 'edge', 'border')}"""
 
 
-@query(f"""WITH {_COST_PARTS} SELECT gn.row, gn.col, round(least(greatest(0.4 * grad + 0.2 * gap + 0.2 * tex + 0.2 * border, 0), 1), 6) AS cost
-FROM gn JOIN gq USING (row, col) JOIN tx USING (row, col) JOIN eb USING (row, col)""")
+@query(f"""WITH {_COST_PARTS} SELECT raster_id, row, col, round(least(greatest(0.4 * grad + 0.2 * gap + 0.2 * tex + 0.2 * border, 0), 1), 6) AS cost
+FROM gn JOIN gq USING (raster_id, row, col) JOIN tx USING (raster_id, row, col) JOIN eb USING (raster_id, row, col)""")
 def cost_surface(spark: SparkSession, d: str) -> DataFrame:
     image = X.wide8(spark, d)
     labels = image.select("raster_id", "row", "col", F.expr("int(row div 20) * 2 + int(col div 4)").alias("label"))
     out = cost.cost_surface(image, image.select("raster_id", "row", "col", F.col("b7").alias("v")), labels, (0.4, 0.2, 0.2, 0.2))
-    return r6(out, "cost").select("row", "col", "cost")
+    return r6(out, "cost")
 
 
 # Tiles, windows, masks, mosaics
 
 
-@query(f"WITH {X.PX} SELECT row // 50 AS tile_row, col // 50 AS tile_col, (row // 50 + col // 50) % 2 <> 0 AS white, count(*) AS n, round(avg(v), 6) AS mean FROM px GROUP BY 1, 2, 3")
+@query(f"WITH {X.PX} SELECT raster_id, row // 50 AS tile_row, col // 50 AS tile_col, (row // 50 + col // 50) % 2 <> 0 AS white, count(*) AS n, round(avg(v), 6) AS mean FROM px GROUP BY 1, 2, 3, 4")
 def tile_parity(spark: SparkSession, d: str) -> DataFrame:
-    return r6(raster.tile_keys(X.px1(spark, d), 50).groupBy("tile_row", "tile_col", "white").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean")), "mean")
+    return r6(raster.tile_keys(X.px1(spark, d), 50).groupBy("raster_id", "tile_row", "tile_col", "white").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean")), "mean")
 
 
 @query("""WITH g AS (SELECT raster_id, minx, miny, maxx, maxy, CAST(ceil((maxx - minx) / 100) AS INTEGER) AS nx, CAST(ceil((maxy - miny) / 100) AS INTEGER) AS ny FROM rasters WHERE maxx > minx AND maxy > miny)
@@ -250,26 +250,26 @@ def tile_grid(spark: SparkSession, d: str) -> DataFrame:
     return raster.tile_grid(table(spark, d, "rasters"), 100, 150).select("raster_id", "tile_no", "x0", "y0", "x1", "y1")
 
 
-@query(f"WITH {X.PX} SELECT row, count(*) AS n, round(sum(v), 6) AS total FROM px WHERE EXISTS (SELECT 1 FROM px m WHERE m.row = px.row AND m.col = px.col AND m.v > 0) GROUP BY 1")
+@query(f"WITH {X.PX} SELECT raster_id, row, count(*) AS n, round(sum(v), 6) AS total FROM px WHERE EXISTS (SELECT 1 FROM px m WHERE m.raster_id = px.raster_id AND m.row = px.row AND m.col = px.col AND m.v > 0) GROUP BY 1, 2")
 def mask_semi(spark: SparkSession, d: str) -> DataFrame:
     px = X.px1(spark, d)
-    return r6(px.join(px.where("v > 0").select("raster_id", "row", "col"), ["raster_id", "row", "col"], "left_semi").groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total")), "total")
+    return r6(px.join(px.where("v > 0").select("raster_id", "row", "col"), ["raster_id", "row", "col"], "left_semi").groupBy("raster_id", "row").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total")), "total")
 
 
-@query(f"WITH {X.PX} SELECT row, col, v FROM px WHERE row >= 30 AND row < 90 AND col >= 10 AND col < 40")
+@query(f"WITH {X.PX} SELECT raster_id, row, col, v FROM px WHERE row >= 30 AND row < 90 AND col >= 10 AND col < 40")
 def crop_window(spark: SparkSession, d: str) -> DataFrame:
-    return raster.crop(X.px1(spark, d), 30, 90, 10, 40).select("row", "col", "v")
+    return raster.crop(X.px1(spark, d), 30, 90, 10, 40).select("raster_id", "row", "col", "v")
 
 
-@query(f"WITH {X.PX} SELECT CAST(1 AS BIGINT) AS raster_id, count(*) AS pixels, CAST(round_even(count(*) * 0.25 / (pi() * 9), 0) AS BIGINT) AS n_segments FROM px WHERE v > 0")
+@query(f"WITH {X.PX} SELECT raster_id, count(*) AS pixels, CAST(round_even(count(*) * 0.25 / (pi() * 9), 0) AS BIGINT) AS n_segments FROM px WHERE v > 0 GROUP BY 1")
 def n_segments_from_mask(spark: SparkSession, d: str) -> DataFrame:
     return raster.segments_wanted(X.px1(spark, d).where("v > 0"), 0.25, 3.0)
 
 
-@query(f"WITH {X.PX} SELECT row % 3 AS grp, row % 40 AS row, col, arg_max(v, row) AS v FROM px GROUP BY 1, 2, 3")
+@query(f"WITH {X.PX} SELECT raster_id, row % 3 AS grp, row % 40 AS row, col, arg_max(v, row) AS v FROM px GROUP BY 1, 2, 3, 4")
 def group_mosaic(spark: SparkSession, d: str) -> DataFrame:
-    px = X.px1(spark, d).select((F.col("row") % 3).alias("grp"), F.col("row").alias("ord"), (F.col("row") % 40).alias("row"), "col", "v")
-    return raster.mosaic(px, ["grp"], "ord")
+    px = X.px1(spark, d).select("raster_id", (F.col("row") % 3).alias("grp"), F.col("row").alias("ord"), (F.col("row") % 40).alias("row"), "col", "v")
+    return raster.mosaic(px, ["raster_id", "grp"], "ord")
 
 
 @query("SELECT CAST(json_extract(props, '$.k') AS INTEGER) AS k, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
@@ -320,9 +320,10 @@ def range_join_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return r6(spatial.neighbours(X.seeds(spark, d), 1.05).select("id", "other", "d"), "d")
 
 
-@query(f"WITH {X.PX}, {X.SEEDS} SELECT s.id, round(px.v, 6) AS sampled FROM s JOIN px ON px.row = CAST(floor(s.y) AS INTEGER) AND px.col = CAST(floor(s.x) AS INTEGER)")
+@query(f"WITH {X.PX}, {X.SEEDS} SELECT s.id, px.raster_id, round(px.v, 6) AS sampled FROM s JOIN px ON px.raster_id = {X.SEED_RASTER} AND px.row = CAST(floor((50 - s.y) / 0.5) AS INTEGER) AND px.col = CAST(floor(s.x / 0.5) AS INTEGER)")
 def sample_raster_points(spark: SparkSession, d: str) -> DataFrame:
-    return r6(spatial.sample_raster(X.seeds(spark, d), X.px1(spark, d)).select("id", "sampled"), "sampled")
+    out = spatial.sample_raster(X.raster_seeds(spark, d), X.px1(spark, d), (0.5, 0, 0, 0, -0.5, 50))
+    return r6(out.select("id", "raster_id", "sampled"), "sampled")
 
 
 @query(f"""WITH {X.DET}, c AS (SELECT box_id, CAST(r AS INTEGER) AS row, unnest(range(CAST(x0 AS BIGINT), CAST(least(x1, 512) AS BIGINT))) AS col FROM (SELECT *, unnest(range(CAST(y0 AS BIGINT), CAST(least(y1, 400) AS BIGINT))) AS r FROM b))
@@ -416,13 +417,13 @@ def label_names(spark: SparkSession, d: str) -> DataFrame:
     return classify.class_names(table(spark, d, "training").select("segment_id", "feature_class").distinct(), names, "feature_class").select("segment_id", "class_name")
 
 
-@query(f"""WITH {X.PX}, {X.ZONES}, f AS (SELECT fid, CAST(x0 AS BIGINT) % 40 AS c0, CAST(y0 AS BIGINT) AS r0 FROM z)
-SELECT fid, 0 AS band, row, col, v FROM f JOIN px ON row >= r0 AND row < r0 + 6 AND col >= c0 AND col < c0 + 5
+@query(f"""WITH {X.PX}, {X.ZONES}, f AS (SELECT fid, CAST(x0 AS BIGINT) % 40 AS c0, CAST(y0 AS BIGINT) % 90 AS r0 FROM z)
+SELECT fid, 0 AS band, row, col, v FROM f JOIN px ON raster_id = fid % 5 + 1 AND row >= r0 AND row < r0 + 6 AND col >= c0 AND col < c0 + 5
 UNION ALL SELECT fid, 1, CAST(row AS INTEGER), CAST(unnest(range(c0, c0 + 5)) AS INTEGER), 7.5 FROM (SELECT *, unnest(range(r0, r0 + 6)) AS row FROM f)""")
 def layer_stack(spark: SparkSession, d: str) -> DataFrame:
-    f = X.zones(spark, d).select("fid", (F.col("x0") % 40).cast("int").alias("col0"), F.col("y0").cast("int").alias("row0"), F.lit('{"2,dem":"x","1,constant":"7.5"}').alias("layers"))
+    f = X.zones(spark, d).select("fid", (F.col("x0") % 40).cast("int").alias("col0"), (F.col("y0") % 90).cast("int").alias("row0"), F.concat(F.lit('{"2,dem'), (F.col("fid") % 5 + 1).cast("string"), F.lit('":"x","1,constant":"7.5"}')).alias("layers"))
     f = f.withColumn("col1", F.col("col0") + 5).withColumn("row1", F.col("row0") + 6)
-    return raster.stack_layers(f, X.px1(spark, d).withColumn("layer", F.when(F.col("raster_id") > 0, "dem")))
+    return raster.stack_layers(f, X.px1(spark, d).withColumn("layer", F.concat(F.lit("dem"), F.col("raster_id").cast("string"))))
 
 
 # Detection data
@@ -436,8 +437,8 @@ def transforms_json(spark: SparkSession, d: str) -> DataFrame:
     return detect.transforms_json(tiles, (0.5, 0, 2000, 0, -0.5, 1000), "EPSG:32604")
 
 
-@query(f"""WITH {X.PX}, {X.DET}, m AS (SELECT row, min(v) AS a, max(v) AS b FROM px GROUP BY 1), u AS (SELECT row, sum(CAST(floor((v - a) / (b - a + 1e-8) * 255) AS INTEGER)) AS total FROM px JOIN m USING (row) GROUP BY 1)
-SELECT CAST(row AS BIGINT) AS image_id, CAST(total AS BIGINT) AS total, count(*) AS boxes FROM u JOIN b ON b.image_id = u.row GROUP BY 1, 2""")
+@query(f"""WITH {X.PX}, {X.DET}, m AS (SELECT raster_id, row, min(v) AS a, max(v) AS b FROM px GROUP BY 1, 2), u AS (SELECT {X.MAP_ROW} AS image, sum(CAST(floor((v - a) / (b - a + 1e-8) * 255) AS INTEGER)) AS total FROM px JOIN m USING (raster_id, row) GROUP BY 1)
+SELECT CAST(image AS BIGINT) AS image_id, CAST(total AS BIGINT) AS total, count(*) AS boxes FROM u JOIN b ON b.image_id = u.image GROUP BY 1, 2""")
 def detection_samples(spark: SparkSession, d: str) -> DataFrame:
     images = table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("image_id"), F.transform("embedding", lambda x: x.cast("double")).alias("pixels"))
     s = detect.detection_samples(images, X.boxes(spark, d))
@@ -526,28 +527,30 @@ def detection_predict_stub(spark: SparkSession, d: str) -> DataFrame:
     return detect.predict(images, model)
 
 
-@query(f"""WITH {X.PX}, {X.PX8}, k AS (SELECT (row // 24) * 24 AS row0, row, col, band, v FROM p8 UNION ALL SELECT (row // 24 - 1) * 24, row, col, band, v FROM p8 WHERE row >= 24 AND row % 24 < 8)
-SELECT CAST(row0 AS INTEGER) AS row0, count(*) AS n, round(sum(v * ((row - row0) * 64 + col * 8 + band)), 4) AS weighted FROM k GROUP BY 1""")
+@query(f"""WITH {X.PX}, {X.PX8}, k AS (SELECT raster_id, (row // 24) * 24 AS row0, row, col, band, v FROM p8 UNION ALL SELECT raster_id, (row // 24 - 1) * 24, row, col, band, v FROM p8 WHERE row >= 24 AND row % 24 < 8)
+SELECT raster_id, CAST(row0 AS INTEGER) AS row0, count(*) AS n, round(sum(v * ((row - row0) * 64 + col * 8 + band)), 4) AS weighted FROM k GROUP BY 1, 2""")
 def patch_store(spark: SparkSession, d: str) -> DataFrame:
     """Overlapping patches as arrays: size and position-weighted sum of each."""
-    p = detect.patch_arrays(X.px8(spark, d), 32, 8).where("col0 = 0")
+    p = detect.patch_arrays(X.px8(spark, d), 32, 8)
     total = F.aggregate(F.transform("pixels", lambda v, i: v * i), F.lit(0.0), lambda a, b: a + b)
-    return p.select(F.col("row0").cast("int").alias("row0"), F.size("pixels").cast("long").alias("n"), F.round(total, 4).alias("weighted"))
+    return p.select("raster_id", F.col("row0").cast("int").alias("row0"), F.size("pixels").cast("long").alias("n"), F.round(total, 4).alias("weighted"))
 
 
 # Seeds
 
 _NEAR = "nb AS (SELECT a.id, b.id AS other, a.x, a.y, b.x AS ox, b.y AS oy, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM s a JOIN s b ON a.id < b.id AND abs(a.x - b.x) <= 1.05 AND abs(a.y - b.y) <= 1.05)"
-_COST = "cp AS (SELECT row, col, (v - (SELECT min(v) FROM px)) / ((SELECT max(v) FROM px) - (SELECT min(v) FROM px)) AS cost FROM px)"
+_COST = "cp AS (SELECT raster_id, row, col, (v - a) / (b - a) AS cost FROM px JOIN (SELECT raster_id, min(v) AS a, max(v) AS b FROM px GROUP BY 1) USING (raster_id))"
+_SEED_NEAR = f"nr AS (SELECT {X.SEED_RASTER} AS raster_id, nb.* FROM nb WHERE id % 5 = other % 5)"
 
 
-@query(f"""WITH {X.PX}, {X.SEEDS}, {_NEAR}, {_COST}, dim AS (SELECT max(row) AS h, max(col) AS w FROM px),
-st AS (SELECT id, other, d, CAST(least(greatest(round_even(y + k / 13.0::DOUBLE * (oy - y), 0), 0), h) AS INTEGER) AS row, CAST(least(greatest(round_even(x + k / 13.0::DOUBLE * (ox - x), 0), 0), w) AS INTEGER) AS col FROM nb, range(1, 13) r(k), dim WHERE d <= 1.05 AND d > 0.8)
-SELECT id, other, round(max(d) * (1 + 0.5 * avg(coalesce(cost, 1))), 6) AS d_eff FROM st LEFT JOIN cp USING (row, col) GROUP BY 1, 2 UNION ALL SELECT id, other, round(d, 6) FROM nb WHERE d <= 0.8""")
+@query(f"""WITH {X.PX}, {X.SEEDS}, {_NEAR}, {_SEED_NEAR}, {_COST},
+st AS (SELECT raster_id, id, other, d, CAST(least(greatest(round_even(y + k / 13.0::DOUBLE * (oy - y), 0), 0), {X.HEIGHT - 1}) AS INTEGER) AS row, CAST(least(greatest(round_even(x + k / 13.0::DOUBLE * (ox - x), 0), 0), {X.WIDTH - 1}) AS INTEGER) AS col FROM nr, range(1, 13) r(k) WHERE d <= 1.05 AND d > 0.8)
+SELECT raster_id, id, other, round(max(d) * (1 + 0.5 * avg(coalesce(cost, 1))), 6) AS d_eff FROM st LEFT JOIN cp USING (raster_id, row, col) GROUP BY 1, 2, 3 UNION ALL SELECT raster_id, id, other, round(d, 6) FROM nr WHERE d <= 0.8""")
 def effective_distance(spark: SparkSession, d: str) -> DataFrame:
+    """Seeds of a raster against its own costs."""
     c = raster.normalize_band(X.px1(spark, d), out="cost")
-    height = table(spark, d, "embeddings").count()
-    return r6(seeds.effective_distance(spatial.neighbours(X.seeds(spark, d), 1.05), c, height, X.WIDTH), "d_eff")
+    pairs = spatial.neighbours(X.raster_seeds(spark, d), 1.05, ["raster_id"]).where("raster_id = o_raster_id")
+    return r6(seeds.effective_distance(pairs, c, X.HEIGHT, X.WIDTH, keys=["raster_id"]), "d_eff")
 
 
 @query(f"""WITH RECURSIVE {X.SEEDS}, {_NEAR}, e AS (SELECT id AS a, other AS b FROM nb WHERE d <= 1.05 UNION ALL SELECT other, id FROM nb WHERE d <= 1.05),
@@ -591,19 +594,18 @@ def ball_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {X.PX}, {_DIMS}, {_GAUSS}, a AS (SELECT *, max(v) OVER {_MAX_W.format(a="row", b="col")} AS m FROM gs), b AS (SELECT *, max(m) OVER {_MAX_W.format(a="col", b="row")} AS m2 FROM a)
-SELECT row, col, CAST(0.5 * (col + 0.5) + 200000 AS DOUBLE) AS x, CAST(-0.5 * (row + 0.5) + 1000000 AS DOUBLE) AS y, round(v, 6) AS height FROM b WHERE v = m2 AND v >= 0.1""")
+SELECT raster_id, row, col, CAST(0.5 * (col + 0.5) + 200000 AS DOUBLE) AS x, CAST(-0.5 * (row + 0.5) + 1000000 AS DOUBLE) AS y, round(v, 6) AS height FROM b WHERE v = m2 AND v >= 0.1""")
 def seed_peaks(spark: SparkSession, d: str) -> DataFrame:
     """Peaks of the smoothed raster at cell centres."""
     out = seeds.peaks(X.px1(spark, d), 0.1, 2, sigma=1.0, gt=(0.5, 0, 200000, 0, -0.5, 1000000))
-    return r6(out, "height").drop("raster_id")
+    return r6(out, "height")
 
 
 @query()
 def canonical_seeds(spark: SparkSession, d: str) -> DataFrame:
-    s, c = X.seeds(spark, d), raster.normalize_band(X.px1(spark, d), out="cost")
+    s, c = X.raster_seeds(spark, d), raster.normalize_band(X.px1(spark, d), out="cost")
     only = lambda o: s.where(F.col("origin") == o).drop("origin")
-    height = table(spark, d, "embeddings").count()
-    return seeds.canonical_seeds(only("chm"), only("density"), c, height, X.WIDTH, merge_radius=1.05, dz_merge=5, max_per_cluster=3, nms_base=0.5)
+    return seeds.canonical_seeds(only("chm"), only("density"), c, X.HEIGHT, X.WIDTH, merge_radius=1.05, dz_merge=5, max_per_cluster=3, nms_base=0.5, keys=["raster_id"])
 
 
 # Segmentation
@@ -716,17 +718,11 @@ def shapley_values(spark: SparkSession, d: str) -> DataFrame:
     return classify.shapley_values(f, "segment_id", cols, classify.forest_votes(model), list(mean), permutations=4)
 
 
-@query(f"WITH {X.PX}, {X.SEG} SELECT row, col, CAST(embeddings.label AS DOUBLE) AS v FROM seg LEFT JOIN embeddings ON vec_id = segment_id AND vec_id < 150")
+@query(f"WITH {X.PX}, {X.SEG} SELECT raster_id, row, col, CAST(embeddings.label AS DOUBLE) AS v FROM seg LEFT JOIN embeddings ON vec_id = segment_id")
 def classified_raster(spark: SparkSession, d: str) -> DataFrame:
-    c = X.features(spark, d).where("segment_id < 150").select("segment_id", F.col("feature_class").alias("predicted_class"))
-    return classify.classified_raster(X.segments(spark, d), c).select("row", "col", "v")
-
-
-@query(f"WITH {X.PX}, {X.SEG} SELECT row, col, CAST(embeddings.label AS DOUBLE) AS v FROM seg LEFT JOIN embeddings ON vec_id = segment_id")
-def classified_raster_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The same with the predictions of all segments."""
+    """The predicted class of each pixel's segment."""
     c = X.features(spark, d).select("segment_id", F.col("feature_class").alias("predicted_class"))
-    return classify.classified_raster(X.segments(spark, d), c).select("row", "col", "v")
+    return classify.classified_raster(X.segments(spark, d), c).select("raster_id", "row", "col", "v")
 
 
 # Sources and sinks
@@ -737,14 +733,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{shared_root(spark).removeprefix('file://')}/gridloom-{uuid.uuid4().hex}"
 
 
-@query(f"WITH {X.PX}, {X.PX8} SELECT band, row, col, CAST(CAST(v AS FLOAT) AS DOUBLE) AS v FROM p8")
+@query(f"WITH {X.PX}, {X.PX8} SELECT raster_id, band, row, col, CAST(CAST(v AS FLOAT) AS DOUBLE) AS v FROM p8")
 def geotiff_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """A raster written as GeoTIFF and read again."""
     from gridloom.sources.geotiff import read_geotiff, write_geotiff
 
     folder = shared_folder(spark)
     write_geotiff(X.px8(spark, d), folder, (0.5, 0, 200000, 0, -0.5, 1000000), 32604).collect()  # one path for each raster
-    return read_geotiff(spark, folder).select("band", "row", "col", "v")
+    file = F.regexp_extract("path", "([0-9]+)[.]tif$", 1).cast("long")
+    return read_geotiff(spark, folder).select(file.alias("raster_id"), "band", "row", "col", "v")
 
 
 @query("SELECT segment_id, raster_id, site_id, count(*) AS n FROM segments WHERE geometry IS NOT NULL AND NOT contains(geometry, 'EMPTY') GROUP BY ALL")

@@ -100,13 +100,43 @@ def test_glcm_of_masked_segment(spark):
         var = (p * (i - mu) ** 2).sum()
         per.append([(p * (i - j) ** 2).sum(), (p * abs(i - j)).sum(), (p / (1 + (i - j) ** 2)).sum(), (p * p).sum(), math.sqrt((p * p).sum()), 1.0 if var < 1e-15 else (p * (i - mu) * (j - mu)).sum() / var])
     assert np.allclose([got[7][s] for s in zonal.TEXTURAL], np.mean(per, axis=0))
+    tiled = {r.segment_id: r for r in zonal.textural_stats(px, tile=2).collect()}
+    assert np.allclose([tiled[7][s] for s in zonal.TEXTURAL], np.mean(per, axis=0))
     assert set(got) == {7}
     assert zonal.feature_columns([0, 2], ("mean",), [2], ("contrast",)) == ["segment_id", "b0_mean", "b2_mean", "b2_contrast"]
     with pytest.raises(NotImplementedError):
         zonal.structural_stats()
 
 
-def test_components_against_union_find(spark):
+def test_texture_of_overlapping_boxes_across_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    rows = [(f"k{s}", None if s == 2 else "x", int(r), int(c), float(rng.integers(-5, 30))) for s in range(5) for r, c in np.unique(rng.integers(s, s + 14, (60, 2)), axis=0)]
+    px = spark.createDataFrame(rows, "k string, g string, row int, col int, v double")
+    want = {r.k: r for r in zonal.textural_stats(px, ["k", "g"]).collect()}
+    for s in range(5):
+        mine = [r for r in rows if r[0] == f"k{s}"]
+        r0, c0 = min(r[2] for r in mine), min(r[3] for r in mine)
+        a = np.zeros((max(r[2] for r in mine) - r0 + 1, max(r[3] for r in mine) - c0 + 1))
+        for r in mine:
+            a[r[2] - r0, r[3] - c0] = r[4]
+        low, high = min(0, a.min()), max(0, a.max())
+        q = ((a - low) / (high - low) * 255).astype(int)
+        contrast = []
+        for dr, dc in zonal.OFFSETS:
+            i = q[: q.shape[0] - dr, max(0, -dc) : q.shape[1] - max(0, dc)]
+            j = q[dr:, max(0, dc) : q.shape[1] + min(0, dc)]
+            contrast.append(((i - j) ** 2).mean())
+        assert math.isclose(want[f"k{s}"].contrast, np.mean(contrast), rel_tol=1e-9)
+    monkeypatch.setattr(zonal, "ROWS_AT_ONCE", 7)
+    monkeypatch.setattr(zonal, "CELLS_AT_ONCE", 50)
+    for r in zonal.textural_stats(px, ["k", "g"], tile=4).collect():
+        assert np.allclose([r[s] for s in zonal.TEXTURAL], [want[r.k][s] for s in zonal.TEXTURAL])
+
+
+@pytest.mark.parametrize("finish", [2_000_000, 0])
+def test_components_against_union_find(spark, monkeypatch, finish):
+    monkeypatch.setattr(graph, "FINISH_EDGES", finish)
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 40)
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [(None, 3), (5, 5)]
     nodes = [*range(300), *range(1000, 1101)]
@@ -123,6 +153,34 @@ def test_components_against_union_find(spark):
             parent[rb] = ra
     got = graph.components(spark.createDataFrame([(n,) for n in nodes], "id long"), spark.createDataFrame(edges, "a long, b long"))
     assert {r.id: r.component for r in got.collect()} == {n: find(n) for n in nodes}
+    keyed = [(k, a, b) for a, b in edges for k in ("x", "y") if k == "x" or a != 1040]
+    got = graph.components(spark.createDataFrame([(k, n) for n in nodes for k in ("x", "y")], "k string, id long"), spark.createDataFrame(keyed, "k string, a long, b long"), keys=["k"])
+    found = {(r.k, r.id): r.component for r in got.collect()}
+    assert all(found["x", n] == find(n) for n in nodes) and all(found["y", n] == (1041 if n > 1040 else find(n)) for n in nodes)
+
+
+@pytest.mark.parametrize("finish", [2_000_000, 0])
+def test_survivors_against_a_loop(spark, monkeypatch, finish):
+    monkeypatch.setattr(graph, "FINISH_EDGES", finish)
+    rng = np.random.default_rng(6)
+    edges = [(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 60, (80, 2)) if a != b] + [(i, i + 1) for i in range(100, 106)]
+    nodes, kept = [*range(60), *range(100, 107)], []
+    for n in nodes:
+        if not any((w, n) in set(edges) for w in kept):
+            kept.append(n)
+    got = graph.survivors(spark.createDataFrame([(n, "z") for n in nodes], "id long, winner string"), spark.createDataFrame(edges, "winner long, loser long"))
+    assert sorted(r.id for r in got.collect()) == kept
+
+
+def test_small_regions_are_merged(spark):
+    rng = np.random.default_rng(9)
+    a = np.kron(np.arange(6).reshape(2, 3), np.ones((8, 8)))
+    a[rng.random(a.shape) < 0.15] = 9
+    out = dense(segment.enforce_connectivity(pixels(spark, a, "label"), 20), a.shape, "region")
+    for v in np.unique(out):
+        assert (out == v).sum() >= 20 and len(np.unique(_local_regions(np.where(out == v, 1.0, np.nan))[out == v])) == 1
+    lone = segment.enforce_connectivity(pixels(spark, np.ones((2, 2)), "label"), 20)
+    assert lone.count() == 4
 
 
 def test_regions_across_tiles_and_outlines(spark):
@@ -174,7 +232,7 @@ def test_classified_raster_has_all_segments(spark, tmp_path):
     assert {(r.row, r.col, r.v) for r in got} == {(0, 0, 3.0), (0, 1, 3.0), (1, 0, None)}
     rows = spark.range(400).select(F.col("id").alias("vec_id"), F.array_repeat(F.lit(0.5).cast("float"), 64).alias("embedding"), (F.col("id") % 5).cast("int").alias("label"))
     rows.write.parquet(str(tmp_path / "embeddings.parquet"))
-    out = QUERIES["classified_raster_whole"](spark, str(tmp_path)).collect()
+    out = QUERIES["classified_raster"](spark, str(tmp_path)).collect()
     assert len(out) == 400 * 64 and all(r.v == (r.row // 20 * 8 + r.col // 8) % 5 for r in out)
 
 
@@ -286,6 +344,21 @@ def test_nms_variants(spark):
             greedy.append(p)
     assert {x.id for x in seeds.nms_greedy(df, 0.5, 0.1, "root", 2.0).collect()} == {p[0] for p in greedy}
     assert seeds.nms_coded(df, 0, 0, ["root"], 1.0).count() == 80
+    for z in (-1, 12):
+        taken: dict[int, int] = {}
+        for p in pts:
+            ball = [q for q in pts if math.hypot(p[1] - q[1], p[2] - q[2]) <= min(max(0.1 * p[3], 0.5), 1.5)]
+            if p[0] in taken or (z >= 0 and max(q[3] for q in ball) - min(q[3] for q in ball) > z) or len(ball) < 2:
+                continue
+            taken |= {q[0]: p[0] for q in ball}
+        assert {x.id: x.cluster1 for x in seeds.ball_clusters(df, 0.1, 0.5, 1.5, z).collect()} == {p[0]: taken.get(p[0]) for p in pts}
+
+
+def test_points_sample_their_own_raster(spark):
+    px = spark.createDataFrame([(k, r, c, float(100 * k + 10 * r + c)) for k in (1, 2) for r in range(3) for c in range(4)], "raster_id long, row int, col int, v double")
+    pts = spark.createDataFrame([(1, 1, 1000.4, 49.9), (2, 2, 1000.4, 49.9), (3, 2, 1001.9, 48.6), (4, 1, 999.9, 49.0), (5, 3, 1000.1, 49.9), (6, 1, None, 1.0)], "id long, raster_id long, x double, y double")
+    got = {r.id: r.sampled for r in spatial.sample_raster(pts, px, (0.5, 0, 1000, 0, -0.5, 50)).collect()}
+    assert got == {1: 100.0, 2: 200.0, 3: 223.0}
 
 
 def test_classification_pieces(spark):
