@@ -26,6 +26,8 @@ from gridloom.functions.wkt import contains, edges_of, parse_outlines
 CELL_POINTS, BLOCK_ROWS = 4_000, 20_000
 #: Most pivots, for four billion points; they are 16 bytes each on the driver and in the tasks.  Beyond, cells grow.
 MAX_PIVOTS = 1 << 20
+#: Cells up to which their table of blocks (12 bytes each) is broadcast; more are joined.
+BROADCAST_CELLS = 100_000
 #: Limits include equality; decimal coordinates are doubles, so distances this much over it (metres) count as equal.
 SLACK = 1e-9
 EARTH_RADIUS_M = 6_371_008.8
@@ -196,6 +198,8 @@ def _join(queries: DataFrame, points: DataFrame, metric: str, refine: bool = Fal
     # Blocks of each cell, joined back as a table; a cell of many blocks is one place with many copies, or a rare dense one.
     blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
     sizes = blocks(left, "lb").join(blocks(right, "rb"), "cell")
+    if len(pivots.value.x) <= BROADCAST_CELLS:
+        sizes = F.broadcast(sizes)
     left = left.join(sizes, "cell").withColumn("l", F.pmod(F.xxhash64("id"), F.col("lb")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("rb") - 1))).drop("lb", "rb")
     right = right.join(sizes, "cell").withColumn("b", F.pmod(F.xxhash64("id"), F.col("rb")).cast("int")).withColumn("l", F.explode(F.sequence(F.lit(0), F.col("lb") - 1))).drop("lb", "rb")
 
