@@ -58,27 +58,34 @@ def usable(value: Column, nodata: Column) -> Column:
     return is_finite(value) & (nodata.isNull() | F.isnan(nodata) | (value != nodata))
 
 
-def ranked(df: DataFrame, keys: list[str], order: Column, ties: list[str], rank: str = "rank", buckets: int = 64) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: Column, ties: list[str], rank: str = "rank", bucket_rows: int = 100_000) -> DataFrame:
     """Adds the row number (from 1) within ``keys`` by the 64-bit hash ``order``, then ``ties``.
 
-    A group of any size is spread over ``buckets`` tasks by the leading bits of the hash:
-    each bucket is numbered by itself and shifted by the sizes of the buckets before it.
+    A group is spread over buckets of about ``bucket_rows`` by the leading bits of the hash, as many
+    as its counted size asks for: each bucket is numbered by itself and shifted by the sizes of
+    the buckets before it.
     """
-    bits = max(1, (buckets - 1).bit_length())
-    h = df.withColumn("_h", order).withColumn("_b", F.shiftright("_h", 64 - bits))
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+
+    def match(b: str) -> Column:
+        on = F.lit(True) if not b else F.col("_b") == F.col(b)
+        for i, k in enumerate(keys):
+            on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        return on
+
+    drop = [f"_k{i}" for i in range(len(keys))]
+    bits = lambda n: F.greatest(F.ceil(F.log2(n / F.lit(float(bucket_rows)))), F.lit(0)).cast("int")
+    if keys:
+        groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).select(*named, bits(F.col("_size")).alias("_bits"))
+        sized = df.join(groups, match("")).drop(*drop)
+    else:
+        sized = df.withColumn("_bits", bits(F.lit(float(max(1, df.count())))))
+    h = sized.withColumn("_h", order).withColumn("_b", F.expr("if(_bits = 0, 0L, shiftright(_h, 64 - _bits))")).drop("_bits")
     sizes = h.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_ob"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    offsets = sizes.select(*named, F.col("_b").alias("_ob"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*keys, "_b").orderBy("_h", *ties)
-    on = F.col("_b") == F.col("_ob")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return (
-        h.withColumn("_r", F.row_number().over(inside))
-        .join(offsets, on)
-        .withColumn(rank, F.col("_r") + F.col("_before"))
-        .drop("_h", "_b", "_r", "_ob", "_before", *[f"_k{i}" for i in range(len(keys))])
-    )
+    return h.withColumn("_r", F.row_number().over(inside)).join(offsets, match("_ob")).withColumn(rank, F.col("_r") + F.col("_before")).drop("_h", "_b", "_r", "_ob", "_before", *drop)
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "id", start: int = 0) -> DataFrame:

@@ -158,9 +158,19 @@ def patch_arrays(px: DataFrame, size: int, overlap: int = 0) -> DataFrame:
     d = d.withColumn("height", F.least(F.lit(size), F.col("_h") - F.col("row0"))).withColumn("width", F.least(F.lit(size), F.col("_w") - F.col("col0")))
     at = ((F.col("row") - F.col("row0")) * F.col("width") + F.col("col") - F.col("col0")) * F.col("bands") + F.col("band")
     keys = ["raster_id", "row0", "col0", "height", "width", "bands"]
-    g = d.where("v is not null").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(at.alias("k"), "v"))).alias("_m"))
-    filled = F.transform(F.sequence(F.lit(0), F.col("height") * F.col("width") * F.col("bands") - 1), lambda k: F.coalesce(F.element_at("_m", k), F.lit(0.0)))
-    return g.select(*keys, filled.alias("pixels"))
+    cells = F.collect_list(F.struct(at.cast("int").alias("k"), "v"))
+    g = d.where("v is not null").groupBy(*keys).agg(cells.alias("_c"))
+
+    @F.pandas_udf("array<double>")
+    def filled(k: pd.Series, v: pd.Series, size: pd.Series) -> pd.Series:
+        out = []
+        for places, values, n in zip(k, v, size):
+            a = np.zeros(n)
+            a[places] = values
+            out.append(a)
+        return pd.Series(out)
+
+    return g.select(*keys, filled(F.col("_c.k"), F.col("_c.v"), F.col("height") * F.col("width") * F.col("bands")).alias("pixels"))
 
 
 def predict_patches(px: DataFrame, model: Callable, size: int, overlap: int, threshold: float = 0.5, nms: float = 0.15) -> DataFrame:

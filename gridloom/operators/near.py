@@ -245,6 +245,36 @@ def outlines(df: DataFrame, id_column: str, geometry: str) -> DataFrame:
     return rows.mapInPandas(run, "id long, x double, y double, r double, outline binary")
 
 
+def _ring_signs(rings: list[np.ndarray]) -> np.ndarray:
+    """1 for rings that bound area and -1 for holes: by how many other rings surround the middle of a ring's first side."""
+    if len(rings) == 1:
+        return np.ones(1)
+    edges, first = edges_of(rings)
+    mid = np.array([(r[0] + r[1]) / 2 for r in rings])
+    i, j = np.nonzero(~np.eye(len(rings), dtype=bool))
+    inside = contains(i, mid[j, 0], mid[j, 1], edges, first)
+    return 1.0 - 2 * (np.bincount(j, inside, len(rings)) % 2)
+
+
+def outline_measures(shapes: DataFrame) -> DataFrame:
+    """id, area, perimeter, minx, miny, maxx, maxy of outlines (see ``outlines``); holes count against the area."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for i, raw in zip(batch.id, batch.outline):
+                o = np.frombuffer(raw).reshape(-1, 2)
+                rings = [r for r in np.split(o, np.flatnonzero(np.isnan(o[:, 0]))) if len(r)]
+                rings = [r[1:] if np.isnan(r[0, 0]) else r for r in rings]
+                base = rings[0][0]
+                area = [abs(((r[:-1] - base)[:, 0] * (r[1:] - base)[:, 1] - (r[1:] - base)[:, 0] * (r[:-1] - base)[:, 1]).sum()) / 2 for r in rings]
+                length = sum(np.hypot(*np.diff(r, axis=0).T).sum() for r in rings)
+                out.append((i, float(np.dot(area, _ring_signs(rings))), float(length), *np.nanmin(o, axis=0).tolist(), *np.nanmax(o, axis=0).tolist()))
+            yield pd.DataFrame(out, columns=["id", "area", "perimeter", "minx", "miny", "maxx", "maxy"])
+
+    return shapes.select("id", "outline").mapInPandas(run, "id long, area double, perimeter double, minx double, miny double, maxx double, maxy double")
+
+
 def points_in_outlines(points: DataFrame, segments: DataFrame) -> DataFrame:
     """point_id, segment_id: points (id, x, y) inside or on the outline of a segment (see ``outlines``), each pair once.
 

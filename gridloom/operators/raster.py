@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 from gridloom.common import is_finite
 
 KEYS = ["raster_id"]
+#: Side of the tiles by which clips are joined.
+CLIP_TILE = 256
 
 
 def clean(df: DataFrame, value: str = "v", nodata: Column | None = None) -> DataFrame:
@@ -78,8 +80,8 @@ def gray(r: Column, g: Column, b: Column) -> Column:
 
 
 def to_image(df: DataFrame, stretch: str | None = None, low: float = 2, high: float = 98) -> DataFrame:
-    """Three bands (long relation with ``band``) as 8-bit values; stretch None, "linear", "hist" or "clahe"."""
-    if stretch not in (None, "linear", "hist", "clahe"):
+    """Three bands (long relation with ``band``) as 8-bit values; stretch None (linear between percentiles), "hist" or "clahe"."""
+    if stretch not in (None, "hist", "clahe"):
         raise ValueError(f"unknown stretch {stretch!r}")
     out = rescale_to_8bit(df, low=low, high=high)
     if stretch == "hist":
@@ -187,11 +189,14 @@ def stack_layers(features: DataFrame, px: DataFrame, layers: str = "layers") ->
 
     A key "n,name" is a clip of the raster ``name`` (``px.layer``) to the feature's window, a key
     "n,constant" the constant value of the entry.  Bands follow the order of the map, not the numbers.
+    Windows and pixels meet by layer and tile; an empty window gives no rows.
     """
     e = features.select("fid", "row0", "row1", "col0", "col1", F.posexplode(F.from_json(layers, "map<string,string>")).alias("band", "key", "value"))
     e = e.withColumn("layer", F.trim(F.element_at(F.split("key", ",", 2), 2)))
-    grid = e.where("layer = 'constant'").withColumn("row", F.explode(F.sequence("row0", F.col("row1") - 1))).withColumn("col", F.explode(F.sequence("col0", F.col("col1") - 1)))
+    grid = e.where("layer = 'constant' and row1 > row0 and col1 > col0").withColumn("row", F.explode(F.sequence("row0", F.col("row1") - 1))).withColumn("col", F.explode(F.sequence("col0", F.col("col1") - 1)))
     constant = grid.select("fid", "band", "row", "col", F.col("value").try_cast("double").alias("v"))
-    p = px.select(F.col("layer").alias("_l"), "row", "col", "v")
-    clip = e.where("layer <> 'constant'").join(p, (F.col("layer") == F.col("_l")) & (F.col("row") >= F.col("row0")) & (F.col("row") < F.col("row1")) & (F.col("col") >= F.col("col0")) & (F.col("col") < F.col("col1")))
+    span = lambda low, high: F.explode(F.sequence(F.expr(f"int({low} div {CLIP_TILE})"), F.expr(f"int(({high} - 1) div {CLIP_TILE})")))
+    wanted = e.where("layer <> 'constant' and row1 > row0 and col1 > col0").withColumn("_tr", span("row0", "row1")).withColumn("_tc", span("col0", "col1"))
+    p = px.select("layer", "row", "col", "v").withColumn("_tr", F.expr(f"int(row div {CLIP_TILE})")).withColumn("_tc", F.expr(f"int(col div {CLIP_TILE})"))
+    clip = wanted.join(p, ["layer", "_tr", "_tc"]).where("row >= row0 and row < row1 and col >= col0 and col < col1")
     return clip.select("fid", "band", "row", "col", "v").unionByName(constant)

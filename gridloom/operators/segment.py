@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -215,16 +216,19 @@ def outlines_wkt(regions: DataFrame, gt: tuple[float, ...] = (1, 0, 0, 0, 1, 0))
     edges = around.join(other, ["raster_id", "_r", "_c"], "left").where("_o is null or _o <> region").select("raster_id", "region", "row", "col", "k")
     a, b, c, d, e, f = map(float, gt)
 
-    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
-        # each side runs clockwise (in row-down view): from its start corner to its end corner
-        start = {0: (0, 0), 1: (0, 1), 2: (1, 1), 3: (1, 0)}
-        step = {0: (0, 1), 1: (1, 0), 2: (0, -1), 3: (-1, 0)}
+    # each side runs clockwise (in row-down view): from its start corner to its end corner
+    start = {0: (0, 0), 1: (0, 1), 2: (1, 1), 3: (1, 0)}
+    step = {0: (0, 1), 1: (1, 0), 2: (0, -1), 3: (-1, 0)}
+
+    def trace(sides: Iterator[tuple[int, int, int]]) -> str:
         out: dict[tuple[int, int], list[int]] = {}
-        for r, q, k in sorted(zip(pdf.row, pdf.col, pdf.k)):
+        for r, q, k in sides:
             out.setdefault((r + start[k][0], q + start[k][1]), []).append(k)
-        rings = []
+        rings, corners = [], sorted(out, reverse=True)
         while out:
-            at = min(out)
+            at = corners.pop()
+            if at not in out:
+                continue
             first, k, ring = at, out[at][0], []
             while True:
                 ways = out[at]
@@ -238,12 +242,33 @@ def outlines_wkt(regions: DataFrame, gt: tuple[float, ...] = (1, 0, 0, 0, 1, 0))
                 at = (at[0] + step[k][0], at[1] + step[k][1])
                 if at == first:
                     break
+            if first in out:
+                corners.append(first)
             points = [p for p, _ in ring]
             rings.append(points + points[:1])
-        text = ", ".join("(" + ", ".join(f"{a * q + b * r + c:.10g} {d * q + e * r + f:.10g}" for r, q in ring) + ")" for ring in rings)
-        return pd.DataFrame({"raster_id": [pdf.raster_id.iloc[0]], "region": [pdf.region.iloc[0]], "geometry": [f"POLYGON ({text})"]})
-
-    return edges.groupBy("raster_id", "region").applyInPandas(trace, "raster_id long, region long, geometry string")
+        return "POLYGON (" + ", ".join("(" + ", ".join(f"{a * q + b * r + c:.10g} {d * q + e * r + f:.10g}" for r, q in ring) + ")" for ring in rings) + ")"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # sides of a region may go on in the next batch
+        for batch in batches:
+            df = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            raster, region = df.raster_id.to_numpy(), df.region.to_numpy()
+            cuts = np.flatnonzero(np.r_[True, (raster[1:] != raster[:-1]) | (region[1:] != region[:-1])]) if len(df) else np.zeros(0, int)
+            if len(cuts) > 1:
+                yield whole(df.iloc[: cuts[-1]], cuts)
+                df = df.iloc[cuts[-1] :]
+            held = df
+        if held is not None and len(held):
+            yield whole(held, np.zeros(1, int))
+
+    def whole(df: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+        cuts = cuts[cuts < len(df)]
+        sides = list(zip(df.row.tolist(), df.col.tolist(), df.k.tolist()))
+        texts = [trace(sides[x:y]) for x, y in zip(cuts, np.r_[cuts[1:], len(df)])]
+        return pd.DataFrame({"raster_id": df.raster_id.to_numpy()[cuts], "region": df.region.to_numpy()[cuts], "geometry": texts})
+
+    placed = edges.repartition("raster_id", "region").sortWithinPartitions("raster_id", "region", "row", "col", "k")
+    return placed.mapInPandas(run, "raster_id long, region long, geometry string")
 
 
 def _segment_tile(bands: list[str], area: float | None, n_segments: int | None, compactness: float):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridloom.common import numbered, shared_root, table
 from gridloom.functions import crs
 from gridloom.operators import classify, cost, detect, graph, neighbours, raster, seeds, segment, spatial, zonal
-from gridloom.operators.near import outlines, points_in_outlines
+from gridloom.operators.near import outline_measures, outlines, points_in_outlines
 from gridloom.plans import fixtures as X
 from gridloom.plans.problems import _POINT, points as wkt_points
 
@@ -144,7 +144,19 @@ def to_image_hist(spark: SparkSession, d: str) -> DataFrame:
     return raster.to_image(raster.select_bands(X.px8(spark, d), [1, 2, 4], 8), "hist").select("raster_id", "row", "col", "g", "equalized")
 
 
-@query()
+_DIMS = "dim AS (SELECT raster_id, max(row) + 1 AS h, max(col) + 1 AS w FROM px GROUP BY 1)"
+_CLAHE_AT = "JOIN lu {n} ON {n}.raster_id = k.raster_id AND {n}.gr = {r} AND {n}.gc = {c} AND {n}.v8 = k.v8"
+
+
+@query(f"""WITH {X.PX}, {_DIMS}, {_V8}, t AS (SELECT raster_id, CAST(ceil(h / 8) AS INTEGER) AS th, CAST(ceil(w / 8) AS INTEGER) AS tw FROM dim),
+hi AS (SELECT raster_id, row // th AS gr, col // tw AS gc, v8, count(*) AS c FROM v8 JOIN t USING (raster_id) GROUP BY 1, 2, 3, 4),
+al AS (SELECT raster_id, gr, gc, v8, coalesce(c, 0) AS c, sum(coalesce(c, 0)) OVER (PARTITION BY raster_id, gr, gc) AS n FROM (SELECT raster_id, gr, gc, v8 FROM t, range(8) a(gr), range(8) b(gc), range(256) q(v8)) LEFT JOIN hi USING (raster_id, gr, gc, v8)),
+cl AS (SELECT *, greatest(2.0::DOUBLE * n / 256, 1) AS lim FROM al), ov AS (SELECT *, sum(greatest(c - lim, 0)) OVER (PARTITION BY raster_id, gr, gc) AS over FROM cl),
+cd AS (SELECT *, sum(least(c, lim) + over / 256) OVER (PARTITION BY raster_id, gr, gc ORDER BY v8) AS cdf FROM ov),
+lu AS MATERIALIZED (SELECT raster_id, gr, gc, v8, CASE WHEN n > 0 THEN round_even(least(greatest(cdf * 255 / n, 0), 255), 0) ELSE v8 END AS z FROM cd),
+f AS (SELECT raster_id, row, col, v8, row / th::DOUBLE - 0.5 AS y, col / tw::DOUBLE - 0.5 AS x FROM v8 JOIN t USING (raster_id)),
+k AS (SELECT *, y - floor(y) AS fr, x - floor(x) AS fc, least(greatest(floor(y), 0), 7) AS r0, least(greatest(floor(y) + 1, 0), 7) AS r1, least(greatest(floor(x), 0), 7) AS c0, least(greatest(floor(x) + 1, 0), 7) AS c1 FROM f)
+SELECT k.raster_id, k.row, k.col, CAST(round_even((1 - fr) * ((1 - fc) * a.z + fc * b.z) + fr * ((1 - fc) * c.z + fc * d.z), 0) AS INTEGER) AS clahe FROM k {_CLAHE_AT.format(n="a", r="r0", c="c0")} {_CLAHE_AT.format(n="b", r="r0", c="c1")} {_CLAHE_AT.format(n="c", r="r1", c="c0")} {_CLAHE_AT.format(n="d", r="r1", c="c1")}""")
 def clahe_tile(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.clahe(raster.rescale_to_8bit(X.px1(spark, d))).select("raster_id", "row", "col", "clahe")
 
@@ -171,7 +183,6 @@ def slic_edge(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.label_edges(X.segments(spark, d), "segment_id").select("raster_id", "row", "col", "edge")
 
 
-_DIMS = "dim AS (SELECT raster_id, max(row) + 1 AS h, max(col) + 1 AS w FROM px GROUP BY 1)"
 _LAP = f"""lo(dr, dc, k) AS (VALUES (-1, -1, 2), (-1, 1, 2), (1, -1, 2), (1, 1, 2), (0, 0, -8)),
 lt AS (SELECT raster_id, p.row, p.col, k, {X.sql_reflect("p.row + dr", "h", False)} AS r2, {X.sql_reflect("p.col + dc", "w", False)} AS c2 FROM px p JOIN dim USING (raster_id), lo),
 lap AS (SELECT t.raster_id, t.row, t.col, sum(k * p.v) AS lap FROM lt t JOIN px p ON p.raster_id = t.raster_id AND p.row = r2 AND p.col = c2 GROUP BY 1, 2, 3)"""
@@ -456,7 +467,14 @@ def iou_pairs(spark: SparkSession, d: str) -> DataFrame:
     return r6(detect.iou_pairs(X.boxes(spark, d), 30).select("box_id", "r_box_id", "iou"), "iou")
 
 
-@query()
+@query(f"""WITH RECURSIVE {X.DET}, o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, box_id) AS n FROM b),
+g AS (SELECT image_id, CAST(0 AS BIGINT) AS n, [] :: STRUCT(i BIGINT, a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE)[] AS kept FROM b GROUP BY 1
+ UNION ALL
+ SELECT g.image_id, o.n, CASE WHEN len(list_filter(g.kept, lambda k: greatest(0, least(k.c, o.x1) - greatest(k.a, o.x0)) * greatest(0, least(k.d, o.y1) - greatest(k.b, o.y0)) > 0.2
+  * ((k.c - k.a) * (k.d - k.b) + (o.x1 - o.x0) * (o.y1 - o.y0) - greatest(0, least(k.c, o.x1) - greatest(k.a, o.x0)) * greatest(0, least(k.d, o.y1) - greatest(k.b, o.y0)) + 1e-6))) > 0
+  THEN g.kept ELSE list_append(g.kept, struct_pack(i := o.box_id, a := o.x0, b := o.y0, c := o.x1, d := o.y1)) END FROM g JOIN o ON o.image_id = g.image_id AND o.n = g.n + 1),
+l AS (SELECT arg_max(kept, n) AS kept FROM g GROUP BY image_id)
+SELECT b.* FROM b JOIN (SELECT unnest(kept).i AS box_id FROM l) USING (box_id)""")
 def greedy_nms(spark: SparkSession, d: str) -> DataFrame:
     return detect.box_nms(X.boxes(spark, d), 30, 0.2)
 
@@ -503,19 +521,28 @@ def affine_boxes(spark: SparkSession, d: str) -> DataFrame:
     return r6(detect.georeference(p, t), "score")
 
 
-@query()
+@query(f"WITH {X.DET} SELECT box_id, x0, y0, x1, y1, TRUE AS inside FROM b")
 def augmented_boxes(spark: SparkSession, d: str) -> DataFrame:
-    return detect.augment(X.boxes(spark, d).withColumn("width", F.lit(600.0)).withColumn("height", F.lit(500.0)), seed=7)
+    """Boxes turned and flipped at random, and turned back by the marks of what was done."""
+    a = detect.augment(X.boxes(spark, d).withColumn("width", F.lit(600.0)).withColumn("height", F.lit(500.0)), seed=7)
+    inside = F.expr("x0 >= 0 and y0 >= 0 and x1 <= width and y1 <= height and x0 < x1 and y0 < y1")
+    u0, u1 = F.when(F.col("flipped"), F.col("width") - F.col("x1")).otherwise(F.col("x0")), F.when(F.col("flipped"), F.col("width") - F.col("x0")).otherwise(F.col("x1"))
+    turned = lambda yes, no, name: F.when(F.col("rotated"), yes).otherwise(no).alias(name)
+    return a.select("box_id", turned(F.col("height") - F.col("y1"), u0, "x0"), turned(u0, F.col("y0"), "y0"), turned(F.col("height") - F.col("y0"), u1, "x1"), turned(u1, F.col("y1"), "y1"), inside.alias("inside"))
 
 
-@query()
+@query(f"WITH {X.DET} SELECT image_id, count(*) AS boxes, TRUE AS fits FROM b GROUP BY 1")
 def detection_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of at most four images, taken apart again."""
     b = X.boxes(spark, d)
     samples = b.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("box_id", "x0", "y0", "x1", "y1"))).alias("target"))
-    return detect.collate(samples, 4)
+    batches = detect.collate(samples, 4)
+    one = batches.select((F.size("images") <= 4).alias("fits"), F.explode(F.arrays_zip("images", "targets")).alias("_z"))
+    return one.select(F.col("_z.images").alias("image_id"), F.size("_z.targets").cast("long").alias("boxes"), "fits")
 
 
-@query()
+@query(f"""WITH {X.PX}, n AS (SELECT {X.MAP_ROW} AS image_id, col // 8 AS y, col % 8 AS x, (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w + 1e-8) AS z FROM px WINDOW w AS (PARTITION BY raster_id, row))
+SELECT image_id, CAST(min(x) AS DOUBLE) AS x0, CAST(min(y) AS DOUBLE) AS y0, CAST(max(x) + 1 AS DOUBLE) AS x1, CAST(max(y) + 1 AS DOUBLE) AS y1, 0.9::DOUBLE AS score, 1 AS label FROM n WHERE z > 0.8 GROUP BY 1""")
 def detection_predict_stub(spark: SparkSession, d: str) -> DataFrame:
     """The prediction hook with a stand-in model: one box around the pixels above 0.8."""
 
@@ -523,7 +550,7 @@ def detection_predict_stub(spark: SparkSession, d: str) -> DataFrame:
         rows, cols = np.nonzero(a[0] > 0.8)
         return (np.array([[cols.min(), rows.min(), cols.max() + 1, rows.max() + 1]]), np.array([0.9]), np.array([1])) if len(rows) else (np.zeros((0, 4)), np.zeros(0), np.zeros(0))
 
-    images = table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("bands"), F.transform("embedding", lambda x: x.cast("double")).alias("pixels"))
+    images = table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("image_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("bands"), F.transform("embedding", lambda x: x.cast("double")).alias("pixels"))
     return detect.predict(images, model)
 
 
@@ -578,9 +605,14 @@ def nms_coded(spark: SparkSession, d: str) -> DataFrame:
     return seeds.nms_coded(_clustered(spark, d), 0.5, 0.05, ["root"], 1.2).select("id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {X.SEEDS}, {_CL}, o AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY height DESC, id) AS n FROM c),
+g AS (SELECT root, CAST(0 AS BIGINT) AS n, [] :: STRUCT(i BIGINT, x DOUBLE, y DOUBLE, r DOUBLE)[] AS kept FROM c GROUP BY 1
+ UNION ALL
+ SELECT g.root, o.n, CASE WHEN len(list_filter(g.kept, lambda k: sqrt((k.x - o.x) * (k.x - o.x) + (k.y - o.y) * (k.y - o.y)) <= k.r)) > 0 THEN g.kept
+  ELSE list_append(g.kept, struct_pack(i := o.id, x := o.x, y := o.y, r := greatest(0.5, 0.05 * o.height))) END FROM g JOIN o ON o.root = g.root AND o.n = g.n + 1),
+l AS (SELECT root, arg_max(kept, n) AS kept FROM g GROUP BY 1) SELECT unnest(kept).i AS id, root FROM l""")
 def nms_greedy(spark: SparkSession, d: str) -> DataFrame:
-    return seeds.nms_greedy(_clustered(spark, d), 0.5, 0.05, "root", 1.2)
+    return seeds.nms_greedy(_clustered(spark, d), 0.5, 0.05, "root", 1.2).select("id", "root")
 
 
 @query(f"WITH {X.SEEDS}, {_CL}, g AS (SELECT root, max(height) - min(height) AS span, quantile_cont(height, 0.5) AS mid FROM c GROUP BY 1) SELECT id, root, CASE WHEN span > 15 AND height > mid THEN 1 ELSE 0 END AS part FROM c JOIN g USING (root)")
@@ -588,7 +620,13 @@ def median_split(spark: SparkSession, d: str) -> DataFrame:
     return seeds.median_split(_clustered(spark, d), 15).select("id", "root", "part")
 
 
-@query()
+@query(f"""WITH RECURSIVE {X.SEEDS}, n AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY id) AS k FROM s),
+bl AS MATERIALIZED (SELECT a.k, list(b.k) AS ball, len(list(b.k)) AS m FROM n a JOIN n b ON abs(a.x - b.x) <= 0.6 AND abs(a.y - b.y) <= 0.6 AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= least(greatest(a.height * 0.1, 0.3), 0.6) GROUP BY 1),
+g AS (SELECT CAST(0 AS BIGINT) AS k, list_transform(range(count(*)), lambda i: CAST(0 AS BIGINT)) AS taken FROM n
+ UNION ALL
+ SELECT bl.k, CASE WHEN taken[bl.k] = 0 AND m >= 2 THEN list_transform(taken, lambda t, j: CASE WHEN list_contains(ball, j) THEN bl.k ELSE t END) ELSE taken END FROM g JOIN bl ON bl.k = g.k + 1),
+l AS (SELECT taken FROM g ORDER BY k DESC LIMIT 1)
+SELECT n.id, c.id AS cluster1 FROM n, l LEFT JOIN n c ON c.k = l.taken[n.k]""")
 def ball_clusters(spark: SparkSession, d: str) -> DataFrame:
     return seeds.ball_clusters(X.seeds(spark, d), 0.1, 0.3, 0.6).select("id", "cluster1")
 
@@ -601,40 +639,84 @@ def seed_peaks(spark: SparkSession, d: str) -> DataFrame:
     return r6(out, "height")
 
 
-@query()
+@query(f"""WITH RECURSIVE {X.PX}, {X.SEEDS}, {_NEAR}, {_SEED_NEAR}, {_COST},
+st AS (SELECT raster_id, id, other, d, CAST(least(greatest(round_even(y + k / 13.0::DOUBLE * (oy - y), 0), 0), {X.HEIGHT - 1}) AS INTEGER) AS row, CAST(least(greatest(round_even(x + k / 13.0::DOUBLE * (ox - x), 0), 0), {X.WIDTH - 1}) AS INTEGER) AS col FROM nr, range(1, 13) r(k) WHERE d <= 1.05 AND d > 0.8),
+ed AS (SELECT id, other, max(d) * (1 + 0.5 * avg(coalesce(cost, 1))) AS de FROM st LEFT JOIN cp USING (raster_id, row, col) GROUP BY 1, 2 UNION ALL SELECT id, other, d FROM nr WHERE d <= 0.8),
+e AS (SELECT id AS a, other AS b FROM ed WHERE de <= 1.05 UNION ALL SELECT other, id FROM ed WHERE de <= 1.05),
+r AS (SELECT id, id AS root FROM s UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id WHERE r.root < e.b),
+c AS (SELECT s.*, m.root FROM s JOIN (SELECT id, min(root) AS root FROM r GROUP BY 1) m USING (id)),
+g AS (SELECT root, max(height) - min(height) AS span, quantile_cont(height, 0.5) AS mid FROM c GROUP BY 1),
+pt AS (SELECT c.*, CASE WHEN span > 5 AND height > mid THEN 1 ELSE 0 END AS part FROM c JOIN g USING (root)),
+tk AS (SELECT * FROM pt QUALIFY row_number() OVER (PARTITION BY root, part ORDER BY height DESC, id) <= 3)
+SELECT id, {X.SEED_RASTER} AS raster_id, origin, root * 2 + part AS cluster FROM tk c WHERE NOT EXISTS (SELECT 1 FROM tk o WHERE o.root = c.root AND o.part = c.part AND o.id <> c.id AND (o.height < c.height OR (o.height = c.height AND o.id > c.id))
+ AND sqrt((o.x - c.x) * (o.x - c.x) + (o.y - c.y) * (o.y - c.y)) <= 0.5)""")
 def canonical_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """Seeds of both detectors merged, split, trimmed and suppressed, each raster by its own costs."""
     s, c = X.raster_seeds(spark, d), raster.normalize_band(X.px1(spark, d), out="cost")
     only = lambda o: s.where(F.col("origin") == o).drop("origin")
-    return seeds.canonical_seeds(only("chm"), only("density"), c, X.HEIGHT, X.WIDTH, merge_radius=1.05, dz_merge=5, max_per_cluster=3, nms_base=0.5, keys=["raster_id"])
+    out = seeds.canonical_seeds(only("chm"), only("density"), c, X.HEIGHT, X.WIDTH, merge_radius=1.05, dz_merge=5, max_per_cluster=3, nms_base=0.5, keys=["raster_id"])
+    return out.select("id", "raster_id", "origin", "cluster")
 
 
 # Segmentation
 
 
-@query()
-def slic_segments(spark: SparkSession, d: str) -> DataFrame:
-    return segment.slic(X.wide8(spark, d), ["b0", "b1", "b2"], 100, iterations=5)
+def _regions_check(labels: DataFrame, label: str, least: int) -> DataFrame:
+    """Of each raster: pixels with a label, distinct pixels, labels that lie in several pieces, and labels of fewer than ``least`` pixels."""
+    pieces = segment.connected_regions(labels.withColumn("label", F.col(label)), tile=64).groupBy("raster_id", "label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("region").alias("p"))
+    one = pieces.groupBy("raster_id").agg(F.count_if(F.col("p") > 1).alias("parted"), F.count_if(F.col("n") < least).alias("tiny"))
+    pixels = labels.groupBy("raster_id").agg(F.count(F.lit(1)).alias("pixels"), F.count_distinct("row", "col").alias("places"))
+    return pixels.join(one, "raster_id")
 
 
-@query()
+@query(f"WITH {X.W8} SELECT raster_id, count(*) AS pixels, count(*) AS places, CAST(0 AS BIGINT) AS parted, CAST(0 AS BIGINT) AS tiny FROM w8 GROUP BY 1")
+def slic_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Superpixels cut into connected regions of at least four pixels: what must hold for each raster."""
+    labels = segment.slic(X.wide8(spark, d), ["b0", "b1", "b2"], 100, iterations=5)
+    return _regions_check(segment.enforce_connectivity(labels, 4), "region", 4)
+
+
+@query(f"""WITH RECURSIVE {X.PX}, p AS (SELECT raster_id, row, col, v, row * {X.WIDTH} + col AS id FROM px),
+n5 AS MATERIALIZED (SELECT raster_id, id, v, row + i.i AS r2, col + j.i AS c2, i.i * i.i + j.i * j.i AS q FROM p, range(-5, 6) i(i), range(-5, 6) j(i)),
+de AS MATERIALIZED (SELECT p.*, d.density FROM p JOIN (SELECT a.raster_id, a.id, sum(exp(-(power(a.v - b.v, 2) + q) / 4.5)) AS density FROM n5 a JOIN p b ON b.raster_id = a.raster_id AND b.row = a.r2 AND b.col = a.c2 GROUP BY 1, 2) d USING (raster_id, id)),
+n4 AS MATERIALIZED (SELECT raster_id, id, v, density, row + i.i AS r2, col + j.i AS c2, i.i * i.i + j.i * j.i AS q FROM de, range(-4, 5) i(i), range(-4, 5) j(i)),
+up AS MATERIALIZED (SELECT a.raster_id, a.id, arg_min(b.id, power(a.v - b.v, 2) + q) AS up FROM n4 a JOIN de b ON b.raster_id = a.raster_id AND b.row = a.r2 AND b.col = a.c2 WHERE b.density > a.density AND power(a.v - b.v, 2) + q <= 16 GROUP BY 1, 2),
+w AS (SELECT raster_id, id, id AS at FROM p UNION ALL SELECT w.raster_id, w.id, up.up FROM w JOIN up ON up.raster_id = w.raster_id AND up.id = w.at),
+r AS (SELECT w.raster_id, w.id, w.at AS root FROM w LEFT JOIN up ON up.raster_id = w.raster_id AND up.id = w.at WHERE up.up IS NULL)
+SELECT p.raster_id, p.row, p.col, min(p.id) OVER (PARTITION BY p.raster_id, r.root) AS label FROM p JOIN r USING (raster_id, id)""")
 def quickshift_segments(spark: SparkSession, d: str) -> DataFrame:
     return segment.quickshift(X.px1(spark, d), ["v"], kernel_size=1.5, max_dist=4)
 
 
-@query()
+@query(f"WITH {X.PX} SELECT raster_id, count(*) AS pixels, count(*) AS places, TRUE AS many FROM px GROUP BY 1")
 def tiled_segments(spark: SparkSession, d: str) -> DataFrame:
-    return segment.tiled_segments(X.px1(spark, d), ["v"], tile=32, buffer=6, crown_radius=3)
+    """Checkerboard segmentation: every pixel of each raster once, in about as many segments as crowns fit."""
+    t = segment.tiled_segments(X.px1(spark, d), ["v"], tile=32, buffer=6, crown_radius=3)
+    wanted = X.HEIGHT * X.WIDTH / (3.141592653589793 * 9)
+    return t.groupBy("raster_id").agg(F.count(F.lit(1)).alias("pixels"), F.count_distinct("row", "col").alias("places"), F.count_distinct("segment_id").between(wanted / 2, wanted * 2).alias("many"))
 
 
-@query()
+_REGIONS = f"""{X.PX}, p AS (SELECT raster_id, row, col, row * {X.WIDTH} + col AS id, CAST(floor((v + 1) * 4) AS BIGINT) AS label FROM px),
+e AS (SELECT a.raster_id, a.id AS a, b.id AS b FROM p a JOIN p b ON b.raster_id = a.raster_id AND b.label = a.label AND abs(a.row - b.row) + abs(a.col - b.col) = 1 AND b.row BETWEEN a.row - 1 AND a.row + 1),
+f AS (SELECT raster_id, id, id AS root FROM p UNION SELECT e.raster_id, e.b, f.root FROM f JOIN e ON e.raster_id = f.raster_id AND e.a = f.id WHERE f.root < e.b),
+rg AS (SELECT raster_id, id, min(root) AS region FROM f GROUP BY 1, 2)"""
+
+
+@query(f"WITH RECURSIVE {_REGIONS} SELECT raster_id, row, col, label, region FROM p JOIN rg USING (raster_id, id)")
 def connected_regions(spark: SparkSession, d: str) -> DataFrame:
     return segment.connected_regions(X.px1(spark, d).withColumn("label", F.floor((F.col("v") + 1) * 4)), tile=64)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_REGIONS}, q AS (SELECT raster_id, row, col, region FROM p JOIN rg USING (raster_id, id)),
+i AS (SELECT a.raster_id, a.region, count(*) AS inner_sides FROM q a JOIN q b ON b.raster_id = a.raster_id AND b.region = a.region AND abs(a.row - b.row) + abs(a.col - b.col) = 1 AND b.row BETWEEN a.row - 1 AND a.row + 1 GROUP BY 1, 2)
+SELECT raster_id, region, any_value(n) * 0.25::DOUBLE AS area, (any_value(n) * 4 - coalesce(any_value(inner_sides), 0)) * 0.5::DOUBLE AS perimeter, any_value(x0) AS minx, any_value(y1) AS maxy
+FROM (SELECT raster_id, region, count(*) AS n, 200000 + min(col) * 0.5::DOUBLE AS x0, 1000000 - min(row) * 0.5::DOUBLE AS y1 FROM q GROUP BY 1, 2) LEFT JOIN i USING (raster_id, region) GROUP BY 1, 2""")
 def segment_outlines(spark: SparkSession, d: str) -> DataFrame:
-    regions = segment.connected_regions(X.segments(spark, d), "segment_id", tile=64)
-    return segment.outlines_wkt(regions, (0.5, 0, 200000, 0, -0.5, 1000000))
+    """Outlines of connected regions, holes included: their area, perimeter and corner."""
+    regions = segment.connected_regions(X.px1(spark, d).withColumn("label", F.floor((F.col("v") + 1) * 4)), tile=64)
+    wkt = segment.outlines_wkt(regions, (0.5, 0, 200000, 0, -0.5, 1000000)).withColumn("id", F.col("raster_id") * 1_000_000 + F.col("region"))
+    m = outline_measures(outlines(wkt, "id", "geometry"))
+    return m.select(F.expr("id div 1000000").alias("raster_id"), (F.col("id") % 1_000_000).alias("region"), "area", "perimeter", "minx", "maxy")
 
 
 # Classification
@@ -648,9 +730,11 @@ def scale_features(spark: SparkSession, d: str) -> DataFrame:
     return r6(classify.scale(X.features(spark, d).drop("feature_class"), cols), *cols)
 
 
-@query()
+@query("SELECT count(*) AS n, CAST(ceil(0.4 * count(*)) AS BIGINT) AS test, count(DISTINCT vec_id) AS segments FROM embeddings")
 def split_exact(spark: SparkSession, d: str) -> DataFrame:
-    return classify.split(X.features(spark, d), "segment_id", 0.4).select("segment_id", "is_test")
+    """Rows of both parts of a random split, counted."""
+    s = classify.split(X.features(spark, d), "segment_id", 0.4)
+    return s.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_test").alias("test"), F.count_distinct("segment_id").alias("segments"))
 
 
 @query(f"WITH {X.PAIRS}, c AS (SELECT y AS k FROM q UNION SELECT yhat FROM q) SELECT a.k AS y, b.k AS yhat, (SELECT count(*) FROM q WHERE y = a.k AND yhat = b.k) AS n FROM c a, c b")
