@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +23,19 @@ def shared_root(spark: SparkSession) -> str:
         return folder
     if not context.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return tempfile.mkdtemp(prefix="gridloom-")
+    folder = tempfile.mkdtemp(prefix="gridloom-")
+    atexit.register(shutil.rmtree, folder, True)
+    return folder
+
+
+def local_path(path: str) -> str:
+    """A path for plain file access; ``file:`` is taken off and any other scheme refused, since files there would land on one machine's disk."""
+    scheme, mark, rest = path.partition(":")
+    if mark and scheme == "file":
+        return "/" + rest.lstrip("/")
+    if mark and rest.startswith("//"):
+        raise ValueError(f"{path}: files are read and written through mounted folders only, not {scheme}://")
+    return path
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

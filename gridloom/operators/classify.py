@@ -36,13 +36,16 @@ def scale(df: DataFrame, features: list[str], fitted_on: DataFrame | None = None
 
 
 def fit(train: DataFrame, features: list[str], method: str = "rf", **params):
-    """A fitted pipeline; method "rf" (n_estimators, max_depth) or "mlp" (hidden_layer_sizes, max_iter)."""
+    """A fitted pipeline; method "rf" (n_estimators, max_depth) or "mlp" (hidden_layer_sizes, max_iter), either with random_state; other parameters are refused."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler
 
-    if method not in ("rf", "mlp"):
-        raise ValueError("An unsupported classification algorithm was requested")
+    known = {"rf": {"n_estimators", "max_depth", "random_state"}, "mlp": {"hidden_layer_sizes", "max_iter", "random_state"}}
+    if method not in known:
+        raise ValueError(f"method {method!r} is neither 'rf' nor 'mlp'")
+    if strange := set(params) - known[method]:
+        raise TypeError(f"{method} has no parameters {sorted(strange)}")
     index = StringIndexer(inputCol="feature_class", outputCol="_label", stringOrderType="alphabetAsc")
     vector = VectorAssembler(inputCols=features, outputCol="_features")
     if method == "rf":

@@ -18,9 +18,12 @@ def cost_surface(image: DataFrame, chm: DataFrame, labels: DataFrame | None = No
     Without labels the other three weights are scaled up.  Missing parts count 0, as each part is
     normalised with missing values at 0.
     """
-    grad, gap, texture, edge = weights
     if abs(sum(weights) - 1) > 1e-6:
-        raise ValueError("Weights must sum to 1.")
+        raise ValueError(f"the four weights add up to {sum(weights)}, not to 1")
+    if labels is None:  # the part without data goes, and the others grow to a sum of 1 again
+        warnings.warn("no labels: the cost has three terms only", stacklevel=2)
+        kept = sum(weights[:3])
+        weights = (*(w / kept for w in weights[:3]), 0.0)
     at = ["raster_id", "row", "col"]
     parts = percentile_normalise(sobel(chm.select(*at, "v")), value="gradient", out="grad").select(*at, "grad")
     bands = percentile_normalise(image.withColumn("_g", 1 - ndvi(F.col("b4"), F.col("b6"))), value="_g", out="gap")
@@ -30,9 +33,6 @@ def cost_surface(image: DataFrame, chm: DataFrame, labels: DataFrame | None = No
     if labels is not None:
         j = j.join(percentile_normalise(label_edges(labels), value="edge", out="border").select(*at, "border"), at)
     else:
-        warnings.warn("no labels: the cost has three terms only", stacklevel=2)
-        s = grad + gap + texture
-        grad, gap, texture, edge = grad / s, gap / s, texture / s, 0.0
         j = j.withColumn("border", F.lit(0.0))
-    total = grad * F.col("grad") + gap * F.col("gap") + texture * F.col("tex") + edge * F.col("border")
+    total = sum((w * F.col(part) for w, part in zip(weights, ("grad", "gap", "tex", "border"))), F.lit(0.0))
     return j.select(*at, F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)).alias("cost"))

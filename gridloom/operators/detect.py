@@ -60,11 +60,28 @@ def annotations_json(boxes: DataFrame) -> DataFrame:
     return g.select("tile_no", name.alias("image"), F.to_json(body).alias("json"))
 
 
-def transforms_json(tiles: DataFrame, gt: tuple[float, ...], crs: str) -> DataFrame:
-    """tile_no, tile_name, json: {"transform": [a..f], "crs"} of each tile window (tile_no, row0, col0)."""
-    a, b, c, d, e, f = map(float, gt)
-    t = F.array(F.lit(a), F.lit(b), a * F.col("col0") + b * F.col("row0") + c, F.lit(d), F.lit(e), d * F.col("col0") + e * F.col("row0") + f)
-    return tiles.select("tile_no", F.format_string("img_%03d.jpg", F.col("tile_no")).alias("tile_name"), F.to_json(F.struct(t.alias("transform"), F.lit(crs).alias("crs"))).alias("json"))
+def transforms_json(tiles: DataFrame, gt: tuple, crs: str, keys: list[str] = []) -> DataFrame:
+    """keys, tile_no, tile_name, json: {"transform": [a..f], "crs"} of each tile window (tile_no, row0, col0); the affine may be columns."""
+    a, b, c, d, e, f = (v if isinstance(v, Column) else F.lit(float(v)) for v in gt)
+    t = F.array(a, b, a * F.col("col0") + b * F.col("row0") + c, d, e, d * F.col("col0") + e * F.col("row0") + f)
+    return tiles.select(*keys, "tile_no", F.format_string("img_%03d.jpg", F.col("tile_no")).alias("tile_name"), F.to_json(F.struct(t.alias("transform"), F.lit(crs).alias("crs"))).alias("json"))
+
+
+def box_polygons(boxes: DataFrame) -> DataFrame:
+    """Map boxes (minx, miny, maxx, maxy) with their outline as WKT in ``geometry``."""
+    corner = lambda x, y: F.concat_ws(" ", F.col(x).cast("string"), F.col(y).cast("string"))
+    ring = F.concat_ws(", ", *[corner(x, y) for x, y in (("minx", "miny"), ("maxx", "miny"), ("maxx", "maxy"), ("minx", "maxy"), ("minx", "miny"))])
+    return boxes.withColumn("geometry", F.concat(F.lit("POLYGON (("), ring, F.lit("))")))
+
+
+def included(features: DataFrame, column: str = "include") -> DataFrame:
+    """Features whose mark begins with "yes"; null excludes, and without such a column all stay."""
+    return features.where(F.col(column).startswith("yes")) if column in features.columns else features
+
+
+def mean_losses(losses: DataFrame) -> DataFrame:
+    """epoch, loss: mean over the batches of each epoch."""
+    return losses.groupBy("epoch").agg(F.avg("loss").alias("loss"))
 
 
 def detection_samples(images: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -122,10 +122,10 @@ def pixel_to_map(col: Column, row: Column, gt: tuple[float, ...]) -> tuple[Colum
 
 
 def map_to_pixel(x: Column, y: Column, gt: tuple[float, ...]) -> tuple[Column, Column]:
-    """(row, col) of the cell that holds a map position; the affine must be invertible."""
-    a, b, c, d, e, f = map(float, gt)
+    """(row, col) of the cell that holds a map position; the affine, numbers or columns, must be invertible."""
+    a, b, c, d, e, f = (v if isinstance(v, Column) else float(v) for v in gt)
     det = a * e - b * d
-    if det == 0:
+    if not isinstance(det, Column) and det == 0:
         raise ValueError("the affine transform cannot be inverted")
     col = (e * (x - c) - b * (y - f)) / det
     row = (a * (y - f) - d * (x - c)) / det
@@ -133,10 +133,10 @@ def map_to_pixel(x: Column, y: Column, gt: tuple[float, ...]) -> tuple[Column, C
 
 
 def raster_bounds(width: Column, height: Column, gt: tuple[float, ...]) -> list[Column]:
-    """minx, miny, maxx, maxy of an unrotated raster."""
-    a, _, c, _, e, f = map(float, gt)
+    """minx, miny, maxx, maxy of an unrotated raster; the affine may be columns."""
+    a, _, c, _, e, f = (v if isinstance(v, Column) else F.lit(float(v)) for v in gt)
     x1, y1 = c + a * width, f + e * height
-    x0, y0 = F.lit(c), F.lit(f)
+    x0, y0 = c, f
     return [F.least(x0, x1), F.least(y0, y1), F.greatest(x0, x1), F.greatest(y0, y1)]
 
 
@@ -151,6 +151,13 @@ def crop(df: DataFrame, row0: int, row1: int, col0: int, col1: int) -> DataFrame
     return df.where((F.col("row") >= row0) & (F.col("row") < row1) & (F.col("col") >= col0) & (F.col("col") < col1))
 
 
+def window_of_bounds(minx: float, miny: float, maxx: float, maxy: float, gt: tuple[float, ...]) -> tuple[int, int, int, int]:
+    """row0, row1, col0, col1 of the cells of an unrotated raster that a map box touches with more than its border."""
+    a, _, c, _, e, f = map(float, gt)
+    cols, rows = sorted(((minx - c) / a, (maxx - c) / a)), sorted(((miny - f) / e, (maxy - f) / e))
+    return math.floor(rows[0]), math.ceil(rows[1]), math.floor(cols[0]), math.ceil(cols[1])
+
+
 def tile_grid(rasters: DataFrame, step: float, size: float) -> DataFrame:
     """Boxes x0, y0, x1, y1 of each raster (minx, miny, maxx, maxy), ``tile_no`` from 0 row by row from the lower left, cut off at the maximum."""
     if not step > 0:

@@ -175,6 +175,11 @@ def connected_regions(labels: DataFrame, label: str = "label", tile: int = TILE)
     return pieces.join(merged.select("raster_id", F.col("id").alias("piece"), F.col("component").alias("region")), ["raster_id", "piece"]).select("raster_id", "row", "col", "label", "region")
 
 
+def label_counts(labels: DataFrame, label: str = "label") -> DataFrame:
+    """raster_id, the distinct labels of each raster, pixels."""
+    return labels.where(F.col(label).isNotNull()).groupBy("raster_id", label).agg(F.count(F.lit(1)).alias("pixels"))
+
+
 def merge_small(regions: DataFrame, least: int) -> DataFrame:
     """raster_id, row, col, region: regions of fewer than ``least`` pixels joined to a neighbour.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.plans import problems, reference
+from gridloom.plans import files, problems, reference
 
-QUERIES = {**reference.QUERIES, **problems.QUERIES}
-SQL = {**reference.SQL, **problems.SQL}
+QUERIES = {**reference.QUERIES, **files.QUERIES, **problems.QUERIES}
+SQL = {**reference.SQL, **files.SQL, **problems.SQL}

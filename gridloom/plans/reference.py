@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.common import numbered, shared_root, table
+from gridloom.common import numbered, table
 from gridloom.functions import crs
 from gridloom.operators import classify, cost, detect, graph, neighbours, raster, seeds, segment, spatial, zonal
 from gridloom.operators.near import outline_measures, outlines, points_in_outlines
@@ -440,12 +438,15 @@ def layer_stack(spark: SparkSession, d: str) -> DataFrame:
 # Detection data
 
 
-@query("""WITH t AS (SELECT CAST(i AS INTEGER) AS tile_no, i % 5 * 200 AS c, i // 5 * 200 AS r FROM range(20) g(i))
-SELECT tile_no, printf('img_%03d.jpg', tile_no) AS tile_name, CAST(json_object('transform', [0.5::DOUBLE, 0.0::DOUBLE, 0.5 * c::DOUBLE + 2000, 0.0::DOUBLE, -0.5::DOUBLE, -0.5 * r::DOUBLE + 1000], 'crs', 'EPSG:32604') AS VARCHAR) AS json FROM t""")
+@query("""WITH g AS (SELECT raster_id, minx, maxy, CAST(ceil((maxx - minx) / 100) AS INTEGER) AS nx, CAST(ceil((maxy - miny) / 100) AS INTEGER) AS ny FROM rasters WHERE maxx > minx AND maxy > miny),
+t AS (SELECT raster_id, minx, maxy, CAST(j.i * nx + i.i AS INTEGER) AS tile_no, i.i * 200 AS c, j.i * 200 AS r FROM g, LATERAL (SELECT unnest(range(nx)) AS i) i, LATERAL (SELECT unnest(range(ny)) AS i) j)
+SELECT raster_id, tile_no, printf('img_%03d.jpg', tile_no) AS tile_name, round(0.5 * c + minx, 4) AS corner_x, round(-0.5 * r + maxy, 4) AS corner_y, 'EPSG:32604' AS crs FROM t""")
 def transforms_json(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("id")
-    tiles = spark.range(20).select(i.cast("int").alias("tile_no"), (F.floor(i / 5) * 200).alias("row0"), (i % 5 * 200).alias("col0"))
-    return detect.transforms_json(tiles, (0.5, 0, 2000, 0, -0.5, 1000), "EPSG:32604")
+    """The affine of every tile of every raster as JSON, and what is read from it again."""
+    tiles = raster.tile_grid(table(spark, d, "rasters"), 100, 150).select("raster_id", "tile_no", F.round((F.col("x0") - F.col("minx")) * 2).alias("col0"), F.round((F.col("y0") - F.col("miny")) * 2).alias("row0"), "minx", "maxy")
+    j = detect.transforms_json(tiles, (0.5, 0, F.col("minx"), 0, -0.5, F.col("maxy")), "EPSG:32604", ["raster_id"])
+    read = F.from_json("json", "transform array<double>, crs string")
+    return j.withColumn("_j", read).select("raster_id", "tile_no", "tile_name", F.round(F.col("_j.transform")[2], 4).alias("corner_x"), F.round(F.col("_j.transform")[5], 4).alias("corner_y"), "_j.crs")
 
 
 @query(f"""WITH {X.PX}, {X.DET}, m AS (SELECT raster_id, row, min(v) AS a, max(v) AS b FROM px GROUP BY 1, 2), u AS (SELECT {X.MAP_ROW} AS image, sum(CAST(floor((v - a) / (b - a + 1e-8) * 255) AS INTEGER)) AS total FROM px JOIN m USING (raster_id, row) GROUP BY 1)
@@ -721,13 +722,13 @@ def segment_outlines(spark: SparkSession, d: str) -> DataFrame:
 
 # Classification
 
-_SCALED = ", ".join(f"round((f{i} - (SELECT avg(f{i}) FROM f)) / (SELECT stddev_pop(f{i}) FROM f), 6) + 0.0 AS f{i}" for i in range(4))
+_SCALED = ", ".join(f"round((f{i} - avg(f{i}) OVER ()) / stddev_pop(f{i}) OVER (), 6) + 0.0 AS f{i}" for i in range(64))
 
 
-@query(f"WITH f AS (SELECT vec_id AS segment_id, {', '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}' for i in range(4))} FROM embeddings) SELECT segment_id, {_SCALED} FROM f")
+@query(f"WITH f AS (SELECT vec_id AS segment_id, {', '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}' for i in range(64))} FROM embeddings) SELECT segment_id, {_SCALED} FROM f")
 def scale_features(spark: SparkSession, d: str) -> DataFrame:
-    cols = [f"f{i}" for i in range(4)]
-    return r6(classify.scale(X.features(spark, d).drop("feature_class"), cols), *cols)
+    cols = [f"f{i}" for i in range(64)]
+    return r6(classify.scale(X.features(spark, d, 64).drop("feature_class"), cols), *cols)
 
 
 @query("SELECT count(*) AS n, CAST(ceil(0.4 * count(*)) AS BIGINT) AS test, count(DISTINCT vec_id) AS segments FROM embeddings")
@@ -807,32 +808,3 @@ def classified_raster(spark: SparkSession, d: str) -> DataFrame:
     """The predicted class of each pixel's segment."""
     c = X.features(spark, d).select("segment_id", F.col("feature_class").alias("predicted_class"))
     return classify.classified_raster(X.segments(spark, d), c).select("raster_id", "row", "col", "v")
-
-
-# Sources and sinks
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the shared one."""
-    return f"{shared_root(spark).removeprefix('file://')}/gridloom-{uuid.uuid4().hex}"
-
-
-@query(f"WITH {X.PX}, {X.PX8} SELECT raster_id, band, row, col, CAST(CAST(v AS FLOAT) AS DOUBLE) AS v FROM p8")
-def geotiff_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """A raster written as GeoTIFF and read again."""
-    from gridloom.sources.geotiff import read_geotiff, write_geotiff
-
-    folder = shared_folder(spark)
-    write_geotiff(X.px8(spark, d), folder, (0.5, 0, 200000, 0, -0.5, 1000000), 32604).collect()  # one path for each raster
-    file = F.regexp_extract("path", "([0-9]+)[.]tif$", 1).cast("long")
-    return read_geotiff(spark, folder).select(file.alias("raster_id"), "band", "row", "col", "v")
-
-
-@query("SELECT segment_id, raster_id, site_id, count(*) AS n FROM segments WHERE geometry IS NOT NULL AND NOT contains(geometry, 'EMPTY') GROUP BY ALL")
-def gpkg_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Segments written as GeoPackage and read again."""
-    from gridloom.sources.gpkg import read_gpkg, write_gpkg
-
-    folder = shared_folder(spark)
-    write_gpkg(table(spark, d, "segments").select("segment_id", "raster_id", "site_id", "geometry"), folder, "segments", 32604).collect()  # one path for each partition
-    return read_gpkg(spark, folder).where("geometry is not null").groupBy("segment_id", "raster_id", "site_id").agg(F.count(F.lit(1)).alias("n"))

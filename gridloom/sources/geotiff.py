@@ -1,8 +1,9 @@
 """GeoTIFF as a Spark data source and a distributed writer.
 
 Reading is split by blocks (strips or tiles); only the blocks that meet the wanted bands and
-window are read.  Classic TIFF and BigTIFF, either byte order, uncompressed or deflate, chunky
-or planar, with or without horizontal differencing.
+window are read.  Classic TIFF and BigTIFF, either byte order, uncompressed, deflate, LZW or
+PackBits, chunky or planar, with or without horizontal or floating-point differencing.  Paths are
+those of mounted folders that all executors share.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
+from gridloom.common import local_path
+
 SCHEMA = "path string, band int, row int, col int, v double"
 #: Fixed values of the TIFF format: byte length of each field type, and tag numbers.
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 16: 8, 17: 8, 18: 8}
@@ -29,6 +32,63 @@ PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, FORMAT = 317, 322
 PIXEL_SCALE, TIEPOINT, TRANSFORMATION, GEO_KEYS, NODATA = 33550, 33922, 34264, 34735, 42113
 
 
+#: Files up to which headers are read when a scan is planned; of more, each file is a partition and tasks read the headers.
+PLANNED_FILES = 64
+#: Pixels wanted in a partition.
+PARTITION_PIXELS = 4_000_000
+
+
+def unpack_lzw(data: bytes) -> bytes:
+    """LZW as TIFF has it: codes of 9 to 12 bits, highest bit first, 256 to clear and 257 to end, widened one code early."""
+    out, at, width, held, bits = bytearray(), 0, 9, 0, 0
+    table = [bytes([i]) for i in range(256)] + [b"", b""]
+    last = b""
+    while True:
+        while bits < width:
+            if at >= len(data):
+                return bytes(out)
+            held, bits, at = (held << 8 | data[at]) & 0xFFFFFF, bits + 8, at + 1
+        bits -= width
+        code = held >> bits & ((1 << width) - 1)
+        if code == 257:
+            return bytes(out)
+        if code == 256:
+            del table[258:]
+            width, last = 9, b""
+            continue
+        if code < len(table):
+            entry = table[code]
+        elif code == len(table) and last:
+            entry = last + last[:1]
+        else:
+            raise ValueError("the LZW data is damaged")
+        out += entry
+        if last:
+            table.append(last + entry[:1])
+        last = entry
+        if len(table) >= (1 << width) - 1 and width < 12:
+            width += 1
+
+
+def unpack_bits(data: bytes) -> bytes:
+    """PackBits: n + 1 literal bytes, or one byte 1 - n times for a negative n."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        n = data[at] - 256 if data[at] > 127 else data[at]
+        at += 1
+        if n >= 0:
+            out += data[at : at + n + 1]
+            at += n + 1
+        elif n != -128:
+            out += data[at : at + 1] * (1 - n)
+            at += 1
+    return bytes(out)
+
+
+#: Fixed values of the format: compression codes and what undoes them.
+UNPACK = {1: bytes, 5: unpack_lzw, 8: zlib.decompress, 32773: unpack_bits, 32946: zlib.decompress}
+
+
 class Header:
     """Layout, georeference and block index of a file."""
 
@@ -59,7 +119,7 @@ class Header:
         one = lambda t, d: tags.get(t, (d,))[0]
         self.width, self.height, self.bands = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1)
         self.compression, self.planar, self.predictor = one(COMPRESSION, 1), one(PLANAR, 1), one(PREDICTOR, 1)
-        if self.compression not in (1, 8, 32946) or self.predictor not in (1, 2):
+        if self.compression not in UNPACK or self.predictor not in (1, 2, 3):
             raise ValueError(f"{path}: compression {self.compression} with predictor {self.predictor} is not supported")
         self.dtype = np.dtype(self.order + {1: "u", 2: "i", 3: "f"}[one(FORMAT, 1)] + str(one(BITS, 8) // 8))
         self.tiled = TILE_OFFSETS in tags
@@ -90,11 +150,16 @@ class Header:
         k = plane * rows * cols + r * cols + c
         f.seek(self.offsets[k])
         raw = f.read(self.counts[k])
-        if self.compression != 1:
-            raw = zlib.decompress(raw)
+        raw = UNPACK[self.compression](raw)
         samples = self.bands if self.planar == 1 else 1
         h = self.block[0] if self.tiled else min(self.block[0], self.height - r * self.block[0])
-        a = np.frombuffer(raw, self.dtype, h * self.block[1] * samples).reshape(h, self.block[1], samples)
+        w, size = self.block[1], self.dtype.itemsize
+        if self.predictor == 3:  # differences of bytes, a row's bytes sorted by significance, highest first
+            b = np.cumsum(np.frombuffer(raw, np.uint8, h * w * samples * size).reshape(h, -1, samples), axis=1, dtype=np.uint8)
+            b = np.ascontiguousarray(b.reshape(h, size, w * samples).transpose(0, 2, 1))
+            a = b.view(self.dtype.newbyteorder(">")).reshape(h, w, samples)
+        else:
+            a = np.frombuffer(raw, self.dtype, h * w * samples).reshape(h, w, samples)
         if self.predictor == 2:
             a = np.cumsum(a, axis=1, dtype=a.dtype)
         a = a[: self.height - r * self.block[0], : self.width - c * self.block[1]]
@@ -102,13 +167,15 @@ class Header:
 
 
 class _Blocks(InputPartition):
-    def __init__(self, path: str, plane: int, row: int) -> None:
-        self.path, self.plane, self.row = path, plane, row
+    """Block rows [first, last) of a plane, or with plane None a whole file."""
+
+    def __init__(self, path: str, plane: int | None = None, first: int = 0, last: int = 0) -> None:
+        self.path, self.plane, self.first, self.last = path, plane, first, last
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
-        path = options["path"]
+        path = local_path(options["path"])
         self.paths = sorted(glob.glob(os.path.join(path, "**", "*.tif*"), recursive=True)) if os.path.isdir(path) else sorted(glob.glob(path)) or [path]
         self.bands = {int(b) for b in options["bands"].split(",")} if options.get("bands") else None
         window = [int(x) for x in options["window"].split(",")] if options.get("window") else [0, 1 << 31, 0, 1 << 31]
@@ -126,33 +193,44 @@ class _Reader(DataSourceReader):
                 self.bands = {value} if self.bands is None else self.bands & {value}
             yield f  # Spark checks the rows as well
 
+    def _planes(self, h: Header) -> list[int]:
+        return [p for p in range(h.bands if h.planar == 2 else 1) if h.planar != 2 or self.bands is None or p in self.bands]
+
     def partitions(self):
+        if len(self.paths) > PLANNED_FILES:
+            return [_Blocks(p) for p in self.paths]
         out = []
         for path in self.paths:
             h = Header(path)
-            for plane in range(h.bands if h.planar == 2 else 1):
-                if h.planar == 2 and self.bands is not None and plane not in self.bands:
-                    continue
-                out += [_Blocks(path, plane, r) for r in range(h.grid[0]) if r * h.block[0] <= self.high["row"] and (r + 1) * h.block[0] > self.low["row"]]
+            step = max(1, PARTITION_PIXELS // (h.block[0] * h.width))
+            low, high = max(0, self.low["row"] // h.block[0]), min(h.grid[0], self.high["row"] // h.block[0] + 1)
+            out += [_Blocks(path, plane, r, min(high, r + step)) for plane in self._planes(h) for r in range(low, high, step)]
         return out
 
     def read(self, partition) -> Iterator[pa.RecordBatch]:
         h = Header(partition.path)
+        whole = partition.plane is None
         with open(partition.path, "rb") as f:
-            for c in range(h.grid[1]):
-                if c * h.block[1] > self.high["col"] or (c + 1) * h.block[1] <= self.low["col"]:
+            for plane in self._planes(h) if whole else [partition.plane]:
+                for r in range(0, h.grid[0]) if whole else range(partition.first, partition.last):
+                    if r * h.block[0] <= self.high["row"] and (r + 1) * h.block[0] > self.low["row"]:
+                        yield from self._blocks(h, f, partition.path, plane, r)
+
+    def _blocks(self, h: Header, f, path: str, plane: int, row: int) -> Iterator[pa.RecordBatch]:
+        for c in range(h.grid[1]):
+            if c * h.block[1] > self.high["col"] or (c + 1) * h.block[1] <= self.low["col"]:
+                continue
+            a = h.read_block(f, plane, row, c)
+            r0, c0 = row * h.block[0], c * h.block[1]
+            for i, layer in enumerate(a):
+                band = plane if h.planar == 2 else i
+                if self.bands is not None and band not in self.bands:
                     continue
-                a = h.read_block(f, partition.plane, partition.row, c)
-                r0, c0 = partition.row * h.block[0], c * h.block[1]
-                for i, plane in enumerate(a):
-                    band = partition.plane if h.planar == 2 else i
-                    if self.bands is not None and band not in self.bands:
-                        continue
-                    rows, cols = np.indices(plane.shape, dtype=np.int32)
-                    rows, cols, v = (rows + r0).ravel(), (cols + c0).ravel(), plane.astype(float).ravel()
-                    keep = (rows >= self.low["row"]) & (rows <= self.high["row"]) & (cols >= self.low["col"]) & (cols <= self.high["col"])
-                    missing = ~np.isfinite(v) if h.nodata is None else ~np.isfinite(v) | (v == h.nodata)
-                    yield pa.record_batch([pa.array([partition.path] * int(keep.sum())), pa.array(np.full(keep.sum(), band, np.int32)), pa.array(rows[keep].astype(np.int32)), pa.array(cols[keep].astype(np.int32)), pa.array(v[keep], mask=missing[keep])], names=["path", "band", "row", "col", "v"])
+                rows, cols = np.indices(layer.shape, dtype=np.int32)
+                rows, cols, v = (rows + r0).ravel(), (cols + c0).ravel(), layer.astype(float).ravel()
+                keep = (rows >= self.low["row"]) & (rows <= self.high["row"]) & (cols >= self.low["col"]) & (cols <= self.high["col"])
+                missing = ~np.isfinite(v) if h.nodata is None else ~np.isfinite(v) | (v == h.nodata)
+                yield pa.record_batch([pa.array([path] * int(keep.sum())), pa.array(np.full(keep.sum(), band, np.int32)), pa.array(rows[keep].astype(np.int32)), pa.array(cols[keep].astype(np.int32)), pa.array(v[keep], mask=missing[keep])], names=["path", "band", "row", "col", "v"])
 
 
 class GeoTiffSource(DataSource):
@@ -185,9 +263,24 @@ def read_geotiff(spark: SparkSession, path: str, bands: list[int] | None = None,
 
 
 def catalog(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, width, height, n_bands, crs, gt, nodata of files."""
-    rows = [(p, h.width, h.height, h.bands, h.crs, list(map(float, h.gt)), h.nodata) for p in paths for h in [Header(p)]]
-    return spark.createDataFrame(rows, "path string, width int, height int, n_bands int, crs string, gt array<double>, nodata double")
+    """path, width, height, n_bands, crs, gt, nodata and the bounds minx, miny, maxx, maxy of files; headers are read by the tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            headers = [Header(local_path(p)) for p in batch.path]
+            yield pd.DataFrame([(p, h.width, h.height, h.bands, h.crs, list(map(float, h.gt)), h.nodata) for p, h in zip(batch.path, headers)], columns=["path", "width", "height", "n_bands", "crs", "gt", "nodata"])
+
+    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths) // 16), "path")
+    out = files.mapInPandas(run, "path string, width int, height int, n_bands int, crs string, gt array<double>, nodata double")
+    x1, y1 = F.col("gt")[2] + F.col("gt")[0] * F.col("width"), F.col("gt")[5] + F.col("gt")[4] * F.col("height")
+    return out.withColumns({"minx": F.least(F.col("gt")[2], x1), "miny": F.least(F.col("gt")[5], y1), "maxx": F.greatest(F.col("gt")[2], x1), "maxy": F.greatest(F.col("gt")[5], y1)})
+
+
+def files_of(spark: SparkSession, folder: str, ending: str = ".tif", pattern: str = "", group: int = 0) -> DataFrame:
+    """path, name, grp: files below a folder whose name has the ending, with the part of it that a pattern's group matches."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{ending}").load(folder).select("path")
+    name = F.element_at(F.split("path", "/"), -1)
+    return found.select("path", name.alias("name"), (F.regexp_extract(name, pattern, group) if pattern else F.lit(None).cast("string")).alias("grp"))
 
 
 def read_mask(spark: SparkSession, path: str) -> DataFrame:
@@ -202,6 +295,7 @@ def write_geotiff(px: DataFrame, folder: str, gt: tuple[float, ...], epsg: int,
     tile order as a stream, so no task holds a whole raster.  The write happens when the
     result is read.  ``folder`` must be shared by all executors.
     """
+    folder = local_path(folder)
     os.makedirs(folder, exist_ok=True)
     kind = np.dtype(dtype).newbyteorder("<")
     size = px.groupBy("raster_id").agg((F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w"), (F.max("band") + 1).alias("n"))

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from gridloom.common import local_path
 from gridloom.functions.wkt import _NUMBER
 
 ROWS_PER_PARTITION = 100_000
@@ -81,11 +82,23 @@ def wkt_to_wkb(text: str) -> bytes:
     raise ValueError(f"{kind} is not supported")
 
 
-def _strip_header(blob: bytes | None) -> bytes | None:
-    if blob is None or blob[:2] != b"GP":
+def _strip_header(blob: bytes | None, box: tuple[float, ...] | None = None) -> bytes | None:
+    """The WKB of a geometry; None where there is none, or where its envelope lies off ``box``."""
+    if blob is None or blob[:2] != b"GP" or blob[3] & 16:
         return None
     envelope = {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}[(blob[3] >> 1) & 7]
-    return None if blob[3] & 16 else blob[8 + envelope :]
+    if box is not None and envelope:
+        x0, x1, y0, y1 = struct.unpack_from(("<" if blob[3] & 1 else ">") + "4d", blob, 8)
+        if x1 < box[0] or x0 > box[2] or y1 < box[1] or y0 > box[3]:
+            return None
+    return blob[8 + envelope :]
+
+
+def _bounds(wkt: str) -> tuple[float, float, float, float]:
+    """minx, maxx, miny, maxy of a geometry."""
+    points = [p.split()[:2] for p in re.sub(r"[A-Za-z()]", " ", wkt.rpartition(";")[2]).split(",")]
+    xs, ys = [float(p[0]) for p in points], [float(p[1]) for p in points]
+    return min(xs), max(xs), min(ys), max(ys)
 
 
 def _layer(con: sqlite3.Connection, wanted: str | None) -> tuple[str, str, list[tuple[str, str]]]:
@@ -101,9 +114,10 @@ class _Rows(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
-        path = options["path"]
+        path = local_path(options["path"])
         self.paths = sorted(glob.glob(os.path.join(path, "*.gpkg"))) if os.path.isdir(path) else [path]
         self.layer = options.get("layer")
+        self.box = tuple(map(float, options["bbox"].split(","))) if options.get("bbox") else None
 
     def partitions(self):
         out = []
@@ -121,12 +135,23 @@ class _Reader(DataSourceReader):
             listed = ", ".join(f'"{c}"' for c, _ in columns)
             at = [c for c, _ in columns].index(geometry)
             for row in con.execute(f'SELECT {listed} FROM "{name}" WHERE rowid BETWEEN ? AND ?', (part.low, part.high)):
-                wkb = _strip_header(row[at])
-                yield (*row[:at], None if wkb is None else wkb_to_wkt(wkb), *row[at + 1 :])
+                wkb = _strip_header(row[at], self.box)
+                text = None if wkb is None else wkb_to_wkt(wkb)
+                if self.box is not None:
+                    if text is None:
+                        continue
+                    x0, x1, y0, y1 = _bounds(text)
+                    if x1 < self.box[0] or x0 > self.box[2] or y1 < self.box[1] or y0 > self.box[3]:
+                        continue
+                yield (*row[:at], text, *row[at + 1 :])
 
 
 class GpkgSource(DataSource):
-    """Format "gridloom_gpkg": options path (file or folder of files) and layer; geometries come as WKT."""
+    """Format "gridloom_gpkg": options path (file or folder of files), layer, and bbox "minx,miny,maxx,maxy"; geometries come as WKT.
+
+    With a bbox only features whose bounds touch it are read; stored envelopes are looked at before a
+    geometry is decoded.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -142,15 +167,26 @@ class GpkgSource(DataSource):
         return _Reader(self.options)
 
 
-def read_gpkg(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
+def read_gpkg(spark: SparkSession, path: str, layer: str | None = None, bbox: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Features of a file or folder of files, all or those that touch ``bbox``."""
     spark.dataSource.register(GpkgSource)
     r = spark.read.format("gridloom_gpkg").option("path", path)
+    r = r.option("bbox", ",".join(map(repr, map(float, bbox)))) if bbox else r
     return (r.option("layer", layer) if layer else r).load()
 
 
-def write_gpkg(df: DataFrame, folder: str, layer: str, epsg: int, geometry: str = "geometry") -> DataFrame:
-    """Writes each partition as a GeoPackage of its own in a shared folder; returns path and rows when read."""
+def write_gpkg(df: DataFrame, folder: str, layer: str, epsg: int, geometry: str = "geometry", overwrite: bool = False) -> DataFrame:
+    """Writes each partition as a GeoPackage of its own in a shared folder; returns path and rows when read.
+
+    A folder that already has files is refused, unless ``overwrite`` takes them away first.
+    """
+    folder = local_path(folder)
     os.makedirs(folder, exist_ok=True)
+    old = glob.glob(os.path.join(folder, "*.gpkg"))
+    if old and not overwrite:
+        raise FileExistsError(f"{folder} has GeoPackages already")
+    for path in old:
+        os.remove(path)
     columns = [(f.name, SQL_TYPE.get(f.dataType.simpleString(), "TEXT")) for f in df.schema if f.name != geometry]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,8 +206,8 @@ INSERT INTO gpkg_contents (table_name, data_type, identifier, srs_id) VALUES ('{
 INSERT INTO gpkg_geometry_columns VALUES ('{layer}', '{geometry}', 'GEOMETRY', {epsg}, 0, 0);
 CREATE TABLE "{layer}" ({", ".join(f'"{c}" {t}' for c, t in columns)}, "{geometry}" BLOB);""")
         for batch in batches:
-            head = struct.pack("<2sBBi", b"GP", 0, 1, epsg)
-            blobs = [None if not t or "EMPTY" in t.upper() else head + wkt_to_wkb(t) for t in batch[geometry]]
+            head = struct.pack("<2sBBi", b"GP", 0, 3, epsg)  # with an envelope
+            blobs = [None if not t or "EMPTY" in t.upper() else head + struct.pack("<4d", *_bounds(t)) + wkt_to_wkb(t) for t in batch[geometry]]
             plain = batch[[c for c, _ in columns]].astype(object).where(batch[[c for c, _ in columns]].notna(), None).to_numpy().tolist()
             con.executemany(f'INSERT INTO "{layer}" VALUES ({", ".join("?" * (len(columns) + 1))})', [(*r, g) for r, g in zip(plain, blobs)])
             n += len(batch)
