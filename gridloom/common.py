@@ -46,6 +46,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimiser's estimate of a table's size, without running anything; enormous where it knows nothing."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def latest(df: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
     """One row for each non-null ``key``: the columns of its row with the greatest ``order``.
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.common import ranked
+from gridloom.operators.raster import exact_percentiles
 
 #: Features up to which Shapley values go over all subsets (2^8 predictions of a row).
 EXACT_FEATURES = 8
@@ -113,7 +114,7 @@ def classification_report(df: DataFrame, y: str = "y", yhat: str = "yhat") -> Da
 
 def box_plot(df: DataFrame, key: str, value: str) -> DataFrame:
     """key, q1, median, q3 and the whiskers: the least and greatest values within 1.5 quartile ranges."""
-    q = df.groupBy(key).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    q = exact_percentiles(df, [key], value, [0.25, 0.5, 0.75], "_q")
     j = df.join(q, key).withColumn("q1", F.col("_q")[0]).withColumn("median", F.col("_q")[1]).withColumn("q3", F.col("_q")[2])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col(value) >= F.col("q1") - reach) & (F.col(value) <= F.col("q3") + reach)

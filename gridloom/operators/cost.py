@@ -7,6 +7,7 @@ import warnings
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.common import checkpoint
 from gridloom.operators.neighbours import entropy, label_edges, sobel
 from gridloom.operators.raster import ndvi, percentile_normalise
 
@@ -16,7 +17,7 @@ def cost_surface(image: DataFrame, chm: DataFrame, labels: DataFrame | None = No
 
     ``image``: raster_id, row, col, b0..b7; ``chm``: v; ``labels``: label.  All on one grid.
     Without labels the other three weights are scaled up.  Missing parts count 0, as each part is
-    normalised with missing values at 0.
+    normalised with missing values at 0.  The texture, the dearest, is checkpointed for its percentiles.
     """
     if abs(sum(weights) - 1) > 1e-6:
         raise ValueError(f"the four weights add up to {sum(weights)}, not to 1")
@@ -28,7 +29,7 @@ def cost_surface(image: DataFrame, chm: DataFrame, labels: DataFrame | None = No
     parts = percentile_normalise(sobel(chm.select(*at, "v")), value="gradient", out="grad").select(*at, "grad")
     bands = percentile_normalise(image.withColumn("_g", 1 - ndvi(F.col("b4"), F.col("b6"))), value="_g", out="gap")
     bands = percentile_normalise(bands, value="b0", out="_n").withColumn("_p", (F.col("_n") * 255).cast("int")).select(*at, "gap", "_p")
-    texture_px = percentile_normalise(entropy(bands, value="_p"), value="entropy", out="tex").select(*at, "tex")
+    texture_px = percentile_normalise(checkpoint(entropy(bands, value="_p")), value="entropy", out="tex").select(*at, "tex")
     j = bands.select(*at, "gap").join(texture_px, at).join(parts, at)
     if labels is not None:
         j = j.join(percentile_normalise(label_edges(labels), value="edge", out="border").select(*at, "border"), at)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridloom.common import checkpoint
 from gridloom.operators.raster import percentile_normalise
 
 TILE = 256
@@ -138,7 +139,7 @@ def local_variance(df: DataFrame, win: int, **kw) -> DataFrame:
 def sharpness(gray_px: DataFrame, win: int, value: str = "v") -> DataFrame:
     """Local variance of the Laplacian, stretched between its 2nd and 98th percentile."""
     lap = laplacian(gray_px, value=value, out="lap")
-    return percentile_normalise(local_variance(lap, win, value="lap", out="variance"), value="variance", out="sharpness")
+    return percentile_normalise(checkpoint(local_variance(lap, win, value="lap", out="variance")), value="variance", out="sharpness")
 
 
 DISK_3 = [(r, c) for r in range(-3, 4) for c in range(-3, 4) if r * r + c * c <= 9]

@@ -7,16 +7,21 @@ columns.  Missing measurements are null, never NaN (see ``clean``).
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.common import is_finite
+from gridloom.common import estimated_bytes, is_finite
 
 KEYS = ["raster_id"]
 #: Side of the tiles by which clips are joined.
 CLIP_TILE = 256
+#: Accuracy of the sketch that brackets percentiles.
+SKETCH = 10_000
+#: Size of a table, by the optimiser's estimate, whose values one task can hold.
+ONE_TASK_BYTES = 64_000_000
 
 
 def clean(df: DataFrame, value: str = "v", nodata: Column | None = None) -> DataFrame:
@@ -48,15 +53,54 @@ def normalize_band(df: DataFrame, keys: list[str] = KEYS, value: str = "v", out:
     return d.withColumn(out, F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo"))).drop("_lo", "_hi")
 
 
-def percentile_bounds(value: str, low: float, high: float, accuracy: int | None) -> Column:
-    """[low, high] percentiles: exact with interpolation, or by a sketch of the given accuracy."""
-    ps = F.array(F.lit(low / 100), F.lit(high / 100))
-    return F.percentile(value, ps) if accuracy is None else F.percentile_approx(value, ps, accuracy)
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps: list[float], out: str = "_p") -> DataFrame:
+    """keys, ``out``: exact percentiles (linear interpolation) of each group at the shares ``ps`` in rising order.
+
+    A mergeable sketch first brackets each wanted rank between two values; then only values inside a
+    bracket are counted singly and all between brackets together, both on the map side.  So a group
+    of n values needs about n / 2,500 entries for each share, instead of all its values in one
+    task.  A table that is estimated to fit a task as a whole goes through the plain aggregate, with
+    the same result.  Nulls don't count; groups without a value are absent.
+    """
+    if estimated_bytes(df) <= ONE_TASK_BYTES:
+        found = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, ps))).alias(out))
+        return found.where(F.col(out).isNotNull())
+    names, margin = keys or ["_all"], 2 / SKETCH
+    base = (df if keys else df.withColumn("_all", F.lit(0))).select(*names, F.col(value).cast("double").alias("_v")).where("_v is not null")
+    marks = F.array(*[F.lit(m) for p in ps for m in (max(0.0, p - margin), min(1.0, p + margin))])
+    rough = base.groupBy(*names).agg(F.percentile_approx("_v", marks, SKETCH).alias("_a"), F.count("_v").alias("_n"))
+    v, low, high = F.col("_v"), [F.col("_a")[2 * i] for i in range(len(ps))], [F.col("_a")[2 * i + 1] for i in range(len(ps))]
+    inside = reduce(lambda a, b: a | b, [v.between(x, y) for x, y in zip(low, high)])
+    zone = sum(((v > y).cast("int") for y in high), F.lit(0))
+    entries = base.join(rough, names).groupBy(*names, F.when(inside, v).alias("_w"), zone.alias("_z")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.max("_n").alias("_n"))
+    last = F.sum("_c").over(Window.partitionBy(*names).orderBy("_lo")) - 1
+    placed = entries.withColumn("_last", last).withColumn("_first", F.col("_last") - F.col("_c") + 1)
+
+    def at(rank: Column) -> Column:
+        # a rank between brackets can only be the first or last of its entry
+        hit = (F.col("_first") <= rank) & (rank <= F.col("_last"))
+        found = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).when(rank == F.col("_first"), F.col("_lo")).when(rank == F.col("_last"), F.col("_hi"))
+        return F.max(F.when(hit, F.coalesce(found, F.raise_error(F.lit("a rank lies outside its bracket")).cast("double"))))
+
+    place = [(F.col("_n") - 1) * F.lit(p) for p in ps]
+    picked = placed.groupBy(*names).agg(*[at(f(p)).alias(f"_{s}{i}") for i, p in enumerate(place) for s, f in (("l", F.floor), ("h", F.ceil))], F.max("_n").alias("_n"))
+    values = [F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * (p - F.floor(p)) for i, p in enumerate(place)]
+    return picked.select(*keys, F.array(*values).alias(out))
+
+
+def with_percentiles(df: DataFrame, keys: list[str], value: str, low: float, high: float, accuracy: int | None) -> DataFrame:
+    """Adds ``_p``, [low, high] percentiles of each group: exact with interpolation, or by a sketch of the given accuracy; null without a value."""
+    ps = [low / 100, high / 100]
+    if accuracy is None:
+        found = exact_percentiles(df, keys, value, ps)
+    else:
+        found = df.groupBy(*keys).agg(F.percentile_approx(value, F.array(*map(F.lit, ps)), accuracy).alias("_p"))
+    return df.join(found, keys, "left")
 
 
 def rescale_to_8bit(df: DataFrame, keys: list[str] = KEYS, value: str = "v", out: str = "v8", low: float = 2, high: float = 98, accuracy: int | None = None) -> DataFrame:
     """255 (x - p) / (q - p) between two percentiles over all bands of a raster, clipped and truncated; 0 where p = q."""
-    d = with_stats(df, keys, _p=percentile_bounds(value, low, high, accuracy))
+    d = with_percentiles(df, keys, value, low, high, accuracy)
     p, q = F.col("_p")[0], F.col("_p")[1]
     v = F.when(p == q, 0).otherwise(F.least(F.greatest(255 * (F.col(value) - p) / F.when(p != q, q - p), F.lit(0.0)), F.lit(255.0)).cast("int"))
     return d.withColumn(out, v.cast("int")).drop("_p")
@@ -64,7 +108,7 @@ def rescale_to_8bit(df: DataFrame, keys: list[str] = KEYS, value: str = "v", out
 
 def percentile_normalise(df: DataFrame, keys: list[str] = KEYS, value: str = "v", out: str = "n", accuracy: int | None = None) -> DataFrame:
     """Clip at the 2nd and 98th percentile and scale to 0..1; missing values and flat bands become 0."""
-    d = with_stats(df, keys, _p=percentile_bounds(value, 2, 98, accuracy))
+    d = with_percentiles(df, keys, value, 2, 98, accuracy)
     p, q = F.col("_p")[0], F.col("_p")[1]
     clipped = F.least(F.greatest(F.col(value), p), q)
     return d.withColumn(out, F.when(F.col(value).isNull(), F.lit(0.0)).otherwise(F.coalesce(F.try_divide(clipped - p, q - p), F.lit(0.0)))).drop("_p")

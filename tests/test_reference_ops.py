@@ -66,6 +66,23 @@ def test_plateau_and_sobel(spark):
     assert np.allclose(dense(neighbours.sobel(pixels(spark, a)), a.shape, "gradient"), np.hypot(gx, gy))
 
 
+@pytest.mark.parametrize(("sketch", "small"), [(10_000, 0), (50, 0), (10_000, 1 << 62)])
+def test_percentiles_are_exact(spark, monkeypatch, sketch, small):
+    monkeypatch.setattr(raster, "SKETCH", sketch)
+    monkeypatch.setattr(raster, "ONE_TASK_BYTES", small)
+    rng = np.random.default_rng(12)
+    groups = {"a": rng.normal(0, 1, 3000), "b": np.round(rng.normal(0, 2, 2500)), "c": np.array([5.0]), "d": np.array([1.0, 2.0]), "e": np.full(700, 3.0), "f": rng.random(60), "g": rng.random(101)}
+    rows = [(g, float(x)) for g, v in groups.items() for x in v] + [("a", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    ps = [0.02, 0.25, 0.5, 0.98]
+    got = {r.g: r["_p"] for r in raster.exact_percentiles(df, ["g"], "v", ps).collect()}
+    assert set(got) == set(groups)
+    for g, v in groups.items():
+        assert np.allclose(got[g], np.percentile(v, [100 * p for p in ps]), atol=1e-12), g
+    whole = raster.exact_percentiles(df, [], "v", [0.5]).collect()
+    assert math.isclose(whole[0]["_p"][0], np.median(np.concatenate(list(groups.values()))))
+
+
 def test_flat_bands(spark):
     px = pixels(spark, np.full((4, 4), 7.0))
     assert {r.v8 for r in raster.rescale_to_8bit(px).collect()} == {0}
