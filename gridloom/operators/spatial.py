@@ -49,14 +49,18 @@ def box_join(left: DataFrame, right: DataFrame, size: float, keys: list[str] | N
     return lc.join(rc, on).where(exact & once).drop("_cx", "_cy", "_dx", "_dy")
 
 
-def neighbours(points: DataFrame, radius: float, carry: list[str] = []) -> DataFrame:
-    """id, x, y, other, ox, oy, d of ordered pairs id < other at most ``radius`` apart, by cells of that size."""
-    p = points.select("id", "x", "y", *carry).withColumn("_cx", F.floor(F.col("x") / radius)).withColumn("_cy", F.floor(F.col("y") / radius))
+def neighbours(points: DataFrame, radius: float, carry: list[str] = [], keys: list[str] = []) -> DataFrame:
+    """id, x, y, other, ox, oy, d of ordered pairs id < other at most ``radius`` apart, by cells of that size.
+
+    ``keys`` (as raster_id), which come first, must be equal.  Both sides are sorted by cell and
+    merged: a small file may hold millions of points, so its size is no reason to broadcast it.
+    """
+    p = points.select(*keys, "id", "x", "y", *carry).withColumn("_cx", F.floor(F.col("x") / radius)).withColumn("_cy", F.floor(F.col("y") / radius))
     near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     left = p.withColumn("_n", near).withColumn("_cx", F.col("_cx") + F.col("_n.i")).withColumn("_cy", F.col("_cy") + F.col("_n.j")).drop("_n")
-    right = p.select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), *[F.col(c).alias(f"o_{c}") for c in carry], "_cx", "_cy")
+    right = p.select(*keys, F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), *[F.col(c).alias(f"o_{c}") for c in carry], "_cx", "_cy")
     d = F.sqrt((F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy")))
-    return left.join(right, ["_cx", "_cy"]).where("id < other").withColumn("d", d).where(F.col("d") <= radius).drop("_cx", "_cy")
+    return left.join(right.hint("merge"), [*keys, "_cx", "_cy"]).where("id < other").withColumn("d", d).where(F.col("d") <= radius).drop("_cx", "_cy")
 
 
 def label_segments(hits: DataFrame) -> tuple[DataFrame, DataFrame]:

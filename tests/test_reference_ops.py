@@ -426,3 +426,10 @@ def test_augmentation_keeps_boxes_inside(spark):
         assert 0 <= r.x0 < r.x1 <= r.width and 0 <= r.y0 < r.y1 <= r.height
         assert sorted((r.x1 - r.x0, r.y1 - r.y0)) == [10, 20]
     assert all((r.x0, r.y1) == (1, 22) for r in detect.augment(b, 3, train=False).collect())
+
+
+def test_neighbours_are_not_broadcast(spark, tmp_path):
+    spark.range(500).selectExpr("id", "double(id % 20) x", "double(id div 20) y").write.parquet(f"{tmp_path}/p")
+    pairs = spatial.neighbours(spark.read.parquet(f"{tmp_path}/p"), 1.05)
+    assert pairs.count() == 20 * 24 + 19 * 25
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
