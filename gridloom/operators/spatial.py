@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.common import is_finite
 from gridloom.functions.wkt import contains, edges_of
 from gridloom.operators.raster import map_to_pixel
 
@@ -63,6 +64,31 @@ def neighbours(points: DataFrame, radius: float, carry: list[str] = [], keys: li
     return left.join(right.hint("merge"), [*keys, "_cx", "_cy"]).where("id < other").withColumn("d", d).where(F.col("d") <= radius).drop("_cx", "_cy")
 
 
+def on_map(keys: list[str] = []) -> Column:
+    """True for points with finite coordinates and known ``keys``; others have no neighbours."""
+    ok = is_finite(F.col("x")) & is_finite(F.col("y"))
+    for k in keys:
+        ok = ok & F.col(k).isNotNull()
+    return ok
+
+
+def with_place(points: DataFrame, keys: list[str] = []) -> DataFrame:
+    """Points with ``place``: the least id at the same x and y of the same ``keys``; a point off the map is its own place.
+
+    Many seeds may share few places, and most of what holds for a pair of seeds holds for their places.
+    """
+    at = [*keys, "x", "y"]
+    least = points.where(on_map(keys)).groupBy(*at).agg(F.min("id").alias("place"))
+    return points.join(least.hint("merge"), at, "left").withColumn("place", F.coalesce("place", "id"))
+
+
+def links(points: DataFrame, radius: float) -> DataFrame:
+    """id, other: edges that connect the same groups of points as ``neighbours`` does, by places instead of points."""
+    placed = with_place(points.select("id", "x", "y"))
+    far = neighbours(placed.where("id = place"), radius).select("id", "other")
+    return placed.where("id <> place").select(F.col("place").alias("id"), F.col("id").alias("other")).unionByName(far)
+
+
 def label_segments(hits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(segments of one class, mixed segments) from segment_id, class of the points in or on each segment.
 

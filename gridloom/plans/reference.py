@@ -586,7 +586,7 @@ def effective_distance(spark: SparkSession, d: str) -> DataFrame:
 r AS (SELECT id, id AS root FROM s UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id WHERE r.root < e.b) SELECT id, min(root) AS component FROM r GROUP BY 1""")
 def components(spark: SparkSession, d: str) -> DataFrame:
     s = X.seeds(spark, d)
-    return graph.components(s, spatial.neighbours(s, 1.05).select(F.col("id").alias("a"), F.col("other").alias("b")))
+    return graph.components(s, spatial.links(s, 1.05).select(F.col("id").alias("a"), F.col("other").alias("b")))
 
 
 _CL = "c AS (SELECT *, CAST(floor(x / 5) AS BIGINT) AS root FROM s)"

@@ -433,3 +433,26 @@ def test_neighbours_are_not_broadcast(spark, tmp_path):
     pairs = spatial.neighbours(spark.read.parquet(f"{tmp_path}/p"), 1.05)
     assert pairs.count() == 20 * 24 + 19 * 25
     assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+def shared_places(spark, n=150, side=6, seed=3):
+    """Seeds of which many stand at the same place, two off the map."""
+    rng = np.random.default_rng(seed)
+    rows = [(int(i), float(x) / 2, float(y) / 2, float(h), int(k)) for i, (x, y, h, k) in zip(rng.permutation(n), np.column_stack([rng.integers(0, side, (n, 2)), rng.integers(1, 30, n), rng.integers(0, 2, n)]))]
+    rows += [(n, None, 1.0, 9.0, 0), (n + 1, float("nan"), 1.0, 9.0, 1)]
+    return rows, spark.createDataFrame(rows, "id long, x double, y double, height double, root long")
+
+
+def apart(p, q):
+    return math.inf if p[1] is None or q[1] is None or math.isnan(p[1] + q[1]) else math.hypot(p[1] - q[1], p[2] - q[2])
+
+
+def test_components_of_shared_places(spark):
+    rows, df = shared_places(spark, side=14)
+    edges = spatial.links(df, 0.6)
+    want = {p[0]: p[0] for p in rows}
+    for _ in rows:
+        for p in rows:
+            want[p[0]] = min([want[p[0]], *(want[q[0]] for q in rows if apart(p, q) <= 0.6)])
+    got = graph.components(df, edges.selectExpr("id a", "other b")).collect()
+    assert {r.id: r.component for r in got} == want
+    assert edges.count() < spatial.neighbours(df, 0.6).count()
