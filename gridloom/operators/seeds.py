@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from gridloom.common import checkpoint
 from gridloom.operators.graph import components, survivors
 from gridloom.operators.neighbours import gaussian, local_maxima
-from gridloom.operators.spatial import neighbours
+from gridloom.operators.spatial import neighbours, on_map, with_place
 
 
 def peaks(px: DataFrame, least: float, min_dist_px: int, sigma: float = 0.0, gt: tuple[float, ...] = (1, 0, 0, 0, 1, 0)) -> DataFrame:
@@ -37,10 +37,32 @@ def effective_distance(pairs: DataFrame, cost: DataFrame, height: int, width: in
     t = F.col("k") / F.lit(float(samples + 1))
     cell = lambda p, q, n: F.least(F.greatest(F.bround(F.col(p) + t * (F.col(q) - F.col(p))), F.lit(0)), F.lit(n - 1)).cast("int")
     steps = far.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(samples)))).select(*keys, "id", "other", "d", cell("y", "oy", height).alias("row"), cell("x", "ox", width).alias("col"))
-    mean = steps.join(cost.select(*keys, "row", "col", "cost"), [*keys, "row", "col"], "left").groupBy(*keys, "id", "other").agg(F.max("d").alias("d"), F.avg(F.coalesce("cost", F.lit(float(nodata_cost)))).alias("_c"))
+    mean = steps.join(cost.select(*keys, "row", "col", "cost").hint("merge"), [*keys, "row", "col"], "left").groupBy(*keys, "id", "other").agg(F.max("d").alias("d"), F.avg(F.coalesce("cost", F.lit(float(nodata_cost)))).alias("_c"))
     return mean.select(*keys, "id", "other", (F.col("d") * (1 + weight * F.col("_c"))).alias("d_eff")).unionByName(near)
 
 
+def place_distances(places: DataFrame, cost: DataFrame, height: int, width: int, radius: float, weight: float = 0.5, xy_thresh: float = 0.8, keys: list[str] = [], both: bool = False) -> DataFrame:
+    """keys, id, other, d_eff of places (keys, id, x, y) at most ``radius`` apart; with ``both`` each pair also turned, as the line then takes other cells at ties."""
+    pairs = neighbours(places, radius, keys=keys)
+    if both:
+        turned = pairs.select(*keys, F.col("other").alias("id"), F.col("ox").alias("x"), F.col("oy").alias("y"), F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), "d")
+        pairs = pairs.unionByName(turned)
+    return effective_distance(pairs, cost, height, width, weight, xy_thresh, keys=keys)
+
+
+def effective_pairs(seeds: DataFrame, cost: DataFrame, height: int, width: int, radius: float, weight: float = 0.5, xy_thresh: float = 0.8, keys: list[str] = []) -> DataFrame:
+    """keys, id, other, d_eff of all pairs id < other at most ``radius`` apart: ``effective_distance`` of ``neighbours``.
+
+    Costs are averaged once for each pair of places and then handed to the seeds that stand there.
+    """
+    placed = checkpoint(with_place(seeds.where(on_map(keys)).select(*keys, "id", "x", "y"), keys))
+    lines = place_distances(placed.where("id = place").drop("place"), cost, height, width, radius, weight, xy_thresh, keys, both=True)
+    own = placed.where("id = place").select(*keys, "id", F.col("id").alias("other"), F.lit(0.0).alias("d_eff"))
+    lines = lines.unionByName(own).select(*keys, F.col("id").alias("_p"), F.col("other").alias("_q"), "d_eff")
+    one, two = placed.select(*keys, F.col("place").alias("_p"), "id"), placed.select(*keys, F.col("place").alias("_q"), F.col("id").alias("other"))
+    return lines.join(one.hint("merge"), [*keys, "_p"]).join(two.hint("merge"), [*keys, "_q"]).where("id < other").select(*keys, "id", "other", "d_eff")
+
+
 def cluster(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """Seeds with ``cluster``: 0.. in order of the least id of each connected group."""
     parts = components(seeds, edges.select(F.col("id").alias("a"), F.col("other").alias("b")))

@@ -578,8 +578,7 @@ SELECT raster_id, id, other, round(max(d) * (1 + 0.5 * avg(coalesce(cost, 1))),
 def effective_distance(spark: SparkSession, d: str) -> DataFrame:
     """Seeds of a raster against its own costs."""
     c = raster.normalize_band(X.px1(spark, d), out="cost")
-    pairs = spatial.neighbours(X.raster_seeds(spark, d), 1.05, ["raster_id"]).where("raster_id = o_raster_id")
-    return r6(seeds.effective_distance(pairs, c, X.HEIGHT, X.WIDTH, keys=["raster_id"]), "d_eff")
+    return r6(seeds.effective_pairs(X.raster_seeds(spark, d), c, X.HEIGHT, X.WIDTH, 1.05, keys=["raster_id"]), "d_eff")
 
 
 @query(f"""WITH RECURSIVE {X.SEEDS}, {_NEAR}, e AS (SELECT id AS a, other AS b FROM nb WHERE d <= 1.05 UNION ALL SELECT other, id FROM nb WHERE d <= 1.05),

@@ -456,3 +456,11 @@ def test_components_of_shared_places(spark):
     got = graph.components(df, edges.selectExpr("id a", "other b")).collect()
     assert {r.id: r.component for r in got} == want
     assert edges.count() < spatial.neighbours(df, 0.6).count()
+
+def test_effective_pairs_of_shared_places(spark):
+    _, df = shared_places(spark, side=9)
+    df, cost = df.withColumnRenamed("root", "raster_id"), spark.createDataFrame([(k, r, c, ((r * 7 + c * 3 + k) % 10) / 10) for k in (0, 1) for r in range(6) for c in range(5)], "raster_id long, row int, col int, cost double")
+    pairs = spatial.neighbours(df, 1.2, ["raster_id"]).where("raster_id = o_raster_id")
+    want = {(r.id, r.other): r.d_eff for r in seeds.effective_distance(pairs, cost, 6, 5, keys=["raster_id"]).collect()}
+    got = {(r.id, r.other): r.d_eff for r in seeds.effective_pairs(df, cost, 6, 5, 1.2, keys=["raster_id"]).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-12) for k in want) and len(want) > 500
