@@ -122,18 +122,29 @@ def ball_clusters(seeds: DataFrame, eps_scale: float = 0.4, min_eps: float = 2,
     known beforehand, so the order is a greedy suppression by id, and a seed belongs to the last
     ball that holds it.  Numbers are the id of the seed whose ball it was.
     """
-    pairs = neighbours(seeds, max_eps, ["height"])
-    turned = pairs.select(F.col("other").alias("id"), F.col("id").alias("other"), "d", F.col("o_height").alias("height"), F.col("height").alias("o_height"))
-    own = seeds.select("id", F.col("id").alias("other"), F.lit(0.0).alias("d"), "height", F.col("height").alias("o_height"))
-    held = pairs.select("id", "other", "d", "height", "o_height").unionByName(turned).unionByName(own).where(F.col("d") <= eps_of(F.col("height"), eps_scale, min_eps, max_eps))
-    held = checkpoint(held.select("id", "other", "o_height"))
-    fits = held.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), (F.max("o_height") - F.min("o_height")).alias("_span")).where(F.col("_n") >= min_samples)
+    cell = lambda c: F.floor(F.col(c) / max_eps)
+    placed = checkpoint(with_place(seeds.select("id", "x", "y", "height")))
+    towns = placed.groupBy("place").agg(F.first("x").alias("ox"), F.first("y").alias("oy"), F.count(F.lit(1)).alias("_n"), F.max("height").alias("_hi"), F.min("height").alias("_lo"))
+    # seeds of one place and radius have one ball, and the first that fits takes the place
+    balls = placed.groupBy("place", "x", "y", eps_of(F.col("height"), eps_scale, min_eps, max_eps).alias("_eps")).agg(F.min("id").alias("id"))
+    step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    near = balls.where(on_map()).withColumn("_s", step).withColumn("_cx", cell("x") + F.col("_s.i")).withColumn("_cy", cell("y") + F.col("_s.j"))
+    there = towns.withColumnRenamed("place", "other").withColumn("_cx", cell("ox")).withColumn("_cy", cell("oy"))
+    d = F.sqrt((F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy")))
+    columns = ["id", "place", "other", "_n", "_hi", "_lo"]
+    held = near.join(there.hint("merge"), ["_cx", "_cy"]).where(d <= F.least("_eps", F.lit(float(max_eps)))).select(*columns)
+    alone = balls.where(~on_map() & (F.col("_eps") >= 0)).select("id", "place", F.col("place").alias("other")).join(towns.hint("merge"), "place").select(*columns)
+    held = checkpoint(held.unionByName(alone))
+    fits = held.groupBy("id", "place").agg(F.sum("_n").alias("_n"), (F.max("_hi") - F.min("_lo")).alias("_span")).where(F.col("_n") >= min_samples)
     if z_thresh >= 0:
         fits = fits.where(F.col("_span") <= z_thresh)
-    balls = held.join(fits.select("id"), "id")
-    centres = survivors(seeds.select("id"), balls.where("other > id").select(F.col("id").alias("winner"), F.col("other").alias("loser")))
-    last = balls.join(centres, "id").groupBy(F.col("other").alias("_o")).agg(F.max("id").alias("cluster1"))
-    return seeds.join(last, F.col("id") == F.col("_o"), "left").drop("_o")
+    openers = checkpoint(fits.groupBy("place").agg(F.min("id").alias("id")))
+    opened = held.select("id", "other").join(openers.select("id"), "id")
+    beaten = opened.join(openers.select(F.col("place").alias("other"), F.col("id").alias("loser")), "other").where("loser > id")
+    centres = survivors(openers.select("id"), beaten.select(F.col("id").alias("winner"), "loser"))
+    last = opened.join(centres, "id").groupBy(F.col("other").alias("place")).agg(F.max("id").alias("cluster1"))
+    named = placed.select("id", "place").join(last, "place").select(F.col("id").alias("_o"), "cluster1")
+    return seeds.join(named, F.col("id") == F.col("_o"), "left").drop("_o")
 
 
 def canonical_seeds(chm: DataFrame, density: DataFrame, cost: DataFrame, height: int, width: int, merge_radius: float = 1.5, cost_weight: float = 0.5, xy_thresh: float = 0.8, dz_merge: float = 0, max_per_cluster: int = 0, nms_base: float = 0, nms_scale: float = 0, keys: list[str] = []) -> DataFrame:

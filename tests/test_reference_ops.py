@@ -446,6 +446,21 @@ def apart(p, q):
     return math.inf if p[1] is None or q[1] is None or math.isnan(p[1] + q[1]) else math.hypot(p[1] - q[1], p[2] - q[2])
 
 
+def test_ball_clusters_of_shared_places(spark, monkeypatch):
+    rows, df = shared_places(spark)
+    sizes = []
+    monkeypatch.setattr(seeds, "checkpoint", lambda d, keep=seeds.checkpoint: [c := keep(d), sizes.append(c.count())][0])
+    for least, z in ((2, -1), (1, -1), (2, 25), (9, 20)):
+        taken: dict[int, int] = {}
+        for p in sorted(rows):
+            ball = [q for q in rows if q[0] == p[0] or apart(p, q) <= min(max(0.05 * p[3], 0.3), 0.8)]
+            if p[0] not in taken and len(ball) >= least and not (z >= 0 and max(q[3] for q in ball) - min(q[3] for q in ball) > z):
+                taken |= {q[0]: p[0] for q in ball}
+        got = seeds.ball_clusters(df, 0.05, 0.3, 0.8, z, least).collect()
+        assert {x.id: x.cluster1 for x in got} == {p[0]: taken.get(p[0]) for p in rows}
+    assert max(sizes) < 1500  # balls of places; pairs of seeds would be over 2,000
+
+
 def test_components_of_shared_places(spark):
     rows, df = shared_places(spark, side=14)
     edges = spatial.links(df, 0.6)
