@@ -101,6 +101,24 @@ def nms_coded(seeds: DataFrame, base: float, scale: float, keys: list[str], max_
     return seeds.join(lost.distinct(), "id", "left_anti")
 
 
+def _radius(height: Column, base: float, scale: float) -> Column:
+    return F.greatest(F.lit(float(base)), height * scale)
+
+
+def _outlived(seeds: DataFrame, base: float, scale: float, keys: list[str], order: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """Seeds of which one at the most is left of each place, and the ids of the others.
+
+    Of seeds of one place and group the first by ``order`` has all others within its radius, so
+    no other survives; those off the map or without a height or radius are all left.
+    """
+    w = Window.partitionBy(*keys, "x", "y").orderBy(*order)
+    first = lambda c: F.first(c).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    able = on_map(keys) & F.col("height").isNotNull()
+    ranked = seeds.where(able).withColumn("_r", F.row_number().over(w)).withColumn("_top", _radius(first("height"), base, scale))
+    gone = (F.col("_r") > 1) & (F.col("_top") >= 0)
+    return ranked.where(~gone).drop("_r", "_top").unionByName(seeds.where(~able)), ranked.where(gone).select("id")
+
+
 def nms_greedy(seeds: DataFrame, base: float, scale: float, key: str, max_radius: float) -> DataFrame:
     """The tallest seed of a cluster removes those within its radius, then the next tallest that is left, and so on.
 
@@ -108,11 +126,12 @@ def nms_greedy(seeds: DataFrame, base: float, scale: float, key: str, max_radius
     """
     if base <= 0 and scale <= 0:
         return seeds
-    close = neighbours(seeds, max_radius, ["height", key]).where(F.col(key) == F.col(f"o_{key}"))
+    left, _ = _outlived(seeds, base, scale, [key], [F.col("height").desc(), F.col("id")])
+    close = neighbours(left, max_radius, ["height"], [key])
     first = F.col("height") >= F.col("o_height")  # pairs have id < other
     winner, loser = F.when(first, F.col("id")).otherwise(F.col("other")), F.when(first, F.col("other")).otherwise(F.col("id"))
     radius = F.greatest(F.lit(float(base)), F.greatest("height", "o_height") * scale)
-    return survivors(seeds, close.where(F.col("d") <= radius).select(winner.alias("winner"), loser.alias("loser")))
+    return survivors(left, close.where(F.col("d") <= radius).select(winner.alias("winner"), loser.alias("loser")))
 
 
 def ball_clusters(seeds: DataFrame, eps_scale: float = 0.4, min_eps: float = 2, max_eps: float = 8, z_thresh: float = -1, min_samples: int = 2) -> DataFrame:
