@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.common import estimated_bytes, is_finite
+from gridloom.common import checkpoint, estimated_bytes, is_finite
 
 KEYS = ["raster_id"]
 #: Side of the tiles by which clips are joined.
@@ -88,6 +88,24 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps: list[float
     return picked.select(*keys, F.array(*values).alias(out))
 
 
+def counted_percentiles(df: DataFrame, value: str, count: str, ps: list[float], out: str = "_p") -> DataFrame:
+    """``out``: one row, the exact percentiles (linear interpolation) of values that each stand for ``count`` rows.
+
+    Values are sorted by ranges and ranks shifted by the counts of the ranges before; null without a value.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(F.sum(count).alias("_c")).where("_c > 0")
+    placed = checkpoint(counts.repartitionByRange(n, "_v").withColumn("_pid", F.spark_partition_id()))
+    sizes = placed.groupBy("_pid").agg(F.sum("_c").alias("_m"))
+    every = Window.orderBy("_pid")  # over one row a partition
+    offsets = sizes.select("_pid", (F.sum("_m").over(every) - F.col("_m")).alias("_before"), F.sum("_m").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_n"))
+    ranked = placed.join(offsets, "_pid").withColumn("_end", F.col("_before") + F.sum("_c").over(Window.partitionBy("_pid").orderBy("_v")))
+    place = [(F.col("_n") - 1) * F.lit(p) for p in ps]
+    at = lambda rank: F.max(F.when((F.col("_end") - F.col("_c") <= rank) & (rank < F.col("_end")), F.col("_v")))
+    picked = ranked.agg(*[at(f(p)).alias(f"_{s}{i}") for i, p in enumerate(place) for s, f in (("l", F.floor), ("h", F.ceil))], F.max("_n").alias("_n"))
+    return picked.select(F.array(*[F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * (p - F.floor(p)) for i, p in enumerate(place)]).alias(out))
+
+
 def with_percentiles(df: DataFrame, keys: list[str], value: str, low: float, high: float, accuracy: int | None) -> DataFrame:
     """Adds ``_p``, [low, high] percentiles of each group: exact with interpolation, or by a sketch of the given accuracy; null without a value."""
     ps = [low / 100, high / 100]

@@ -89,6 +89,14 @@ def links(points: DataFrame, radius: float) -> DataFrame:
     return placed.where("id <> place").select(F.col("place").alias("id"), F.col("id").alias("other")).unionByName(far)
 
 
+def distance_counts(points: DataFrame, radius: float) -> DataFrame:
+    """d, pairs: how many pairs of points are that far apart, for each distance up to ``radius``; pairs of places are weighted, not listed."""
+    places = points.where(on_map()).groupBy("x", "y").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    far = neighbours(places, radius, ["n"]).select("d", (F.col("n") * F.col("o_n")).alias("pairs"))
+    here = places.where("n > 1").select(F.lit(0.0).alias("d"), F.expr("n * (n - 1) div 2").alias("pairs"))
+    return far.unionByName(here).groupBy("d").agg(F.sum("pairs").alias("pairs"))
+
+
 def label_segments(hits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(segments of one class, mixed segments) from segment_id, class of the points in or on each segment.
 

@@ -401,9 +401,9 @@ def reproject(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {X.SEEDS}, {{near}} SELECT count(*) AS pairs, round(min(d), 6) AS least, round(quantile_cont(d, 0.5), 6) AS median, round(max(d), 6) AS most FROM nb WHERE d <= 1.05".replace("{near}", "nb AS (SELECT sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM s a JOIN s b ON a.id < b.id AND abs(a.x - b.x) <= 1.05 AND abs(a.y - b.y) <= 1.05)"))
 def pair_distances(spark: SparkSession, d: str) -> DataFrame:
-    p = spatial.neighbours(X.seeds(spark, d), 1.05)
-    middle = raster.exact_percentiles(p, [], "d", [0.5]).select(F.round(F.col("_p")[0], 6).alias("median"))
-    return p.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.min("d"), 6).alias("least"), F.round(F.max("d"), 6).alias("most")).join(middle)  # one row each
+    p = spatial.distance_counts(X.seeds(spark, d), 1.05)
+    middle = raster.counted_percentiles(p, "d", "pairs", [0.5]).select(F.round(F.col("_p")[0], 6).alias("median"))
+    return p.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.round(F.min("d"), 6).alias("least"), F.round(F.max("d"), 6).alias("most")).join(middle)  # one row each
 
 
 @query(f"WITH {X.SEEDS} SELECT id AS seed, row_number() OVER (ORDER BY height DESC, id) AS number FROM s")

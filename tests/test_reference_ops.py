@@ -479,3 +479,12 @@ def test_effective_pairs_of_shared_places(spark):
     want = {(r.id, r.other): r.d_eff for r in seeds.effective_distance(pairs, cost, 6, 5, keys=["raster_id"]).collect()}
     got = {(r.id, r.other): r.d_eff for r in seeds.effective_pairs(df, cost, 6, 5, 1.2, keys=["raster_id"]).collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-12) for k in want) and len(want) > 500
+
+def test_distances_of_shared_places_are_counted(spark):
+    rows, df = shared_places(spark)
+    d = sorted(x for i, p in enumerate(rows) for q in rows[i + 1 :] if (x := apart(p, q)) <= 1.3)
+    counts = spatial.distance_counts(df, 1.3)
+    assert counts.agg(F.sum("pairs")).first()[0] == len(d) and counts.count() == len(set(d))
+    ps = [0.0, 0.1, 0.37, 0.5, 1.0]
+    assert np.allclose(raster.counted_percentiles(counts, "d", "pairs", ps).first()[0], np.quantile(d, ps))
+    assert raster.counted_percentiles(counts.limit(0), "d", "pairs", [0.5]).first()[0] == [None]
