@@ -66,7 +66,7 @@ def effective_pairs(seeds: DataFrame, cost: DataFrame, height: int, width: int,
 def cluster(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """Seeds with ``cluster``: 0.. in order of the least id of each connected group."""
     parts = components(seeds, edges.select(F.col("id").alias("a"), F.col("other").alias("b")))
-    return seeds.join(parts, "id").withColumnRenamed("component", "root")
+    return seeds.join(parts.hint("merge"), "id").withColumnRenamed("component", "root")
 
 
 def median_split(seeds: DataFrame, dz: float, key: str = "root") -> DataFrame:
@@ -173,11 +173,13 @@ def canonical_seeds(chm: DataFrame, density: DataFrame, cost: DataFrame, height:
     ``merge_radius`` are looked at, and only those of the same ``keys`` (as raster_id).
     """
     seeds = chm.withColumn("origin", F.lit("chm")).unionByName(density.withColumn("origin", F.lit("density")))
-    close = neighbours(seeds, merge_radius, keys)
-    for k in keys:
-        close = close.where(F.col(k) == F.col(f"o_{k}"))
-    d = effective_distance(close, cost, height, width, cost_weight, xy_thresh, keys=keys)
-    grouped = cluster(seeds, d.where(F.col("d_eff") <= merge_radius))
+    placed = checkpoint(with_place(seeds.select(*keys, "id", "x", "y"), keys))
+    d = place_distances(placed.where("id = place").drop("place"), cost, height, width, merge_radius, cost_weight, xy_thresh, keys, both=True).where(F.col("d_eff") <= merge_radius)
+    # a line is drawn from the lesser id, so it takes a greater one at its other end
+    greatest = placed.groupBy(F.col("place").alias("other")).agg(F.max("id").alias("_top"))
+    far = d.select("id", "other").join(greatest.hint("merge"), "other").where("id < _top").select("id", "other")
+    here = placed.where("id <> place").select(F.col("place").alias("id"), F.col("id").alias("other"))
+    grouped = cluster(seeds, far.unionByName(here))
     grouped = median_split(grouped, dz_merge) if dz_merge > 0 else grouped.withColumn("part", F.lit(0))
     kept = top_k(grouped, max_per_cluster, ["root", "part"])
     if nms_base > 0 or nms_scale > 0:

@@ -461,6 +461,23 @@ def test_ball_clusters_of_shared_places(spark, monkeypatch):
     assert max(sizes) < 1500  # balls of places; pairs of seeds would be over 2,000
 
 
+def test_canonical_seeds_of_shared_places(spark, monkeypatch):
+    rows, df = shared_places(spark, side=9)
+    paired = []
+    monkeypatch.setattr(seeds, "neighbours", lambda p, *a, keep=seeds.neighbours, **k: [keep(p, *a, **k), paired.append(p.count())][0])
+    px = spark.createDataFrame([(k, r, c, ((r * 7 + c * 3 + k) % 10) / 10) for k in (0, 1) for r in range(6) for c in range(5)], "root long, row int, col int, cost double")
+    df = df.withColumnRenamed("root", "raster_id")
+    pairs = spatial.neighbours(df, 1.05, ["raster_id"]).where("raster_id = o_raster_id")
+    close = seeds.effective_distance(pairs, px.withColumnRenamed("root", "raster_id"), 6, 5, keys=["raster_id"]).where("d_eff <= 1.05").collect()
+    root = {p[0]: p[0] for p in rows}
+    for _ in rows:
+        for e in close:
+            root[e.id] = root[e.other] = min(root[e.id], root[e.other])
+    out = seeds.canonical_seeds(df.where("id % 2 = 0"), df.where("id % 2 = 1"), px.withColumnRenamed("root", "raster_id"), 6, 5, 1.05, keys=["raster_id"])
+    assert {r.id: r.cluster for r in out.collect()} == {i: 2 * r for i, r in root.items()}
+    assert paired == [len({(p[1], p[2], p[4]) for p in rows[:-2]})] and paired[0] < len(rows) - 2
+
+
 def test_components_of_shared_places(spark):
     rows, df = shared_places(spark, side=14)
     edges = spatial.links(df, 0.6)
