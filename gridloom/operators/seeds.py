@@ -90,15 +90,19 @@ def nms_coded(seeds: DataFrame, base: float, scale: float, keys: list[str], max_
     """
     if base <= 0 and scale <= 0:
         return seeds
-    pairs = neighbours(seeds, max_radius, ["height", *keys])
-    r = lambda h: F.greatest(F.lit(float(base)), F.col(h) * scale)
-    same = F.lit(True)
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"o_{k}"))
-    pairs = pairs.where(same)
-    other_later = (F.col("o_height") < F.col("height")) | ((F.col("o_height") == F.col("height")) & (F.col("other") > F.col("id")))
-    lost = pairs.where(other_later & (F.col("d") <= r("o_height"))).select("id").unionByName(pairs.where(~other_later & (F.col("d") <= r("height"))).select(F.col("other").alias("id")))
-    return seeds.join(lost.distinct(), "id", "left_anti")
+    left, _ = _outlived(seeds, base, scale, keys, [F.col("height"), F.col("id").desc()])
+    by_cell = lambda df: df.withColumn("_cx", F.floor(F.col("x") / max_radius)).withColumn("_cy", F.floor(F.col("y") / max_radius))
+    step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    near = by_cell(left.where(on_map(keys))).withColumn("_n", step).withColumn("_cx", F.col("_cx") + F.col("_n.i")).withColumn("_cy", F.col("_cy") + F.col("_n.j")).alias("a")
+    other = by_cell(seeds.where(on_map(keys)).select("id", "x", "y", "height", *keys)).alias("b")
+    on = F.lit(True)
+    for k in [*keys, "_cx", "_cy"]:
+        on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    d = F.sqrt((F.col("a.x") - F.col("b.x")) * (F.col("a.x") - F.col("b.x")) + (F.col("a.y") - F.col("b.y")) * (F.col("a.y") - F.col("b.y")))
+    later = (F.col("b.height") < F.col("a.height")) | ((F.col("b.height") == F.col("a.height")) & (F.col("b.id") > F.col("a.id")))
+    # the first such seed decides: pairs are not listed
+    beaten = near.join(other.hint("merge"), on & later & (d <= F.least(_radius(F.col("b.height"), base, scale), F.lit(float(max_radius)))), "left_semi").select("id")
+    return left.join(beaten.distinct().hint("merge"), "id", "left_anti")
 
 
 def _radius(height: Column, base: float, scale: float) -> Column:

@@ -434,6 +434,7 @@ def test_neighbours_are_not_broadcast(spark, tmp_path):
     assert pairs.count() == 20 * 24 + 19 * 25
     assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
 
+
 def shared_places(spark, n=150, side=6, seed=3):
     """Seeds of which many stand at the same place, two off the map."""
     rng = np.random.default_rng(seed)
@@ -489,6 +490,25 @@ def test_components_of_shared_places(spark):
     assert {r.id: r.component for r in got} == want
     assert edges.count() < spatial.neighbours(df, 0.6).count()
 
+
+@pytest.mark.parametrize("kind", ["coded", "greedy"])
+def test_suppression_of_shared_places(spark, kind):
+    rows, df = shared_places(spark, side=12)
+    order, r, off = sorted(rows, key=lambda p: (-p[3], p[0])), lambda p: max(0.4, 0.05 * p[3]), {p[0] for p in rows[-2:]}
+    if kind == "coded":
+        want = {p[0] for i, p in enumerate(order) if not any(q[4] == p[4] and apart(p, q) <= r(q) for q in order[i + 1 :])}
+        got = seeds.nms_coded(df, 0.4, 0.05, ["root"], 1.5)
+    else:
+        kept = []
+        for p in order:
+            if all(q[4] != p[4] or apart(p, q) > r(q) for q in kept):
+                kept.append(p)
+        want, got = {p[0] for p in kept}, seeds.nms_greedy(df, 0.4, 0.05, "root", 1.5)
+    assert {x.id for x in got.collect()} == want and off <= want
+    left, lost = seeds._outlived(df, 0.4, 0.05, ["root"], [F.col("height").desc(), F.col("id")])
+    assert left.count() == len({(p[1], p[2], p[4]) for p in rows[:-2]}) + 2 and left.count() + lost.count() == len(rows)
+
+
 def test_effective_pairs_of_shared_places(spark):
     _, df = shared_places(spark, side=9)
     df, cost = df.withColumnRenamed("root", "raster_id"), spark.createDataFrame([(k, r, c, ((r * 7 + c * 3 + k) % 10) / 10) for k in (0, 1) for r in range(6) for c in range(5)], "raster_id long, row int, col int, cost double")
@@ -497,6 +517,7 @@ def test_effective_pairs_of_shared_places(spark):
     got = {(r.id, r.other): r.d_eff for r in seeds.effective_pairs(df, cost, 6, 5, 1.2, keys=["raster_id"]).collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-12) for k in want) and len(want) > 500
 
+
 def test_distances_of_shared_places_are_counted(spark):
     rows, df = shared_places(spark)
     d = sorted(x for i, p in enumerate(rows) for q in rows[i + 1 :] if (x := apart(p, q)) <= 1.3)
