@@ -20,6 +20,8 @@ from gridloom.operators.raster import map_to_pixel
 
 #: Cells of an outline that are tested, or of several that are returned, at once.
 CELLS_AT_ONCE = 500_000
+#: Boxes of a side that a task takes at once from one cell, and pairs of boxes it looks at together.
+BLOCK_BOXES, PAIRS_AT_ONCE = 2_000, 200_000
 
 
 def cells(low: Column, high: Column, size: float) -> Column:
@@ -191,9 +193,44 @@ def assign_by_overlap(items: DataFrame, zones: DataFrame, size: float) -> DataFr
 
     Ties go to the smallest fid.
     """
-    pairs = box_join(items, zones, size).withColumn("_a", overlap_area()).withColumn("_t", shared_border())
-    best = pairs.groupBy("item_id").agg(F.max(F.struct(F.col("_a"), F.col("_t"), (-F.col("r_fid")).alias("f"))).alias("_b"))
-    return items.join(best, "item_id", "left").withColumn("fid", -F.col("_b.f")).withColumn("area", F.coalesce(F.col("_b._a"), F.lit(0.0))).drop("_b")
+    best = best_overlaps(items, zones, size).groupBy("item_id").agg(F.max(F.struct("_a", "_t", (-F.col("fid")).alias("f"))).alias("_b"))
+    return items.join(best.hint("merge"), "item_id", "left").withColumn("fid", -F.col("_b.f")).withColumn("area", F.coalesce(F.col("_b._a"), F.lit(0.0))).drop("_b")
+
+
+def best_overlaps(items: DataFrame, zones: DataFrame, size: float) -> DataFrame:
+    """item_id, _a, _t, fid: in each cell, of the zones that an item meets there, the one of most area, border and least fid.
+
+    Of zones with the same box only the least fid counts.  A cell with many boxes is cut into
+    blocks of both sides; pairs are compared in arrays and never listed.
+    """
+    box = ["x0", "y0", "x1", "y1"]
+    spread = lambda df: df.withColumn("_cx", F.explode(cells(F.col("x0"), F.col("x1"), size))).withColumn("_cy", F.explode(cells(F.col("y0"), F.col("y1"), size)))
+    left, right = spread(items.select("item_id", *box)), spread(zones.groupBy(*box).agg(F.min("fid").alias("fid")))
+    blocks = lambda df, name: df.groupBy("_cx", "_cy").agg(F.ceil(F.count(F.lit(1)) / BLOCK_BOXES).cast("int").alias(name))
+    sizes = blocks(left, "_lb").join(blocks(right, "_rb").hint("merge"), ["_cx", "_cy"])
+    part = lambda df, key, own, other: df.join(sizes.hint("merge"), ["_cx", "_cy"]).withColumn("_o", F.pmod(F.xxhash64(key), F.col(own))).withColumn("_e", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+    l = part(left, "item_id", "_lb", "_rb").select("item_id", *box, "_cx", "_cy", F.col("_o").cast("int").alias("_l"), F.col("_e").cast("int").alias("_r"))
+    r = part(right, "fid", "_rb", "_lb").select("fid", *box, "_cx", "_cy", F.col("_e").cast("int").alias("_l"), F.col("_o").cast("int").alias("_r"))
+
+    def run(i: pd.DataFrame, z: pd.DataFrame) -> pd.DataFrame:
+        z, out = z.sort_values("fid"), []
+        p, q, fid = i[box].to_numpy(float), z[box].to_numpy(float).T, z.fid.to_numpy()
+        step = max(1, PAIRS_AT_ONCE // max(1, len(fid)))
+        for a in range(0, len(p) if len(fid) else 0, step):
+            x0, y0, x1, y1 = (v[:, None] for v in p[a : a + step].T)
+            w, h = np.minimum(x1, q[2]) - np.maximum(x0, q[0]), np.minimum(y1, q[3]) - np.maximum(y0, q[1])
+            meet = (x0 <= q[2]) & (q[0] <= x1) & (y0 <= q[3]) & (q[1] <= y1)
+            area = np.where(meet, np.maximum(w, 0) * np.maximum(h, 0), -1.0)
+            most = area.max(axis=1)
+            border = np.where(area == most[:, None], np.where((w == 0) | (h == 0), np.maximum(np.maximum(w, h), 0), 0.0), -1.0)
+            k = border.argmax(axis=1)  # the first, so the least fid
+            ok = most >= 0
+            out.append(pd.DataFrame({"item_id": i.item_id.to_numpy()[a : a + step][ok], "_a": most[ok], "_t": border[np.arange(len(k)), k][ok], "fid": fid[k][ok]}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"item_id": [], "_a": [], "_t": [], "fid": []})
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    keys = ["_cx", "_cy", "_l", "_r"]
+    return l.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(run, f"item_id {kind(items, 'item_id')}, _a double, _t double, fid {kind(zones, 'fid')}")
 
 
 def first_region(items: DataFrame, regions: DataFrame, size: float) -> DataFrame:

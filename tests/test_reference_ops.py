@@ -526,3 +526,35 @@ def test_distances_of_shared_places_are_counted(spark):
     ps = [0.0, 0.1, 0.37, 0.5, 1.0]
     assert np.allclose(raster.counted_percentiles(counts, "d", "pairs", ps).first()[0], np.quantile(d, ps))
     assert raster.counted_percentiles(counts.limit(0), "d", "pairs", [0.5]).first()[0] == [None]
+
+def crowded_boxes(spark, n=90):
+    rng = np.random.default_rng(8)
+    rows = [(i, int(k), float(x), float(y), float(x + w), float(y + h), float(s)) for i, (k, x, y, w, h, s) in enumerate(np.column_stack([rng.integers(0, 2, n), rng.integers(0, 12, (n, 2)), rng.integers(1, 9, (n, 2)), rng.integers(0, 9, n)]))]
+    return rows, spark.createDataFrame(rows, "box_id long, image_id long, x0 double, y0 double, x1 double, y1 double, score double")
+
+
+def shared_part(p, q):
+    w, h = min(p[4], q[4]) - max(p[2], q[2]), min(p[5], q[5]) - max(p[3], q[3])
+    both = max(w, 0) * max(h, 0)
+    return both / ((p[4] - p[2]) * (p[5] - p[3]) + (q[4] - q[2]) * (q[5] - q[3]) - both + 1e-6)
+
+
+@pytest.mark.parametrize(("block", "pairs"), [(2000, 200_000), (3, 5)])
+def test_best_overlaps_of_repeated_zones(spark, monkeypatch, block, pairs):
+    monkeypatch.setattr(spatial, "BLOCK_BOXES", block)
+    monkeypatch.setattr(spatial, "PAIRS_AT_ONCE", pairs)
+    rows, df = crowded_boxes(spark)
+    zones = [(k, float(k % 4 * 3), float(k % 3 * 3), float(k % 4 * 3 + 3), float(k % 3 * 3 + 3)) for k in range(40)]
+    z = spark.createDataFrame(zones, "fid long, x0 double, y0 double, x1 double, y1 double")
+    items = df.selectExpr("box_id item_id", "x0", "y0", "x1", "y1")
+
+    def best(p):
+        found = []
+        for f, a, b, c, e in zones:
+            w, h = min(p[4], c) - max(p[2], a), min(p[5], e) - max(p[3], b)
+            if w >= 0 and h >= 0:
+                found.append((-w * h, -max(w, h) if w * h == 0 else 0.0, f))
+        return (min(found)[2], -min(found)[0]) if found else (None, 0.0)
+
+    got = {r.item_id: (r.fid, r.area) for r in spatial.assign_by_overlap(items, z, 5).collect()}
+    assert got == {p[0]: best(p) for p in rows}
