@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.common import numbered
 from gridloom.operators.graph import survivors
-from gridloom.operators.spatial import box_join
+from gridloom.operators.spatial import BLOCK_BOXES, PAIRS_AT_ONCE, box_join, cells
 
 
 def iou(b: str = "r_") -> Column:
@@ -22,14 +22,55 @@ def iou(b: str = "r_") -> Column:
     return w * h / (area("") + area(b) - w * h + 1e-6)
 
 
-def iou_pairs(boxes: DataFrame, size: float, least: float = 0.0) -> DataFrame:
-    """box_id < r_box_id of one image with their IoU above ``least``; boxes without a common area are no pair."""
-    return box_join(boxes, boxes, size, keys=["image_id"], how="overlap").where("box_id < r_box_id").withColumn("iou", iou()).where(F.col("iou") > least)
+def iou_pairs(boxes: DataFrame, size: float, least: float = 0.0, carry: list[str] = []) -> DataFrame:
+    """box_id < r_box_id of one image with their ``iou`` above ``least`` and the columns ``carry`` of both; boxes without a common area are no pair.
+
+    Boxes go to the cells they touch, and a pair comes out in the cell of the lower left corner of
+    its common part.  In a cell each box meets only those that begin within its width; a cell
+    with many boxes is cut into blocks, and each two blocks are a task.
+    """
+    box, at = ["x0", "y0", "x1", "y1"], ["image_id", "_cx", "_cy"]
+    spread = boxes.select("box_id", "image_id", *box, *carry).withColumn("_cx", F.explode(cells(F.col("x0"), F.col("x1"), size))).withColumn("_cy", F.explode(cells(F.col("y0"), F.col("y1"), size)))
+    sizes = spread.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / BLOCK_BOXES).cast("int").alias("_n"))
+    own = spread.join(sizes.hint("merge"), at).withColumn("_b", F.pmod(F.xxhash64("box_id"), F.col("_n")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    own = own.withColumn("_l", F.least("_b", "_o")).withColumn("_r", F.greatest("_b", "_o")).drop("_n", "_o")
+    names = [*(n for c in ("box_id", *carry) for n in (c, f"r_{c}")), "iou"]
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("x0")
+        x0, y0, x1, y1 = g[box].to_numpy(float).T
+        ids, block, cx, cy, two = g.box_id.to_numpy(), g["_b"].to_numpy(), g["_cx"].iloc[0], g["_cy"].iloc[0], g["_l"].iloc[0] != g["_r"].iloc[0]
+        n = np.maximum(np.searchsorted(x0, x1) - np.arange(1, len(g) + 1), 0)  # boxes that begin before the end of each
+        ends, found, a = np.cumsum(n), [], 0
+        while a < len(g):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS_AT_ONCE)))
+            m = n[a:b]
+            i = np.repeat(np.arange(a, min(b, len(g))), m)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
+            a = b
+            keep = (y0[i] < y1[j]) & (y0[j] < y1[i]) & (x0[i] < x1[j]) & (ids[i] != ids[j])
+            if two:
+                keep &= block[i] != block[j]
+            i, j = i[keep], j[keep]
+            left, low = np.maximum(x0[i], x0[j]), np.maximum(y0[i], y0[j])
+            w, h = np.minimum(x1[i], x1[j]) - left, np.minimum(y1[i], y1[j]) - low
+            share = np.maximum(w, 0) * np.maximum(h, 0)
+            value = share / ((x1[i] - x0[i]) * (y1[i] - y0[i]) + (x1[j] - x0[j]) * (y1[j] - y0[j]) - share + 1e-6)
+            keep = (np.floor(left / size) == cx) & (np.floor(low / size) == cy) & (value > least)
+            i, j, value = i[keep], j[keep], value[keep]
+            i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
+            found.append((i, j, value))
+        i, j, value = (np.concatenate(v) for v in zip(*found))
+        return pd.DataFrame({n: v for c in ("box_id", *carry) for n, v in ((c, g[c].to_numpy()[i]), (f"r_{c}", g[c].to_numpy()[j]))} | {"iou": value})[names]
+
+    kind = {f.name: f.dataType.simpleString() for f in boxes.schema}
+    schema = ", ".join(f"{n} {'double' if n == 'iou' else kind[n.removeprefix('r_')]}" for n in names)
+    return own.groupBy(*at, "_l", "_r").applyInPandas(run, schema)
 
 
 def box_nms(boxes: DataFrame, size: float, threshold: float = 0.5) -> DataFrame:
     """Greedy suppression in each image: best score first, then least box_id; ``size`` is about that of a large box."""
-    close = iou_pairs(boxes.select("box_id", "image_id", "x0", "y0", "x1", "y1", "score"), size, threshold)
+    close = iou_pairs(boxes.select("box_id", "image_id", "x0", "y0", "x1", "y1", "score"), size, threshold, ["score"])
     first = F.col("score") >= F.col("r_score")  # pairs have box_id < r_box_id
     edges = close.select(F.when(first, F.col("box_id")).otherwise(F.col("r_box_id")).alias("winner"), F.when(first, F.col("r_box_id")).otherwise(F.col("box_id")).alias("loser"))
     kept = survivors(boxes.select(F.col("box_id").alias("id")), edges)

@@ -539,6 +539,17 @@ def shared_part(p, q):
     return both / ((p[4] - p[2]) * (p[5] - p[3]) + (q[4] - q[2]) * (q[5] - q[3]) - both + 1e-6)
 
 
+@pytest.mark.parametrize(("block", "pairs"), [(2000, 200_000), (7, 5)])
+def test_iou_pairs_of_crowded_cells(spark, monkeypatch, block, pairs):
+    monkeypatch.setattr(detect, "BLOCK_BOXES", block)
+    monkeypatch.setattr(detect, "PAIRS_AT_ONCE", pairs)
+    rows, df = crowded_boxes(spark)
+    for least in (0.0, 0.3):
+        got = [(r.box_id, r.r_box_id, r.iou) for r in detect.iou_pairs(df, 5, least).collect()]
+        want = [(p[0], q[0], s) for p in rows for q in rows if p[0] < q[0] and p[1] == q[1] and (s := shared_part(p, q)) > least]
+        assert sorted(got) == want
+
+
 @pytest.mark.parametrize(("block", "pairs"), [(2000, 200_000), (3, 5)])
 def test_best_overlaps_of_repeated_zones(spark, monkeypatch, block, pairs):
     monkeypatch.setattr(spatial, "BLOCK_BOXES", block)
