@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.common import numbered
-from gridloom.operators.graph import survivors
+from gridloom.common import checkpoint, numbered
+from gridloom.operators.graph import FINISH_EDGES, survivors
 from gridloom.operators.spatial import BLOCK_BOXES, PAIRS_AT_ONCE, box_join, cells
 
 
@@ -70,11 +70,24 @@ def iou_pairs(boxes: DataFrame, size: float, least: float = 0.0, carry: list[str
 
 def box_nms(boxes: DataFrame, size: float, threshold: float = 0.5) -> DataFrame:
     """Greedy suppression in each image: best score first, then least box_id; ``size`` is about that of a large box."""
-    close = iou_pairs(boxes.select("box_id", "image_id", "x0", "y0", "x1", "y1", "score"), size, threshold, ["score"])
     first = F.col("score") >= F.col("r_score")  # pairs have box_id < r_box_id
-    edges = close.select(F.when(first, F.col("box_id")).otherwise(F.col("r_box_id")).alias("winner"), F.when(first, F.col("r_box_id")).otherwise(F.col("box_id")).alias("loser"))
-    kept = survivors(boxes.select(F.col("box_id").alias("id")), edges)
-    return boxes.join(kept.select(F.col("id").alias("box_id")), "box_id", "left_semi")
+    ends = [F.when(first, F.col("box_id")).otherwise(F.col("r_box_id")).alias("winner"), F.when(first, F.col("r_box_id")).otherwise(F.col("box_id")).alias("loser")]
+    left, kept = checkpoint(boxes.select("box_id", "image_id", "x0", "y0", "x1", "y1", "score")), None
+    while True:
+        edges = iou_pairs(left, size, threshold, ["score"]).select(*ends)
+        beaten = checkpoint(edges.groupBy("loser").agg(F.count(F.lit(1)).alias("n")))
+        if (beaten.agg(F.sum("n")).first()[0] or 0) <= FINISH_EDGES:
+            last = survivors(left.select(F.col("box_id").alias("id")), edges)
+            break
+        # edges are too many to keep: boxes that none beats stay, those they beat go, and the rest is paired again
+        marked = left.join(beaten.select(F.col("loser").alias("box_id"), F.lit(True).alias("_d")).hint("merge"), "box_id", "left").withColumn("_d", F.coalesce("_d", F.lit(False)))
+        marked = checkpoint(marked)
+        free = iou_pairs(marked, size, threshold, ["score", "_d"]).select(*ends, F.when(first, F.col("_d")).otherwise(F.col("r__d")).alias("_d")).where("not _d")
+        top = marked.where("not _d").select(F.col("box_id").alias("id"))
+        kept = top if kept is None else kept.unionByName(top)
+        left = checkpoint(marked.where("_d").drop("_d").join(free.select(F.col("loser").alias("box_id")).distinct().hint("merge"), "box_id", "left_anti"))
+    kept = last if kept is None else kept.unionByName(last)
+    return boxes.join(kept.select(F.col("id").alias("box_id")).hint("merge"), "box_id", "left_semi")
 
 
 def clamp_boxes(boxes: DataFrame, row0: Column, col0: Column, height: Column, width: Column) -> DataFrame:

@@ -527,6 +527,7 @@ def test_distances_of_shared_places_are_counted(spark):
     assert np.allclose(raster.counted_percentiles(counts, "d", "pairs", ps).first()[0], np.quantile(d, ps))
     assert raster.counted_percentiles(counts.limit(0), "d", "pairs", [0.5]).first()[0] == [None]
 
+
 def crowded_boxes(spark, n=90):
     rng = np.random.default_rng(8)
     rows = [(i, int(k), float(x), float(y), float(x + w), float(y + h), float(s)) for i, (k, x, y, w, h, s) in enumerate(np.column_stack([rng.integers(0, 2, n), rng.integers(0, 12, (n, 2)), rng.integers(1, 9, (n, 2)), rng.integers(0, 9, n)]))]
@@ -550,6 +551,17 @@ def test_iou_pairs_of_crowded_cells(spark, monkeypatch, block, pairs):
         assert sorted(got) == want
 
 
+@pytest.mark.parametrize("finish", [1_000_000, 20])
+def test_box_nms_pairs_the_rest_again(spark, monkeypatch, finish):
+    monkeypatch.setattr(detect, "FINISH_EDGES", finish)
+    rows, df = crowded_boxes(spark)
+    kept = []
+    for p in sorted(rows, key=lambda p: (-p[6], p[0])):
+        if all(p[1] != q[1] or shared_part(p, q) <= 0.2 for q in kept):
+            kept.append(p)
+    assert {r.box_id for r in detect.box_nms(df, 5, 0.2).collect()} == {p[0] for p in kept}
+
+
 @pytest.mark.parametrize(("block", "pairs"), [(2000, 200_000), (3, 5)])
 def test_best_overlaps_of_repeated_zones(spark, monkeypatch, block, pairs):
     monkeypatch.setattr(spatial, "BLOCK_BOXES", block)
